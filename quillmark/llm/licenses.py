@@ -135,7 +135,7 @@ class Scanner:
         self.base_at: list[list[tuple[int, int]]] = [[] for _ in self.automaton.link]
         for s in sorted(range(1, len(self.automaton.link)), key=self.automaton.size.__getitem__):
             inherited = self.base_at[self.automaton.link[s]]
-            self.base_at[s] = sorted({*inherited, *((t, e) for t, e in self.automaton.places[s] if (t, e) in whole)})
+            self.base_at[s] = sorted({*inherited, *((t, e) for t, e in self.automaton.places[s] if (t, e) in whole and e <= self.automaton.size[s])})
 
     def runs(self, scan: W.Scan) -> Iterator[tuple[int, int]]:
         """Stretches of words in which each neighbouring pair occurs in a template; elsewhere no match passes one word."""

@@ -35,7 +35,7 @@ def rows(spark):
     rng = random.Random(2)
     vocabulary = sorted({w for p, _ in BASE for w in p.split()} | {"x", "né", "cc-by", "MIT", "2.0"})
     texts = [None, "", "...", "CC BY NC by nc CC BY-NC", "Under the MIT Licence under the mit license", "a" * 70000, "the mit license under " * 9000]
-    texts += ["This work is licensed under the GNU General Public License, version 3.", TEMPLATES[1][1].upper().replace("software", "product"), "cc by nc é apache LICENSE, version 2"]
+    texts += ["This work is licensed under the GNU General Public License, version 3.", TEMPLATES[1][1].replace("software", "product").upper(), "cc by nc é apache LICENSE, version 2"]
     texts += [" ".join(rng.choices(vocabulary, k=rng.randrange(40))) for _ in range(400)] + ["Under the MIT License"] * 3
     given = list(enumerate(texts)) + [(None, "cc by nc"), (3, "cc by nc")]
     got = scan_licenses(spark.createDataFrame([(i, t, "clash", 1) for i, t in given], SCHEMA)).collect()
