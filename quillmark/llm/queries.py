@@ -7,18 +7,43 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .licenses import scan_licenses
+from .storage import new_path
+from .token_counts import count_tokens
+from .token_files import file_digests, write_token_files
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def tokenizer_path() -> str:
+    """The byte-level BPE file that the queries count, pack and write with."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(_read(spark, sf_dir, "documents"))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Starts from an empty cache of its own, so its figures are those of a first run."""
+    return count_tokens(_read(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "token-files")
+    write_token_files(_read(spark, sf_dir, "documents"), path, tokenizer_path())
+    return file_digests(spark, path)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_license_scan": op1_license_scan}
+    return {
+        "op1_license_scan": op1_license_scan,
+        "op5_token_counts": op5_token_counts,
+        "op8_token_files": op8_token_files,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
