@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .licenses import scan_licenses
+from .near_dups import components, fingerprints
+from .packing import pack_pieces, pieces
 from .storage import new_path
 from .token_counts import count_tokens
 from .token_files import file_digests, write_token_files
@@ -27,11 +30,20 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(_read(spark, sf_dir, "documents"))
 
 
+def op3_simhash_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = components(fingerprints(_read(spark, sf_dir, "documents")))
+    return rows.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Starts from an empty cache of its own, so its figures are those of a first run."""
     return count_tokens(_read(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_pieces(pieces(_read(spark, sf_dir, "documents"), tokenizer_path()))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "token-files")
     write_token_files(_read(spark, sf_dir, "documents"), path, tokenizer_path())
@@ -41,7 +53,9 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_license_scan": op1_license_scan,
+        "op3_simhash_near_dups": op3_simhash_near_dups,
         "op5_token_counts": op5_token_counts,
+        "op7_best_fit_packing": op7_best_fit_packing,
         "op8_token_files": op8_token_files,
     }
 
