@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .decontamination import contaminated
 from .licenses import scan_licenses
 from .near_dups import components, fingerprints
 from .packing import pack_pieces, pieces
+from .privacy import find_private
 from .storage import new_path
 from .token_counts import count_tokens
 from .token_files import file_digests, write_token_files
@@ -35,6 +37,10 @@ def op3_simhash_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_private(_read(spark, sf_dir, "documents"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Starts from an empty cache of its own, so its figures are those of a first run."""
     return count_tokens(_read(spark, sf_dir, "documents"), tokenizer_path())
@@ -50,13 +56,19 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return file_digests(spark, path)
 
 
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_license_scan": op1_license_scan,
         "op3_simhash_near_dups": op3_simhash_near_dups,
+        "op4_private_data": op4_private_data,
         "op5_token_counts": op5_token_counts,
         "op7_best_fit_packing": op7_best_fit_packing,
         "op8_token_files": op8_token_files,
+        "op9_benchmark_decontamination": op9_benchmark_decontamination,
     }
 
 
