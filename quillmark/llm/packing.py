@@ -38,22 +38,16 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: i
     names = [id_col, "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, end = encoder(tokenizer_path).ids, np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for k in range(0, len(batch), 500):
-                part, rows, chunks = batch.slice(k, 500), [], []
-                for doc, text in enumerate(part.column(1)):
-                    own = ids(text.as_py() or "") + end
-                    for piece, (start, length) in enumerate(cut(len(own) // 4, capacity)):
-                        chunk = own[4 * start : 4 * (start + length)]
-                        rows.append((doc, piece, start, length, zlib.crc32(chunk)))
-                        if with_ids:
-                            chunks.append(chunk)
-                doc, piece, start, length, crc = np.array(rows, np.int64).reshape(-1, 5).T
-                columns = [part.column(0).take(pa.array(doc)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc)]
-                if with_ids:
-                    ends = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
-                    columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(chunks), np.int32))))
+            for own in encoder(tokenizer_path).batch(batch.column(1)):
+                own = own.ended(end_id)
+                cuts = [(doc, piece, start, length) for doc, n in enumerate(own.counts.tolist()) for piece, (start, length) in enumerate(cut(n, capacity))]
+                doc, piece, start, length = np.array(cuts, np.int64).reshape(-1, 4).T
+                begin = own.bounds[doc] + start
+                sums = [zlib.crc32(own.flat[a:b]) for a, b in zip(begin.tolist(), (begin + length).tolist(), strict=True)]
+                columns = [batch.column(0).take(pa.array(own.first + doc)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(sums, pa.int64())]
+                if with_ids:  # pieces follow each other as the ids do
+                    columns.append(pa.ListArray.from_arrays(pa.array(np.append(begin, own.bounds[-1]).astype(np.int32)), pa.array(own.flat.view(np.int32))))
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     ddl = f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -57,15 +58,9 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
         wanted = wanted.join(held.hint("shuffle_hash"), "digest", "left_anti")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, seen = encoder(tokenizer_path).ids, set()
-        for batch in batches:
-            digests, counts = [], []
-            for d, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if d not in seen:
-                    seen.add(d)
-                    digests.append(d)
-                    counts.append(len(ids(t.as_py())) // 4)
-            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(counts, pa.int64())], names=["digest", "n_tokens"])
+        for batch in _first_seen(batches):
+            counts = [x.counts for x in encoder(tokenizer_path).batch(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate([np.zeros(0, np.int64), *counts]))], names=["digest", "n_tokens"])
 
     fresh = wanted.repartition("digest").mapInArrow(encode, "digest binary, n_tokens long")
     fresh.withColumn("tokenizer", F.lit(tokenizer)).write.mode("append").parquet(cache_path)

@@ -26,14 +26,11 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
     kind = docs.schema[id_col].dataType.simpleString()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, end = encoder(tokenizer_path).ids, np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for k in range(0, len(batch), 500):
-                part = batch.slice(k, 500)
-                rows = [ids(t.as_py() or "") + end for t in part.column(1)]
-                ends = np.cumsum([0, *(len(r) // 4 for r in rows)], dtype=np.int32)
-                flat = pa.array(np.frombuffer(b"".join(rows), np.int32))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(ends).astype(np.int64)), pa.ListArray.from_arrays(pa.array(ends), flat)], names=["id", "n_tokens", "ids"])
+            for own in encoder(tokenizer_path).batch(batch.column(1)):
+                own = own.ended(end_id)
+                lists = pa.ListArray.from_arrays(pa.array(own.bounds.astype(np.int32)), pa.array(own.flat.view(np.int32)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(own.first, len(lists)), pa.array(own.counts), lists], names=["id", "n_tokens", "ids"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     ordered = rows.repartitionByRange("id").sortWithinPartitions("id", "text")

@@ -1,47 +1,139 @@
-"""Tokenizers on executors: exact ids of whole texts, with a cache of words.
+"""Tokenizers on executors: exact ids of whole texts, with a table of chunks that are already encoded.
 
-A byte-level BPE tokenizer without a normalizer never merges across its pre-tokens, and a single space between two other
-characters always starts a pre-token. So a text's ids are the ids of its space-led words in a row, and a word is
-encoded by the library once while it stays in the cache. Texts with neighbouring white space or with a special string
-go to the library whole, and so do all texts of other tokenizers.
+A byte-level BPE tokenizer without a normalizer never merges across its pre-tokens. Where a single space follows another
+character, around a single line end, and between letters, digits and punctuation (the apostrophe aside), a pre-token
+surely begins. Texts are cut there, by numpy over their bytes, and a chunk is encoded by the library once while the
+table holds it. Texts with neighbouring white space or with a special string are one chunk each, and so are all texts
+of other tokenizers.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
-
-#: Words kept in each of a cache's two generations; longer words than LONGEST are not kept.
-KEPT, LONGEST = 300_000, 64
-
-# ASCII punctuation without the apostrophe, which starts contractions.
-PUNCTUATION = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
-
-_RUN = re.compile(r"\s\s")
-
-
-class _Cache(dict):
-    """Word to ids; when a generation is full the last one goes, so frequent words stay."""
-
-    def __init__(self, make: Callable[[str], bytes]):
-        super().__init__()
-        self.make, self.old = make, {}
-
-    def __missing__(self, word: str) -> bytes:
-        ids = self.old.get(word)
-        if ids is None:
-            ids = self.make(word)
-            if len(word) > LONGEST:
-                return ids
-        if len(self) >= KEPT:
-            self.old = dict(self)
-            self.clear()
-        self[word] = ids
-        return ids
+import pyarrow as pa
+
+from .words import BLOCK, mixed_keys, utf8
+
+#: Chunks that a table holds before it is emptied; up to 40 bytes each, ids included.
+KEPT = 1_500_000
+
+_SPACE, _LINE, _BLANK, _LETTER, _DIGIT, _PUNCT, _QUOTE, _OTHER = range(8)
+_CLASS = np.full(256, _OTHER, np.uint8)
+_CLASS[:128] = _PUNCT  # control characters too: neither white space nor letter nor number
+_CLASS[[9, 11, 12, 13, *range(28, 32)]] = _BLANK
+_CLASS[32], _CLASS[10], _CLASS[39] = _SPACE, _LINE, _QUOTE
+_CLASS[48:58] = _DIGIT
+_CLASS[65:91] = _CLASS[97:123] = _LETTER
+_BETWEEN = (_LETTER, _DIGIT, _PUNCT)
+#: By the classes of a byte and the next one: whether a chunk begins between them. Not next to _OTHER, which may be anything.
+_CUT = np.zeros((8, 8), bool)
+for _a in _BETWEEN:
+    _CUT[_a, [b for b in _BETWEEN if b != _a]] = True
+_CUT[[*_BETWEEN, _QUOTE], _SPACE] = _CUT[[*_BETWEEN, _QUOTE], _LINE] = True
+_CUT[_LINE, [*_BETWEEN, _QUOTE]] = True
+
+_LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]+").fullmatch  # letters only
+
+
+def _cuts(data: np.ndarray, bounds: np.ndarray, special: list[bytes]) -> np.ndarray:
+    """Where chunks begin in the bytes of texts that begin at ``bounds`` (the last one ends the data)."""
+    kind = _CLASS[data]
+    lead = np.flatnonzero((data >= 0xC3) & (data <= 0xC9))  # U+00C0 to U+024F in two bytes
+    kind[lead] = kind[lead + 1] = _LETTER
+    sign = lead[(data[lead] == 0xC3) & ((data[lead + 1] == 0x97) | (data[lead + 1] == 0xB7))]  # multiplication, division
+    kind[sign] = kind[sign + 1] = _OTHER
+    cut = np.zeros(len(data) + 1, bool)
+    cut[1:-1] = _CUT.ravel()[kind[:-1] * np.uint8(8) + kind[1:]]
+    blank = kind <= _BLANK
+    pairs = np.flatnonzero(blank[1:] & blank[:-1])
+    whole = set(np.unique(np.searchsorted(bounds, pairs, "right") - 1).tolist())
+    for s in special:
+        text, at = data.tobytes(), -1
+        while (at := text.find(s, at + 1)) >= 0:
+            whole.add(int(np.searchsorted(bounds, at, "right")) - 1)
+    for doc in whole:
+        cut[bounds[doc] : bounds[doc + 1]] = False
+    cut[bounds] = True
+    return np.flatnonzero(cut)
+
+
+class _Table:
+    """Chunk keys to places in a pool of ids, by open addressing; whole arrays are looked up and stored at once."""
+
+    def __init__(self, room: int):
+        self.room, self.bits = room, int(np.ceil(np.log2(2 * room)))
+        self.empty()
+
+    def empty(self) -> None:
+        self.keys = np.zeros(1 << self.bits, np.uint64)
+        self.slots = np.zeros((1 << self.bits, 2), np.int32)
+        self.pool = np.zeros(1 << 16, np.uint32)
+        self.held = self.used = 0
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The slot of each key, or -1."""
+        slot = self._slot(keys)
+        here = self.keys[slot]
+        found = np.where(here == keys, slot, -1)
+        todo = np.flatnonzero((here != keys) & (here != 0))
+        while len(todo):
+            slot[todo] = (slot[todo] + 1) & ((1 << self.bits) - 1)
+            here = self.keys[slot[todo]]
+            found[todo[here == keys[todo]]] = slot[todo[here == keys[todo]]]
+            todo = todo[(here != keys[todo]) & (here != 0)]
+        return found
+
+    def add(self, ids: list[list[int]]) -> np.ndarray:
+        """Puts ids into the pool; gives (place, number) of each."""
+        sizes = np.array([len(x) for x in ids], np.int64)
+        n = int(sizes.sum())
+        if self.used + n > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros(max(n, len(self.pool)), np.uint32)])
+        self.pool[self.used : self.used + n] = [t for x in ids for t in x]
+        places = self.used + np.cumsum(sizes) - sizes
+        self.used += n
+        return np.stack([places, sizes], 1)
+
+    def store(self, keys: np.ndarray, places: np.ndarray) -> None:
+        """Stores distinct keys that aren't held."""
+        slot, todo = self._slot(keys), np.arange(len(keys))
+        self.held += len(keys)
+        while len(todo):
+            free = todo[self.keys[slot[todo]] == 0]
+            _, first = np.unique(slot[free], return_index=True)
+            free = free[first]
+            self.keys[slot[free]], self.slots[slot[free]] = keys[free], places[free]
+            todo = todo[self.keys[slot[todo]] != keys[todo]]
+            slot[todo] = (slot[todo] + 1) & ((1 << self.bits) - 1)
+
+
+@dataclass
+class Ids:
+    """The ids of the texts ``first .. first + len(bounds) - 1`` of a column, in a row; ``bounds``: before each text, and all."""
+
+    first: int
+    flat: np.ndarray
+    bounds: np.ndarray
+
+    @property
+    def counts(self) -> np.ndarray:
+        return np.diff(self.bounds)
+
+    def ended(self, end_id: int) -> Ids:
+        """With an id after each text."""
+        n = len(self.bounds) - 1
+        flat = np.insert(self.flat, self.bounds[1:], np.uint32(end_id)) if n else self.flat
+        return Ids(self.first, flat, self.bounds + np.arange(n + 1))
 
 
 def _byte_letters() -> list[str]:
@@ -52,74 +144,98 @@ def _byte_letters() -> list[str]:
 
 
 class Encoder:
-    """``ids(text)`` gives little-endian unsigned 32-bit ids, as the library of the tokenizer file gives them.
+    """Ids as the library of a tokenizer file gives them: tokenizers for .json files, sentencepiece for .model files.
 
-    Tokenizers for .json files and sentencepiece for .model files, without begin, end or added special tokens; special
-    strings in a text are handled as the library does by default, and nothing is truncated or padded.
+    No begin, end or added special tokens; special strings in a text are handled as the library does by default, and
+    nothing is truncated or padded. Chunks of up to 16 bytes are told apart by a 64-bit key, longer ones by their bytes.
     """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        self._cut = False
         if path.endswith(".model"):
             import sentencepiece
 
             pieces = sentencepiece.SentencePieceProcessor(model_file=path)
-            self.ids = lambda text: _packed(pieces.encode(text, num_threads=1))
+            self._encode: Callable[[str], list[int]] = lambda text: pieces.encode(text, num_threads=1)
             return
         from tokenizers import Tokenizer
 
-        self._library = Tokenizer.from_file(path)
-        self._library.no_truncation()
-        self._library.no_padding()
-        self._model = self._library.model
-        self._letters = {b: c for b, c in enumerate(_byte_letters())}
-        special = [t.content for t in self._library.get_added_tokens_decoder().values()]
-        self._special = re.compile("|".join(map(re.escape, special))) if special else None
-        self._words, self._bare = _Cache(lambda w: self._spaced(w)), _Cache(lambda w: self._encoded(w))
-        self.ids = self._by_words if self._splits() else self._whole
-
-    def _splits(self) -> bool:
-        import json
-
-        kind = json.loads(self._library.to_str())
+        library = Tokenizer.from_file(path)
+        library.no_truncation()
+        library.no_padding()
+        self._encode = lambda text: library.encode(text, add_special_tokens=False).ids
+        self._merge, self._letters = library.model.tokenize, dict(enumerate(_byte_letters()))
+        self._special = [t.content.encode() for t in library.get_added_tokens_decoder().values()]
+        kind = json.loads(library.to_str())
         before = kind["pre_tokenizer"] or {}
-        return kind["normalizer"] is None and kind["post_processor"] is None and kind["model"]["type"] == "BPE" and before.get("type") == "ByteLevel" and before["use_regex"] and not before["add_prefix_space"]
-
-    def _whole(self, text: str) -> bytes:
-        return _packed(self._library.encode(text, add_special_tokens=False).ids)
-
-    def _encoded(self, piece: str) -> bytes:
-        """A piece that begins at a pre-token; Latin letters after at most a space are one, which the model takes as it is."""
-        if piece and piece.lstrip(" ").isalpha() and piece.rfind(" ") <= 0 and max(piece) < "ɐ":
-            return _packed([t.id for t in self._model.tokenize(piece.encode().decode("latin-1").translate(self._letters))])
-        return self._whole(piece)
-
-    def _spaced(self, word: str) -> bytes:
-        """A word with its space; or, if it begins with a line end, as it is."""
-        if "\n" in word:
-            head, *rest = word.split("\n")
-            first = self._words[head] if head else b""
-            return first + b"".join([self._bare["\n"] + (self._bare[x] if x else b"") for x in rest])
-        core = word.rstrip(PUNCTUATION)
-        if core and core != word and core[-1].isalnum() and max(core) < "ɐ":
-            return self._words[core] + self._bare[word[len(core) :]]
-        return self._encoded(" " + word)
-
-    def _by_words(self, text: str) -> bytes:
-        if _RUN.search(text) or self._special and self._special.search(text):
-            return self._whole(text)
-        first, *words = text.split(" ")
-        if "\n" in first:  # a first line without a space
-            head, *rest = first.split("\n")
-            lead = self._bare[head] if head else b""
-            lead += b"".join([self._bare["\n"] + (self._bare[x] if x else b"") for x in rest])
-        else:
-            lead = self._bare[first] if first else b""
-        return lead + b"".join(map(self._words.__getitem__, words))
-
-
-def _packed(ids: list[int]) -> bytes:
-    return np.array(ids, "<u4").tobytes()
+        if kind["normalizer"] is None and kind["post_processor"] is None and kind["model"]["type"] == "BPE" and before.get("type") == "ByteLevel" and before["use_regex"] and not before["add_prefix_space"]:
+            self._cut, self._table, self._long = True, _Table(KEPT), {}
+
+    def _chunk(self, chunk: bytes) -> list[int]:
+        """The ids of a chunk. Latin letters, after a space or not, are one pre-token, which the model takes as it is."""
+        text = chunk.decode()
+        word = text[1:] if text[:1] == " " else text
+        if not _LATIN(word):
+            return self._encode(text)
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(self._letters)
+        return [t.id for t in self._merge(self._letters[32] + word if text[0] == " " else word)]
+
+    def ids(self, text: str) -> list[int]:
+        return next(self.batch(pa.array([text], pa.string()))).flat.tolist()
+
+    def batch(self, column: pa.Array) -> Iterator[Ids]:
+        """The ids of all texts of a column, in blocks of whole texts; null counts as empty."""
+        data, offsets = utf8(column)
+        at, n = 0, len(offsets) - 1
+        while at < n:
+            to = min(n, max(at + 1, int(np.searchsorted(offsets, offsets[at] + BLOCK, "right")) - 1))
+            block, bounds = data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
+            if self._cut:
+                yield self._by_chunks(at, block, bounds)
+            else:
+                texts = [self._encode(block[a:b].tobytes().decode()) for a, b in zip(bounds.tolist(), bounds[1:].tolist(), strict=False)]
+                yield Ids(at, np.array([t for x in texts for t in x], np.uint32), np.cumsum([0, *map(len, texts)]))
+            at = to
+
+    def _by_chunks(self, first: int, data: np.ndarray, bounds: np.ndarray) -> Ids:
+        if not len(data):
+            return Ids(first, np.zeros(0, np.uint32), np.zeros(len(bounds), np.int64))
+        if self._table.held > self._table.room - len(data) // 8:
+            self._table.empty()
+            self._long.clear()
+        place = _cuts(data, bounds, self._special)
+        starts, ends = place[:-1], place[1:]
+        sizes = ends - starts
+        keys = mixed_keys(data, starts, ends)
+        keys[keys == 0] = 1
+        short = sizes <= 16
+        slots = self._table.find(keys)
+        slots[~short] = -1
+        missing = np.flatnonzero(short & (slots < 0))
+        if len(missing):
+            new, one = np.unique(keys[missing], return_index=True)
+            one = missing[one]
+            text = data.tobytes()
+            self._table.store(new, self._table.add([self._chunk(text[a:b]) for a, b in zip(starts[one].tolist(), ends[one].tolist(), strict=True)]))
+            slots[missing] = self._table.find(keys[missing])
+        where = self._table.slots[np.maximum(slots, 0)].astype(np.int64)
+        for k in np.flatnonzero(~short).tolist():
+            chunk = data[starts[k] : ends[k]].tobytes()
+            if (held := self._long.get(chunk)) is None:
+                held = self._table.add([self._chunk(chunk)])[0]
+                if len(chunk) <= 64 and len(self._long) < KEPT // 8:
+                    self._long[chunk] = held
+            where[k] = held
+        after = np.cumsum(where[:, 1])
+        total = int(after[-1])
+        flat = self._table.pool[np.repeat(where[:, 0] - after + where[:, 1], where[:, 1]) + np.arange(total)]
+        before = np.concatenate([[0], after])
+        if self._table.used > 8 * KEPT:  # long chunks that aren't kept fill the pool too
+            self._table.empty()
+            self._long.clear()
+        return Ids(first, flat, before[np.searchsorted(starts, bounds)])
 
 
 _encoders: dict[str, Encoder] = {}

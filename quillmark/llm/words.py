@@ -27,6 +27,22 @@ _C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np
 _MASKS = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [2**64 - 1], np.uint64)
 
 
+def mixed_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Keys of the stretches ``starts .. ends`` of bytes; see ``Scan.keys``."""
+    padded = np.zeros(len(data) + 16, np.uint8)
+    padded[8:-8] = data
+    eight = np.lib.stride_tricks.as_strided(padded, (len(padded) - 7, 8), (1, 1))
+    sizes = ends - starts
+    head = np.ascontiguousarray(eight[starts + 8]).view("<u8").ravel() & _MASKS[np.minimum(sizes, 8)]
+    short = np.uint64(8) * (8 - np.minimum(sizes, 8)).astype(np.uint64)
+    tail = np.ascontiguousarray(eight[ends]).view("<u8").ravel()
+    tail = np.where(sizes == 0, np.uint64(0), tail >> np.minimum(short, np.uint64(63)))
+    key = head * _C1 + (tail ^ (tail >> np.uint64(29))) * _C2 + sizes.astype(np.uint64) * _C3
+    key ^= key >> np.uint64(32)
+    key *= _C1
+    return key ^ (key >> np.uint64(29))
+
+
 @dataclass
 class Scan:
     """Words of the texts ``first .. first + len(counts)`` of a batch."""
@@ -47,17 +63,7 @@ class Scan:
         Words of up to 16 bytes get the same key only by a chance of 2**-64; longer ones also when they differ in the
         middle alone. Who needs certainty compares ``word`` afterwards.
         """
-        padded = np.zeros(len(self.data) + 16, np.uint8)
-        padded[8:-8] = self.data
-        eight = np.lib.stride_tricks.as_strided(padded, (len(padded) - 7, 8), (1, 1))
-        sizes = self.ends - self.starts
-        head = np.ascontiguousarray(eight[self.starts + 8]).view("<u8").ravel() & _MASKS[np.minimum(sizes, 8)]
-        short = np.uint64(8) * (8 - np.minimum(sizes, 8)).astype(np.uint64)
-        tail = np.ascontiguousarray(eight[self.ends]).view("<u8").ravel() >> short
-        key = head * _C1 + (tail ^ (tail >> np.uint64(29))) * _C2 + sizes.astype(np.uint64) * _C3
-        key ^= key >> np.uint64(32)
-        key *= _C1
-        return key ^ (key >> np.uint64(29))
+        return mixed_keys(self.data, self.starts, self.ends)
 
     def word(self, k: int) -> bytes:
         return self.data[self.starts[k] : self.ends[k]].tobytes()

@@ -21,14 +21,14 @@ def ids(text):
 @settings(max_examples=1500, deadline=None)
 @given(st.lists(st.sampled_from(list("abzÉéßñ中ǅʰ²½٣0'.,!*%\t\r \x85\x1c") + ["'s", "'re", "<|endoftext|>", "the", "\n", " ", "  ", " the", "😀"]), max_size=30).map("".join))
 def test_ids_equal_the_library(text):
-    assert np.frombuffer(tokens.encoder(JSON).ids(text), "<u4").tolist() == ids(text)
+    assert tokens.encoder(JSON).ids(text) == ids(text)
 
 def test_generations(monkeypatch):
-    monkeypatch.setattr(tokens, "KEPT", 5)
+    monkeypatch.setattr(tokens, "KEPT", 64)
     encoder, rng = tokens.Encoder(JSON), random.Random(3)
     for _ in range(200):
         text = " ".join(rng.choice(["one", "two,", "three.\nfour", "é", "x" * 80, "a-b"]) + str(rng.randrange(9)) for _ in range(20))
-        assert np.frombuffer(encoder.ids(text), "<u4").tolist() == ids(text)
+        assert encoder.ids(text) == ids(text)
 
 def test_other_tokenizers():
     import sentencepiece
@@ -37,8 +37,8 @@ def test_other_tokenizers():
     pieces = sentencepiece.SentencePieceProcessor(model_file=model)
     lower = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     for text in ("", "Two  Words.\nÜber", " <s> x"):
-        assert np.frombuffer(tokens.encoder(model).ids(text), "<u4").tolist() == pieces.encode(text)
-        assert np.frombuffer(tokens.encoder(public_tokenizers.path("word_bpe_49k.json")).ids(text), "<u4").tolist() == lower.encode(text, add_special_tokens=False).ids
+        assert tokens.encoder(model).ids(text) == pieces.encode(text)
+        assert tokens.encoder(public_tokenizers.path("word_bpe_49k.json")).ids(text) == lower.encode(text, add_special_tokens=False).ids
 
 TEXTS = [None, "", "a", "copy", "copy", "long " * 30000, "é ü <|endoftext|>", "word " * 511 + "x"]
 
