@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontamination import contaminated
+from .languages import fit, held_out, identify
 from .licenses import scan_licenses
 from .near_dups import components, fingerprints
 from .packing import pack_pieces, pieces
@@ -32,6 +33,12 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(_read(spark, sf_dir, "documents"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fitted on the rows that aren't held out; which those are is told from the id, after the prediction."""
+    docs = _read(spark, sf_dir, "documents")
+    return identify(docs, fit(docs.where(~held_out()))).withColumn("held_out", held_out())
+
+
 def op3_simhash_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = components(fingerprints(_read(spark, sf_dir, "documents")))
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
@@ -63,6 +70,7 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_license_scan": op1_license_scan,
+        "op2_language_id": op2_language_id,
         "op3_simhash_near_dups": op3_simhash_near_dups,
         "op4_private_data": op4_private_data,
         "op5_token_counts": op5_token_counts,
