@@ -42,8 +42,9 @@ def test_long_text_in_pieces(net):
     assert one[0] == many[0] and np.allclose(one[1], many[1])
 
 
-def test_edges(spark, net):
-    rows = [(0, None, "en", "", 1), (1, "", "en", "", 1), (2, "12 %%% 3.", None, "", 1), (None, "the thing", "en", "", 1), (4, "the thing", "en", "", 1), (4, "the thing", "en", "", 1), (5, "und das " * 90000, "de", "", 1)]
+def test_edges(spark, docs, net):
+    german = docs.where("lang = 'de' and length(text) > 2000").sort("doc_id").first().text
+    rows = [(0, None, "en", "", 1), (1, "", "en", "", 1), (2, "12 %%% 3.", None, "", 1), (None, "the thing", "en", "", 1), (4, "the thing", "en", "", 1), (4, "the thing", "en", "", 1), (5, german * 100, "de", "", 1)]
     table = spark.createDataFrame(rows, SCHEMA)
     got = L.identify(table, net).collect()
     assert [r.lang_pred for r in got][:3] == ["und"] * 3 and [r.score for r in got][:3] == [0] * 3
