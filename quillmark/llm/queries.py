@@ -16,6 +16,7 @@ from .privacy import find_private
 from .storage import new_path
 from .token_counts import count_tokens
 from .token_files import file_digests, write_token_files
+from .vector_search import nearest
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -67,6 +68,11 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op10_multiprobe_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _read(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_license_scan": op1_license_scan,
@@ -77,6 +83,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_best_fit_packing": op7_best_fit_packing,
         "op8_token_files": op8_token_files,
         "op9_benchmark_decontamination": op9_benchmark_decontamination,
+        "op10_multiprobe_search": op10_multiprobe_search,
     }
 
 
