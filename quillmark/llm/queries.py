@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .archives import audit, write_archive
 from .decontamination import contaminated
 from .languages import fit, held_out, identify
 from .licenses import scan_licenses
@@ -54,6 +55,31 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_read(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op6_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives the pages and audits the files against the table."""
+    pages, path = _read(spark, sf_dir, "pages"), new_path(spark, "warc")
+    write_archive(pages, path)
+    return audit(pages, path)
+
+
+_OP6_LEVELS = "".join(
+    f", level{k} AS (SELECT node // 16 AS node, sha256(string_agg(digest, '' ORDER BY node)) AS digest FROM level{k - 1} GROUP BY 1)" for k in range(1, 9)
+)
+_OP6_SQL = f"""
+WITH bodies AS (SELECT page_id, coalesce(html, '') AS body, regexp_replace(coalesce(url, ''), '[\\x00-\\x1F]', '%20', 'g') AS url FROM pages),
+records AS (
+    SELECT page_id, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || coalesce(CAST(page_id AS VARCHAR), '') || '>'
+        || chr(13) || chr(10) || 'WARC-Target-URI: ' || url || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10)
+        || 'Content-Length: ' || CAST(strlen(body) AS VARCHAR) || chr(13) || chr(10) || chr(13) || chr(10) || body AS record FROM bodies),
+digests AS (SELECT page_id, CAST(strlen(record) AS BIGINT) AS length, sha256(record) AS digest FROM records),
+leaves AS (
+    SELECT page_id, row_number() OVER o - 1 AS rank, CAST(sum(length + 4) OVER o - length - 4 AS BIGINT) AS "offset", length, digest
+    FROM digests WINDOW o AS (ORDER BY page_id NULLS FIRST, digest ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+level0 AS (SELECT rank AS node, digest FROM leaves){_OP6_LEVELS}
+SELECT page_id, rank, "offset", length, digest, 'intact' AS state, (SELECT digest FROM level8) AS root FROM leaves
+"""
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_pieces(pieces(_read(spark, sf_dir, "documents"), tokenizer_path()))
 
@@ -80,6 +106,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_simhash_near_dups": op3_simhash_near_dups,
         "op4_private_data": op4_private_data,
         "op5_token_counts": op5_token_counts,
+        "op6_merkle_audit": op6_merkle_audit,
         "op7_best_fit_packing": op7_best_fit_packing,
         "op8_token_files": op8_token_files,
         "op9_benchmark_decontamination": op9_benchmark_decontamination,
@@ -88,4 +115,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_merkle_audit": _OP6_SQL}
