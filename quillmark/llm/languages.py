@@ -63,7 +63,7 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return x / x.sum(1, keepdims=True)
 
 
-def train(windows: np.ndarray, labels: np.ndarray, languages: list[str], epochs: int = 5, batch: int = 64, rate: float = 4e-3, seed: int = 7) -> Network:
+def train(windows: np.ndarray, labels: np.ndarray, languages: list[str], steps: int = 1800, batch: int = 64, rate: float = 4e-3, seed: int = 7) -> Network:
     """Adam on the cross entropy; gradients reach only the window places that won the pooling."""
     rng = np.random.default_rng(seed)
     net = Network(
@@ -72,7 +72,7 @@ def train(windows: np.ndarray, labels: np.ndarray, languages: list[str], epochs:
     )
     values = [net.embedding, *net.filters, net.bias, net.weights, net.offset]
     moments, squares, step = [np.zeros_like(v) for v in values], [np.zeros_like(v) for v in values], 0
-    for _ in range(epochs):
+    while step < steps:
         order = rng.permutation(len(windows))
         for k in range(0, len(order), batch):
             x, y = windows[order[k : k + batch]], labels[order[k : k + batch]]

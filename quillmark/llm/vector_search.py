@@ -36,6 +36,9 @@ class Plan:
 #: A table's cells are dealt into so many groups.
 GROUPS = 4
 
+#: Queries, and vectors, that are compared at a time.
+STEP = 256
+
 
 class Hashes:
     def __init__(self, plan: Plan, dimension: int):
@@ -60,6 +63,9 @@ class Hashes:
 
     def visits(self, places: np.ndarray) -> np.ndarray:
         """For each query the names of the cells to visit, by estimated success."""
+        return np.concatenate([self._visits(places[k : k + STEP]) for k in range(0, len(places), STEP)] or [np.zeros((0, 1), np.int64)])
+
+    def _visits(self, places: np.ndarray) -> np.ndarray:
         own = np.floor(places).astype(np.int64)
         down = (places - own) ** 2
         cost = np.concatenate([down, (1 - (places - own)) ** 2], 1) @ self.costs.T
@@ -92,9 +98,12 @@ class _Best:
         self.waiting = 0
 
     def offer(self, q: np.ndarray, vectors: np.ndarray, ids: np.ndarray) -> None:
-        """All of ``vectors`` to the queries numbered ``q``."""
+        """All of ``vectors`` to the queries numbered ``q``; what k others of them surely surpass isn't kept."""
         scores = self.queries[q] @ vectors.T
-        a, b = np.nonzero((scores >= self.floor[q][:, None] - 1e-9) & (ids[None] != self.ids[q][:, None]))
+        floor, more = self.floor[q], self.k + 1  # one more, for the query itself may be among them
+        if len(ids) > more:
+            floor = np.maximum(floor, np.partition(scores, len(ids) - more, axis=1)[:, len(ids) - more])
+        a, b = np.nonzero((scores >= floor[:, None] - 1e-9) & (ids[None] != self.ids[q][:, None]))
         exact = (self.queries[q[a]] * vectors[b]).sum(1)
         self.rows.append((q[a], ids[b], exact))
         self.waiting += len(a)
@@ -191,8 +200,8 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, plan: Plan | None
         visited, who = visited[order], who[order]
         for a, b in itertools.pairwise([*np.flatnonzero(np.diff(visited, prepend=visited[:1] - 1)).tolist(), len(visited)]):
             lo, hi = np.searchsorted(cells, visited[a], "left"), np.searchsorted(cells, visited[a], "right")
-            for s in range(lo, hi, 1024):
-                best.offer(who[a:b], vectors[s : min(hi, s + 1024)], ids[s : min(hi, s + 1024)])
+            for s, t in itertools.product(range(lo, hi, STEP), range(a, b, STEP)):
+                best.offer(who[t : min(b, t + STEP)], vectors[s : min(hi, s + STEP)], ids[s : min(hi, s + STEP)])
         q, found, scores = best.settle()
         yield pa.RecordBatch.from_arrays([pa.array(query_ids[q]), pa.array(found), pa.array(scores)], names=["query_id", "vec_id", "score"])
 
