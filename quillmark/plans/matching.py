@@ -318,7 +318,7 @@ QUERIES = {
     "bm25_words": Query(bm25_words, _BM25_WORDS),
     "bm25_trigrams": Query(bm25_trigrams, _BM25_GRAMS),
     "rrf_fused": Query(rrf_fused, _RRF),
-    "fuzzy_windows": Query(fuzzy_windows, f"{_WINDOWS} SELECT q, id AS item_id, w, "at", round(score, 6) AS score FROM windows"),
+    "fuzzy_windows": Query(fuzzy_windows, f'{_WINDOWS} SELECT q, id AS item_id, w, "at", round(score, 6) AS score FROM windows'),
     "fuzzy_best": Query(fuzzy_best, _BEST),
     "candidates_topk": Query(candidates_topk, f"{_CANDIDATES} SELECT q, id AS item_id, score, rank FROM ({_top_sql('merged', 5)})"),
     "rule_pick": Query(rule_pick, f"{_CANDIDATES}, top AS ({_top_sql('merged', 5)}), best AS (SELECT q, max(id) FILTER (rank = 1) AS id, max(score) AS top, coalesce(max(score) FILTER (rank = 2), 0) AS second FROM top GROUP BY q) SELECT q, CASE WHEN top >= 0.9 AND top - second >= 0.3 THEN id END AS picked, top, second FROM best"),
