@@ -1,6 +1,6 @@
 """Whole queries over a folder of tables, with SQL for the same result."""
 
-from . import matching
+from . import matching, verdicts
 from .common import Query
 
-QUERIES: dict[str, Query] = {**matching.QUERIES}
+QUERIES: dict[str, Query] = {**matching.QUERIES, **verdicts.QUERIES}
