@@ -9,10 +9,12 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import orthography as O
 
-_OPS = "array<struct<op:string,q_start:int,q_end:int,s_start:int,s_end:int>>"
+_OPS = T.ArrayType(T.StructType([T.StructField("op", T.StringType()), *(T.StructField(n, T.IntegerType()) for n in ("q_start", "q_end", "s_start", "s_end"))]))
+_RANGES = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 
 
 def _opcodes(a: list, b: list) -> list[tuple]:
@@ -41,7 +43,7 @@ def diff_kinds(ops: Column) -> Column:
     return F.array_sort(F.array_distinct(F.array_compact(named)))
 
 
-@F.pandas_udf("struct<quote:array<struct<start:int,end:int>>,source:array<struct<start:int,end:int>>>")
+@F.pandas_udf(T.StructType([T.StructField("quote", _RANGES), T.StructField("source", _RANGES)]))
 def _letters(quote: pd.Series, source: pd.Series) -> pd.DataFrame:
     out = {"quote": [], "source": []}
     for q, s in zip(quote, source, strict=True):
@@ -64,13 +66,13 @@ def letter_diff(quote: Column, source: Column) -> Column:
     return _letters(letters(quote), letters(source))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def receipt_token(payload: pd.Series) -> pd.Series:
     """A URL-safe token of a compressed text."""
     return payload.map(lambda p: None if p is None else base64.urlsafe_b64encode(zlib.compress(p.encode(), 9)).decode())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def receipt_payload(token: pd.Series) -> pd.Series:
     """The text of a token, up to a million bytes; null if it isn't one."""
 

@@ -120,11 +120,13 @@ def displayed(plain: DataFrame, display: DataFrame) -> DataFrame:
 
 def body_start(tokens: Column, markers: list[list[str]], least: int = 3) -> Column:
     """The token after the last marker phrase that has ``least`` tokens after it; 0 without one."""
-    ends = []
-    for m in markers:
-        n = len(m)
-        at = F.filter(F.sequence(F.lit(0), F.greatest(F.size(tokens) - n, F.lit(0))), lambda k, n=n, m=m: (F.slice(tokens, k + 1, n) == F.array(*map(F.lit, m))) & (F.size(tokens) - (k + n) >= least))
-        ends.append(F.coalesce(F.array_max(at) + n, F.lit(0)))
+    def after_last(marker: list[str]) -> Column:
+        n, words = len(marker), F.array(*map(F.lit, marker))
+        starts = F.sequence(F.lit(0), F.greatest(F.size(tokens) - n, F.lit(0)))
+        fits = F.filter(starts, lambda k: (F.slice(tokens, k + 1, n) == words) & (F.size(tokens) - (k + n) >= least))
+        return F.coalesce(F.array_max(fits) + n, F.lit(0))
+
+    ends = [after_last(m) for m in markers]
     return F.greatest(*ends) if len(ends) > 1 else ends[0]
 
 
