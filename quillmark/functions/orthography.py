@@ -107,7 +107,13 @@ def tokens(text: Column, arabic: bool = True) -> Column:
 
 
 def loose_tokens(text: Column, arabic: bool = True) -> Column:
-    return F.transform(surfaces(text), loose_form) if arabic else F.transform(surfaces(text, LATIN_TOKEN), latin_loose)
+    """The loose forms of a text's tokens. A Latin text is folded as a whole first, for folding keeps token boundaries.
+
+    The one exception is the dotted capital I, whose small letter has a combining mark: such texts fold token by token.
+    """
+    if arabic:
+        return F.transform(surfaces(text), loose_form)
+    return F.when(text.contains("\u0130"), F.transform(surfaces(text, LATIN_TOKEN), latin_loose)).otherwise(surfaces(latin_loose(text), LATIN_TOKEN))
 
 
 def strict_tokens(text: Column, arabic: bool = True) -> Column:

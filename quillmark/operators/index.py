@@ -13,11 +13,33 @@ WORD_CUTOFF, GRAM_CUTOFF = 0.20, 0.30
 
 
 def streams(rows: DataFrame, id_col: str, text_col: str = "text", arabic: bool = False) -> DataFrame:
-    """(id, loose, strict) token arrays of each row; null texts have none. Tokens are found once and folded from their surfaces."""
-    pattern = O.ARABIC_TOKEN if arabic else O.LATIN_TOKEN
-    words = rows.select(F.col(id_col).alias("id"), O.surfaces(F.col(text_col), pattern).alias("w"))
-    loose, strict = (O.loose_form, O.strict_form) if arabic else (O.latin_loose, lambda w: w)
-    return words.select("id", F.transform("w", loose).alias("loose"), F.transform("w", strict).alias("strict") if arabic else F.col("w").alias("strict"))
+    """(id, loose, strict, text): token arrays of each row, and its text; null texts have no tokens.
+
+    Who joins only few rows takes the text along and finds the tokens afterwards, see ``tokens_of``.
+    """
+    text = F.col(text_col)
+    return rows.select(F.col(id_col).alias("id"), O.loose_tokens(text, arabic).alias("loose"), O.strict_tokens(text, arabic).alias("strict"), text.alias("text"))
+
+
+#: Rows up to which a side of a join is sent to every executor: some tens of megabytes of hashes and places.
+BROADCAST_ROWS = 500_000
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """Marked for broadcast if it is counted to have at most BROADCAST_ROWS rows; otherwise left to an ordinary join."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
+def texts_of(stream: DataFrame) -> DataFrame:
+    """A stream without its tokens, where it has the texts to find them again."""
+    return stream.select("id", "text") if "text" in stream.columns else stream.select("id", "loose", "strict")
+
+
+def tokens_of(rows: DataFrame, arabic: bool = False) -> DataFrame:
+    """The tokens of joined texts; they are found after the join, in the rows that it left."""
+    if "text" not in rows.columns:
+        return rows
+    return rows.withColumns({"loose": O.loose_tokens(F.col("text"), arabic), "strict": O.strict_tokens(F.col("text"), arabic)}).drop("text")
 
 
 def postings(stream: DataFrame, offset: Column | None = None) -> DataFrame:
@@ -56,7 +78,8 @@ def bm25(queries: DataFrame, terms: DataFrame, cutoff: float | None = WORD_CUTOF
     """
     tf, stats, lengths = term_tables(terms, cutoff)
     average = lengths.agg(F.avg("len").alias("avg_len"))
-    asked = queries.select("q", F.explode(F.array_distinct("terms")).alias("term")).join(stats.where("idf > 0"), "term")
+    wanted = queries.select("q", F.explode(F.array_distinct("terms")).alias("term"))
+    asked = wanted.join(stats.where("idf > 0"), "term")
     normed = lengths.crossJoin(F.broadcast(average)).select("id", (K1 * (1 - B + B * F.col("len") / F.col("avg_len"))).alias("norm"))
     hits = asked.join(tf, "term").join(normed, "id")
     scores = hits.groupBy("q", "id").agg(F.sum(F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + F.col("norm"))).alias("score"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import orthography as O
+from .index import bounded, texts_of, tokens_of
 
 
 def phrase_hits(quotes: DataFrame, stream: DataFrame) -> DataFrame:
@@ -14,14 +15,16 @@ def phrase_hits(quotes: DataFrame, stream: DataFrame) -> DataFrame:
     ``quotes``: (q, loose, strict); ``stream``: (id, loose, strict). Quotes meet the postings on their rarest token
     alone; the rest is compared in place. A quote with a token that occurs nowhere is gone before the join.
     """
-    places = stream.select("id", F.posexplode("loose").alias("pos", "token"))
+    asked = quotes.select("q", F.posexplode("loose").alias("k", "token"))
+    places = stream.select("id", F.posexplode("loose").alias("pos", "token")).join(bounded(asked.select("token").distinct()), "token")
     frequency = places.groupBy("token").agg(F.count("*").alias("df"))
-    asked = quotes.select("q", F.posexplode("loose").alias("k", "token")).join(frequency, "token", "left")
-    pivot = asked.groupBy("q").agg(F.min(F.struct("df", "k", "token")).alias("p"), F.bool_or(F.col("df").isNull()).alias("unknown")).where("not unknown")
+    known = asked.join(frequency, "token", "left")
+    pivot = known.groupBy("q").agg(F.min(F.struct("df", "k", "token")).alias("p"), F.bool_or(F.col("df").isNull()).alias("unknown")).where("not unknown")
     wanted = quotes.join(pivot.select("q", "p.k", "p.token"), "q").select("q", F.col("loose").alias("ql"), F.col("strict").alias("qs"), "k", "token")
     found = wanted.join(places, "token").withColumn("start", F.col("pos") - F.col("k")).where("start >= 0")
     window = lambda c: F.slice(F.col(c), F.col("start") + 1, F.size("ql"))
-    return found.join(stream, "id").where(window("loose") == F.col("ql")).select("q", "id", "start", (window("strict") == F.col("qs")).alias("strict_ok"))
+    hits = tokens_of(found.join(texts_of(stream), "id"))
+    return hits.where(window("loose") == F.col("ql")).select("q", "id", "start", (window("strict") == F.col("qs")).alias("strict_ok"))
 
 
 def dedupe_hits(hits: DataFrame) -> DataFrame:
@@ -50,32 +53,42 @@ def mixed_hits(windows: DataFrame) -> DataFrame:
 
 
 def seeds(texts: DataFrame, stream: DataFrame, size: int = 4, most: int = 4000) -> DataFrame:
-    """(text, id, i, j): a text's runs of ``size`` tokens and their places in the corpus.
+    """(text, id, i, j, strict_ok): a text's runs of ``size`` tokens and their places in the corpus; strict where the strict forms agree.
 
-    Runs that occur at more than ``most`` places are no evidence and make no seed. Runs meet by their hash and are then
-    compared.
+    Runs that occur at more than ``most`` places are no evidence and make no seed. Runs meet by 128 bits of hashes, so
+    that no string is made for a place.
     """
-    grams = lambda df, name, pos: df.select(F.col("id").alias(name), F.posexplode(O.shingles(F.col("loose"), size)).alias(pos, "gram")).withColumn("h", F.xxhash64("gram"))
-    corpus = grams(stream, "id", "j")
-    rare = corpus.groupBy("h", "gram").agg(F.count("*").alias("n")).where(F.col("n") <= most).drop("n")
-    return grams(texts, "text", "i").join(corpus.join(rare, ["h", "gram"]), ["h", "gram"]).select("text", "id", "i", "j")
+    grams = lambda df, name, pos, z: df.select(F.col("id").alias(name), F.posexplode(_hashed(F.col("loose"), F.col("strict"), size)).alias(pos, "h")).select(name, pos, "h.x", "h.y", F.col("h.z").alias(z))
+    corpus = grams(stream, "id", "j", "zs")
+    common = corpus.groupBy("x", "y").agg(F.count("*").alias("n")).where(F.col("n") > most).drop("n")
+    met = grams(texts, "text", "i", "zt").join(bounded(corpus.join(common, ["x", "y"], "left_anti")), ["x", "y"])
+    return met.select("text", "id", "i", "j", (F.col("zt") == F.col("zs")).alias("strict_ok"))
+
+
+def _hashed(loose: Column, strict: Column, size: int) -> Column:
+    """array<struct<x, y, z>>: two hashes of each run of ``size`` loose tokens, and one of the strict ones."""
+
+    def three(i: Column) -> Column:
+        run = [F.get(loose, i + k) for k in range(size)]
+        return F.struct(F.xxhash64(*run).alias("x"), F.xxhash64(F.lit(size), *run).alias("y"), F.xxhash64(*(F.get(strict, i + k) for k in range(size))).alias("z"))
+
+    return F.when(F.size(loose) >= size, F.transform(F.sequence(F.lit(0), F.greatest(F.size(loose) - size, F.lit(0))), three)).otherwise(F.array().cast("array<struct<x:bigint,y:bigint,z:bigint>>"))
 
 
 def runs(seeds_: DataFrame, size: int = 4) -> DataFrame:
-    """(text, id, i, j, n): the longest runs that seeds make, neighbour by neighbour on a diagonal."""
+    """(text, id, i, j, n, strict_ok): the longest runs that seeds make, neighbour by neighbour on a diagonal."""
     diagonal = Window.partitionBy("text", "id", F.col("i") - F.col("j")).orderBy("i")
     islands = seeds_.withColumn("island", F.col("i") - F.row_number().over(diagonal))
-    grouped = islands.groupBy("text", "id", (F.col("i") - F.col("j")).alias("d"), "island").agg(F.min("i").alias("i"), F.min("j").alias("j"), (F.count("*") + size - 1).cast("int").alias("n"))
-    return grouped.select("text", "id", "i", "j", "n")
+    grouped = islands.groupBy("text", "id", (F.col("i") - F.col("j")).alias("d"), "island").agg(F.min("i").alias("i"), F.min("j").alias("j"), (F.count("*") + size - 1).cast("int").alias("n"), F.bool_and("strict_ok").alias("strict_ok"))
+    return grouped.select("text", "id", "i", "j", "n", "strict_ok")
 
 
 def quotations(texts: DataFrame, stream: DataFrame, size: int = 4, least: int = 6) -> DataFrame:
-    """(text, id, i, n, strict_ok): runs of at least ``least`` tokens; strict where case and accents agree too."""
-    found = runs(seeds(texts, stream, size), size).where(F.col("n") >= least)
-    own = texts.select(F.col("id").alias("text"), F.col("strict").alias("ts"))
-    joined = found.join(own, "text").join(stream.select("id", "strict"), "id")
-    same = F.slice("ts", F.col("i") + 1, F.col("n")) == F.slice("strict", F.col("j") + 1, F.col("n"))
-    return joined.select("text", "id", "i", "j", "n", same.alias("strict_ok"))
+    """(text, id, i, j, n, strict_ok): runs of at least ``least`` tokens; strict where case and accents agree too.
+
+    Texts are read once: what the strict test needs travels with the seeds.
+    """
+    return runs(seeds(texts, stream, size), size).where(F.col("n") >= least)
 
 
 def accepted(runs_: DataFrame, texts: DataFrame, stream: DataFrame, stop: list[str], chain: list[str], need: int = 6, content: int = 3, rare: int = 3, most: int = 60) -> DataFrame:
@@ -86,7 +99,8 @@ def accepted(runs_: DataFrame, texts: DataFrame, stream: DataFrame, stop: list[s
     words = F.slice("tl", F.col("i") + 1, F.col("n"))
     size = F.size(F.filter(words, lambda w: ~w.isin(stop)))
     chained = F.size(F.filter(words, lambda w: w.isin(chain))) * 2 >= F.col("n")
-    rows = runs_.join(texts.select(F.col("id").alias("text"), F.col("loose").alias("tl")), "text").join(stream.select("id", F.size("loose").alias("whole")), "id")
+    some = tokens_of(runs_.select(F.col("text").alias("id")).distinct().join(texts_of(texts), "id"))
+    rows = runs_.join(some.select(F.col("id").alias("text"), F.col("loose").alias("tl")), "text").join(stream.select("id", F.size("loose").alias("whole")), "id")
     rows = rows.withColumn("n_content", size).withColumn("chained", chained).withColumn("n_places", F.count("*").over(Window.partitionBy("text", "i", "n")))
     why = (
         F.when((F.col("n") >= need) & (F.col("n_content") >= content), "long")

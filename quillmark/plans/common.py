@@ -23,8 +23,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deals rows out where the files give fewer tasks than there are cores, as a single row group does; large inputs stay as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    tasks = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df.repartition(cores) if tasks < cores else df
+
+
 def documents(spark: SparkSession, folder: str) -> DataFrame:
-    return streams(table(spark, folder, "documents"), "doc_id")
+    return streams(spread(table(spark, folder, "documents").select("doc_id", "text")), "doc_id")
 
 
 def items(spark: SparkSession, folder: str) -> DataFrame:

@@ -12,11 +12,11 @@ from ..functions import orthography as O
 from ..operators import diffs as X
 from ..operators import extraction as E
 from ..sources import corpus as S
-from .common import ITEMS, Query, table
+from .common import ITEMS, Query, spread, table
 
 
 def _texts(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("id"), "text")
+    return spread(table(spark, d, "documents").select("doc_id", "text")).where("text is not null").select(F.col("doc_id").alias("id"), "text")
 
 
 def _placed_sql(name: str, source: str, pattern: str) -> str:

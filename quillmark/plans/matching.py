@@ -9,7 +9,7 @@ from ..functions import english as E
 from ..functions import orthography as O
 from ..operators import index as I
 from ..operators import matching as M
-from .common import DOCS, ITEMS, Query, documents, fold_sql, grams_sql, items, table
+from .common import DOCS, ITEMS, Query, documents, fold_sql, grams_sql, items, spread, table
 
 #: Stop words and chain words of the driver's languages, for the acceptance rules.
 STOP = ["the", "of", "and", "to", "in", "a", "is", "that", "it", "was", "on", "for", "as", "with", "by", "this", "or", "an", "re", "at"]
@@ -54,7 +54,7 @@ def tok_bigrams(spark: SparkSession, d: str) -> DataFrame:
 
 
 def en_normalize(spark: SparkSession, d: str) -> DataFrame:
-    terms = table(spark, d, "documents").select("doc_id", E.english_tokens(F.col("text")).alias("t"))
+    terms = spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", E.english_tokens(F.col("text")).alias("t"))
     return terms.select("doc_id", F.size("t").cast("long").alias("n"), F.md5(F.array_join("t", " ")).alias("digest"))
 
 
@@ -240,7 +240,7 @@ def _pairs(spark: SparkSession, d: str) -> DataFrame:
     """Quotes are items without every fifth word; they meet the items with which they share a run of three tokens."""
     bench = items(spark, d)
     cut = F.filter("loose", lambda t, i: i % 5 != 4)
-    quotes = bench.select("id", F.slice(cut, 3, 20).alias("loose"), "strict")
+    quotes = bench.select("id", F.slice(cut, 3, 20).alias("loose")).withColumn("strict", F.col("loose"))
     met = M.seeds(quotes, bench, size=3).select(F.col("text").alias("q"), "id").distinct()
     return met.join(quotes.select(F.col("id").alias("q"), F.col("loose").alias("ql")), "q").join(bench.select("id", "loose"), "id").select("q", "ql", "id", "loose")
 
@@ -275,7 +275,7 @@ SELECT q, id AS item_id, w, "at", round_even(score, 4) AS score FROM (SELECT *,
 
 def candidates_topk(spark: SparkSession, d: str) -> DataFrame:
     """The five items nearest to each document by words and word pairs, each channel relative to its idf mass."""
-    docs = table(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("q"), E.english_tokens(F.col("text")).alias("t"))
+    docs = spread(table(spark, d, "documents").select("doc_id", "text")).where("text is not null").select(F.col("doc_id").alias("q"), E.english_tokens(F.col("text")).alias("t"))
     bench = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), E.english_tokens(F.col("text")).alias("t"))
     one = I.bm25(docs.select("q", F.col("t").alias("terms")), bench.select("id", F.col("t").alias("terms")), None, True)
     two = I.bm25(docs.select("q", E.bigrams(F.col("t")).alias("terms")), bench.select("id", E.bigrams(F.col("t")).alias("terms")), None, True)

@@ -168,9 +168,9 @@ SELECT q, count(*) AS spellings, CAST(sum(n) AS BIGINT) AS places, min(spelling)
 
 def _found(spark: SparkSession, d: str) -> DataFrame:
     """Matches of documents in items; every fourth one is tampered with."""
-    docs = table(spark, d, "documents")
     q = M.quotations(documents(spark, d), items(spark, d)).where("strict_ok").select((F.col("text") * 1000 + F.col("id")).alias("q"), F.col("id").alias("rec"), F.col("text").alias("doc_id"), "i", "n")
-    quoted = q.join(documents(spark, d).select(F.col("id").alias("doc_id"), "strict"), "doc_id").select("q", "rec", F.array_join(F.slice("strict", F.col("i") + 1, F.col("n")), " ").alias("quoted"))
+    texts = table(spark, d, "documents").select("doc_id", "text")
+    quoted = q.join(texts, "doc_id").withColumn("strict", O.strict_tokens(F.col("text"), False)).select("q", "rec", F.array_join(F.slice("strict", F.col("i") + 1, F.col("n")), " ").alias("quoted"))
     return quoted.groupBy("q", "rec").agg(F.min("quoted").alias("quoted")).withColumn("quoted", F.when(F.col("q") % 4 == 0, F.concat("quoted", F.lit(" forged"))).otherwise(F.col("quoted")))
 
 
