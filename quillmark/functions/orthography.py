@@ -54,7 +54,7 @@ LATIN_TOKEN = r"[\p{L}\p{N}]+"
 
 def plain_letters(text: Column) -> Column:
     """Presentation forms and Persian letters become Arabic ones, one character or more for each."""
-    forms = F.create_map(*(F.lit(x) for pair in _FORMS.items() for x in pair))
+    forms = F.str_to_map(F.lit(",".join(f"{a}:{b}" for a, b in _FORMS.items())), F.lit(","), F.lit(":"))  # one literal once folded
     spelt = F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(F.element_at(forms, c), c)), "")
     return F.translate(F.when(text.rlike(f"[{PRESENTATION}]"), spelt).otherwise(text), *PERSIAN)
 
