@@ -13,6 +13,7 @@ from ..operators import matching as M
 from ..operators import validation as P
 from ..sources import corpus as S
 from .common import DOCS, ITEMS, Query, documents, items, stream_sql, table
+from .matching import _SEEDS
 
 _FACTS_SQL = """
 facts AS (SELECT doc_id AS q, doc_id % 9 + 1 AS n_tokens, CASE WHEN doc_id % 11 = 0 THEN 'en' ELSE 'ar' END AS language, ['quran', 'hadith_matn', 'unknown'][doc_id % 3 + 1] AS kind, doc_id % 4 = 0 AS marked,
@@ -106,7 +107,7 @@ SELECT CASE WHEN why IS NULL THEN status ELSE 'needs_review' END AS status, coal
 
 
 def status_rollup(spark: SparkSession, d: str) -> DataFrame:
-    rows = _decided(spark, d).rollup("scope", "status").agg(F.count("*").alias("n"), F.round(F.avg("score"), 4).alias("mean_score"))
+    rows = _decided(spark, d).rollup("scope", "status").agg(F.count("*").alias("n"), F.sum(F.round(F.col("score") * 100).cast("long")).alias("hundredths"))
     return rows
 
 
@@ -149,6 +150,13 @@ def _by_start():
     return Window.partitionBy("id").orderBy("start", "matches")
 
 
+_HASH = """
+{seeds}, judged AS (SELECT doc_id, i, i + n AS e, CAST(item_id AS VARCHAR) AS item, CASE WHEN d.strict[i + 1:i + n] = t.strict[j + 1:j + n] THEN 'found' ELSE 'needs_review' END AS status FROM runs r JOIN docs d ON d.id = doc_id JOIN items t ON t.id = item_id WHERE n >= 6),
+first AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i, e, item) AS k FROM judged)
+SELECT id, sha256('corpus-1' || chr(0) || array_to_string(loose, ' ') || coalesce(chr(0) || i || ':' || e || ':' || status || ':m|' || item, '')) AS hash FROM docs LEFT JOIN (SELECT * FROM first WHERE k = 1) ON doc_id = id
+"""
+
+
 def census_proof(spark: SparkSession, d: str) -> DataFrame:
     """Two-token runs of items as quotes, typed in small letters without accents: are their spellings proved by the documents?"""
     pairs = lambda df: df.select("id", F.posexplode(F.arrays_zip(F.slice("loose", 1, F.size("loose") - 1).alias("a"), F.slice("loose", 2, F.size("loose")).alias("b"), F.slice("strict", 1, F.size("strict") - 1).alias("c"), F.slice("strict", 2, F.size("strict")).alias("e"))).alias("k", "p")).select("id", "k", "p.*")
@@ -378,8 +386,8 @@ UNION ALL SELECT count(*), 'without label' FROM documents d WHERE NOT EXISTS (SE
 
 QUERIES = {
     "decide_states": Query(decide_states, _DECIDED), "apply_claims": Query(apply_claims, _CLAIMS), "gates": Query(gates, _GATES),
-    "status_rollup": Query(status_rollup, f"WITH decided AS ({_DECIDED}) SELECT scope, status, count(*) AS n, round(avg(score), 4) AS mean_score FROM decided GROUP BY ROLLUP (scope, status)"),
-    "guard_verdicts": Query(guard_verdicts, _GUARD), "determinism_hash": Query(determinism_hash), "census_proof": Query(census_proof, _CENSUS),
+    "status_rollup": Query(status_rollup, f"WITH decided AS ({_DECIDED}) SELECT scope, status, count(*) AS n, CAST(sum(round(score * 100)) AS BIGINT) AS hundredths FROM decided GROUP BY ROLLUP (scope, status)"),
+    "guard_verdicts": Query(guard_verdicts, _GUARD), "determinism_hash": Query(determinism_hash, _HASH.format(seeds=_SEEDS)), "census_proof": Query(census_proof, _CENSUS),
     "validate_v1_v3": Query(validate_v1_v3, "SELECT item_id AS q, CASE WHEN item_id % 5 = 1 THEN item_id + 100000 ELSE item_id END AS rec, item_id % 5 NOT IN (1, 2, 3) AS ok, CASE item_id % 5 WHEN 1 THEN 'no_record' WHEN 2 THEN 'source_text' WHEN 3 THEN 'span' END AS rule FROM benchmark WHERE text IS NOT NULL"),
     "validate_v6": Query(validate_v6, _V6), "validate_v7": Query(validate_v7, _V7), "wilson_ci": Query(wilson_ci, _WILSON), "precision_recall": Query(precision_recall, _PR), "char_macro_f1": Query(char_macro_f1, _F1),
     "recall_mrr": Query(recall_mrr), "latency_pctl": Query(latency_pctl, _PCTL), "mutations": Query(mutations, _MUTATIONS), "false_alarm": Query(false_alarm, _ALARM), "interval_merge": Query(interval_merge, _MERGE),
