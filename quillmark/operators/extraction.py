@@ -47,6 +47,13 @@ BOOKS = {
 AMBIGUOUS_BOOKS, BOOK_CONTEXT = ("maliks_muwataa", "musnad_ahmad"), "رواه|أخرجه|مسند|موطأ|musnad|muwatta"
 AGREED = ("متفق عليه", "رواه الشيخان", "أخرجه الشيخان")
 
+# How a narrator, a chapter and verse, and numbers alone are cited; openers of quotations.
+NARRATED_BY = "(?:رواه|أخرجه|خرّجه|خرجه|صحّحه|صححه|حسّنه|حسنه|ذكره|عند)\\s+([^\\n.،,;؛)\\]»﴾]{2,60})"
+NAMED_VERSE = r"(?i)(?:quran|qur'an|q\.?|surah|sura)\s*(\d{1,3})\s*[:.]\s*(\d{1,3})(?:\s*[-–]\s*(\d{1,3}))?"
+BARE_VERSE = r"\b(\d{1,3})\s*:\s*(\d{1,3})\b"
+CHAPTER_VERSE = r"(?:سورة\s+)?[ء-ي\s]{2,20}\s*[:،,\-–/]\s*\d{1,3}(?:\s*[-–]\s*\d{1,3})?"
+NUMBERS_ALONE = r"[\d\s:/\-–،,]+"
+
 
 def places(text: Column, pattern: str) -> Column:
     """array<struct<value, start, end>> of all matches of a pattern, in code points."""
@@ -70,7 +77,9 @@ def _quoted(s: str) -> str:
 def is_reference(inner: Column) -> Column:
     """Bracketed text that cites rather than quotes: numbers, chapter and verse, who narrated it, an honorific."""
     t = F.trim(inner)
-    return (t == "") | t.rlike(r"^[\d\s:/\-–،,]+$") | t.rlike(r"(?i)^(?:quran|qur'an|q\.?|surah|sura)?\s*\d{1,3}\s*[:.]\s*\d{1,3}(?:\s*[-–]\s*\d{1,3})?$") | t.rlike(r"^(?:سورة\s+)?[ء-ي\s]{2,20}\s*[:،,\-–/]\s*\d{1,3}(?:\s*[-–]\s*\d{1,3})?$") | t.rlike("متفق عليه|رواه الشيخان|أخرجه الشيخان") | t.rlike("^(?:رواه|أخرجه|خرّجه|خرجه|صحّحه|صححه|حسّنه|حسنه|ذكره|عند)\\s+[^\\n.،,;؛)\\]»﴾]{2,60}") | O.joined(O.loose_tokens(t)).isin(*HONORIFICS)
+    whole = lambda p: t.rlike(f"^(?:{p})$")
+    agreed = t.contains(AGREED[0]) | t.contains(AGREED[1]) | t.contains(AGREED[2])
+    return (t == "") | whole(NUMBERS_ALONE) | whole(NAMED_VERSE) | whole(BARE_VERSE) | whole(CHAPTER_VERSE) | agreed | t.rlike(f"^{NARRATED_BY}") | O.joined(O.loose_tokens(t)).isin(*HONORIFICS)
 
 
 def bracketed(texts: DataFrame, least_arabic: int = 2, least_latin: int = 3) -> DataFrame:
@@ -190,7 +199,7 @@ def claimed_source(after: Column) -> Column:
         return F.struct(raw.alias("raw"), (F.array().cast("array<string>") if books is None else books).alias("books"), s.cast("int").alias("surah"), a.cast("int").alias("ayah"), to.cast("int").alias("ayah_to")).cast(kind)
 
     options = [F.when(after.contains(p), claim(F.lit(p), F.array(F.lit("sahih_al-bukhari"), F.lit("sahih_muslim")))) for p in AGREED]
-    narrated = F.regexp_extract(after, "(?:رواه|أخرجه|خرّجه|خرجه|صحّحه|صححه|حسّنه|حسنه|ذكره|عند)\\s+([^\\n.،,;؛)\\]»﴾]{2,60})", 1)
+    narrated = F.regexp_extract(after, NARRATED_BY, 1)
     named = F.filter(F.array(*(F.when(F.greatest(*(F.lower(narrated).contains(a) for a in names)), F.lit(book)) for book, names in BOOKS.items())), lambda b: b.isNotNull())
     options.append(F.when((narrated != "") & (F.size(named) > 0), claim(F.trim(narrated), named)))
     for book, names in BOOKS.items():
@@ -199,8 +208,7 @@ def claimed_source(after: Column) -> Column:
             if book in AMBIGUOUS_BOOKS:
                 hit = hit & low.rlike(BOOK_CONTEXT)
             options.append(F.when(hit, claim(F.lit(name), F.array(F.lit(book)))))
-    named_ref = r"(?i)(?:quran|qur'an|q\.?|surah|sura)\s*(\d{1,3})\s*[:.]\s*(\d{1,3})(?:\s*[-–]\s*(\d{1,3}))?"
-    for pattern, group in ((named_ref, 3), (r"\b(\d{1,3})\s*:\s*(\d{1,3})\b", 0)):
+    for pattern, group in ((NAMED_VERSE, 3), (BARE_VERSE, 0)):
         s, a = (F.regexp_extract(after, pattern, k).try_cast("int") for k in (1, 2))
         to = F.regexp_extract(after, pattern, group).try_cast("int") if group else F.lit(None).cast("int")
         options.append(F.when(s.between(1, 114) & a.between(1, 286), claim(F.regexp_extract(after, pattern, 0), None, s, a, to)))
