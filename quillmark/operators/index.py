@@ -79,7 +79,8 @@ def bm25(queries: DataFrame, terms: DataFrame, cutoff: float | None = WORD_CUTOF
     tf, stats, lengths = term_tables(terms, cutoff)
     average = lengths.agg(F.avg("len").alias("avg_len"))
     wanted = queries.select("q", F.explode(F.array_distinct("terms")).alias("term"))
-    asked = wanted.join(stats.where("idf > 0"), "term")
+    known = stats.where("idf > 0")
+    asked = wanted.join(bounded(known) if normalised else known, "term")
     normed = lengths.crossJoin(F.broadcast(average)).select("id", (K1 * (1 - B + B * F.col("len") / F.col("avg_len"))).alias("norm"))
     hits = asked.join(tf, "term").join(normed, "id")
     scores = hits.groupBy("q", "id").agg(F.sum(F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + F.col("norm"))).alias("score"))
