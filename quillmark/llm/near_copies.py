@@ -2,7 +2,7 @@
 
 The fingerprint here is 120 bits over a text's distinct words, so that a changed word moves few bits, in five segments
 of 24 bits. Each fingerprint probes, in each segment's table, its own value and those with one zero bit set; complete
-distances and then the exact similarity of word-shingle sets decide.
+distances and then the exact similarity of word-shingle sets decide. What they miss, prefix_join completes.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from .graphs import connected
 from .near_dups import shingles
+from .prefix_join import unlinked_pairs
 from .storage import materialize
 
 SEGMENTS, SEGMENT_BITS = 5, 24
@@ -27,6 +28,9 @@ BUCKET = 8
 #: Differing bits of 120 up to which a candidate's texts are compared.
 MAX_DISTANCE = 17
 
+#: Rows up to which the nodes whose texts are wanted are broadcast.
+FEW = 20_000
+
 
 def wide_simhash(text: str) -> tuple[int, int]:
     """Two signed longs: SimHash over the distinct words of more than four bytes, or over all if a text has none."""
@@ -120,9 +124,10 @@ def drop_near_copies(docs: DataFrame, shingle_words: int = 5, similarity: float
     """``docs``, all columns, with one row left of each group of copies: that of the smallest id, null ids last.
 
     Texts are linked if their sets of ``shingle_words``-word shingles (A-Z lower-cased) have a Jaccard similarity of
-    ``similarity`` or more and the fingerprints meet; groups are what is reachable over links. Equal texts are always a
+    ``similarity`` or more; groups are what is reachable over links. Equal texts are always a
     group, with null and empty as one text; wordless texts are similar to nothing else. Of rows equal in id and text
-    one stays. Candidates miss a few per cent of the pairs right at the limit, fewer above it; see the README.
+    one stays. Fingerprints find most links cheaply; a prefix-filter join then brings together all pairs that can be
+    similar enough and are not yet in one group, so no link is missed whatever the fingerprints or buckets were.
     """
     keyed = docs.withColumn("__node", _node(text_col))
 
@@ -134,14 +139,23 @@ def drop_near_copies(docs: DataFrame, shingle_words: int = 5, similarity: float
     kind = docs.schema[id_col].dataType.simpleString()
     rows = materialize(keyed.select(F.col(id_col).alias("id"), F.col("__node").alias("node"), F.col(text_col)).mapInArrow(prints_of, f"id {kind}, node long, f0 long, f1 long"), "rows")
     prints = materialize(rows.groupBy("node", "f0", "f1").agg(F.min("id").alias("first")), "prints")
-    pairs = materialize(_candidates(prints.where("f0 <> 0 or f1 <> 0").drop("first")), "candidates")
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(prints.select("node", "first"), "node")
     texts = keyed.select(F.col(id_col).alias("id"), "__node", F.col(text_col).alias("text"))
-    chosen = texts.join(wanted.hint("shuffle_hash"), (texts["__node"] == wanted["node"]) & texts["id"].eqNullSafe(wanted["first"])).select("node", "text")
-    sets = materialize(_sets(chosen, shingle_words).dropDuplicates(["node"]), "sets")
-    x, y = sets.select(F.col("node").alias("a"), F.col("set").alias("x")), sets.select(F.col("node").alias("b"), F.col("set").alias("y"))
-    links = _similar(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y"), similarity)
-    labels = connected(links).select("node", "label")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(prints.select("node", "first"), "node")
+        wanted = materialize(wanted, "wanted")
+        wanted = F.broadcast(wanted) if wanted.count() <= FEW else wanted.hint("shuffle_hash")
+        chosen = texts.join(wanted, (texts["__node"] == wanted["node"]) & texts["id"].eqNullSafe(wanted["first"])).select("node", "text")
+        sets = materialize(_sets(chosen, shingle_words).dropDuplicates(["node"]), "sets")
+        x, y = sets.select(F.col("node").alias("a"), F.col("set").alias("x")), sets.select(F.col("node").alias("b"), F.col("set").alias("y"))
+        return _similar(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y"), similarity)
+
+    links = materialize(verified(materialize(_candidates(prints.where("f0 <> 0 or f1 <> 0").drop("first")), "candidates")), "links")
+    labels = materialize(connected(links).select("node", "label"), "labels")
+    rest = unlinked_pairs(texts.select(F.col("__node").alias("node"), "text"), labels, prints.count(), shingle_words, similarity)
+    more = materialize(verified(materialize(rest, "unlinked")), "links")
+    if more.limit(1).count():
+        labels = connected(links.unionByName(more)).select("node", "label")
     grouped = rows.join(labels, "node", "left").select("id", "node", F.coalesce("label", "node").alias("label"))
     keeper = grouped.groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "node")).alias("k"), F.count("*").alias("n")).where("n > 1")
     gone = grouped.join(keeper, "label").where(~(F.col("id").eqNullSafe(F.col("k.id")) & (F.col("node") == F.col("k.node")))).select(F.col("id").alias("__id"), F.col("node").alias("__gone"))

@@ -61,3 +61,14 @@ def test_nothing_clean_is_dropped(spark):
 
 def test_empty(spark):
     assert N.drop_near_copies(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_links_that_no_fingerprint_candidate_brings(spark):
+    rng = random.Random(29)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(8))
+    rows = []
+    for words, more in [(200, 20), (200, 40), (60, 12), (12, 2)] * 30:
+        base = [word() for _ in range(words)]
+        rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(base + [word() for _ in range(more)]))]
+    docs = spark.createDataFrame([(i, t, "", 1) for i, t in rows], SCHEMA)
+    assert sorted(r.doc_id for r in N.drop_near_copies(docs).collect()) == brute_kept(rows)
