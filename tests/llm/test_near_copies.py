@@ -72,3 +72,19 @@ def test_links_that_no_fingerprint_candidate_brings(spark):
         rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(base + [word() for _ in range(more)]))]
     docs = spark.createDataFrame([(i, t, "", 1) for i, t in rows], SCHEMA)
     assert sorted(r.doc_id for r in N.drop_near_copies(docs).collect()) == brute_kept(rows)
+
+
+def test_links_of_crowded_buckets_and_frequent_shingles(spark, monkeypatch):
+    rng = random.Random(31)
+    long = ["boilerplate", "paragraph", "template"]  # few long words: all fingerprints are equal, one crowded bucket
+    rows = []
+    for _ in range(40):
+        base = [w for _ in range(40) for w in (rng.choice(["an", "the", "re", "or", "ing", "hed"]), rng.choice(long))]
+        rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(base + ["an"]))]
+    monkeypatch.setattr(N, "BUCKET", 8)
+    if exact := getattr(N, "unlinked_pairs", None):
+        module = __import__(exact.__module__, fromlist=["x"])
+        monkeypatch.setattr(module, "FREQUENT_FROM", 2)
+        monkeypatch.setattr(module, "GROUP", 2)
+    docs = spark.createDataFrame([(i, t, "", 1) for i, t in rows], SCHEMA)
+    assert sorted(r.doc_id for r in N.drop_near_copies(docs).collect()) == brute_kept(rows)
