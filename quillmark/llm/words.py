@@ -12,6 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 #: Bytes scanned at a time: the temporary arrays are some tens of times as large.
 BLOCK = 2 << 20
@@ -27,8 +28,12 @@ _C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np
 _MASKS = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [2**64 - 1], np.uint64)
 
 
-def mixed_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Keys of the stretches ``starts .. ends`` of bytes; see ``Scan.keys``."""
+#: Bytes up to which the middle of a word is mixed in eight at a time; longer words are hashed one by one.
+_STEPWISE = 64
+
+
+def ends_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The first and the last eight bytes of stretches of bytes as numbers (shorter ones padded), and all eight-byte runs."""
     padded = np.zeros(len(data) + 16, np.uint8)
     padded[8:-8] = data
     eight = np.lib.stride_tricks.as_strided(padded, (len(padded) - 7, 8), (1, 1))
@@ -36,8 +41,22 @@ def mixed_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     head = np.ascontiguousarray(eight[starts + 8]).view("<u8").ravel() & _MASKS[np.minimum(sizes, 8)]
     short = np.uint64(8) * (8 - np.minimum(sizes, 8)).astype(np.uint64)
     tail = np.ascontiguousarray(eight[ends]).view("<u8").ravel()
-    tail = np.where(sizes == 0, np.uint64(0), tail >> np.minimum(short, np.uint64(63)))
+    return head, np.where(sizes == 0, np.uint64(0), tail >> np.minimum(short, np.uint64(63))), eight
+
+
+def mixed_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Keys of the stretches ``starts .. ends`` of bytes, of all their bytes; see ``Scan.keys``."""
+    head, tail, eight = ends_of(data, starts, ends)
+    sizes = ends - starts
     key = head * _C1 + (tail ^ (tail >> np.uint64(29))) * _C2 + sizes.astype(np.uint64) * _C3
+    left, at = np.flatnonzero((sizes > 16) & (sizes <= _STEPWISE)), 8
+    while len(left):
+        middle = np.ascontiguousarray(eight[starts[left] + at + 8]).view("<u8").ravel()
+        key[left] = (key[left] ^ (key[left] >> np.uint64(31))) * _C2 + (middle ^ (middle >> np.uint64(29))) * _C3
+        at += 8
+        left = left[sizes[left] - 8 > at]  # the last eight bytes are in already
+    for k in np.flatnonzero(sizes > _STEPWISE).tolist():
+        key[k] = xxhash.xxh3_64_intdigest(data[starts[k] : ends[k]].tobytes())
     key ^= key >> np.uint64(32)
     key *= _C1
     return key ^ (key >> np.uint64(29))
@@ -58,11 +77,7 @@ class Scan:
         return np.diff(self.bounds)
 
     def keys(self) -> np.ndarray:
-        """A 64-bit key of each word, from its length and its first and last eight bytes.
-
-        Words of up to 16 bytes get the same key only by a chance of 2**-64; longer ones also when they differ in the
-        middle alone. Who needs certainty compares ``word`` afterwards.
-        """
+        """A 64-bit key of each whole word; two words get the same one by a chance of 2**-64. Who needs certainty compares ``word``."""
         return mixed_keys(self.data, self.starts, self.ends)
 
     def word(self, k: int) -> bytes:
@@ -105,6 +120,27 @@ def scans(column: pa.Array, word_bytes: np.ndarray = ALNUM) -> Iterator[Scan]:
         at = to
 
 
+_RADIX = 0x9E3779B97F4A7C15  # odd, so it has an inverse
+
+
+class Running:
+    """A running Karp-Rabin hash over word keys: prefix sums, from which the hash of any window follows in one step."""
+
+    def __init__(self, keys: np.ndarray):
+        n = len(keys)
+        self.power, self.inverse = (np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(n, r, np.uint64))]) for r in (np.uint64(_RADIX), np.uint64(pow(_RADIX, -1, 1 << 64))))
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(keys * self.power[:n], dtype=np.uint64)])
+
+    def hashes(self, starts: np.ndarray, sizes: np.ndarray | int) -> np.ndarray:
+        """The hash of each window, which depends on its words alone."""
+        value = (self.sums[starts + sizes] - self.sums[starts]) * self.inverse[starts]
+        return value ^ (value >> np.uint64(31))
+
+    def windows(self, size: int) -> np.ndarray:
+        """The hashes of all windows of ``size`` words."""
+        return self.hashes(np.arange(max(0, len(self.sums) - size)), size)
+
+
 def keys_of(words: list[bytes]) -> np.ndarray:
     """The keys of given words, as ``Scan.keys`` makes them."""
     text = b" ".join(words)

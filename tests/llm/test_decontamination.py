@@ -1,6 +1,8 @@
 import random
 import re
+import time
 
+import pyarrow as pa
 import pytest
 from quillmark.llm import decontamination as D
 
@@ -34,7 +36,7 @@ def brute_tiles(item, text, size):
 @pytest.fixture(scope="module")
 def case():
     rng = random.Random(11)
-    pool = "the of and to in x1 x2 x3 x4 x5 x6 é".split()
+    pool = "the of and to in x1 x2 x3 x4 é averylongword1tailtailtail averylongword2tailtailtail".split()
     items = [(k, " ".join(rng.choice(pool) for _ in range(rng.randrange(3, 26)))) for k in range(12)] + [(90, None), (91, ""), (92, "two words")]
     docs = [(0, None), (1, ""), (2, "a " * 40000)]
     for k in range(3, 150):
@@ -79,3 +81,30 @@ def test_edges(spark, case):
     assert D.contaminated(repeated.limit(0), bench).collect() == []
     assert D.contaminated(repeated, bench.limit(0)).collect() == []
     assert D.decontaminate(repeated, bench.limit(0)).count() == 3
+
+
+def test_long_words_that_differ_in_the_middle():
+    item = [f"w{k}" for k in range(9)] + ["abcdefghXXabcdefgh"] + [f"v{k}" for k in range(10)]
+    text = [*item[:9], "abcdefghYYabcdefgh", *item[10:]]
+    tiler = D.Tiler([(1, " ".join(item))])
+    assert [(t, n) for _, _, t in tiler.find(pa.array([" ".join(text)])) for n in [sum(x[2] for x in t)]] == [([(10, 10, 10), (0, 0, 9)], 19)]
+
+
+def test_a_failed_verification_keeps_the_verified_parts():
+    item, text = list("abcdefghij"), list("abcdXfghij")
+    assert D.tile([(0, 0, 10)], item, lambda a, b: text[a:b], 4) == [(5, 5, 5), (0, 0, 4)]
+
+
+def test_a_phrase_repeated_in_items_and_text_is_bounded():
+    phrase = "alpha beta gamma delta "
+    tiler, began = D.Tiler([(k, phrase * (8 + k % 5)) for k in range(50)]), time.perf_counter()
+    found = list(tiler.find(pa.array([phrase * 25_000])))
+    assert len(found) == 50 and all(len(t) == 1 for _, _, t in found) and time.perf_counter() - began < 10
+
+
+def test_small_steps_find_the_same(case, monkeypatch):
+    items, docs = case
+    texts = pa.array([t for _, t in docs[3:]])
+    whole = list(D.Tiler(items).find(texts))
+    monkeypatch.setattr(D, "STEP", 5)
+    assert list(D.Tiler(items).find(texts)) == whole and whole
