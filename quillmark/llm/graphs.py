@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import materialize
+from .storage import discard, materialize
 
 
 def connected(links: DataFrame) -> DataFrame:
@@ -25,7 +25,8 @@ def connected(links: DataFrame) -> DataFrame:
         large = materialize(large, "large-star")
         least = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(least, "b").select(F.explode(F.array(F.struct(F.col("a").alias("b"), F.col("m").alias("a")), F.struct(F.col("b"), F.col("m").alias("a")))).alias("e")).select("e.a", "e.b")
-        edges = materialize(small.where("a < b").distinct(), "small-star")
+        before, edges = edges, materialize(small.where("a < b").distinct(), "small-star")
+        discard(before, large)
         new = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if new == state:
             break

@@ -1,8 +1,9 @@
-"""Near copies of documents: SimHash candidates by multi-index hashing, verified by the words they share.
+"""Near copies of documents: SimHash links by multi-index hashing, verified by shingle sets, and completed exactly.
 
-The fingerprint here is 120 bits over a text's distinct words, so that a changed word moves few bits, in five segments
-of 24 bits. Each fingerprint probes, in each segment's table, its own value and those with one zero bit set; complete
-distances and then the exact similarity of word-shingle sets decide. What they miss, prefix_join completes.
+Each distinct text is a node. Fingerprints over a text's distinct words (a changed word moves few bits) are linked by the
+operator's own tables and Hamming balls; the sets of word shingles then decide. What fingerprints miss, prefix_join brings
+together: first a star for each shingle, which joins large groups at the cost of their size, then all pairs that are still
+in different groups. A pair of nodes counts as linked only after its whole shingle sets were compared.
 """
 
 from __future__ import annotations
@@ -11,98 +12,39 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import prefix_join as P
+from . import words as W
 from .graphs import connected
-from .near_dups import shingles
-from .prefix_join import unlinked_pairs
-from .storage import materialize
+from .near_dups import links_within_two, simhash
+from .storage import discard, materialize
 
-SEGMENTS, SEGMENT_BITS = 5, 24
+#: Nodes up to which those whose texts are wanted are broadcast, with their ids: some megabytes.
+FEW = 200_000
 
-#: Members of a bucket up to which a probe meets all of them.
-BUCKET = 8
 
-#: Differing bits of 120 up to which a candidate's texts are compared.
-MAX_DISTANCE = 17
-
-#: Rows up to which the nodes whose texts are wanted are broadcast.
-FEW = 20_000
-
-
-def wide_simhash(text: str) -> tuple[int, int]:
-    """Two signed longs: SimHash over the distinct words of more than four bytes, or over all if a text has none."""
-    words = set(text.encode().lower().split())
-    chosen = [w for w in words if len(w) > 4] or list(words)
-    if not chosen:
-        return 0, 0
-    digest = xxhash.xxh3_128_digest
-    ones = np.zeros(128, np.int64)
-    for k in range(0, len(chosen), 1 << 15):
-        hashes = np.frombuffer(b"".join(map(digest, chosen[k : k + (1 << 15)])), np.uint8).reshape(-1, 16)
-        ones += np.unpackbits(hashes, axis=1, bitorder="little").sum(0, dtype=np.int64)
-    low, high = np.packbits(2 * ones > len(chosen), bitorder="little").view(np.int64).tolist()
-    return low, high
-
-
-def _node(text_col: str) -> Column:
-    """A number for each distinct text (60 bits of its SHA-256); null counts as empty."""
-    return F.conv(F.substring(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256), 1, 15), 16, 10).cast("long")
-
-
-def _segment(k: int) -> Column:
-    if k < 4:
-        half, shift = ("f0", "f1")[k // 2], 24 * (k % 2)
-        value = F.shiftrightunsigned(half, shift).bitwiseAND(F.lit(0xFFFFFF))
-    else:
-        value = F.shiftrightunsigned("f0", 48).bitwiseOR(F.call_function("shiftleft", F.shiftrightunsigned("f1", 48).bitwiseAND(F.lit(0xFF)), F.lit(16)))
-    return (value + F.lit(k << SEGMENT_BITS)).cast("int")
-
-
-def _candidates(prints: DataFrame) -> DataFrame:
-    """Pairs (a, b) of ``prints`` (node, f0, f1) that a table has brought together and whose complete distance is small.
-
-    In a bucket of more than BUCKET members a probe meets the most central of them: the one whose own buckets hold the
-    most members, so the source of a large group of copies rather than a copy of its rim. A bucket's own members also
-    meet one that a hash of bucket and member chooses, another one in each of their buckets. So large groups hang
-    together without their square of pairs.
-    """
-    bits = F.sequence(F.lit(0), F.lit(SEGMENT_BITS - 1))
-    own = [_segment(k) for k in range(SEGMENTS)]
-
-    def ball(value: Column) -> Column:
-        unset = F.filter(bits, lambda b: F.call_function("getbit", value, b) == 0)
-        return F.concat(F.array(value), F.transform(unset, lambda b: value + F.call_function("shiftleft", F.lit(1), b)))
-
-    bits_of = F.struct("node", F.col("f0").alias("g0"), F.col("f1").alias("g1"))
-    table = materialize(prints.select(F.explode(F.array(*own)).alias("key"), bits_of.alias("t")), "buckets")
-    sizes = table.groupBy("key").agg(F.count("*").alias("n"))
-    ranked = table.join(sizes, "key").groupBy(F.col("t.node").alias("node")).agg(F.sum("n").alias("central"))
-    large = table.join(sizes.where(F.col("n") > BUCKET).select("key"), "key").withColumn("node", F.col("t.node")).join(ranked, "node")
-    hubs = large.groupBy("key").agg(F.max_by("t", F.struct("central", "node")).alias("x"), F.min_by("t", F.xxhash64("key", "node")).alias("y"))
-    small = table.join(sizes.where(F.col("n") <= BUCKET).select("key"), "key").select("key", "t")
-    met = small.unionByName(hubs.select("key", F.col("x").alias("t"))).unionByName(hubs.select((-F.col("key") - 1).alias("key"), F.col("y").alias("t")))
-    met = met.select("key", F.col("t.node").alias("b"), "t.g0", "t.g1")
-    probes = prints.select(F.explode(F.concat(*(ball(v) for v in own), F.array(*(-v - 1 for v in own)))).alias("key"), F.col("node").alias("a"), "f0", "f1")
-    distance = F.bit_count(F.col("f0").bitwiseXOR(F.col("g0"))) + F.bit_count((F.col("f1").bitwiseXOR(F.col("g1"))).bitwiseAND(F.lit(0x00FFFFFFFFFFFFFF)))
-    near = (probes["key"] == met["key"]) & (F.col("a") != F.col("b")) & (distance <= MAX_DISTANCE)
-    return probes.join(met.hint("shuffle_hash"), near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def word_fingerprints(column: pa.Array) -> np.ndarray:
+    """SimHash of each text over its distinct words of more than four bytes, or over all if it has none; no words: zero."""
+    out = []
+    for scan in W.scans(column, W.INK):
+        keys, long = scan.keys(), scan.ends - scan.starts > 4
+        for a, b in zip(scan.bounds.tolist(), scan.bounds[1:].tolist(), strict=False):
+            own = keys[a:b][long[a:b]]
+            out.append(simhash(np.unique(own if len(own) else keys[a:b])))
+    return np.array(out, np.uint64)
 
 
 def _sets(texts: DataFrame, size: int) -> DataFrame:
-    """(node, set array<int>): sorted 32-bit hashes of the distinct shingles of (node, text)."""
+    """(node, set array<long>): the sorted shingle keys of (node, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh32_intdigest
         for batch in batches:
-            own = [np.unique(np.array([digest(s) for s in shingles(t.as_py() or "", size)], np.uint32)) for t in batch.column(1)]
-            ends = np.cumsum([0, *map(len, own)]).astype(np.int32)
-            flat = np.concatenate([np.zeros(0, np.uint32), *own]).view(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["node", "set"])
+            own = list(P.shingle_sets(batch.column(1), size))
+            yield pa.RecordBatch.from_arrays([batch.column(0), P.lists(own)], names=["node", "set"])
 
-    return texts.mapInArrow(run, "node long, `set` array<int>")
+    return texts.mapInArrow(run, "node long, `set` array<long>")
 
 
 def _similar(pairs: DataFrame, at_least: float) -> DataFrame:
@@ -114,52 +56,80 @@ def _similar(pairs: DataFrame, at_least: float) -> DataFrame:
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 x, y = np.asarray(x.values), np.asarray(y.values)
                 both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= at_least * (len(x) + len(y) - both))
+                keep.append(both > 0 and both >= at_least * (len(x) + len(y) - both))
             yield batch.filter(pa.array(keep, pa.bool_())).select([0, 1])
 
     return pairs.mapInArrow(run, "a long, b long")
 
 
+def _light_pairs(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of ``nodes`` (node, f): each with the least of its fingerprint, and the least of two linked fingerprints."""
+    known = nodes.where("f <> 0")
+    least = materialize(known.groupBy("f").agg(F.min("node").alias("least")), "fingerprints")
+    same = known.join(least, "f").where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    links = links_within_two(least.select("f")).select(F.col("a").alias("x"), F.col("b").alias("y"))
+    one, other = least.select(F.col("f").alias("x"), F.col("least").alias("a")), least.select(F.col("f").alias("y"), F.col("least").alias("b"))
+    near = links.join(one, "x").join(other, "y").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return same.unionByName(near).distinct()
+
+
 def drop_near_copies(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs``, all columns, with one row left of each group of copies: that of the smallest id, null ids last.
 
     Texts are linked if their sets of ``shingle_words``-word shingles (A-Z lower-cased) have a Jaccard similarity of
-    ``similarity`` or more; groups are what is reachable over links. Equal texts are always a
-    group, with null and empty as one text; wordless texts are similar to nothing else. Of rows equal in id and text
-    one stays. Fingerprints find most links cheaply; a prefix-filter join then brings together all pairs that can be
-    similar enough and are not yet in one group, so no link is missed whatever the fingerprints or buckets were.
+    ``similarity`` or more; groups are what is reachable over links, and no link is missed. Equal texts (by their whole
+    SHA-256) are always a group, with null and empty as one text; texts without words are similar to nothing else. Of rows
+    equal in id and text one stays. Texts of any length are compared whole; columns may have any names; an empty table
+    gives an empty one.
+
+    Texts are shuffled once, at the end, with all their columns; before that only keys, fingerprints and shingle prefixes
+    move, and the sets of texts that some candidate names.
     """
-    keyed = docs.withColumn("__node", _node(text_col))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    texts = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.unhex(F.sha2(text, 256)).alias("digest"))
+    kind = docs.schema[id_col].dataType.simpleString()
 
-    def prints_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            f = np.array([wide_simhash(t.as_py() or "") for t in batch.column(2)], np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(f[:, 0]), pa.array(f[:, 1])], names=["id", "node", "f0", "f1"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(word_fingerprints(batch.column(1)).view(np.int64))], names=["id", "digest", "f"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = materialize(keyed.select(F.col(id_col).alias("id"), F.col("__node").alias("node"), F.col(text_col)).mapInArrow(prints_of, f"id {kind}, node long, f0 long, f1 long"), "rows")
-    prints = materialize(rows.groupBy("node", "f0", "f1").agg(F.min("id").alias("first")), "prints")
-    texts = keyed.select(F.col(id_col).alias("id"), "__node", F.col(text_col).alias("text"))
+    rows = texts.mapInArrow(prints, f"id {kind}, digest binary, f long").groupBy("digest", "f", "id").agg(F.count("*").alias("n"))
+    least = rows.groupBy("digest", "f").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "n")).alias("k"))
+    nodes = materialize(least.select(F.monotonically_increasing_id().alias("node"), "digest", "f", "k"), "nodes")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(prints.select("node", "first"), "node")
-        wanted = materialize(wanted, "wanted")
-        wanted = F.broadcast(wanted) if wanted.count() <= FEW else wanted.hint("shuffle_hash")
-        chosen = texts.join(wanted, (texts["__node"] == wanted["node"]) & texts["id"].eqNullSafe(wanted["first"])).select("node", "text")
+        wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select("node", "digest", F.col("k.id").alias("first")), "wanted")
+        few = F.broadcast(wanted) if wanted.count() <= FEW else wanted.hint("shuffle_hash")
+        chosen = texts.join(few, (texts["digest"] == few["digest"]) & texts["id"].eqNullSafe(few["first"])).select("node", "text")
         sets = materialize(_sets(chosen, shingle_words).dropDuplicates(["node"]), "sets")
         x, y = sets.select(F.col("node").alias("a"), F.col("set").alias("x")), sets.select(F.col("node").alias("b"), F.col("set").alias("y"))
-        return _similar(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y"), similarity)
-
-    links = materialize(verified(materialize(_candidates(prints.where("f0 <> 0 or f1 <> 0").drop("first")), "candidates")), "links")
-    labels = materialize(connected(links).select("node", "label"), "labels")
-    rest = unlinked_pairs(texts.select(F.col("__node").alias("node"), "text"), labels, prints.count(), shingle_words, similarity)
-    more = materialize(verified(materialize(rest, "unlinked")), "links")
-    if more.limit(1).count():
-        labels = connected(links.unionByName(more)).select("node", "label")
-    grouped = rows.join(labels, "node", "left").select("id", "node", F.coalesce("label", "node").alias("label"))
-    keeper = grouped.groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "node")).alias("k"), F.count("*").alias("n")).where("n > 1")
-    gone = grouped.join(keeper, "label").where(~(F.col("id").eqNullSafe(F.col("k.id")) & (F.col("node") == F.col("k.node")))).select(F.col("id").alias("__id"), F.col("node").alias("__gone"))
-    left = keyed.join(gone.distinct().hint("shuffle_hash"), (F.col("__node") == F.col("__gone")) & F.col(id_col).eqNullSafe(F.col("__id")), "left_anti")
-    if grouped.groupBy("id", "node").count().where("count > 1").limit(1).count():  # rows equal in id and text
-        left = left.dropDuplicates([id_col, "__node"])
-    return left.drop("__node")
+        links = materialize(_similar(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y"), similarity), "links")
+        discard(wanted, sets)
+        return links
+
+    def grouped(links: DataFrame) -> DataFrame:
+        return materialize(connected(links).select("node", "label"), "labels")
+
+    light = materialize(_light_pairs(nodes.select("node", "f")), "candidates")
+    links = verified(light)
+    labels = grouped(links)
+    prefixes = P.prefixes(texts.select("digest", "text"), nodes.select("node", "digest"), shingle_words, similarity)
+    met = P.stars(prefixes, labels, similarity)
+    stars = materialize(met.where("key is null").select("a", "b").distinct(), "candidates")
+    links = links.unionByName(verified(stars))
+    labels = grouped(links)
+    rest = P.unlinked_pairs(met.where("key is not null"), labels, similarity).join(stars, ["a", "b"], "left_anti")
+    rest = materialize(rest, "candidates")
+    more = verified(rest)
+    if not more.isEmpty():
+        labels = grouped(links.unionByName(more))
+    discard(light, met, stars, rest)
+
+    groups = nodes.join(labels, "node", "left").select("digest", "k", F.coalesce("label", "node").alias("label"))
+    keeper = groups.groupBy("label").agg(F.min(F.struct("k", "digest")).alias("best"))
+    verdicts = materialize(groups.join(keeper, "label").select("digest", F.when(F.col("digest") == F.col("best.digest"), F.col("best.k")).alias("kept")), "verdicts")
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).alias("id"), F.unhex(F.sha2(text, 256)).alias("digest"))
+    left = whole.join(verdicts, "digest").where(F.col("kept").isNotNull() & F.col("id").eqNullSafe(F.col("kept.id")))
+    if not verdicts.where("kept.n > 1").isEmpty():  # rows equal in id and text
+        left = left.dropDuplicates(["digest"])
+    return left.select("row.*")

@@ -12,136 +12,217 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .near_dups import shingles
+from . import words as W
 from .storage import materialize
 
-#: Texts of the sample: all of so few, else one in SAMPLE_PART if those are more.
-SAMPLE, SAMPLE_PART = 8000, 32
+#: Texts of the sample, about. It decides the order of shingles and so the cost, never the result.
+SAMPLE = 100_000
 
 #: Shingles put last: at most so many of those that so many texts of the sample hold. Their number shapes the cost only.
 FREQUENT, FREQUENT_FROM = 100_000, 4
 
-#: Rows of a frequent shingle that meet in one group; more are dealt over several.
+#: Rows of one side that meet in one group; more are dealt over several.
 GROUP = 4096
 
+#: Estimated rows of a shingle for each star; a more frequent one makes several.
+STAR = 65_536
 
-def _keys(text: str, size: int) -> np.ndarray:
-    return np.unique(np.array([xxhash.xxh3_64_intdigest(s) for s in shingles(text, size)], np.uint64)).view(np.int64)
 
+def shingle_sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
+    """The distinct shingle keys of each text, sorted: runs of ``size`` words, or all words if there are fewer; none without words."""
+    for scan in W.scans(column, W.INK):
+        running = W.Running(scan.keys())
+        windows = running.windows(size)
+        for a, b in zip(scan.bounds.tolist(), scan.bounds[1:].tolist(), strict=False):
+            own = windows[a : b - size + 1] if b - a >= size else running.hashes(np.arange(a, min(a + 1, b)), b - a)
+            yield np.unique(own).view(np.int64)
 
-def _frequent(texts: DataFrame, size: int, nodes: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that are frequent in a sample of (node, text), sorted, and their ranks from 1: the most frequent last."""
-    part = max(1, min(nodes // SAMPLE, SAMPLE_PART))
+
+def lists(rows: list[np.ndarray]) -> pa.ListArray:
+    """Arrays of longs as a column."""
+    ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *rows])))
+
+
+def _unseen(digests: pa.Array, seen: set[bytes]) -> np.ndarray:
+    """The rows whose digest this task hasn't met; so a text copied everywhere is worked on once in each task."""
+    keep = []
+    for k, digest in enumerate(digests.to_pylist()):
+        if digest not in seen:
+            seen.add(digest)
+            keep.append(k)
+    return np.array(keep, np.int64)
+
+
+def _frequent(texts: DataFrame, size: int, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shingles that are frequent in a sample of (digest, text), sorted; their ranks from 1, the most frequent last; stars for each."""
+    part = max(1, count // SAMPLE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
         for batch in batches:
-            for t in batch.column(1):
-                yield pa.RecordBatch.from_arrays([pa.array(_keys(t.as_py() or "", size), pa.int64())], names=["key"])
+            rows = batch.take(pa.array(_unseen(batch.column(0), seen)))
+            yield pa.RecordBatch.from_arrays([rows.column(0), lists(list(shingle_sets(rows.column(1), size)))], names=["digest", "keys"])
 
-    keys = texts.where(F.pmod("node", F.lit(part)) == 0).dropDuplicates(["node"]).mapInArrow(run, "key long")
-    top = keys.groupBy("key").count().where(F.col("count") >= FREQUENT_FROM).orderBy(F.desc("count"), "key").limit(FREQUENT)
-    found = np.array([r.key for r in top.collect()], np.int64)
-    ranks = np.arange(len(found), 0, -1)
+    sample = texts.where(F.pmod(F.xxhash64("digest"), F.lit(part)) == 0).mapInArrow(run, "digest binary, `keys` array<long>").dropDuplicates(["digest"])
+    counts = sample.select(F.explode("keys").alias("key")).groupBy("key").count().where(F.col("count") >= FREQUENT_FROM)
+    top = counts.orderBy(F.desc("count"), "key").limit(FREQUENT).collect()
+    found, often = np.array([r.key for r in top], np.int64), np.array([r["count"] for r in top], np.int64)
     order = np.argsort(found)
-    return found[order], ranks[order]
+    return found[order], np.arange(len(found), 0, -1)[order], -(-often * part // STAR)[order]
 
 
-def _prefixes(texts: DataFrame, size: int, at_least: float, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(node, n, rare, keys) of (node, text): the set's size and its prefix, the first ``rare`` keys not frequent."""
-    shared = texts.sparkSession.sparkContext.broadcast(frequent)
+def prefixes(texts: DataFrame, nodes: DataFrame, size: int, at_least: float) -> DataFrame:
+    """(node, n, keys, stars) of (digest, text) and (node, digest): the set's size, its prefix, and stars of each key, null where all have one."""
+    found = _frequent(texts, size, nodes.count())
+    shared = texts.sparkSession.sparkContext.broadcast(found)  # at most FREQUENT rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot, ranks = shared.value
+        (hot, ranks, stars), seen = shared.value, set()
         for batch in batches:
-            sizes, rare, prefixes = [], [], [np.zeros(0, np.int64)]
-            for t in batch.column(1):
-                keys = _keys(t.as_py() or "", size)
-                rank = np.zeros(len(keys), np.int64)
+            rows = batch.take(pa.array(_unseen(batch.column(0), seen)))
+            sizes, chosen, many = [], [], []
+            for keys in shingle_sets(rows.column(1), size):
+                rank, star = np.zeros(len(keys), np.int64), np.ones(len(keys), np.int64)
                 if len(hot) and len(keys):
                     at = np.minimum(np.searchsorted(hot, keys), len(hot) - 1)
-                    rank = np.where(hot[at] == keys, ranks[at], 0)
+                    rank, star = np.where(hot[at] == keys, ranks[at], 0), np.where(hot[at] == keys, stars[at], 1)
                 length = len(keys) - math.ceil(at_least * len(keys) - 1e-9) + 1 if len(keys) else 0
                 order = np.lexsort((keys, rank))[:length]
                 sizes.append(len(keys))
-                rare.append(int((rank[order] == 0).sum()))
-                prefixes.append(keys[order])
-            ends = np.cumsum([len(p) for p in prefixes]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefixes)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.array(rare, pa.int32()), lists], names=["node", "n", "rare", "keys"])
+                chosen.append(keys[order])
+                many.append(star[order] if (star[order] > 1).any() else None)
+            stars_of = pa.array([m if m is None else m.tolist() for m in many], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(sizes, pa.int32()), lists(chosen), stars_of], names=["digest", "n", "keys", "stars"])
 
-    return texts.mapInArrow(run, "node long, n int, rare int, `keys` array<long>")
+    made = texts.mapInArrow(run, "digest binary, n int, `keys` array<long>, stars array<long>").where("n > 0").dropDuplicates(["digest"])
+    return made.join(nodes, "digest").select("node", "n", "keys", "stars")
 
 
-def _meet(rows: DataFrame, at_least: float) -> DataFrame:
-    """Pairs (a, b) of differing labels in each group (key, block) of ``rows``, whose sizes and places leave them a chance.
+def _fits(n: np.ndarray, pos: np.ndarray, m: np.ndarray, at: np.ndarray, at_least: float) -> np.ndarray:
+    """Whether sets of n and m shingles can be similar enough if the first common one stands at pos and at."""
+    return np.minimum(n - pos, m - at) >= at_least / (1 + at_least) * (n + m) - 1e-6
+
+
+def stars(prefixes_: DataFrame, labels: DataFrame, at_least: float) -> DataFrame:
+    """What meets on a shingle, as a table: pairs (a, b) where key is null, else members (key, node, n, pos) of larger groups.
 
-    A row is of the key's main label, in one block, or another, in all blocks and at home in one.
+    The first node of each group meets all others, so a group costs its size; one of two nodes is settled by that. Groups
+    of three or more hand their members on, unless all of them have one label of ``labels`` (node, label); so do the stars
+    of a frequent shingle, whatever their size. Rows stream by in order of key and node: a task holds a batch and the head
+    of a group, however large the group is.
     """
-    share = at_least / (1 + at_least)
-
-    def pairs(node: np.ndarray, label: np.ndarray, n: np.ndarray, pos: np.ndarray, main: np.ndarray, home: np.ndarray) -> Iterator[pa.RecordBatch]:
-        others = np.flatnonzero(~main)
-        step = max(1, (1 << 18) // len(node))
-        for k in range(0, len(others), step):
-            i = others[k : k + step, None]
-            rest = np.minimum(n[i] - pos[i], n - pos)
-            fits = (label[i] != label) & (main | (home[i] & (node[i] < node))) & (rest >= share * (n[i] + n) - 1e-6)
-            x, y = np.nonzero(fits)
-            if len(x):
-                x = i[x, 0]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[x], node[y])), pa.array(np.maximum(node[x], node[y]))], names=["a", "b"])
-
-    def groups(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        key, block, label = columns[0], columns[1], columns[3]
-        if not len(key):
-            return
-        starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (block[1:] != block[:-1])])
-        ends = np.r_[starts[1:], len(key)]
+    named = prefixes_.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    rows = named.select("node", "label", "n", "stars", F.posexplode("keys").alias("pos", "key"))
+    of = F.get("stars", F.col("pos"))
+    star = F.when(of > 1, F.pmod(F.xxhash64("node"), of)).otherwise(-1).cast("int")  # -1: the only one
+    ordered = rows.select("key", star.alias("star"), "node", "label", "n", "pos").repartition("key", "star").sortWithinPartitions("key", "star", "node")
+
+    def emit(columns: list[np.ndarray], seen: bool, goes_on: bool = False) -> Iterator[pa.RecordBatch]:
+        """From rows of whole groups; of the first one only a head that was ``seen`` before and what follows; the last may go on."""
+        key, star, node, label, n, pos = columns
+        starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (star[1:] != star[:-1])]))
+        sizes = np.diff(np.append(starts, len(key)))
+        hub = np.repeat(starts, sizes)
+        pair = (label != label[hub]) & _fits(n, pos, n[hub], pos[hub], at_least)
         mixed = np.minimum.reduceat(label, starts) != np.maximum.reduceat(label, starts)
-        for s, e in zip(starts[mixed].tolist(), ends[mixed].tolist(), strict=True):
-            yield from pairs(*(c[s:e] for c in columns[2:]))
+        large = ((sizes > 2) & mixed) | (star[starts] >= 0)
+        large[0] |= seen
+        large[-1] |= goes_on
+        member = np.repeat(large, sizes)
+        member[0] &= not seen
+        a, b = np.minimum(node[hub], node)[pair], np.maximum(node[hub], node)[pair]
+        none = lambda k, kind: pa.nulls(k, kind)
+        names = ["key", "a", "b", "n", "pos"]
+        if len(a):
+            yield pa.RecordBatch.from_arrays([none(len(a), pa.int64()), pa.array(a), pa.array(b), none(len(a), pa.int32()), none(len(a), pa.int32())], names=names)
+        if member.any():
+            yield pa.RecordBatch.from_arrays([pa.array(key[member]), pa.array(node[member]), none(int(member.sum()), pa.int64()), pa.array(n[member]), pa.array(pos[member])], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []  # of the group that the next batch may go on with, preceded by whole ones
+        held, seen = None, False  # the last group so far: all of up to two rows, or the head of a larger one that is seen
         for batch in batches:
             if not batch.num_rows:
                 continue
             new = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            changes = np.flatnonzero((new[0][1:] != new[0][:-1]) | (new[1][1:] != new[1][:-1])) + 1
-            goes_on = held and new[0][0] == held[-1][0][-1] and new[1][0] == held[-1][1][-1]
-            if goes_on and not len(changes):
-                held.append(new)
+            now = new if held is None else [np.concatenate(c) for c in zip(held, new, strict=True)]
+            last = int(np.flatnonzero((now[0] == now[0][-1]) & (now[1] == now[1][-1]))[0])
+            alone = last == 0
+            if len(now[0]) - last <= 2 and not (alone and seen):
+                if last:
+                    yield from emit([c[:last] for c in now], seen)
+                held, seen = [c[last:] for c in now], False
+            else:
+                yield from emit(now, seen, True)
+                held, seen = [c[last : last + 1] for c in now], True
+        if held is not None and not seen:
+            yield from emit(held, False)
+
+    return materialize(ordered.mapInArrow(run, "key long, a long, b long, n int, pos int"), "met")
+
+
+def _meet(rows: DataFrame, at_least: float) -> DataFrame:
+    """Pairs (a, b) of differing labels in each group of ``rows`` (key, kind, i, j, node, label, n, pos, own).
+
+    Kind 0: rows of the key's main label (own -1) against others; kind 1: other rows of block i against those of block j.
+    """
+
+    def pairs(kind: int, i: int, j: int, node: np.ndarray, label: np.ndarray, n: np.ndarray, pos: np.ndarray, own: np.ndarray) -> Iterator[pa.RecordBatch]:
+        left, right = (own >= 0, own < 0) if kind == 0 else (own == i, own == j)
+        x, y = np.flatnonzero(left), np.flatnonzero(right)
+        step = max(1, (1 << 18) // max(1, len(y)))
+        for k in range(0, len(x), step):
+            p = x[k : k + step, None]
+            fits = (label[p] != label[y]) & _fits(n[p], pos[p], n[y], pos[y], at_least)
+            if kind and i == j:
+                fits &= node[p] < node[y]
+            u, v = np.nonzero(fits)
+            if len(u):
+                u, v = node[p[u, 0]], node[y[v]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []  # of one group, which has a bounded number of rows
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            cut = int(changes[-1]) if len(changes) else 0
-            held.append([c[:cut] for c in new])
-            yield from groups([np.concatenate(c) for c in zip(*held, strict=True)])
-            held = [[c[cut:] for c in new]]
+            new = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            if held:
+                new = [np.concatenate([a, b]) for a, b in zip(held, new, strict=True)]
+            ends = np.flatnonzero(np.any([c[1:] != c[:-1] for c in new[:4]], axis=0)) + 1
+            for s, e in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=False):
+                yield from pairs(*(int(c[s]) for c in new[1:4]), *(c[s:e] for c in new[4:]))
+            held = [c[ends[-1] if len(ends) else 0 :] for c in new]
         if held:
-            yield from groups([np.concatenate(c) for c in zip(*held, strict=True)])
+            yield from pairs(*(int(c[0]) for c in held[1:4]), *held[4:])
 
-    ordered = rows.select("key", "block", "node", "label", "n", "pos", "main", "home").repartition("key", "block").sortWithinPartitions("key", "block")
+    ordered = rows.select("key", "kind", "i", "j", "node", "label", "n", "pos", "own").repartition("key", "kind", "i", "j").sortWithinPartitions("key", "kind", "i", "j")
     return ordered.mapInArrow(run, "a long, b long")
 
 
-def unlinked_pairs(texts: DataFrame, labels: DataFrame, nodes: int, size: int, at_least: float) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of ``texts`` (node, text) without a common label that ``at_least`` does not rule out.
+def unlinked_pairs(members: DataFrame, labels: DataFrame, at_least: float) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of ``members`` (key, a, n, pos) without a common label that ``at_least`` does not rule out.
 
-    ``labels`` (node, label) names the groups known so far; a node it lacks is its own. Rows repeated in ``texts`` count
-    once, ``nodes`` is about their number. A frequent shingle whose texts are one group costs a count; otherwise the
-    rows of its largest group are dealt over blocks that all its other rows visit.
+    ``labels`` (node, label) names the groups known so far; a node it lacks is its own. A shingle whose texts are one
+    group costs a count. Otherwise the rows of its largest group and all its other rows are dealt into blocks of about
+    GROUP, and any two blocks meet that may hold a pair of different groups; no task holds more than two blocks.
     """
-    prefixes = _prefixes(texts, size, at_least, _frequent(texts, size, nodes)).dropDuplicates(["node"])
-    grouped = prefixes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    rows = grouped.select("node", "label", "n", "rare", F.posexplode("keys").alias("pos", "key"))
-    rare = rows.where("pos < rare").select("key", F.lit(0).alias("block"), "node", "label", "n", "pos", F.lit(False).alias("main"), F.lit(True).alias("home"))
-    frequent = materialize(rows.where("pos >= rare").drop("rare"), "frequent")
-    mixed = frequent.groupBy("key", "label").agg(F.count("*").alias("rows")).groupBy("key")
-    mixed = mixed.agg(F.count("*").alias("labels"), F.max_by("label", F.struct("rows", "label")).alias("most"), F.ceil(F.sum("rows") / GROUP).cast("int").alias("blocks")).where("labels > 1")
-    met = frequent.join(mixed, "key").withColumn("main", F.col("label") == F.col("most")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    visits = F.when(F.col("main"), F.array("own")).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = met.withColumn("block", F.explode(visits)).withColumn("home", F.col("block") == F.col("own"))
-    return _meet(rare, at_least).unionByName(_meet(dealt, at_least)).distinct()
+    named = members.select("key", F.col("a").alias("node"), "n", "pos").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    named = materialize(named, "members")
+    sizes = named.groupBy("key", "label").agg(F.count("*").alias("rows")).groupBy("key")
+    mixed = sizes.agg(F.count("*").alias("labels"), F.max_by("label", F.struct("rows", "label")).alias("most"), F.max("rows").alias("m"), F.sum("rows").alias("all")).where("labels > 1")
+    blocks = lambda n: F.ceil(n / GROUP).cast("int")
+    met = named.join(mixed.select("key", "most", blocks(F.col("m")).alias("mains"), blocks(F.col("all") - F.col("m")).alias("others")), "key")
+    main = F.col("label") == F.col("most")
+    block = F.pmod(F.xxhash64("node"), F.when(main, F.col("mains")).otherwise(F.col("others"))).cast("int")
+    at = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
+    met = met.withColumn("block", block)
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    visits = F.when(main, F.transform(every("others"), lambda j: at(0, F.col("block"), j))).otherwise(
+        F.concat(F.transform(every("mains"), lambda i: at(0, i, F.col("block"))), F.transform(every("others"), lambda j: at(1, F.least("block", j), F.greatest("block", j))))
+    )
+    dealt = met.select("key", "node", "label", "n", "pos", F.when(main, -1).otherwise(F.col("block")).alias("own"), F.explode(visits).alias("g")).select("*", "g.kind", "g.i", "g.j")
+    return _meet(dealt, at_least).distinct()

@@ -13,10 +13,13 @@ _local: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; only where it is unset (tests), a temporary one of this process."""
+    """The folder named by spark.checkpoint.dir. Where it is unset, a temporary one in local mode (tests); on a cluster an error,
+    for executors would write to folders that nobody else sees."""
     named = spark.conf.get(_CONF, None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError(f"{_CONF} must name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _local:
         _local[app] = "file://" + tempfile.mkdtemp(prefix="quillmark-")
@@ -26,12 +29,12 @@ def shared_dir(spark: SparkSession) -> str:
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing has used yet; it is deleted when the driver ends."""
     path = f"{shared_dir(spark)}/quillmark/{name}-{uuid.uuid4().hex}"
-    atexit.register(discard, spark, path)
+    atexit.register(_delete, spark, path)
     return path
 
 
-def discard(spark: SparkSession, path: str) -> None:
-    """Deletes a table made by ``materialize``; a session that has already stopped leaves it to its owner."""
+def _delete(spark: SparkSession, path: str) -> None:
+    """Deletes a path; a session that has already stopped leaves it to its owner."""
     context = spark.sparkContext
     if getattr(context, "_jsc", None) is None:
         return
@@ -47,4 +50,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.quillmark_path = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that ``materialize`` made, as soon as nothing will be read from them again."""
+    for table in tables:
+        _delete(table.sparkSession, table.quillmark_path)

@@ -2,7 +2,10 @@ import random
 from itertools import combinations
 
 import pytest
+from pyspark.sql import functions as F
 from quillmark.llm import near_copies as N
+from quillmark.llm import near_dups as D
+from quillmark.llm import prefix_join as P
 from quillmark.llm.near_dups import shingles
 
 SCHEMA = "doc_id long, text string, label string, node int"
@@ -44,14 +47,35 @@ def rows():
     return rows + [(len(rows), rows[20][1]), (7, rows[7][1])]
 
 
-@pytest.mark.parametrize("bucket", [64, 1])
-def test_equals_brute_force_but_for_a_few_candidates(spark, rows, monkeypatch, bucket):
-    monkeypatch.setattr(N, "BUCKET", bucket)
+@pytest.mark.parametrize("bucket", [64, 8, 1])
+def test_equals_brute_force(spark, rows, monkeypatch, bucket):
+    monkeypatch.setattr(D, "BUCKET", bucket)
     docs = spark.createDataFrame([(i, t, "clash", 1) for i, t in rows], SCHEMA)
     kept = N.drop_near_copies(docs)
     assert kept.schema == docs.schema
-    got, wanted = sorted(r.doc_id for r in kept.collect()), brute_kept(rows)
-    assert set(wanted) <= set(got) and len(got) <= len(wanted) + (1 if bucket > 1 else 12)  # never a wrong link; few missed
+    assert sorted(r.doc_id for r in kept.collect()) == brute_kept(rows)
+
+
+@pytest.mark.parametrize(("frequent", "group", "star", "batch"), [(2, 2, 4, 3), (2, 3, 65536, 1), (4, 4096, 65536, 10000)])
+def test_any_setting_finds_the_same(spark, rows, monkeypatch, frequent, group, star, batch):
+    monkeypatch.setattr(P, "FREQUENT_FROM", frequent)
+    monkeypatch.setattr(P, "GROUP", group)
+    monkeypatch.setattr(P, "STAR", star)
+    monkeypatch.setattr(N, "_light_pairs", lambda nodes: nodes.where("false").selectExpr("node as a", "node as b"))  # the exact path alone
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        docs = spark.createDataFrame([(i, t, "clash", 1) for i, t in rows], SCHEMA)
+        assert sorted(r.doc_id for r in N.drop_near_copies(docs).collect()) == brute_kept(rows)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a b c", 5, 7, "x", "y"), (2, "a b c", 6, 8, "z", "w"), (2, "other", 6, 8, "z", "w")], "__id long, text string, digest int, node int, row string, `k.id` string")
+    kept = N.drop_near_copies(docs, id_col="__id")
+    assert kept.schema == docs.schema and sorted(tuple(r) for r in kept.collect()) == [(1, "a b c", 5, 7, "x", "y"), (2, "other", 6, 8, "z", "w")]
+    named = docs.withColumn("__id", F.lit("id"))
+    assert N.drop_near_copies(named, id_col="__id").count() == 2
 
 
 def test_nothing_clean_is_dropped(spark):
@@ -81,10 +105,8 @@ def test_links_of_crowded_buckets_and_frequent_shingles(spark, monkeypatch):
     for _ in range(40):
         base = [w for _ in range(40) for w in (rng.choice(["an", "the", "re", "or", "ing", "hed"]), rng.choice(long))]
         rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(base + ["an"]))]
-    monkeypatch.setattr(N, "BUCKET", 8)
-    if exact := getattr(N, "unlinked_pairs", None):
-        module = __import__(exact.__module__, fromlist=["x"])
-        monkeypatch.setattr(module, "FREQUENT_FROM", 2)
-        monkeypatch.setattr(module, "GROUP", 2)
+    monkeypatch.setattr(D, "BUCKET", 8)
+    monkeypatch.setattr(P, "FREQUENT_FROM", 2)
+    monkeypatch.setattr(P, "GROUP", 2)
     docs = spark.createDataFrame([(i, t, "", 1) for i, t in rows], SCHEMA)
     assert sorted(r.doc_id for r in N.drop_near_copies(docs).collect()) == brute_kept(rows)
