@@ -21,7 +21,7 @@ from .graphs import connected
 from .near_dups import links_within_two, simhash
 from .storage import discard, materialize
 
-#: Nodes up to which those whose texts are wanted are broadcast, with their ids: some megabytes.
+#: Rows up to which nodes whose texts are wanted, or verdicts, are broadcast with their digests and ids: some megabytes.
 FEW = 200_000
 
 
@@ -82,8 +82,8 @@ def drop_near_copies(docs: DataFrame, shingle_words: int = 5, similarity: float
     equal in id and text one stays. Texts of any length are compared whole; columns may have any names; an empty table
     gives an empty one.
 
-    Texts are shuffled once, at the end, with all their columns; before that only keys, fingerprints and shingle prefixes
-    move, and the sets of texts that some candidate names.
+    Keys, fingerprints and shingle prefixes are shuffled, and the sets of texts that some candidate names. Rows themselves
+    move only where more than FEW texts are in groups.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     texts = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.unhex(F.sha2(text, 256)).alias("digest"))
@@ -94,8 +94,8 @@ def drop_near_copies(docs: DataFrame, shingle_words: int = 5, similarity: float
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(word_fingerprints(batch.column(1)).view(np.int64))], names=["id", "digest", "f"])
 
     rows = texts.mapInArrow(prints, f"id {kind}, digest binary, f long").groupBy("digest", "f", "id").agg(F.count("*").alias("n"))
-    least = rows.groupBy("digest", "f").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "n")).alias("k"))
-    nodes = materialize(least.select(F.monotonically_increasing_id().alias("node"), "digest", "f", "k"), "nodes")
+    least = rows.groupBy("digest", "f").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "n")).alias("k"), F.sum("n").alias("rows"))
+    nodes = materialize(least.select(F.monotonically_increasing_id().alias("node"), "digest", "f", "k", "rows"), "nodes")
 
     def verified(pairs: DataFrame) -> DataFrame:
         wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select("node", "digest", F.col("k.id").alias("first")), "wanted")
@@ -110,26 +110,25 @@ def drop_near_copies(docs: DataFrame, shingle_words: int = 5, similarity: float
     def grouped(links: DataFrame) -> DataFrame:
         return materialize(connected(links).select("node", "label"), "labels")
 
-    light = materialize(_light_pairs(nodes.select("node", "f")), "candidates")
-    links = verified(light)
-    labels = grouped(links)
     prefixes = P.prefixes(texts.select("digest", "text"), nodes.select("node", "digest"), shingle_words, similarity)
-    met = P.stars(prefixes, labels, similarity)
-    stars = materialize(met.where("key is null").select("a", "b").distinct(), "candidates")
-    links = links.unionByName(verified(stars))
-    labels = grouped(links)
-    rest = P.unlinked_pairs(met.where("key is not null"), labels, similarity).join(stars, ["a", "b"], "left_anti")
+    met = P.stars(prefixes, similarity)
+    candidates = materialize(_light_pairs(nodes.select("node", "f")).unionByName(met.where("key is null").select("a", "b")).distinct(), "candidates")
+    links = verified(candidates)
+    labels = materialize(connected(links).select("node", "label"), "labels")
+    rest = P.unlinked_pairs(met.where("key is not null"), labels, similarity).join(candidates, ["a", "b"], "left_anti")
     rest = materialize(rest, "candidates")
     more = verified(rest)
     if not more.isEmpty():
-        labels = grouped(links.unionByName(more))
-    discard(light, met, stars, rest)
-
-    groups = nodes.join(labels, "node", "left").select("digest", "k", F.coalesce("label", "node").alias("label"))
-    keeper = groups.groupBy("label").agg(F.min(F.struct("k", "digest")).alias("best"))
-    verdicts = materialize(groups.join(keeper, "label").select("digest", F.when(F.col("digest") == F.col("best.digest"), F.col("best.k")).alias("kept")), "verdicts")
-    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).alias("id"), F.unhex(F.sha2(text, 256)).alias("digest"))
-    left = whole.join(verdicts, "digest").where(F.col("kept").isNotNull() & F.col("id").eqNullSafe(F.col("kept.id")))
-    if not verdicts.where("kept.n > 1").isEmpty():  # rows equal in id and text
-        left = left.dropDuplicates(["digest"])
+        labels = materialize(connected(links.unionByName(more)).select("node", "label"), "labels")
+    discard(met, candidates, rest)
+
+    groups = nodes.join(labels, "node", "left").select("digest", "k", "rows", F.coalesce("label", "node").alias("label"))
+    keeper = groups.groupBy("label").agg(F.min(F.struct("k", "digest")).alias("best"), F.sum("rows").alias("rows")).where("rows > 1")
+    verdicts = materialize(groups.drop("rows").join(keeper, "label").select("digest", (F.col("digest") == F.col("best.digest")).alias("stays"), "best.k.id", "best.k.n"), "verdicts")
+    few = F.broadcast(verdicts) if verdicts.count() <= FEW else verdicts
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).alias("own"), F.unhex(F.sha2(text, 256)).alias("digest"))
+    judged = whole.join(few, "digest", "left").where(F.col("stays").isNull() | (F.col("stays") & F.col("own").eqNullSafe(F.col("id"))))
+    left = judged.select("row", "own", "digest")
+    if not verdicts.where("stays and n > 1").isEmpty():  # rows equal in id and text
+        left = left.dropDuplicates(["digest", "own"])
     return left.select("row.*")

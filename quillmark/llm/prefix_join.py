@@ -19,7 +19,7 @@ from . import words as W
 from .storage import materialize
 
 #: Texts of the sample, about. It decides the order of shingles and so the cost, never the result.
-SAMPLE = 100_000
+SAMPLE = 10_000
 
 #: Shingles put last: at most so many of those that so many texts of the sample hold. Their number shapes the cost only.
 FREQUENT, FREQUENT_FROM = 100_000, 4
@@ -107,29 +107,26 @@ def _fits(n: np.ndarray, pos: np.ndarray, m: np.ndarray, at: np.ndarray, at_leas
     return np.minimum(n - pos, m - at) >= at_least / (1 + at_least) * (n + m) - 1e-6
 
 
-def stars(prefixes_: DataFrame, labels: DataFrame, at_least: float) -> DataFrame:
+def stars(prefixes_: DataFrame, at_least: float) -> DataFrame:
     """What meets on a shingle, as a table: pairs (a, b) where key is null, else members (key, node, n, pos) of larger groups.
 
     The first node of each group meets all others, so a group costs its size; one of two nodes is settled by that. Groups
-    of three or more hand their members on, unless all of them have one label of ``labels`` (node, label); so do the stars
-    of a frequent shingle, whatever their size. Rows stream by in order of key and node: a task holds a batch and the head
-    of a group, however large the group is.
+    of three or more hand their members on; so do the stars of a frequent shingle, whatever their size. Rows stream by in
+    order of key and node: a task holds a batch and the head of a group, however large the group is.
     """
-    named = prefixes_.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    rows = named.select("node", "label", "n", "stars", F.posexplode("keys").alias("pos", "key"))
+    rows = prefixes_.select("node", "n", "stars", F.posexplode("keys").alias("pos", "key"))
     of = F.get("stars", F.col("pos"))
     star = F.when(of > 1, F.pmod(F.xxhash64("node"), of)).otherwise(-1).cast("int")  # -1: the only one
-    ordered = rows.select("key", star.alias("star"), "node", "label", "n", "pos").repartition("key", "star").sortWithinPartitions("key", "star", "node")
+    ordered = rows.select("key", star.alias("star"), "node", "n", "pos").repartition("key", "star").sortWithinPartitions("key", "star", "node")
 
     def emit(columns: list[np.ndarray], seen: bool, goes_on: bool = False) -> Iterator[pa.RecordBatch]:
         """From rows of whole groups; of the first one only a head that was ``seen`` before and what follows; the last may go on."""
-        key, star, node, label, n, pos = columns
+        key, star, node, n, pos = columns
         starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (star[1:] != star[:-1])]))
         sizes = np.diff(np.append(starts, len(key)))
         hub = np.repeat(starts, sizes)
-        pair = (label != label[hub]) & _fits(n, pos, n[hub], pos[hub], at_least)
-        mixed = np.minimum.reduceat(label, starts) != np.maximum.reduceat(label, starts)
-        large = ((sizes > 2) & mixed) | (star[starts] >= 0)
+        pair = (node != node[hub]) & _fits(n, pos, n[hub], pos[hub], at_least)
+        large = (sizes > 2) | (star[starts] >= 0)
         large[0] |= seen
         large[-1] |= goes_on
         member = np.repeat(large, sizes)
