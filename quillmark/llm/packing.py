@@ -2,8 +2,9 @@
 
 Documents are tokenised and cut into pieces of at most a sequence. Pieces are dealt into groups; each group packs its
 own by best-fit decreasing and certifies the number of its bins by dual feasible functions. Groups that stand above
-their bound give the pieces of all bins that aren't full to a common pool, which is dealt anew and packed again; the
-new packing is kept if it has fewer bins.
+their bound give their bins that aren't full to a common pool. It is dealt anew, bin by bin, so that pieces of different
+groups come together; each new group keeps its packing if that has fewer bins than it was given. This goes on until a
+turn gains nothing.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -94,46 +96,58 @@ def lower_bound(counts: np.ndarray, capacity: int) -> int:
     return best
 
 
-def _packed(rows: DataFrame, capacity: int, groups: int, turn: int, name: str) -> DataFrame:
-    """Packs ``rows`` in ``groups`` groups dealt by a hash; the result is a table in the shared folder."""
-    columns = rows.columns
-    dealt = rows.withColumn("group", F.pmod(F.xxhash64(F.lit(turn), *columns), F.lit(groups)))
+def _packed(rows: DataFrame, capacity: int, groups: int, turn: int, columns: list[str], name: str) -> DataFrame:
+    """Packs ``rows`` in ``groups`` groups dealt by a hash; the result is a table in the shared folder.
+
+    In turn 0 pieces are dealt; afterwards bins are, and stay as they are where packing them anew saves none.
+    """
+    key = [F.xxhash64(F.lit(turn), *columns)] if turn == 0 else [F.xxhash64(F.lit(turn), "sequence_id")]
+    dealt = rows.withColumn("__deal", F.pmod(key[0], F.lit(groups)))
 
     def pack(table: pa.Table) -> pa.Table:
-        sizes = table["length"].to_numpy()
-        table = table.take(pa.array(np.lexsort([*(np.asarray(table[c].fill_null(-1)) for c in ("ids_crc32", "start", "piece", columns[0])), -sizes])))
-        sizes = table["length"].to_numpy()
+        order = [("length", "descending"), *((c, "ascending") for c in (columns[0], "piece", "start", "ids_crc32"))]
+        table = table.take(pc.sort_indices(table, sort_keys=order))
+        sizes, deal = table["length"].to_numpy(), table["__deal"].to_numpy()
         bins, offsets = best_fit(sizes.tolist(), capacity)
-        bins = np.array(bins, np.int64)
-        gap = int(bins.max()) + 1 - lower_bound(np.bincount(sizes, minlength=capacity + 1), capacity)
-        group = table["group"].to_numpy()
-        own = {"sequence_id": (np.int64(turn) << 56) + (group << 36) + bins, "offset": np.array(offsets, np.int64), "fill": np.bincount(bins, sizes).astype(np.int64)[bins], "gap": np.full(len(bins), gap), "group": group}
+        bins, offsets = np.array(bins, np.int64), np.array(offsets, np.int64)
+        bound = lower_bound(np.bincount(sizes, minlength=capacity + 1), capacity)
+        ids, used = (np.int64(turn) << 56) + (deal << 36) + bins, int(bins.max()) + 1
+        if turn:
+            old, at = np.unique(table["sequence_id"].to_numpy(), return_inverse=True)
+            if len(old) <= used:
+                ids, bins, offsets, used = table["sequence_id"].to_numpy(), at, table["offset"].to_numpy(), len(old)
+        own = {"sequence_id": ids, "offset": offsets, "fill": np.bincount(bins, sizes).astype(np.int64)[bins], "gap": np.full(len(bins), used - bound), "group": deal}
         return pa.table({**{c: table[c] for c in columns}, **own})
 
-    ddl = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema] + [f"`{c}` long" for c in _PACKED])
-    return materialize(dealt.groupBy("group").applyInArrow(pack, ddl), name)
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    ddl = ", ".join([f"`{c}` {kinds[c]}" for c in columns] + [f"`{c}` long" for c in _PACKED])
+    return materialize(dealt.groupBy("__deal").applyInArrow(pack, ddl), name)
 
 
-def pack_pieces(rows: DataFrame, capacity: int = 2048, group_rows: int = 100_000, turns: int = 3) -> DataFrame:
+def pack_pieces(rows: DataFrame, capacity: int = 2048, group_rows: int = 100_000) -> DataFrame:
     """``rows`` (id, piece, start, length, ids_crc32) with sequence_id and offset: pieces fill a sequence from 0 without gaps.
 
-    ``group_rows``: pieces packed together, about; the only rows a task holds at once. ``turns``: exchanges at most.
+    ``group_rows``: pieces packed together, about; the only rows a task holds at once. Ids may be of any type that sorts.
     Ties are broken by id, piece and start; rows that are equal in all columns are interchangeable. No rows, no sequences.
+    A turn moves the loose bins of the groups above their bound alone; turns end when none is above it, when a turn saves
+    no bin, or when the pool was one group and so met in whole.
     """
     rows = materialize(rows, "pieces")
-    n = rows.count()
-    state = _packed(rows, capacity, max(1, -(-n // group_rows)), 0, "packed")
-    for turn in range(1, turns + 1):
+    columns, n, turn = rows.columns, rows.count(), 0
+    state = _packed(rows, capacity, max(1, -(-n // group_rows)), 0, columns, "packed")
+    settled = None
+    while True:
         loose = (F.col("gap") > 0) & (F.col("fill") < capacity)
-        pool = state.where(loose)
-        n, before, groups = pool.agg(F.count("*"), F.count_if(F.col("offset") == 0), F.count_distinct("group")).first()
+        n, before, groups = state.where(loose).agg(F.count("*"), F.count_if(F.col("offset") == 0), F.count_distinct("group")).first()
         if groups < 2:
             break
-        again = _packed(pool.drop(*_PACKED), capacity, max(1, -(-n // group_rows)), turn, "repacked")
-        if again.where("offset = 0").count() >= before:
+        turn += 1
+        kept = state.where(~loose)
+        settled = kept if settled is None else settled.unionByName(kept)
+        state = _packed(state.where(loose), capacity, max(1, -(-n // group_rows)), turn, columns, "repacked")
+        if state.where("offset = 0").count() == before:
             break
-        state = state.where(~loose).unionByName(again)
-    return state.drop("fill", "gap", "group")
+    return (state if settled is None else settled.unionByName(state)).select(*columns, "sequence_id", "offset")
 
 
 def certificate(packed: DataFrame, capacity: int = 2048) -> tuple[int, int]:

@@ -10,12 +10,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .storage import new_path
+from .storage import materialize, new_path
 from .tokens import encoder, version
 
 CACHE = T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("n_tokens", T.LongType()), T.StructField("tokenizer", T.StringType())])
 
 
+#: Misses up to which they are broadcast to find their texts: some megabytes of digests.
+FEW = 100_000
+
+
 def _first_seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Drops repeats within a task, so that a text copied everywhere reaches the shuffle once from each task."""
     seen: set[bytes] = set()
@@ -45,25 +49,31 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
     changed tokenizer finds nothing of the old one.
 
     Null or empty text: 0 bytes, 0 tokens. Null ids stay null, repeated rows give a row each and are encoded once, other
-    columns are left out whatever their names, and an empty table gives an empty one.
-    Texts are shuffled once, by digest and after repeats within a task are gone; then only digests and counts move.
+    columns are left out whatever their names, and an empty table gives an empty one. Digests meet the cache without the
+    texts; only texts that it lacks are shuffled, once, by digest and after repeats within a task are gone. Where it
+    lacks none, no text moves.
     """
     spark = docs.sparkSession
     cache_path, tokenizer = cache_path or new_path(spark, "token-cache"), version(tokenizer_path)
     text = F.coalesce(F.col(text_col), F.lit(""))
     digest = F.unhex(F.sha2(text, 256))
+    rows = docs.select(F.col(id_col).alias("id"), F.octet_length(text).cast("long").alias("n_bytes"), digest.alias("digest"))
     wanted = docs.select(digest.alias("digest"), text.alias("text")).mapInArrow(_first_seen, "digest binary, text string")
-    held = read_cache(spark, cache_path, tokenizer)
+    held, missing = read_cache(spark, cache_path, tokenizer), True
     if held is not None:
-        wanted = wanted.join(held.hint("shuffle_hash"), "digest", "left_anti")
+        rows = materialize(rows, "digests")
+        misses = materialize(rows.select("digest").distinct().join(held, "digest", "left_anti"), "misses")
+        many = misses.count()
+        missing = many > 0
+        wanted = wanted.join(F.broadcast(misses) if many <= FEW else misses.hint("shuffle_hash"), "digest", "left_semi")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _first_seen(batches):
             counts = [x.counts for x in encoder(tokenizer_path).batch(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate([np.zeros(0, np.int64), *counts]))], names=["digest", "n_tokens"])
 
-    fresh = wanted.repartition("digest").mapInArrow(encode, "digest binary, n_tokens long")
-    fresh.withColumn("tokenizer", F.lit(tokenizer)).write.mode("append").parquet(cache_path)
+    if missing:
+        fresh = wanted.repartition("digest").mapInArrow(encode, "digest binary, n_tokens long")
+        fresh.withColumn("tokenizer", F.lit(tokenizer)).write.mode("append").parquet(cache_path)
     counts = read_cache(spark, cache_path, tokenizer)
-    rows = docs.select(F.col(id_col).alias("id"), F.octet_length(text).cast("long").alias("n_bytes"), digest.alias("digest"))
     return rows.join(counts, "digest", "left").select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -21,7 +21,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
 
     ``dictionary``: ids as dictionary numbers; otherwise delta-packed (Parquet's version 2 pages). Column and offset
     indexes are always written. Files follow each other in id order; null ids come first, and rows of the same id are
-    ordered by text. Null or empty text: the end id alone. An empty table gives files without rows. Texts are shuffled once, by id range.
+    ordered by a hash of their texts, so that an id that many rows share spans files. Null or empty text: the end id alone.
+    An empty table gives files without rows; other columns are left out. Texts are shuffled once, by id range.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -32,8 +33,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
                 lists = pa.ListArray.from_arrays(pa.array(own.bounds.astype(np.int32)), pa.array(own.flat.view(np.int32)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(own.first, len(lists)), pa.array(own.counts), lists], names=["id", "n_tokens", "ids"])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    ordered = rows.repartitionByRange("id").sortWithinPartitions("id", "text")
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("tie"), F.col(text_col).alias("text"))
+    ordered = rows.repartitionByRange("id", "tie").sortWithinPartitions("id", "tie").select("id", "text")
     tokens = ordered.mapInArrow(encode, f"id {kind}, n_tokens long, ids array<int>").withColumnRenamed("id", id_col)
     options = {
         "compression": "zstd", "parquet.block.size": row_group_bytes, "parquet.page.size": page_bytes, "parquet.page.row.count.limit": 20_000,
@@ -55,7 +56,7 @@ def read_range(spark: SparkSession, path: str, first: int, last: int, id_col: st
 def file_digests(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
     """Reads the files back: id, start (ids in all rows before it), n_tokens and ids_crc32, a row per written row.
 
-    Rows of a file are numbered in the order of (id, n_tokens, crc), files in the order of their ids; what is brought
+    Rows are numbered as they stand in the files, repeated ids too, files in the order of their ids; what is brought
     together is a number per file, and a few numbers per row within a file.
     """
     files = spark.read.parquet(path)
@@ -63,17 +64,17 @@ def file_digests(spark: SparkSession, path: str, id_col: str = "doc_id") -> Data
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(2)
+            ids = batch.column(3)
             flat, ends = np.asarray(ids.values).astype("<u4", copy=False), np.asarray(ids.offsets).tolist()
             sums = [zlib.crc32(flat[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(ends).astype(np.int64)), pa.array(sums, pa.int64())], names=["file", "id", "n_tokens", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.diff(ends).astype(np.int64)), pa.array(sums, pa.int64())], names=["file", "row", "id", "n_tokens", "ids_crc32"])
 
     # A number for each file: the part number in its name, which follows the id ranges.
     file = F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("int")
-    rows = files.select(file.alias("file"), F.col(id_col).alias("id"), "ids").mapInArrow(check, f"file int, id {kind}, n_tokens long, ids_crc32 long")
+    rows = files.select(file.alias("file"), F.col("_metadata.row_index").alias("row"), F.col(id_col).alias("id"), "ids").mapInArrow(check, f"file int, row long, id {kind}, n_tokens long, ids_crc32 long")
     counted = files.select(file.alias("file"), "n_tokens").groupBy("file").agg(F.sum("n_tokens").alias("tokens"))
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # over one row per file
     files_before = counted.select("file", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("files_before"))
-    inside = Window.partitionBy("file").orderBy(F.col("id").asc_nulls_first(), "n_tokens", "ids_crc32").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("file").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("rows_before", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
     return placed.join(files_before, "file").select(F.col("id").alias(id_col), (F.col("files_before") + F.col("rows_before")).alias("start"), "n_tokens", "ids_crc32")

@@ -19,9 +19,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-from .words import BLOCK, mixed_keys, utf8
+from .words import BLOCK, ends_of, mixed_keys, utf8
 
-#: Chunks that a table holds before it is emptied; up to 40 bytes each, ids included.
+#: Chunks that a table holds before it is emptied; up to 60 bytes each, ids included.
 KEPT = 1_500_000
 
 _SPACE, _LINE, _BLANK, _LETTER, _DIGIT, _PUNCT, _QUOTE, _OTHER = range(8)
@@ -64,33 +64,50 @@ def _cuts(data: np.ndarray, bounds: np.ndarray, special: list[bytes]) -> np.ndar
     return np.flatnonzero(cut)
 
 
+@dataclass
+class _Chunks:
+    """Chunks of up to 16 bytes: a hash of each, and what they are, namely their first and last eight bytes and their sizes."""
+
+    hashes: np.ndarray
+    parts: tuple[np.ndarray, np.ndarray, np.ndarray]
+
+    def at(self, k: np.ndarray) -> _Chunks:
+        return _Chunks(self.hashes[k], tuple(x[k] for x in self.parts))
+
+
 class _Table:
-    """Chunk keys to places in a pool of ids, by open addressing; whole arrays are looked up and stored at once."""
+    """Chunks to places in a pool of ids, by open addressing; whole arrays are looked up and stored at once.
+
+    The bytes of a chunk are compared, not its hash alone.
+    """
 
     def __init__(self, room: int):
         self.room, self.bits = room, int(np.ceil(np.log2(2 * room)))
         self.empty()
 
     def empty(self) -> None:
-        self.keys = np.zeros(1 << self.bits, np.uint64)
-        self.slots = np.zeros((1 << self.bits, 2), np.int32)
+        n = 1 << self.bits
+        self.parts = np.zeros(n, np.uint64), np.zeros(n, np.uint64), np.zeros(n, np.uint8)  # size 0: free
+        self.slots = np.zeros((n, 2), np.int32)
         self.pool = np.zeros(1 << 16, np.uint32)
         self.held = self.used = 0
 
-    def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return (keys >> np.uint64(64 - self.bits)).astype(np.int64)
+    def _slot(self, chunks: _Chunks) -> np.ndarray:
+        return (chunks.hashes >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def _same(self, slot: np.ndarray, chunks: _Chunks) -> np.ndarray:
+        return (self.parts[0][slot] == chunks.parts[0]) & (self.parts[1][slot] == chunks.parts[1]) & (self.parts[2][slot] == chunks.parts[2])
 
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """The slot of each key, or -1."""
-        slot = self._slot(keys)
-        here = self.keys[slot]
-        found = np.where(here == keys, slot, -1)
-        todo = np.flatnonzero((here != keys) & (here != 0))
+    def find(self, chunks: _Chunks) -> np.ndarray:
+        """The slot of each chunk, or -1."""
+        slot = self._slot(chunks)
+        found = np.where(self._same(slot, chunks), slot, -1)
+        todo = np.flatnonzero((found < 0) & (self.parts[2][slot] != 0))
         while len(todo):
             slot[todo] = (slot[todo] + 1) & ((1 << self.bits) - 1)
-            here = self.keys[slot[todo]]
-            found[todo[here == keys[todo]]] = slot[todo[here == keys[todo]]]
-            todo = todo[(here != keys[todo]) & (here != 0)]
+            same = self._same(slot[todo], chunks.at(todo))
+            found[todo[same]] = slot[todo[same]]
+            todo = todo[~same & (self.parts[2][slot[todo]] != 0)]
         return found
 
     def add(self, ids: list[list[int]]) -> np.ndarray:
@@ -104,16 +121,18 @@ class _Table:
         self.used += n
         return np.stack([places, sizes], 1)
 
-    def store(self, keys: np.ndarray, places: np.ndarray) -> None:
-        """Stores distinct keys that aren't held."""
-        slot, todo = self._slot(keys), np.arange(len(keys))
-        self.held += len(keys)
+    def store(self, chunks: _Chunks, places: np.ndarray) -> None:
+        """Stores distinct chunks that aren't held."""
+        slot, todo = self._slot(chunks), np.arange(len(places))
+        self.held += len(places)
         while len(todo):
-            free = todo[self.keys[slot[todo]] == 0]
+            free = todo[self.parts[2][slot[todo]] == 0]
             _, first = np.unique(slot[free], return_index=True)
             free = free[first]
-            self.keys[slot[free]], self.slots[slot[free]] = keys[free], places[free]
-            todo = todo[self.keys[slot[todo]] != keys[todo]]
+            for own, new in zip(self.parts, chunks.parts, strict=True):
+                own[slot[free]] = new[free]
+            self.slots[slot[free]] = places[free]
+            todo = np.setdiff1d(todo, free, assume_unique=True)
             slot[todo] = (slot[todo] + 1) & ((1 << self.bits) - 1)
 
 
@@ -147,7 +166,7 @@ class Encoder:
     """Ids as the library of a tokenizer file gives them: tokenizers for .json files, sentencepiece for .model files.
 
     No begin, end or added special tokens; special strings in a text are handled as the library does by default, and
-    nothing is truncated or padded. Chunks of up to 16 bytes are told apart by a 64-bit key, longer ones by their bytes.
+    nothing is truncated or padded. Chunks are told apart by their bytes.
     """
 
     def __init__(self, path: str):
@@ -208,20 +227,20 @@ class Encoder:
         place = _cuts(data, bounds, self._special)
         starts, ends = place[:-1], place[1:]
         sizes = ends - starts
-        keys = mixed_keys(data, starts, ends)
-        keys[keys == 0] = 1
-        short = sizes <= 16
-        slots = self._table.find(keys)
-        slots[~short] = -1
-        missing = np.flatnonzero(short & (slots < 0))
+        short = np.flatnonzero(sizes <= 16)
+        head, tail, _ = ends_of(data, starts[short], ends[short])
+        chunks = _Chunks(mixed_keys(data, starts[short], ends[short]), (head, tail, sizes[short].astype(np.uint8)))
+        slots = np.full(len(sizes), -1)
+        slots[short] = self._table.find(chunks)
+        missing = np.flatnonzero(slots[short] < 0)
         if len(missing):
-            new, one = np.unique(keys[missing], return_index=True)
-            one = missing[one]
-            text = data.tobytes()
-            self._table.store(new, self._table.add([self._chunk(text[a:b]) for a, b in zip(starts[one].tolist(), ends[one].tolist(), strict=True)]))
-            slots[missing] = self._table.find(keys[missing])
+            text, new = data.tobytes(), {}
+            for k, a, b in zip(missing.tolist(), starts[short[missing]].tolist(), ends[short[missing]].tolist(), strict=True):
+                new.setdefault(text[a:b], k)
+            self._table.store(chunks.at(np.array(list(new.values()))), self._table.add([self._chunk(c) for c in new]))
+            slots[short[missing]] = self._table.find(chunks.at(missing))
         where = self._table.slots[np.maximum(slots, 0)].astype(np.int64)
-        for k in np.flatnonzero(~short).tolist():
+        for k in np.flatnonzero(sizes > 16).tolist():
             chunk = data[starts[k] : ends[k]].tobytes()
             if (held := self._long.get(chunk)) is None:
                 held = self._table.add([self._chunk(chunk)])[0]

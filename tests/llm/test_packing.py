@@ -100,7 +100,8 @@ def test_whole_packing(spark, docs):
         assert at <= capacity
     used, bound = packing.certificate(packed, capacity)
     assert used == len(fills) and bound <= used <= bound * 1.05
-    assert used <= len({r.sequence_id for r in packing.pack_pieces(cut, capacity, group_rows=60, turns=0).collect()})
+    alone = packing.certificate(packing._packed(packing.materialize(cut, "pieces"), capacity, -(-len(rows) // 60), 0, cut.columns, "packed"), capacity)[0]
+    assert used <= alone
     made = packing.sequences(packing.pieces(docs, JSON, capacity, with_ids=True), packed).collect()
     assert len(made) == used
     for r in made:
@@ -110,3 +111,17 @@ def test_whole_packing(spark, docs):
 
 def test_empty(spark, docs):
     assert packing.pack_pieces(packing.pieces(docs.limit(0), JSON)).collect() == []
+
+
+def test_ids_of_any_type(spark, docs):
+    named = packing.pieces(docs.selectExpr("'id' || doc_id as doc_id", "text"), JSON, 64)
+    rows = packing.pack_pieces(named, 64, group_rows=60).collect()
+    assert len(rows) == named.count() and len({(r.sequence_id, r.offset) for r in rows}) == len(rows)
+
+
+def test_the_exchange_saves_bins(spark):
+    rng = random.Random(3)
+    rows = spark.createDataFrame([(k, 0, 0, min(2048, max(1, int(rng.lognormvariate(6.4, 0.8)))), k) for k in range(6000)], "doc_id long, piece int, start long, length long, ids_crc32 long")
+    used, bound = packing.certificate(packing.pack_pieces(rows, group_rows=600))
+    alone = packing.certificate(packing._packed(rows, 2048, 10, 0, rows.columns, "packed"))[0]
+    assert bound <= used < alone

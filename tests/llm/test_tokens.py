@@ -86,3 +86,25 @@ def test_files_have_indexes(spark, docs, tmp_path):
 def test_empty_files(spark, docs, tmp_path):
     write_token_files(docs.limit(0), f"file://{tmp_path}/ids", JSON)
     assert file_digests(spark, f"file://{tmp_path}/ids").collect() == []
+
+def test_starts_follow_the_files_where_ids_repeat(spark, tmp_path):
+    path, texts = f"file://{tmp_path}/ids", ["one two three four five six", "one", "", "two words", None, "x"] * 3
+    write_token_files(spark.createDataFrame([(7, t) for t in texts] + [(1, "first")], "doc_id long, text string").repartition(4), path, JSON)
+    stands = [t for r in sorted(spark.read.parquet(path).select("*", "_metadata.file_name", "_metadata.row_index").collect(), key=lambda r: (r.file_name, r.row_index)) for t in r.ids]
+    rows = file_digests(spark, path).collect()
+    assert len(rows) == len(texts) + 1 and sorted(r.start for r in rows)[-1] < len(stands)
+    for r in rows:
+        assert zlib.crc32(np.array(stands[r.start : r.start + r.n_tokens], "<u4").tobytes()) == r.ids_crc32
+        assert stands[r.start + r.n_tokens - 1] == 0 and 0 not in stands[r.start : r.start + r.n_tokens - 1]
+
+def test_chunks_are_told_apart_by_their_bytes(monkeypatch):
+    monkeypatch.setattr(tokens, "mixed_keys", lambda data, starts, ends: np.full(len(starts), 5 << 40, np.uint64))  # all hashes collide
+    encoder = tokens.Encoder(JSON)
+    for text in ("the the a b c of the", "of a,b;c the 12 é\nthe ab\0 ab"):
+        assert encoder.ids(text) == ids(text)
+
+def test_a_warm_cache_encodes_nothing(spark, docs, tmp_path, monkeypatch):
+    cache = f"file://{tmp_path}/warm"
+    first = sorted(map(str, count_tokens(docs, JSON, cache).collect()))
+    monkeypatch.setattr("quillmark.llm.token_counts.encoder", None)
+    assert sorted(map(str, count_tokens(docs, JSON, cache).collect())) == first
