@@ -1,15 +1,16 @@
 """WARC archives and their Merkle fixity audit.
 
-Records are written as WARC files in the order of their ids. A record's digest is a leaf; neighbouring leaves, FANOUT at
-a time, make the nodes of the next level, each over an ordered range of offsets, up to one root. Two replicas are
-compared by their roots, and only below nodes that differ are children compared.
+Records are written as WARC files in the order of their ids, uncompressed, so that an offset can be sought. A record's
+digest is a leaf of a tree whose nodes cover ordered ranges of offsets. Where a range ends is told by the records
+themselves: one whose key hashes to a number of trailing zero digits opens a range of as many levels, so ranges hold
+FANOUT of the level below on average, and a lost, added or changed record moves the bounds next to it alone. Two replicas
+are compared by their roots, and only below nodes that differ are children compared.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -22,12 +23,18 @@ FANOUT, DEPTH = 16, 8
 END = "\r\n\r\n"
 _LENGTH = re.compile(rb"\r\nContent-Length: (\d+)", re.IGNORECASE)
 
+#: The capture date of pages that have none of their own.
+DATE = "2024-01-01T00:00:00Z"
 
-def record(id_: Column, url: Column, body: Column) -> Column:
+#: Bytes of a file, about, as written; and those above which a file isn't read, for one task holds it.
+FILE_BYTES, LARGEST_FILE = 64 << 20, 1 << 30
+
+
+def record(id_: Column, url: Column, body: Column, date: Column | None = None) -> Column:
     """A WARC resource record, without the two line ends after it. Nulls count as empty; control characters of a URL become %20."""
-    body = F.coalesce(body, F.lit(""))
+    body, date = F.coalesce(body, F.lit("")), F.lit(DATE) if date is None else F.coalesce(date, F.lit(DATE))
     head = F.concat(
-        F.lit("WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:page:"), F.coalesce(id_.cast("string"), F.lit("")), F.lit(">\r\nWARC-Target-URI: "),
+        F.lit("WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:page:"), F.coalesce(id_.cast("string"), F.lit("")), F.lit(">\r\nWARC-Date: "), date, F.lit("\r\nWARC-Target-URI: "),
         F.regexp_replace(F.coalesce(url, F.lit("")), r"[\x00-\x1F]", "%20"), F.lit("\r\nContent-Type: text/html\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit(END),
     )
     return F.concat(head, body)
@@ -39,26 +46,47 @@ def _records(pages: DataFrame, id_col: str, url_col: str, body_col: str) -> Data
 
 
 def write_archive(pages: DataFrame, path: str, files: int | None = None, id_col: str = "page_id", url_col: str = "url", body_col: str = "html") -> None:
-    """Writes gzipped WARC files whose records follow each other by id (null first), then digest, from file to file."""
+    """Writes WARC files whose records follow each other by id (null first), then digest, from file to file.
+
+    ``files``: how many, else as many as keep them near FILE_BYTES; an id that many rows share spans files.
+    """
+    if files is None:
+        size = pages.agg(F.sum(F.coalesce(F.octet_length(body_col), F.lit(0)) + 256)).first()[0]
+        files = max(pages.sparkSession.sparkContext.defaultParallelism, -(-int(size or 0) // FILE_BYTES))
     rows = _records(pages, id_col, url_col, body_col)
-    dealt = rows.repartitionByRange(files, "id") if files else rows.repartitionByRange("id")
-    dealt.sortWithinPartitions(F.col("id").asc_nulls_first(), "digest").select("value").write.option("lineSep", END).option("compression", "gzip").text(path)
+    dealt = rows.repartitionByRange(files, F.col("id").asc_nulls_first(), "digest")
+    dealt.sortWithinPartitions(F.col("id").asc_nulls_first(), "digest").select("value").write.option("lineSep", END).text(path)
+
+
+_NAMES = [f"name{k}" for k in range(1, DEPTH + 1)]
 
 
 def _numbered(rows: DataFrame, part: str, *order: Column) -> DataFrame:
-    """Adds rank and offset over all rows: parts in order, rows of a part by ``order``. Gathers a row per part at most."""
-    totals = rows.groupBy(part).agg(F.count("*").alias("n"), F.sum(F.col("length") + len(END)).alias("size"))
-    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)  # over the parts, not the rows
-    starts = totals.select(part, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"), F.coalesce(F.sum("size").over(before), F.lit(0)).alias("o0"))
+    """Adds rank, offset, k and the names of the ranges over each row: parts in order, rows of a part by ``order``.
+
+    ``k`` counts rows of the same id and digest. A range is named by the key that opens it, 0 before the first. Gathers a
+    row per part at most.
+    """
+    rows = rows.withColumn("k", F.row_number().over(Window.partitionBy("id", "digest").orderBy(part, *order)) - 1)
+    key = F.md5(F.concat_ws("|", F.coalesce(F.col("id").cast("string"), F.lit("")), "digest", F.col("k").cast("string")))
+    level, name = F.length(F.regexp_extract(key, "0*$", 0)), F.conv(F.substring(key, 1, 15), 16, 10).cast("long")
+    opened = [F.when(F.col("level") >= k + 1, F.col("name")) for k in range(DEPTH)]
+    rows = rows.withColumns({"level": level, "name": name})
     inside = Window.partitionBy(part).orderBy(*order)
-    own = rows.withColumn("k", F.row_number().over(inside) - 1).withColumn("o", F.sum(F.col("length") + len(END)).over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    return own.join(starts, part).select("id", (F.col("n0") + F.col("k")).alias("rank"), (F.col("o0") + F.col("o") - F.col("length") - len(END)).alias("offset"), "length", "digest")
+    upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    size = F.col("length") + len(END)
+    own = rows.select("*", (F.row_number().over(inside) - 1).alias("r"), (F.sum(size).over(upto) - size).alias("o"), *(F.last(x, ignorenulls=True).over(upto).alias(n) for x, n in zip(opened, _NAMES, strict=True)))
+    totals = own.groupBy(part).agg(F.count("*").alias("n"), F.sum(size).alias("size"), *(F.max_by(n, F.when(F.col(n).isNotNull(), F.col("r"))).alias(n) for n in _NAMES))
+    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)  # over the parts, not the rows
+    starts = totals.select(part, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"), F.coalesce(F.sum("size").over(before), F.lit(0)).alias("o0"), *(F.last(n, ignorenulls=True).over(before).alias("before_" + n) for n in _NAMES))
+    names = [F.coalesce(n, "before_" + n, F.lit(0)).alias(n) for n in _NAMES]
+    return own.join(starts, part).select("id", (F.col("n0") + F.col("r")).alias("rank"), (F.col("o0") + F.col("o")).alias("offset"), "length", "digest", "k", *names)
 
 
 def expected_leaves(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", body_col: str = "html") -> DataFrame:
-    """(id, rank, offset, length, digest) of the records that an archive of ``pages`` holds; only digests are shuffled."""
+    """The numbered records that an archive of ``pages`` holds; only digests are shuffled."""
     rows = _records(pages, id_col, url_col, body_col).select("id", F.octet_length("value").cast("long").alias("length"), "digest")
-    rows = materialize(rows.repartitionByRange("id").withColumn("part", F.spark_partition_id()), "records")
+    rows = materialize(rows.repartitionByRange(F.col("id").asc_nulls_first(), "digest").withColumn("part", F.spark_partition_id()), "records")
     return _numbered(rows, "part", F.col("id").asc_nulls_first(), F.col("digest"))
 
 
@@ -78,87 +106,88 @@ def parse(data: bytes) -> Iterator[tuple[str | None, int, int, str]]:
 
 
 def archive_leaves(spark: SparkSession, path: str) -> DataFrame:
-    """(id, rank, offset, length, digest) of the records that stand in WARC files, gzipped or not, in the order of the files."""
+    """The numbered records that stand in WARC files, in the order of the files. A task holds a file, so none may pass LARGEST_FILE."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content in zip(batch.column(0), batch.column(1), strict=True):
-                data = content.as_buffer().to_pybytes()
-                if data[:2] == b"\x1f\x8b":
-                    data = _unpacked(data)
-                rows = list(parse(data))
+                rows = list(parse(content.as_buffer().to_pybytes()))
                 columns = [pa.array([name.as_py()] * len(rows), pa.string()), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, names=["part", "id", "at", "length", "digest"])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
-    rows = materialize(files.mapInArrow(run, "part string, id string, at long, length long, digest string"), "archive")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+    largest = files.agg(F.max("length")).first()[0] or 0
+    if largest > LARGEST_FILE:
+        raise ValueError(f"a WARC file of {largest} bytes: files of up to {LARGEST_FILE} are audited")
+    rows = materialize(files.select("path", "content").mapInArrow(run, "part string, id string, at long, length long, digest string"), "archive")
     return _numbered(rows, "part", F.col("at"))
 
 
-def _unpacked(data: bytes) -> bytes:
-    """A gzip file of one or more members; of a damaged one what comes before the damage."""
-    out = []
-    while data:
-        member = zlib.decompressobj(31)
-        try:
-            out.append(member.decompress(data))
-        except zlib.error:
-            break
-        data = member.unused_data
-    return b"".join(out)
-
-
 def tree(leaves: DataFrame) -> list[DataFrame]:
-    """Levels from the leaves to the root: (node, first, after, digest), a node over each FANOUT of the level below.
+    """Levels from 1 to DEPTH: (name1 .., first, after, digest), a node over each range of the level below.
 
-    ``first`` and ``after`` bound the node's offsets. There are DEPTH levels above the leaves, more if the root needs
-    them; an empty archive has empty levels. Each level is a table, a node gathers FANOUT children at most.
+    A node's own name is the first of its columns, the others name the ranges above it; ``first`` and ``after`` bound its
+    offsets. A node gathers FANOUT children on average, some hundred at most by any likelihood, whatever the archive's size.
     """
-    level = materialize(leaves.select(F.col("rank").alias("node"), F.col("offset").alias("first"), (F.col("offset") + F.col("length") + len(END)).alias("after"), "digest"), "leaves")
-    n, levels = level.count(), [level]
-    while len(levels) <= DEPTH or n > 1:
-        children = F.array_sort(F.collect_list(F.struct("node", "digest")))
-        level = level.groupBy((F.col("node") / FANOUT).cast("long").alias("node")).agg(F.min("first").alias("first"), F.max("after").alias("after"), F.sha2(F.array_join(F.transform(children, lambda c: c["digest"]), ""), 256).alias("digest"))
-        n = -(-n // FANOUT)
-        if len(levels) <= 3:  # further ones are small
+    level, levels = leaves.select("digest", F.col("offset").alias("first"), (F.col("offset") + F.col("length") + len(END)).alias("after"), *_NAMES), []
+    for k in range(DEPTH):
+        children = F.array_sort(F.collect_list(F.struct("first", "digest")))
+        level = level.groupBy(*_NAMES[k:]).agg(F.min("first").alias("first"), F.max("after").alias("after"), F.sha2(F.array_join(F.transform(children, lambda c: c["digest"]), ""), 256).alias("digest"))
+        if k < 3:  # further ones are small
             level = materialize(level, "nodes")
         levels.append(level)
     return levels
 
 
 def root(levels: list[DataFrame]) -> str | None:
-    """The digest of the whole archive; None for an empty one."""
-    row = levels[-1].first()
-    return row.digest if row else None
-
-
-def mismatches(one: list[DataFrame], other: list[DataFrame]) -> DataFrame:
-    """(rank, state) of leaves that differ, or are missing or extra in ``other``; only below differing nodes are nodes compared."""
-    spark = one[0].sparkSession
-    depth = max(len(one), len(other))
-    one, other = one + [one[-1]] * (depth - len(one)), other + [other[-1]] * (depth - len(other))
-    if root(one) == root(other):
-        return spark.createDataFrame([], "rank long, state string")
-    suspects = None
-    for a, b in zip(reversed(one), reversed(other), strict=True):
-        a, b = a.select("node", F.col("digest").alias("a")), b.select("node", F.col("digest").alias("b"))
-        if suspects is not None:
-            above = suspects.select(F.col("node").alias("above"))
-            a, b = (x.join(above, (F.col("node") / FANOUT).cast("long") == F.col("above"), "left_semi") for x in (a, b))
-        suspects = materialize(a.join(b, "node", "full").where(~F.col("a").eqNullSafe(F.col("b"))), "suspects")
-    state = F.when(F.col("b").isNull(), "missing").when(F.col("a").isNull(), "extra").otherwise("differs")
-    return suspects.select(F.col("node").alias("rank"), state.alias("state"))
+    """The digest over the nodes of the last level; None for an empty archive."""
+    children = F.array_sort(F.collect_list(F.struct("first", "digest")))
+    row = levels[-1].agg(F.count("*").alias("n"), F.sha2(F.array_join(F.transform(children, lambda c: c["digest"]), ""), 256).alias("digest")).first()
+    return row.digest if row.n else None
+
+
+def mismatches(one: DataFrame, other: DataFrame) -> tuple[DataFrame, str | None]:
+    """Leaves of two replicas that don't agree, and the first one's root: (state, one, other), structs of id, rank, offset, length and digest.
+
+    From the roots down, only nodes below a node that differs are compared. State: differs (the same id, other content),
+    missing or extra in ``other``.
+    """
+    spark, trees = one.sparkSession, [tree(one), tree(other)]
+    roots = [root(t) for t in trees]
+    leaf = lambda df: df.select(F.col("id").cast("string").alias("name"), "k", "digest", F.struct("id", "rank", "offset", "length", "digest").alias("leaf"), "name1")
+    sides = [leaf(one), leaf(other)]
+    if roots[0] == roots[1]:
+        return spark.createDataFrame([], f"state string, one {sides[0].schema['leaf'].dataType.simpleString()}, other {sides[1].schema['leaf'].dataType.simpleString()}"), roots[0]
+    suspects: list[DataFrame | None] = [None, None]
+    for k in reversed(range(DEPTH)):
+        name = _NAMES[k]
+        below = [t[k] if s is None else t[k].join(s, _NAMES[k + 1], "left_semi") for t, s in zip(trees, suspects, strict=True)]
+        a, b = (x.select(F.col(name).alias("node"), F.col("digest").alias(n)) for x, n in zip(below, "ab", strict=True))
+        bad = materialize(a.join(b, "node", "full").where(~F.col("a").eqNullSafe(F.col("b"))), "suspects")
+        suspects = [bad.where(f"{n} is not null").select(F.col("node").alias(name)) for n in "ab"]
+    held = [x.join(s, "name1", "left_semi").drop("name1") for x, s in zip(sides, suspects, strict=True)]
+    same = lambda a, b: a["name"].eqNullSafe(b["name"]) & (a["digest"] == b["digest"]) & (a["k"] == b["k"])
+    alone = [a.join(b, same(a, b), "left_anti") for a, b in (held, held[::-1])]
+    turn = Window.partitionBy("name").orderBy("leaf.rank")
+    a, b = (x.select("name", F.when(F.col("name").isNotNull(), F.row_number().over(turn)).alias("turn"), F.col("leaf").alias(n)) for x, n in zip(alone, ("one", "other"), strict=True))
+    pairs = a.join(b, ["name", "turn"], "full")
+    state = F.when(F.col("other").isNull(), "missing").when(F.col("one").isNull(), "extra").otherwise("differs")
+    return materialize(pairs.select(state.alias("state"), "one", "other"), "mismatches"), roots[0]
 
 
 def audit(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", body_col: str = "html") -> DataFrame:
     """Compares WARC files with the records that ``pages`` make; a row per expected record, and per extra one.
 
-    Columns: id, rank, offset, length, digest (those expected; of an extra record all but rank are null), state (intact,
-    differs, missing, extra) and root (of the expected tree). Null ids come first, repeated ids by digest; null URLs and
-    pages count as empty; other columns play no part; no pages, no rows.
+    Columns: id, rank, offset, length, digest, state (intact, differs, missing, extra) and root (of the expected tree). An
+    extra record has no rank, and the id, offset, length and digest that it has in the files; its id is null where it can't
+    be read. Null ids come first, repeated ids by digest; rows equal in id and content are told apart by their number; null
+    URLs and pages count as empty; other columns play no part; no pages and no files, no rows.
     """
     leaves = materialize(expected_leaves(pages, id_col, url_col, body_col), "expected")
-    levels = tree(leaves)
-    bad = mismatches(levels, tree(archive_leaves(pages.sparkSession, path)))
-    rows = leaves.join(bad, "rank", "full").select(F.col("id").alias(id_col), "rank", "offset", "length", "digest", F.coalesce("state", F.lit("intact")).alias("state"))
-    return rows.withColumn("root", F.lit(root(levels)).cast("string"))
+    found = materialize(archive_leaves(pages.sparkSession, path), "found")
+    bad, digest = mismatches(leaves, found)
+    kind = pages.schema[id_col].dataType
+    states = bad.where("one is not null").select(F.col("one.rank").alias("rank"), "state")
+    rows = leaves.join(states, "rank", "left").select(F.col("id").alias(id_col), "rank", "offset", "length", "digest", F.coalesce("state", F.lit("intact")).alias("state"))
+    extra = bad.where("one is null").select(F.col("other.id").try_cast(kind).alias(id_col), F.lit(None).cast("long").alias("rank"), "other.offset", "other.length", "other.digest", "state")
+    return rows.unionByName(extra).withColumn("root", F.lit(digest).cast("string"))

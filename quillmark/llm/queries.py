@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .archives import audit, write_archive
+from .archives import DATE, audit, write_archive
 from .decontamination import contaminated
 from .languages import fit, held_out, identify
 from .licenses import scan_licenses
@@ -58,27 +58,42 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Archives the pages and audits the files against the table."""
-    pages, path = _read(spark, sf_dir, "pages"), new_path(spark, "warc")
-    write_archive(pages, path)
+    """Audits a replica of the pages in which some were changed, some lost and some added, by their ids."""
+    pages, path = _read(spark, sf_dir, "pages").select("page_id", "url", "html"), new_path(spark, "warc")
+    i = F.col("page_id")
+    changed = F.when(i % 97 == 13, F.concat(F.coalesce("html", F.lit("")), F.lit("#"))).otherwise(F.col("html"))
+    replica = pages.where(F.coalesce(i % 101 != 7, F.lit(True))).withColumn("html", changed)
+    write_archive(replica.unionByName(pages.where(i % 103 == 11).withColumn("page_id", (i + 1_000_000_000).cast(pages.schema["page_id"].dataType))), path)
     return audit(pages, path)
 
 
+def _op6_records(name: str, source: str) -> str:
+    return f"""{name}_bodies AS (SELECT page_id, coalesce(html, '') AS body, regexp_replace(coalesce(url, ''), '[\x00-\x1F]', '%20', 'g') AS url FROM {source}),
+{name}_records AS (
+    SELECT page_id, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || coalesce(CAST(page_id AS VARCHAR), '') || '>'
+        || chr(13) || chr(10) || 'WARC-Date: {DATE}' || chr(13) || chr(10) || 'WARC-Target-URI: ' || url || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10)
+        || 'Content-Length: ' || CAST(strlen(body) AS VARCHAR) || chr(13) || chr(10) || chr(13) || chr(10) || body AS record FROM {name}_bodies),
+{name}_digests AS (SELECT page_id, CAST(strlen(record) AS BIGINT) AS length, sha256(record) AS digest FROM {name}_records),
+{name} AS (
+    SELECT page_id, row_number() OVER o - 1 AS rank, CAST(sum(length + 4) OVER o - length - 4 AS BIGINT) AS "offset", length, digest
+    FROM {name}_digests WINDOW o AS (ORDER BY page_id NULLS FIRST, digest ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"""
+
+
+_OP6_NAMES = [f"name{k}" for k in range(1, 9)]
 _OP6_LEVELS = "".join(
-    f", level{k} AS (SELECT node // 16 AS node, sha256(string_agg(digest, '' ORDER BY node)) AS digest FROM level{k - 1} GROUP BY 1)" for k in range(1, 9)
+    f", level{k} AS (SELECT {', '.join(_OP6_NAMES[k - 1 :])}, min(first) AS first, sha256(string_agg(digest, '' ORDER BY first)) AS digest FROM level{k - 1} GROUP BY {', '.join(_OP6_NAMES[k - 1 :])})" for k in range(1, 9)
 )
 _OP6_SQL = f"""
-WITH bodies AS (SELECT page_id, coalesce(html, '') AS body, regexp_replace(coalesce(url, ''), '[\\x00-\\x1F]', '%20', 'g') AS url FROM pages),
-records AS (
-    SELECT page_id, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || coalesce(CAST(page_id AS VARCHAR), '') || '>'
-        || chr(13) || chr(10) || 'WARC-Target-URI: ' || url || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10)
-        || 'Content-Length: ' || CAST(strlen(body) AS VARCHAR) || chr(13) || chr(10) || chr(13) || chr(10) || body AS record FROM bodies),
-digests AS (SELECT page_id, CAST(strlen(record) AS BIGINT) AS length, sha256(record) AS digest FROM records),
-leaves AS (
-    SELECT page_id, row_number() OVER o - 1 AS rank, CAST(sum(length + 4) OVER o - length - 4 AS BIGINT) AS "offset", length, digest
-    FROM digests WINDOW o AS (ORDER BY page_id NULLS FIRST, digest ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
-level0 AS (SELECT rank AS node, digest FROM leaves){_OP6_LEVELS}
-SELECT page_id, rank, "offset", length, digest, 'intact' AS state, (SELECT digest FROM level8) AS root FROM leaves
+WITH replica_pages AS (
+    SELECT page_id, url, CASE WHEN page_id % 97 = 13 THEN coalesce(html, '') || '#' ELSE html END AS html FROM pages WHERE coalesce(page_id % 101 <> 7, true)
+    UNION ALL SELECT page_id + 1000000000, url, html FROM pages WHERE page_id % 103 = 11),
+{_op6_records('leaves', 'pages')}, {_op6_records('found', 'replica_pages')},
+keyed AS (SELECT *, md5(concat_ws('|', coalesce(CAST(page_id AS VARCHAR), ''), digest, CAST(row_number() OVER (PARTITION BY page_id, digest ORDER BY rank) - 1 AS VARCHAR))) AS h FROM leaves),
+opened AS (SELECT *, length(h) - length(rtrim(h, '0')) AS lv, CAST('0x' || left(h, 15) AS BIGINT) AS name FROM keyed),
+level0 AS (SELECT rank AS first, digest, {', '.join(f"coalesce(last_value(CASE WHEN lv >= {k} THEN name END IGNORE NULLS) OVER o, 0) AS name{k}" for k in range(1, 9))} FROM opened WINDOW o AS (ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)){_OP6_LEVELS},
+top AS (SELECT sha256(string_agg(digest, '' ORDER BY first)) AS root FROM level8)
+SELECT page_id, rank, "offset", length, digest, CASE WHEN page_id % 101 = 7 THEN 'missing' WHEN page_id % 97 = 13 THEN 'differs' ELSE 'intact' END AS state, root FROM leaves, top
+UNION ALL SELECT page_id, NULL, "offset", length, digest, 'extra', root FROM found, top WHERE page_id >= 1000000000
 """
 
 

@@ -1,6 +1,8 @@
 import glob
-import gzip
 import hashlib
+import os
+import random
+from collections import Counter
 
 import pytest
 from quillmark.llm import archives as A
@@ -13,7 +15,7 @@ def wanted(rows):
     records = []
     for i, url, html in rows:
         body = (html or "").encode()
-        head = f"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:page:{'' if i is None else i}>\r\nWARC-Target-URI: {(url or '').replace(chr(10), '%20')}\r\nContent-Type: text/html\r\nContent-Length: {len(body)}\r\n\r\n"
+        head = f"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:page:{'' if i is None else i}>\r\nWARC-Date: {A.DATE}\r\nWARC-Target-URI: {(url or '').replace(chr(10), '%20')}\r\nContent-Type: text/html\r\nContent-Length: {len(body)}\r\n\r\n"
         records.append((i, head.encode() + body))
     records.sort(key=lambda r: (r[0] is not None, r[0] or 0, hashlib.sha256(r[1]).hexdigest()))
     for rank, (i, r) in enumerate(records):
@@ -22,12 +24,21 @@ def wanted(rows):
     return out
 
 
-def brute_root(digests):
-    level, depth = digests, 0
-    while depth < A.DEPTH or len(level) > 1:
-        level = [hashlib.sha256("".join(level[k : k + A.FANOUT]).encode()).hexdigest() for k in range(0, len(level), A.FANOUT)]
-        depth += 1
-    return level[0]
+def brute_root(leaves):
+    """The root from (id, digest) in order, by the definition: ranges are opened by keys that end in zeros."""
+    seen, level = {}, []
+    for i, digest in leaves:
+        k = seen[i, digest] = seen.get((i, digest), -1) + 1
+        key = hashlib.md5(f"{'' if i is None else i}|{digest}|{k}".encode()).hexdigest()
+        level.append((len(key) - len(key.rstrip("0")), digest))
+    for depth in range(1, A.DEPTH + 1):
+        ranges = []
+        for zeros, digest in level:
+            if not ranges or zeros >= depth:
+                ranges.append((zeros, []))
+            ranges[-1][1].append(digest)
+        level = [(zeros, hashlib.sha256("".join(own).encode()).hexdigest()) for zeros, own in ranges]
+    return hashlib.sha256("".join(d for _, d in level).encode()).hexdigest()
 
 
 ROWS = [(k, f"http://x/{k}", f"<p>é {k}</p>\r\n\r\nWARC/1.1\r\n" * (k % 5)) for k in range(60)] + [(None, None, None), (3, "u\nv", "y" * 100000), (3, "u\nv", "y" * 100000), (70, "", "")]
@@ -46,47 +57,98 @@ def test_round_trip(archive):
     expected = wanted(ROWS)
     got = sorted(map(tuple, A.audit(pages, path).collect()), key=lambda r: r[1])
     assert [r[:5] for r in got] == expected and {r[5] for r in got} == {"intact"}
-    assert {r[6] for r in got} == {brute_root([r[4] for r in expected])}
-    leaves = sorted(map(tuple, A.archive_leaves(pages.sparkSession, path).collect()), key=lambda r: r[1])
+    assert {r[6] for r in got} == {brute_root([(r[0], r[4]) for r in expected])}
+    leaves = sorted(map(tuple, A.archive_leaves(pages.sparkSession, path).select("id", "rank", "offset", "length", "digest").collect()), key=lambda r: r[1])
     assert [(r[0] and int(r[0]), *r[1:]) for r in leaves] == expected
-    assert len(files) > 1 and sum(len(list(A.parse(gzip.open(f).read()))) for f in files) == len(ROWS)
+    whole = b"".join(open(f, "rb").read() for f in files)
+    assert len(files) > 1 and len(list(A.parse(whole))) == len(ROWS)
+    for r in got:  # an offset can be sought
+        assert hashlib.sha256(whole[r[2] : r[2] + r[3]]).hexdigest() == r[4]
+
+
+def rewrite(path, data):
+    with open(path, "wb") as f:
+        f.write(data)
+    os.remove(os.path.join(os.path.dirname(path), f".{os.path.basename(path)}.crc"))
 
 
 def test_corruption_is_located(archive):
     pages, path, files = archive
-    data = bytearray(gzip.open(files[1]).read())
+    data = bytearray(open(files[1], "rb").read())
     bad = list(A.parse(bytes(data)))[4]
     data[bad[1] + bad[2] - 1] ^= 1
-    with open(files[1], "wb") as f:
-        f.write(gzip.compress(bytes(data)))
-    import os
+    rewrite(files[1], bytes(data))
+    rows = A.audit(pages, path).collect()
+    assert [(str(r.page_id), r.state) for r in rows if r.state != "intact"] == [(bad[0], "differs")] and len(rows) == len(ROWS)
+
+
+def test_an_unreadable_header_loses_what_follows_in_its_file_alone(archive):
+    pages, path, files = archive
+    data = open(files[1], "rb").read()
+    records = list(A.parse(data))
+    rewrite(files[1], data[: records[-2][1]] + b"X" + data[records[-2][1] + 1 :])
+    bad = sorted((str(r.page_id), r.state) for r in A.audit(pages, path).collect() if r.state != "intact")
+    assert bad == sorted([("None", "extra"), (records[-2][0], "missing"), (records[-1][0], "missing")])
 
-    os.remove(os.path.join(os.path.dirname(files[1]), f".{os.path.basename(files[1])}.crc"))
-    rows = {r.rank: r for r in A.audit(pages, path).collect()}
-    assert [(str(r.page_id), r.state) for r in rows.values() if r.state != "intact"] == [(bad[0], "differs")]
+
+@pytest.mark.parametrize("gone", [10, 0, 59])
+def test_a_lost_record_is_one_mismatch(spark, tmp_path, gone):
+    pages = spark.createDataFrame([(k, f"u{k}", f"body {k}", "", 1) for k in range(200)], SCHEMA)
+    A.write_archive(pages.where(f"page_id <> {gone}"), f"file://{tmp_path}/warc", files=4)
+    rows = A.audit(pages, f"file://{tmp_path}/warc").collect()
+    assert [(r.page_id, r.state) for r in rows if r.state != "intact"] == [(gone, "missing")] and len(rows) == 200
 
 
 def test_missing_and_extra(spark, archive):
     pages, path, files = archive
     more = pages.unionByName(spark.createDataFrame([(1000, "u", "h", "", 1)], SCHEMA))
     assert [(r.page_id, r.state) for r in A.audit(more, path).collect() if r.state != "intact"] == [(1000, "missing")]
-    fewer = pages.where("page_id is null or page_id <> 70")
-    assert [(r.page_id, r.rank, r.state) for r in A.audit(fewer, path).collect() if r.state != "intact"] == [(None, len(ROWS) - 1, "extra")]
+    fewer = pages.where("page_id is null or page_id not in (70, 3)")
+    assert sorted((r.page_id, r.rank, r.state) for r in A.audit(fewer, path).collect() if r.state != "intact") == [(3, None, "extra")] * 3 + [(70, None, "extra")]
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_random_damage_equals_brute_force(spark, tmp_path, seed):
+    rng = random.Random(seed)
+    rows = [(rng.randrange(150), f"u{k}", rng.choice("abc") * 5, "", 1) for k in range(300)]
+    other = [(i, u, "changed" if rng.random() < 0.05 else h, "", 1) for i, u, h, *_ in rows if rng.random() > 0.05] + [(500 + k, "u", "new", "", 1) for k in range(5)]
+    A.write_archive(spark.createDataFrame(other, SCHEMA), f"file://{tmp_path}/warc", files=3)
+    got = A.audit(spark.createDataFrame(rows, SCHEMA), f"file://{tmp_path}/warc").collect()
+    count = lambda rs: Counter((i, d) for i, _, _, _, d in wanted([r[:3] for r in rs]))
+    lost, new = count(rows) - count(other), count(other) - count(rows)
+    states = Counter()
+    for i in {i for i, _ in lost | new}:
+        a, b = (sum(n for (j, _), n in side.items() if j == i) for side in (lost, new))
+        states += Counter({(i, "differs"): min(a, b), (i, "missing"): max(0, a - b), (i, "extra"): max(0, b - a)})
+    assert Counter((r.page_id, r.state) for r in got if r.state != "intact") == states and states
 
 
 def test_only_mismatching_branches_are_read(spark, archive):
     pages, path, _ = archive
-    levels = A.tree(A.expected_leaves(pages))
-    assert A.mismatches(levels, levels).collect() == []
-    assert levels[0].count() == len(ROWS) and levels[1].count() == -(-len(ROWS) // A.FANOUT)
+    leaves = A.expected_leaves(pages)
+    bad, root = A.mismatches(leaves, leaves)
+    assert bad.collect() == [] and root == A.root(A.tree(leaves))
+    levels = A.tree(leaves)
+    assert levels[0].count() > 1 and sum(r.after - r["first"] for r in levels[0].collect()) == max(r.after for r in levels[0].collect())
 
 
 def test_empty(spark, tmp_path):
     pages = spark.createDataFrame([], SCHEMA)
     A.write_archive(pages, f"file://{tmp_path}/none")
     assert A.audit(pages, f"file://{tmp_path}/none").collect() == []
+    one = spark.createDataFrame([(1, "u", "h", "", 1)], SCHEMA)
+    assert [(r.page_id, r.state) for r in A.audit(one, f"file://{tmp_path}/none").collect()] == [(1, "missing")]
 
 
 def test_damaged_files():
-    assert A._unpacked(gzip.compress(b"a") + gzip.compress(b"b")) == b"ab"
     assert list(A.parse(b"rubbish")) == [(None, 0, 7, hashlib.sha256(b"rubbish").hexdigest())]
+
+
+def test_query_equals_its_sql(spark):
+    import sys
+
+    sys.path.insert(0, os.path.dirname(os.path.dirname(__file__)))
+    import oracle
+    from quillmark.llm import queries
+
+    assert oracle.same(spark, queries.op6_merkle_audit, queries.oracle_sql()["op6_merkle_audit"], "/root/testdata/sf0.001") > 40
