@@ -40,7 +40,7 @@ def _sets(texts: DataFrame, size: int) -> DataFrame:
     """(node, set array<long>): the sorted shingle keys of (node, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in P.slices(batches):
             own = list(P.shingle_sets(batch.column(1), size))
             yield pa.RecordBatch.from_arrays([batch.column(0), P.lists(own)], names=["node", "set"])
 
@@ -112,15 +112,16 @@ def drop_near_copies(docs: DataFrame, shingle_words: int = 5, similarity: float
 
     prefixes = P.prefixes(texts.select("digest", "text"), nodes.select("node", "digest"), shingle_words, similarity)
     met = P.stars(prefixes, similarity)
-    candidates = materialize(_light_pairs(nodes.select("node", "f")).unionByName(met.where("key is null").select("a", "b")).distinct(), "candidates")
+    counts = P.counted(met)
+    candidates = materialize(_light_pairs(nodes.select("node", "f")).unionByName(counts.where("shared >= need").select("a", "b")).distinct(), "candidates")
     links = verified(candidates)
     labels = materialize(connected(links).select("node", "label"), "labels")
-    rest = P.unlinked_pairs(met.where("key is not null"), labels, similarity).join(candidates, ["a", "b"], "left_anti")
+    rest = P.unlinked_pairs(met.where("key is not null"), labels, counts, similarity).join(candidates, ["a", "b"], "left_anti")
     rest = materialize(rest, "candidates")
     more = verified(rest)
     if not more.isEmpty():
         labels = materialize(connected(links.unionByName(more)).select("node", "label"), "labels")
-    discard(met, candidates, rest)
+    discard(met, counts, candidates, rest)
 
     groups = nodes.join(labels, "node", "left").select("digest", "k", "rows", F.coalesce("label", "node").alias("label"))
     keeper = groups.groupBy("label").agg(F.min(F.struct("k", "digest")).alias("best"), F.sum("rows").alias("rows")).where("rows > 1")

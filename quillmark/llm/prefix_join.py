@@ -1,8 +1,10 @@
 """Pairs of texts whose shingle sets can be similar enough, none left out: a prefix-filter join, rarest shingles first.
 
-All sets are put in one order. Of two sets of Jaccard similarity t or more, the first shingle in common is among the
-first n - ceil(t n) + 1 of each. Any order finds the same similar pairs; the one here puts the shingles that a sample
-shows to be frequent last, so that few texts meet on them. Texts that are linked already need not meet again.
+All sets are put in one order, and the first n - ceil(t n) + 1 shingles are a set's prefix. Two sets of n and m shingles
+and of Jaccard similarity t or more have o = ceil(t / (1 + t) (n + m)) in common. At most n - o of the first set are not in
+the second, so of the one whose prefix ends first nearly all of the prefix stands in the other prefix too: a pair that
+shares fewer prefix shingles is ruled out. Any order finds the same similar pairs; the one here puts the shingles that a
+sample shows to be frequent last, so that few texts meet on them. Texts that are linked already need not meet again.
 """
 
 from __future__ import annotations
@@ -41,6 +43,13 @@ def shingle_sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
             yield np.unique(own).view(np.int64)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Smaller batches, so that what is made of the texts of one doesn't fill a task."""
+    for batch in batches:
+        for k in range(0, len(batch), rows):
+            yield batch.slice(k, rows)
+
+
 def lists(rows: list[np.ndarray]) -> pa.ListArray:
     """Arrays of longs as a column."""
     ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
@@ -63,7 +72,7 @@ def _frequent(texts: DataFrame, size: int, count: int) -> tuple[np.ndarray, np.n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
-        for batch in batches:
+        for batch in slices(batches):
             rows = batch.take(pa.array(_unseen(batch.column(0), seen)))
             yield pa.RecordBatch.from_arrays([rows.column(0), lists(list(shingle_sets(rows.column(1), size)))], names=["digest", "keys"])
 
@@ -82,7 +91,7 @@ def prefixes(texts: DataFrame, nodes: DataFrame, size: int, at_least: float) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (hot, ranks, stars), seen = shared.value, set()
-        for batch in batches:
+        for batch in slices(batches):
             rows = batch.take(pa.array(_unseen(batch.column(0), seen)))
             sizes, chosen, many = [], [], []
             for keys in shingle_sets(rows.column(1), size):
@@ -102,42 +111,48 @@ def prefixes(texts: DataFrame, nodes: DataFrame, size: int, at_least: float) ->
     return made.join(nodes, "digest").select("node", "n", "keys", "stars")
 
 
-def _fits(n: np.ndarray, pos: np.ndarray, m: np.ndarray, at: np.ndarray, at_least: float) -> np.ndarray:
-    """Whether sets of n and m shingles can be similar enough if the first common one stands at pos and at."""
-    return np.minimum(n - pos, m - at) >= at_least / (1 + at_least) * (n + m) - 1e-6
+def _need(n: np.ndarray, m: np.ndarray, at_least: float) -> np.ndarray:
+    """Prefix shingles that sets of n and m shingles share at least if they are similar enough; 0: they can't be."""
+    common = np.ceil(at_least / (1 + at_least) * (n + m) - 1e-6)
+    prefix = lambda x: x - np.ceil(at_least * x - 1e-9) + 1
+    least = np.maximum(1, np.minimum(prefix(n) - (n - common), prefix(m) - (m - common)))
+    return np.where(np.minimum(n, m) >= common, least, 0).astype(np.int32)
 
 
 def stars(prefixes_: DataFrame, at_least: float) -> DataFrame:
-    """What meets on a shingle, as a table: pairs (a, b) where key is null, else members (key, node, n, pos) of larger groups.
+    """What meets on a shingle, as a table: pairs (a, b, need, two) where key is null, else members (key, a, n) of larger groups.
 
-    The first node of each group meets all others, so a group costs its size; one of two nodes is settled by that. Groups
+    The first node of each group meets all others, so a group costs its size; ``two``: the pair is the whole group. Groups
     of three or more hand their members on; so do the stars of a frequent shingle, whatever their size. Rows stream by in
     order of key and node: a task holds a batch and the head of a group, however large the group is.
     """
     rows = prefixes_.select("node", "n", "stars", F.posexplode("keys").alias("pos", "key"))
     of = F.get("stars", F.col("pos"))
     star = F.when(of > 1, F.pmod(F.xxhash64("node"), of)).otherwise(-1).cast("int")  # -1: the only one
-    ordered = rows.select("key", star.alias("star"), "node", "n", "pos").repartition("key", "star").sortWithinPartitions("key", "star", "node")
+    ordered = rows.select("key", star.alias("star"), "node", "n").repartition("key", "star").sortWithinPartitions("key", "star", "node")
 
     def emit(columns: list[np.ndarray], seen: bool, goes_on: bool = False) -> Iterator[pa.RecordBatch]:
         """From rows of whole groups; of the first one only a head that was ``seen`` before and what follows; the last may go on."""
-        key, star, node, n, pos = columns
+        key, star, node, n = columns
         starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (star[1:] != star[:-1])]))
         sizes = np.diff(np.append(starts, len(key)))
         hub = np.repeat(starts, sizes)
-        pair = (node != node[hub]) & _fits(n, pos, n[hub], pos[hub], at_least)
+        need = _need(n[hub], n, at_least)
+        pair = (node != node[hub]) & (need > 0)
         large = (sizes > 2) | (star[starts] >= 0)
         large[0] |= seen
         large[-1] |= goes_on
         member = np.repeat(large, sizes)
+        two = ~member[pair]
         member[0] &= not seen
-        a, b = np.minimum(node[hub], node)[pair], np.maximum(node[hub], node)[pair]
         none = lambda k, kind: pa.nulls(k, kind)
-        names = ["key", "a", "b", "n", "pos"]
-        if len(a):
-            yield pa.RecordBatch.from_arrays([none(len(a), pa.int64()), pa.array(a), pa.array(b), none(len(a), pa.int32()), none(len(a), pa.int32())], names=names)
+        names = ["key", "a", "b", "n", "need", "two"]
+        if pair.any():
+            k = int(pair.sum())
+            yield pa.RecordBatch.from_arrays([none(k, pa.int64()), pa.array(np.minimum(node[hub], node)[pair]), pa.array(np.maximum(node[hub], node)[pair]), none(k, pa.int32()), pa.array(need[pair]), pa.array(two)], names=names)
         if member.any():
-            yield pa.RecordBatch.from_arrays([pa.array(key[member]), pa.array(node[member]), none(int(member.sum()), pa.int64()), pa.array(n[member]), pa.array(pos[member])], names=names)
+            k = int(member.sum())
+            yield pa.RecordBatch.from_arrays([pa.array(key[member]), pa.array(node[member]), none(k, pa.int64()), pa.array(n[member]), none(k, pa.int32()), none(k, pa.bool_())], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, seen = None, False  # the last group so far: all of up to two rows, or the head of a larger one that is seen
@@ -158,28 +173,35 @@ def stars(prefixes_: DataFrame, at_least: float) -> DataFrame:
         if held is not None and not seen:
             yield from emit(held, False)
 
-    return materialize(ordered.mapInArrow(run, "key long, a long, b long, n int, pos int"), "met")
+    return materialize(ordered.mapInArrow(run, "key long, a long, b long, n int, need int, two boolean"), "met")
+
+
+def counted(met: DataFrame) -> DataFrame:
+    """(a, b, shared, need, two) of the pairs that ``stars`` made, as a table: how often they met, and in groups of two."""
+    pairs = met.where("key is null").groupBy("a", "b").agg(F.count("*").alias("shared"), F.max("need").alias("need"), F.count_if("two").alias("two"))
+    return materialize(pairs, "counted")
 
 
 def _meet(rows: DataFrame, at_least: float) -> DataFrame:
-    """Pairs (a, b) of differing labels in each group of ``rows`` (key, kind, i, j, node, label, n, pos, own).
+    """Pairs (a, b, need) of differing labels in each group of ``rows`` (key, kind, i, j, node, label, n, own).
 
     Kind 0: rows of the key's main label (own -1) against others; kind 1: other rows of block i against those of block j.
     """
 
-    def pairs(kind: int, i: int, j: int, node: np.ndarray, label: np.ndarray, n: np.ndarray, pos: np.ndarray, own: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def pairs(kind: int, i: int, j: int, node: np.ndarray, label: np.ndarray, n: np.ndarray, own: np.ndarray) -> Iterator[pa.RecordBatch]:
         left, right = (own >= 0, own < 0) if kind == 0 else (own == i, own == j)
         x, y = np.flatnonzero(left), np.flatnonzero(right)
         step = max(1, (1 << 18) // max(1, len(y)))
         for k in range(0, len(x), step):
             p = x[k : k + step, None]
-            fits = (label[p] != label[y]) & _fits(n[p], pos[p], n[y], pos[y], at_least)
+            need = _need(n[p], n[y], at_least)
+            fits = (label[p] != label[y]) & (need > 0)
             if kind and i == j:
                 fits &= node[p] < node[y]
             u, v = np.nonzero(fits)
             if len(u):
-                u, v = node[p[u, 0]], node[y[v]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["a", "b"])
+                a, b = node[p[u, 0]], node[y[v]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(need[u, v])], names=["a", "b", "need"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []  # of one group, which has a bounded number of rows
@@ -196,18 +218,19 @@ def _meet(rows: DataFrame, at_least: float) -> DataFrame:
         if held:
             yield from pairs(*(int(c[0]) for c in held[1:4]), *held[4:])
 
-    ordered = rows.select("key", "kind", "i", "j", "node", "label", "n", "pos", "own").repartition("key", "kind", "i", "j").sortWithinPartitions("key", "kind", "i", "j")
-    return ordered.mapInArrow(run, "a long, b long")
+    ordered = rows.select("key", "kind", "i", "j", "node", "label", "n", "own").repartition("key", "kind", "i", "j").sortWithinPartitions("key", "kind", "i", "j")
+    return ordered.mapInArrow(run, "a long, b long, need int")
 
 
-def unlinked_pairs(members: DataFrame, labels: DataFrame, at_least: float) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of ``members`` (key, a, n, pos) without a common label that ``at_least`` does not rule out.
+def unlinked_pairs(members: DataFrame, labels: DataFrame, counts: DataFrame, at_least: float) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of ``members`` (key, a, n) without a common label that ``at_least`` does not rule out.
 
-    ``labels`` (node, label) names the groups known so far; a node it lacks is its own. A shingle whose texts are one
+    ``labels`` (node, label) names the groups known so far; a node it lacks is its own. ``counts`` are those of ``counted``:
+    what a pair shares in groups of two is added to what it shares here. A shingle whose texts are one
     group costs a count. Otherwise the rows of its largest group and all its other rows are dealt into blocks of about
     GROUP, and any two blocks meet that may hold a pair of different groups; no task holds more than two blocks.
     """
-    named = members.select("key", F.col("a").alias("node"), "n", "pos").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    named = members.select("key", F.col("a").alias("node"), "n").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     named = materialize(named, "members")
     sizes = named.groupBy("key", "label").agg(F.count("*").alias("rows")).groupBy("key")
     mixed = sizes.agg(F.count("*").alias("labels"), F.max_by("label", F.struct("rows", "label")).alias("most"), F.max("rows").alias("m"), F.sum("rows").alias("all")).where("labels > 1")
@@ -221,5 +244,7 @@ def unlinked_pairs(members: DataFrame, labels: DataFrame, at_least: float) -> Da
     visits = F.when(main, F.transform(every("others"), lambda j: at(0, F.col("block"), j))).otherwise(
         F.concat(F.transform(every("mains"), lambda i: at(0, i, F.col("block"))), F.transform(every("others"), lambda j: at(1, F.least("block", j), F.greatest("block", j))))
     )
-    dealt = met.select("key", "node", "label", "n", "pos", F.when(main, -1).otherwise(F.col("block")).alias("own"), F.explode(visits).alias("g")).select("*", "g.kind", "g.i", "g.j")
-    return _meet(dealt, at_least).distinct()
+    dealt = met.select("key", "node", "label", "n", F.when(main, -1).otherwise(F.col("block")).alias("own"), F.explode(visits).alias("g")).select("*", "g.kind", "g.i", "g.j")
+    shared = _meet(dealt, at_least).groupBy("a", "b").agg(F.count("*").alias("here"), F.max("need").alias("need"))
+    pairs = shared.join(counts.where("two > 0").select("a", "b", "two"), ["a", "b"], "left")
+    return pairs.where(F.col("here") + F.coalesce("two", F.lit(0)) >= F.col("need")).select("a", "b")
