@@ -17,6 +17,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,19 +28,24 @@ from .storage import materialize
 @dataclass(frozen=True)
 class Plan:
     """Tables, projections a table, cell width, cells visited a table; ``block``: vectors that meet in a block, about, and
-    those above which a cell is split; bands of at most so many vectors, and less than a twentieth of all, are cells."""
+    those above which a cell is split; bands of at most so many vectors, and less than a twentieth of all, are cells;
+    ``blocks``: least number of blocks, so that small tables are spread too."""
 
     tables: int = 4
     projections: int = 8
     width: float = 3.0
     probes: int = 48
     block: int = 8192
+    blocks: int = 64
     seed: int = 5
 
 
 #: Queries, and vectors, that are compared at a time.
 STEP = 256
 
+#: Rows that a task gathers before it hands its queries' nearest on.
+WAITING = 400_000
+
 #: Cells that are split, at most: where more exceed a block, blocks grow instead.
 SPLIT = 50_000
 
@@ -78,12 +85,31 @@ class Hashes:
         return self.name(own[:, None] + self.steps[best])
 
 
-def _usable(vector: str, dimension: int | None = None) -> Column:
-    """Not null, without null or non-finite components, not zero."""
-    v = F.col(vector)
-    fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    usable = v.isNotNull() & fine & F.exists(v, lambda x: x != 0)
-    return usable if dimension is None else usable & (F.size(v) == dimension)
+def _prepared(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    """(id, d, norm, x, y, v) of the vectors that take part, as a table: their dimension, norm, and a hash of 128 bits.
+
+    Those are not null, not zero, and without null or non-finite components; so is their id not null.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists, ids = batch.column(1), batch.column(0)
+            sizes = np.asarray(pc.fill_null(pc.list_value_length(lists), 0)).astype(np.int64)
+            flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64) + 0.0  # nulls become NaN, -0.0 becomes 0.0
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            most = np.zeros(len(sizes))
+            np.maximum.at(most, row, np.where(np.isfinite(flat), np.abs(flat), np.inf))
+            good = (most > 0) & np.isfinite(most) & ~np.asarray(ids.is_null())
+            flat, sizes, most = flat[good[row]], sizes[good], most[good]
+            ends = np.cumsum(np.concatenate([[0], sizes]))
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            norm = np.minimum(most * np.sqrt(np.bincount(row, (flat / most[row]) ** 2, len(sizes))), 1e308)
+            digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(flat[a:b].tobytes()) for a, b in itertools.pairwise(ends.tolist())), np.int64).reshape(-1, 2)
+            own = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([ids.filter(pa.array(good)), pa.array(sizes), pa.array(norm), pa.array(digests[:, 0]), pa.array(digests[:, 1]), own], names=["id", "d", "norm", "x", "y", "v"])
+
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+    return materialize(rows.mapInArrow(run, "id long, d long, norm double, x long, y long, v array<double>"), "prepared")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -151,12 +177,6 @@ def bands(counts: dict[int, int], longest: float, plan: Plan) -> list[Band]:
 LAST_BAND = 600
 
 
-def _norm(vector: str) -> Column:
-    """The Euclidean norm, without overflow or underflow on the way."""
-    most = F.array_max(F.transform(vector, F.abs))
-    return F.least(most * F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, x: a + (x / most) * (x / most))), F.lit(1e308))
-
-
 def _band(norm: Column, longest: float) -> Column:
     return F.least(F.greatest(F.floor(2 * (F.log2(F.lit(longest)) - F.log2(norm))), F.lit(0)), F.lit(LAST_BAND)).cast("int")
 
@@ -263,6 +283,7 @@ def _meet(vectors: DataFrame, queries: DataFrame, cells: Cells | Everywhere, blo
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, held_parts, held = None, [], None
+        waiting: list[pa.RecordBatch] = []
         for batch in batches:
             key = np.asarray(batch.column(0)) * 2 + np.asarray(batch.column(1))
             for a, b in itertools.pairwise([0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), len(key)]):
@@ -278,7 +299,23 @@ def _meet(vectors: DataFrame, queries: DataFrame, cells: Cells | Everywhere, blo
                         ids, names, kept = (np.concatenate(x) for x in zip(*held_parts, strict=True))
                         order = np.argsort(names, kind="stable")
                         held, held_parts = (ids[order], names[order], kept[order]), held_parts[:1]
-                    yield from answer(part, *held)
+                    waiting += answer(part, *held)
+                    if sum(map(len, waiting)) > WAITING:
+                        waiting = [best_of(waiting)]
+                        if len(waiting[0]) > WAITING // 2:
+                            yield waiting.pop()
+        if waiting:
+            yield best_of(waiting)
+
+    def best_of(found: list[pa.RecordBatch]) -> pa.RecordBatch:
+        """Each query's nearest over the blocks that one task has seen."""
+        q, ids, scores = (np.concatenate([np.asarray(b.column(c)) for b in found]) for c in range(3))
+        order = np.lexsort((ids, -scores, q))
+        q, ids, scores = q[order], ids[order], scores[order]
+        new = np.concatenate([[True], (q[1:] != q[:-1]) | (ids[1:] != ids[:-1])]) if len(q) else np.zeros(0, bool)
+        q, ids, scores = q[new], ids[new], scores[new]
+        few = np.arange(len(q)) - np.searchsorted(q, q) < k
+        return pa.RecordBatch.from_arrays([pa.array(q[few]), pa.array(ids[few]), pa.array(scores[few])], names=["query_id", "vec_id", "score"])
 
     def answer(part: pa.RecordBatch, ids: np.ndarray, names: np.ndarray, vectors_: np.ndarray) -> Iterator[pa.RecordBatch]:
         query_ids = np.asarray(part.column(2))
@@ -311,21 +348,18 @@ def _crowded(vectors: DataFrame, cells: Cells, most: int) -> tuple[np.ndarray, n
     return np.array([c for c, _ in rows], np.int64), np.array([n for _, n in rows], np.int64)
 
 
-def _distinct(df: DataFrame, keep: int | None) -> tuple[DataFrame, DataFrame]:
-    """From (id, v): a row (id, v) for each distinct vector, under its least id, and (rep, id) of the ids of each.
+def _distinct(prepared: DataFrame, keep: int | None) -> tuple[DataFrame, DataFrame]:
+    """A row (id, norm, v) for each distinct vector, under its least id, and (rep, id) of the ids of each.
 
-    A hash of 128 bits tells vectors apart. Of an id with several vectors the one of the least hash counts. ``keep``: so
-    many ids of a vector are enough.
+    Of an id with several vectors the one of the least hash counts. ``keep``: so many ids of a vector are enough.
     """
-    hashed = df.select("id", "v", F.struct(F.xxhash64("v").alias("x"), F.xxhash64(F.lit(1), "v").alias("y")).alias("h"))
-    named = hashed.groupBy("id").agg(F.min("h").alias("h"))
-    least = named.groupBy("h").agg(F.min("id").alias("rep"))
+    named = prepared.groupBy("id").agg(F.min(F.struct("x", "y")).alias("h")).select("id", "h.x", "h.y")
+    least = named.groupBy("x", "y").agg(F.min("id").alias("rep"))
     if keep is not None:
-        named = named.withColumn("n", F.row_number().over(Window.partitionBy("h").orderBy("id"))).where(F.col("n") <= keep)
-    members = materialize(named.join(least, "h").select("rep", "id", "h"), "members")
-    chosen = members.where("rep = id").select(F.col("id").alias("rep"), "h")
-    vectors = hashed.join(chosen, (hashed["id"] == chosen["rep"]) & (hashed["h"] == chosen["h"])).select("id", "v").dropDuplicates(["id"])
-    return materialize(vectors, "vectors"), members.select("rep", "id")
+        named = named.withColumn("n", F.row_number().over(Window.partitionBy("x", "y").orderBy("id"))).where(F.col("n") <= keep)
+    members = materialize(named.join(least, ["x", "y"]).select("rep", "id", "x", "y"), "members")
+    chosen = members.where("rep = id").select("id", "x", "y")
+    return materialize(prepared.join(chosen, ["id", "x", "y"]).select("id", "norm", "v").dropDuplicates(["id"]), "vectors"), members.select("rep", "id")
 
 
 def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, plan: Plan | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -342,17 +376,17 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, plan: Plan | None
     cells held too few is answered by an exact scan of all blocks.
     """
     plan = plan or Plan()
-    one = lambda df: df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where(F.col("id").isNotNull() & _usable("v"))
     spark, schema = rows.sparkSession, "query_id long, rank int, vec_id long, score double"
-    sizes = one(rows).groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).sort(F.desc("n"), "d").first()
+    prepared = _prepared(rows, id_col, vector_col)
+    sizes = prepared.groupBy("d").agg(F.count("*").alias("n")).sort(F.desc("n"), "d").first()
     if sizes is None:
         return spark.createDataFrame([], schema)
-    fitting = lambda df: one(df).where(F.size("v") == sizes.d)
-    vectors, members = _distinct(fitting(rows), k + 1)
-    asked, askers = _distinct(fitting(queries), None)
+    vectors, members = _distinct(prepared.where(F.col("d") == sizes.d), k + 1)
+    asked, askers = _distinct(_prepared(queries, id_col, vector_col).where(F.col("d") == sizes.d), None)
+    asked = asked.select("id", "v")
 
-    longest = vectors.agg(F.max(_norm("v"))).first()[0]
-    vectors = vectors.select("id", "v", _band(_norm("v"), longest).alias("band"))
+    longest = vectors.agg(F.max("norm")).first()[0]
+    vectors = vectors.select("id", "v", _band(F.col("norm"), longest).alias("band"))
     counts = {r.band: r["count"] for r in vectors.groupBy("band").count().collect()}
     n, cells = sum(counts.values()), Cells(plan, sizes.d, bands(counts, longest, plan))
     most = max(plan.block, -(-n * plan.tables // SPLIT))
@@ -360,11 +394,11 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, plan: Plan | None
 
     def answered(found: DataFrame) -> DataFrame:
         """The k + 1 nearest of each distinct query, for it may be among them itself; equal vectors as their ids."""
-        top = found.distinct().withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1).drop("n")
+        top = found.withColumn("n", F.dense_rank().over(best)).where(F.col("n") <= k + 1).select("query_id", "vec_id", "score").distinct()  # tables may find the same
         spelt = top.join(members.select(F.col("rep").alias("vec_id"), "id"), "vec_id").select("query_id", F.col("id").alias("vec_id"), "score")
         return materialize(spelt.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1), "nearest")
 
-    found = answered(_meet(vectors, asked, cells, max(1, -(-n * plan.tables // most)), _crowded(vectors, cells, most), k + 1))
+    found = answered(_meet(vectors, asked, cells, max(plan.blocks, -(-n * plan.tables // most)), _crowded(vectors, cells, most), k + 1))
     enough = found.groupBy("query_id").count().where(F.col("count") >= min(k + 1, members.count())).select(F.col("query_id").alias("id"))
     lacking = materialize(asked.join(enough, "id", "left_anti"), "lacking")
     if not lacking.isEmpty():
