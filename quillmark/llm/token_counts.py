@@ -75,5 +75,5 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
     if missing:
         fresh = wanted.repartition("digest").mapInArrow(encode, "digest binary, n_tokens long")
         fresh.withColumn("tokenizer", F.lit(tokenizer)).write.mode("append").parquet(cache_path)
-    counts = read_cache(spark, cache_path, tokenizer)
+    counts = materialize(read_cache(spark, cache_path, tokenizer), "counts")  # a table, so that Spark can split a digest that many rows share
     return rows.join(counts, "digest", "left").select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
