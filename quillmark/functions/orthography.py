@@ -11,6 +11,8 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .arrays import placed
+
 # Code points of the Arabic letters and of what is dropped between them.
 LETTERS = "ء-ؿف-يٱ"
 DROPPED = "ؐ-ًؚ-ٰٟۖ-ۭـ‎‏؜ﷺﷻ"
@@ -90,20 +92,8 @@ def surfaces(text: Column, pattern: str = ARABIC_TOKEN) -> Column:
 def tokens(text: Column, arabic: bool = True) -> Column:
     """array<struct<loose, strict, start, end>> with half-open code-point spans; interior marks stay inside a span."""
     pattern = ARABIC_TOKEN if arabic else LATIN_TOKEN
-    words = surfaces(text, pattern)
-    gaps = F.split(text, pattern, -1)
-    steps = F.arrays_zip(words.alias("w"), F.slice(gaps, 1, F.size(words)).alias("g"))
     loose, strict = (loose_form, strict_form) if arabic else (latin_loose, lambda w: w)
-    kind = "struct<at:int,out:array<struct<loose:string,strict:string,start:int,end:int>>>"
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<loose:string,strict:string,start:int,end:int>>").alias("out")).cast(kind)
-
-    def step(acc: Column, x: Column) -> Column:
-        a = acc["at"] + F.length(x["g"])
-        b = a + F.length(x["w"])
-        token = F.struct(loose(x["w"]).alias("loose"), strict(x["w"]).alias("strict"), a.alias("start"), b.alias("end"))
-        return F.struct(b.alias("at"), F.concat(acc["out"], F.array(token)).alias("out"))
-
-    return F.aggregate(steps, start, step)["out"]
+    return placed(text, pattern, lambda w, a, b: F.struct(loose(w).alias("loose"), strict(w).alias("strict"), a.alias("start"), b.alias("end")))
 
 
 def loose_tokens(text: Column, arabic: bool = True) -> Column:
@@ -185,21 +175,14 @@ def vocalised(text: Column) -> Column:
 
 def skeleton(word: Column) -> Column:
     """array<struct<letter, vowel, shadda, start, end>> of base letters; vowel: a sign, empty for silence, or null."""
-    parts = F.regexp_extract_all(word, F.lit(_LETTER_WITH_MARKS), F.lit(0))
-    gaps = F.split(word, _LETTER_WITH_MARKS, -1)
-    steps = F.arrays_zip(parts.alias("p"), F.slice(gaps, 1, F.size(parts)).alias("g"))
-    kind = "struct<letter:string,vowel:string,shadda:boolean,start:int,end:int>"
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{kind}>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        a = acc["at"] + F.length(x["g"])
-        marks = F.translate(F.substring(x["p"], 2, 99), *OPEN_TANWEEN)
+
+    def letter(p: Column, a: Column, b: Column) -> Column:
+        marks = F.translate(F.substring(p, 2, 99), *OPEN_TANWEEN)
         signs = F.regexp_extract_all(marks, F.lit(f"[{VOWELS}]"), F.lit(0))
         vowel = F.when(F.size(signs) > 0, F.element_at(signs, -1)).when(marks.rlike(f"[{SUKUN}{SILENT}]"), "")
-        letter = F.struct(F.substring(x["p"], 1, 1).alias("letter"), vowel.alias("vowel"), marks.contains(SHADDA).alias("shadda"), a.alias("start"), (a + F.length(x["p"])).alias("end"))
-        return F.struct((a + F.length(x["p"])).alias("at"), F.concat(acc["out"], F.array(letter)).alias("out"))
+        return F.struct(F.substring(p, 1, 1).alias("letter"), vowel.alias("vowel"), marks.contains(SHADDA).alias("shadda"), a.alias("start"), b.alias("end"))
 
-    return F.aggregate(steps, start, step)["out"]
+    return placed(word, _LETTER_WITH_MARKS, letter)
 
 
 def compare_vowels(user: Column, reference: Column, final: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import orthography as O
+from ..functions.arrays import placed
 
 # The seven pairs of brackets and quotation marks; the first one asserts scripture.
 BRACKETS = (("﴿", "﴾"), ("«", "»"), ("“", "”"), ('"', '"'), ("(", ")"), ("[", "]"), ("{", "}"))
@@ -57,17 +58,7 @@ NUMBERS_ALONE = r"[\d\s:/\-–،,]+"
 
 def places(text: Column, pattern: str) -> Column:
     """array<struct<value, start, end>> of all matches of a pattern, in code points."""
-    found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    steps = F.arrays_zip(found.alias("m"), F.slice(gaps, 1, F.size(found)).alias("g"))
-    kind = "array<struct<value:string,start:int,end:int>>"
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        a = acc["at"] + F.length(x["g"])
-        b = a + F.length(x["m"])
-        return F.struct(b.alias("at"), F.concat(acc["out"], F.array(F.struct(x["m"].alias("value"), a.alias("start"), b.alias("end")))).alias("out"))
-
-    return F.aggregate(steps, start, step)["out"]
+    return placed(text, pattern, lambda m, a, b: F.struct(m.alias("value"), a.alias("start"), b.alias("end")))
 
 
 def _quoted(s: str) -> str:
