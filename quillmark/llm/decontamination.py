@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .storage import materialize
+from .storage import materialize, small_batches
 
 #: Words of items that are sent to the executors at a time; a larger benchmark takes a pass over the texts for each such block.
 BLOCK_WORDS = 2_000_000
@@ -188,7 +188,7 @@ def contaminated(docs: DataFrame, items: DataFrame, min_match: int = 4, threshol
     """
     kind, item_kind = docs.schema[id_col].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
     item_arrow = pa.string() if item_kind == "string" else pa.int64()
-    rows, found = docs.select(F.col(id_col), F.col(text_col)), None
+    rows, found = small_batches(docs).select(F.col(id_col), F.col(text_col)), None
     for block, more in _blocks(items, item_id, item_text):
 
         def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
@@ -223,6 +223,6 @@ def decontaminate(docs: DataFrame, items: DataFrame, min_match: int = 4, thresho
                 keep[[r for r, *_ in tiler.find(batch.column(text_col))]] = False
                 yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = small_batches(docs).mapInArrow(run, docs.schema)
         docs = materialize(docs, "clean") if more else docs
     return docs

@@ -15,6 +15,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .storage import small_batches
 from .words import utf8
 
 WINDOW, EMBEDDING, WIDTHS, FILTERS = 192, 8, (2, 3, 4), 12
@@ -24,6 +25,9 @@ UNKNOWN = "und"
 #: At most so many labelled rows are fitted, equally many of each language, and so many windows of each row.
 SAMPLE_ROWS, SAMPLE_WINDOWS = 8000, 3
 
+#: Languages that a network tells apart, at most: those of the most labelled rows.
+MAX_LANGUAGES = 500
+
 _LETTER = regex.compile(r"\p{L}").search
 
 
@@ -122,7 +126,7 @@ def cut_windows(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
 def labelled_sample(docs: DataFrame, rows: int = SAMPLE_ROWS, windows: int = SAMPLE_WINDOWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], list[tuple[str, str]]]:
     """The labels, and (label, piece of text) of at most ``rows`` rows, chosen by a hash of their ids."""
     labelled = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang is not null and text is not null")
-    counts = {r.lang: r["count"] for r in labelled.groupBy("lang").count().collect()}
+    counts = {r.lang: r["count"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
     if not counts:
         return [], []
     each = max(1, rows // len(counts))
@@ -207,11 +211,15 @@ def identify(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_
             names, score = identifier.batch(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(score)], names=[id_col, "lang_pred", "score"])
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double")
+    return small_batches(docs).select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame, net: Network | None, min_score: float = 0.4, text_col: str = "text") -> DataFrame:
-    """``docs``, all columns, without the rows whose language is unknown or scores under ``min_score``."""
+    """``docs``, all columns, without the rows whose language is unknown or scores under ``min_score``.
+
+    Null texts and texts without a letter go; null ids, repeated rows and columns of any name pass through as they are;
+    an empty table gives an empty one. A score of exactly ``min_score`` stays.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         identifier = Identifier(net)
@@ -219,4 +227,4 @@ def keep_identified(docs: DataFrame, net: Network | None, min_score: float = 0.4
             names, score = identifier.batch(batch.column(text_col))
             yield batch.filter(pa.array((np.array(names, object) != UNKNOWN) & (score >= min_score), pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)

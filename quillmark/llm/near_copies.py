@@ -19,7 +19,7 @@ from . import prefix_join as P
 from . import words as W
 from .graphs import connected
 from .near_dups import links_within_two, simhash
-from .storage import discard, materialize
+from .storage import discard, materialize, small_batches
 
 #: Rows up to which nodes whose texts are wanted, or verdicts, are broadcast with their digests and ids: some megabytes.
 FEW = 200_000
@@ -86,7 +86,7 @@ def drop_near_copies(docs: DataFrame, shingle_words: int = 5, similarity: float
     move only where more than FEW texts are in groups.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    texts = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.unhex(F.sha2(text, 256)).alias("digest"))
+    texts = small_batches(docs).select(F.col(id_col).alias("id"), text.alias("text"), F.unhex(F.sha2(text, 256)).alias("digest"))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graphs import connected
-from .storage import materialize
+from .storage import materialize, small_batches
 
 SEED = 42
 
@@ -55,7 +55,7 @@ def fingerprints(docs: DataFrame, shingle_words: int = 3, id_col: str = "doc_id"
             out = [simhash(np.array([digest(s, SEED) for s in shingles(t.as_py() or "", shingle_words)], np.uint64)) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(out, np.uint64).view(np.int64))], names=[id_col, "fingerprint"])
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` {kind}, fingerprint long")
+    return small_batches(docs).select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` {kind}, fingerprint long")
 
 
 def _segment(half: int) -> Column:

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import materialize
+from .storage import materialize, small_batches
 from .tokens import encoder
 
 _PACKED = ["sequence_id", "offset", "fill", "gap", "group"]
@@ -53,7 +53,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: i
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     ddl = f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, ddl)
+    return small_batches(docs).select(F.col(id_col), F.col(text_col)).mapInArrow(run, ddl)
 
 
 def best_fit(sizes: list[int], capacity: int) -> tuple[list[int], list[int]]:

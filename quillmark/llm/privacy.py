@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .storage import small_batches
+
 ROUNDS = 10
 
 _KEY = "spark.quillmark.pseudonyms.key"
@@ -305,7 +307,7 @@ def pseudonymise(docs: DataFrame, key: str | None = None, back: bool = False, te
             new = [t if t is None else pseudonyms.apply(t, back)[0] for t in batch.column(at).to_pylist()]
             yield batch.set_column(at, batch.schema.field(at), pa.array(new, pa.string()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)
 
 
 def find_private(docs: DataFrame, key: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -326,4 +328,4 @@ def find_private(docs: DataFrame, key: str | None = None, id_col: str = "doc_id"
             columns.append(pa.array([[{"first": a, "after": b, "kind": k} for a, b, k in s] for _, s in rows], spans))
             yield pa.RecordBatch.from_arrays(columns, names=[id_col, "text", "n_found", "kinds", "spans"])
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` {kind}, text string, n_found long, kinds string, spans array<struct<first: long, after: long, kind: string>>")
+    return small_batches(docs).select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` {kind}, text string, n_found long, kinds string, spans array<struct<first: long, after: long, kind: string>>")

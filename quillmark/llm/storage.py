@@ -45,6 +45,18 @@ def _delete(spark: SparkSession, path: str) -> None:
         return
 
 
+#: Bytes of an Arrow batch of texts; Spark's own bound of 64 MB holds for each task twice over, in the JVM and in Python.
+BATCH_BYTES = 4 << 20
+
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``; batches of its session's texts are kept to BATCH_BYTES from now on, whatever the texts' lengths."""
+    df.sparkSession.conf.set(_BATCH, str(BATCH_BYTES))
+    return df
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` as Parquet into the shared folder and reads it back: its lineage ends there."""
     spark = df.sparkSession

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .storage import materialize, new_path
+from .storage import materialize, new_path, small_batches
 from .tokens import encoder, version
 
 CACHE = T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("n_tokens", T.LongType()), T.StructField("tokenizer", T.StringType())])
@@ -53,7 +53,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
     texts; only texts that it lacks are shuffled, once, by digest and after repeats within a task are gone. Where it
     lacks none, no text moves.
     """
-    spark = docs.sparkSession
+    spark = small_batches(docs).sparkSession
     cache_path, tokenizer = cache_path or new_path(spark, "token-cache"), version(tokenizer_path)
     text = F.coalesce(F.col(text_col), F.lit(""))
     digest = F.unhex(F.sha2(text, 256))

@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .storage import small_batches
 from .tokens import encoder
 
 
@@ -33,7 +34,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
                 lists = pa.ListArray.from_arrays(pa.array(own.bounds.astype(np.int32)), pa.array(own.flat.view(np.int32)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(own.first, len(lists)), pa.array(own.counts), lists], names=["id", "n_tokens", "ids"])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("tie"), F.col(text_col).alias("text"))
+    rows = small_batches(docs).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("tie"), F.col(text_col).alias("text"))
     ordered = rows.repartitionByRange("id", "tie").sortWithinPartitions("id", "tie").select("id", "text")
     tokens = ordered.mapInArrow(encode, f"id {kind}, n_tokens long, ids array<int>").withColumnRenamed("id", id_col)
     options = {
