@@ -1,4 +1,4 @@
-"""Smaller scalar operators: edges of spans, lengths, links, lexicon scans, names, templates of display."""
+"""Smaller scalar operators: edges of spans, lengths, lexicon scans, names, chunks."""
 
 from __future__ import annotations
 
@@ -57,23 +57,6 @@ def looked_up(rows: DataFrame, name_col: str, names: DataFrame) -> DataFrame:
     return rows.withColumn("__key", full(F.col(name_col))).join(table, "__key", "left").drop("__key")
 
 
-def asserted(before: Column, after: Column, scripture: str, narration: str, trailers: str) -> Column:
-    """What the wording around a quotation asserts: quran, hadith or nothing; both together assert nothing.
-
-    The text before counts from the last sentence's end (a colon right before the quotation is none).
-    """
-    last = F.regexp_extract(before, "[^.!?\\u061f\\n\\u061b:]*:?\\s*$", 0)
-    q = last.rlike(scripture)
-    h = last.rlike(narration) | F.regexp_extract(after, "^[^.!?\\u061f\\n\\u061b:]*", 0).rlike(trailers)
-    return F.when(q & ~h, "quran").when(h & ~q, "hadith").otherwise("")
-
-
-def is_label(segment: Column, labels: list[str]) -> Column:
-    """An unmarked span that only announces a quotation: it ends in a colon with few tokens, or has label words alone."""
-    tokens = O.loose_tokens(segment)
-    return (F.trim(segment).rlike(":$") & (F.size(tokens) < 4)) | ((F.size(tokens) > 0) & F.forall(tokens, lambda t: t.isin(*labels)))
-
-
 def chunked(text: Column, most: int = 5000) -> Column:
     """array<struct<start, part>>: a long text in parts of at most ``most`` characters, cut after line ends where there are any."""
     lines = F.filter(F.split(text, "(?<=\\n)", -1), lambda x: x != "")

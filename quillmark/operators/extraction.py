@@ -2,59 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import orthography as O
-from ..functions.arrays import placed
-
-# The seven pairs of brackets and quotation marks; the first one asserts scripture.
-BRACKETS = (("﴿", "﴾"), ("«", "»"), ("“", "”"), ('"', '"'), ("(", ")"), ("[", "]"), ("{", "}"))
-
-# What may stand at the edges of a quotation, and the tags of tagged text.
-EDGE = " \\t\\n\\r.,،؛;:!?؟*_`>#\\-–—…\"'“”«»﴾﴿()\\[\\]{}"
-TAGS = "<(aya|hadith)_start>(.*?)<\\1_end>"
-
-# Words after which a quotation follows, and before which one ends; ends of sentences.
-INTRODUCERS_EN = r"(?i)(?:the\s+)?(?:prophet|messenger(?:\s+of\s+allah)?)\s+said\s*[:,]?\s*|allah\s+(?:says|said)\s*[:,]?\s*|(?:the\s+)?qur'?an\s+(?:says|states)\s*[:,]?\s*|hadith\s*[:,]\s*"
-TRAILERS = ("صدق الله العظيم", "صدق الله", "رواه", "أخرجه", "متفق عليه")
-SENTENCE = "[.!?؟\\n؛:]"
-HONORIFICS = ("صلي الله عليه وسلم", "صلي الله عليه واله وسلم", "عليه الصلاه والسلام", "عليه السلام", "رضي الله عنه", "رضي الله عنها", "عز وجل", "سبحانه وتعالي", "تعالي", "جل جلاله")
-
-# What personal data look like.
-PRIVATE = (
-    r"(?:^|[^0-9])(?:\+?\d{1,3}[\s-]?)?(?:\(?\d{2,4}\)?[\s-]?)\d{3}[\s-]?\d{3,4}(?:[^0-9]|$)",
-    r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
-    r"(?:^|[^0-9])[12]\d{9}(?:[^0-9]|$)",
-    r"(?:^|[^0-9])\d{13,19}(?:[^0-9]|$)",
-)
-
-# Phrases of chain messages and of questions that ask for a ruling (English ones).
-CHAIN_MESSAGES = ("share this or", "forward this to")
-RULINGS = ("is this hadith authentic", "is this hadith sahih", "is it permissible", "is it haram", "what is the ruling", "give me a fatwa")
-
-# Books by the names under which they are cited.
-BOOKS = {
-    "sahih_al-bukhari": ("البخاري", "بخاري", "bukhari", "al-bukhari"),
-    "sahih_muslim": ("مسلم", "muslim"),
-    "sunan_abu-dawud": ("أبو داود", "ابو داود", "أبي داود", "ابي داود", "abu dawud", "abu dawood"),
-    "sunan_al-tirmidhi": ("الترمذي", "ترمذي", "tirmidhi", "al-tirmidhi"),
-    "sunan_al-nasai": ("النسائي", "نسائي", "nasai", "al-nasai", "an-nasai"),
-    "sunan_ibn-maja": ("ابن ماجه", "ابن ماجة", "ibn majah", "ibn maja"),
-    "maliks_muwataa": ("مالك", "الموطأ", "malik", "muwatta"),
-    "musnad_ahmad": ("أحمد", "احمد", "المسند", "ahmad", "musnad"),
-    "sunan_al-darimi": ("الدارمي", "دارمي", "darimi", "al-darimi"),
-}
-AMBIGUOUS_BOOKS, BOOK_CONTEXT = ("maliks_muwataa", "musnad_ahmad"), "رواه|أخرجه|مسند|موطأ|musnad|muwatta"
-AGREED = ("متفق عليه", "رواه الشيخان", "أخرجه الشيخان")
-
-# How a narrator, a chapter and verse, and numbers alone are cited; openers of quotations.
-NARRATED_BY = "(?:رواه|أخرجه|خرّجه|خرجه|صحّحه|صححه|حسّنه|حسنه|ذكره|عند)\\s+([^\\n.،,;؛)\\]»﴾]{2,60})"
-NAMED_VERSE = r"(?i)(?:quran|qur'an|q\.?|surah|sura)\s*(\d{1,3})\s*[:.]\s*(\d{1,3})(?:\s*[-–]\s*(\d{1,3}))?"
-BARE_VERSE = r"\b(\d{1,3})\s*:\s*(\d{1,3})\b"
-CHAPTER_VERSE = r"(?:سورة\s+)?[ء-ي\s]{2,20}\s*[:،,\-–/]\s*\d{1,3}(?:\s*[-–]\s*\d{1,3})?"
-NUMBERS_ALONE = r"[\d\s:/\-–،,]+"
-
+from ..functions.arrays import bound, placed, running
+from . import lexicon as L
 
 def places(text: Column, pattern: str) -> Column:
     """array<struct<value, start, end>> of all matches of a pattern, in code points."""
@@ -68,91 +23,156 @@ def _quoted(s: str) -> str:
 def is_reference(inner: Column) -> Column:
     """Bracketed text that cites rather than quotes: numbers, chapter and verse, who narrated it, an honorific."""
     t = F.trim(inner)
-    whole = lambda p: t.rlike(f"^(?:{p})$")
-    agreed = t.contains(AGREED[0]) | t.contains(AGREED[1]) | t.contains(AGREED[2])
-    return (t == "") | whole(NUMBERS_ALONE) | whole(NAMED_VERSE) | whole(BARE_VERSE) | whole(CHAPTER_VERSE) | agreed | t.rlike(f"^{NARRATED_BY}") | O.joined(O.loose_tokens(t)).isin(*HONORIFICS)
+    agreed = F.greatest(*(t.contains(p) for p in L.AGREED))
+    verses = t.rlike(L.VERSE_WORDS) & t.rlike(r"\d")
+    honorific = O.joined(O.loose_tokens(t)).isin(*L.HONORIFICS, "رضي الله عنهم")
+    return (t == "") | t.rlike(f"^(?:{L.NUMBERS_ALONE})$") | t.rlike(f"^(?:{L.VERSE})$") | agreed | t.rlike(f"^{L.NARRATED_BY}") | verses | honorific
+
+
+_SPAN = "struct<start:int,end:int,kind:string,marked:boolean>"
 
 
 def bracketed(texts: DataFrame, least_arabic: int = 2, least_latin: int = 3) -> DataFrame:
-    """(id, start, end, kind, marked) of what stands in each kind of brackets and isn't a reference. ``texts``: (id, text)."""
-    parts = []
-    for first, last in BRACKETS:
-        pattern = f"{_quoted(first)}[^{_quoted(last)}]*{_quoted(last)}"
-        spans = texts.select("id", F.explode(places(F.col("text"), pattern)).alias("m"))
-        inner = F.expr("substring(m.value, 2, length(m.value) - 2)")
-        enough = (F.size(O.surfaces(inner)) >= least_arabic) | (F.regexp_count(inner, F.lit("[A-Za-z]{2,}")) >= least_latin)
-        parts.append(spans.where(enough & ~is_reference(inner)).select("id", (F.col("m.start") + 1).alias("start"), (F.col("m.end") - 1).alias("end"), F.lit("quran" if first == "﴿" else "unknown").alias("kind"), F.lit(True).alias("marked")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """(id, start, end, kind, marked) of what stands in each kind of brackets and isn't a reference. ``texts``: (id, text), read once."""
+
+    def inside(first: str, last: str) -> Column:
+        make = lambda m, a, b: F.struct(F.substring(m, F.lit(2), F.length(m) - 2).alias("inner"), (a + 1).alias("start"), (b - 1).alias("end"), F.lit("quran" if first == "﴿" else "unknown").alias("kind"))
+        return placed(F.col("text"), f"{_quoted(first)}[^{_quoted(last)}]*{_quoted(last)}", make)
+
+    spans = texts.select("id", F.explode(F.concat(*(inside(a, b) for a, b in L.BRACKETS))).alias("m")).select("id", "m.*")
+    enough = (F.size(O.surfaces(F.col("inner"))) >= least_arabic) | (F.regexp_count("inner", F.lit("[A-Za-z]{2,}")) >= least_latin)
+    return spans.where(enough & ~is_reference(F.col("inner"))).select("id", "start", "end", "kind", F.lit(True).alias("marked"))
+
+
+def uncovered(spans: DataFrame, by: DataFrame) -> DataFrame:
+    """The spans that overlap none of ``by`` in their text."""
+    b = by.select(F.col("id").alias("other"), F.col("start").alias("b0"), F.col("end").alias("b1"))
+    return spans.join(b, (F.col("id") == F.col("other")) & (F.col("b0") < F.col("end")) & (F.col("start") < F.col("b1")), "left_anti")
 
 
 def introduced_english(texts: DataFrame) -> DataFrame:
     """(id, start, end, kind, marked): what follows an introducer, to the end of the sentence; three Latin words at least."""
-    m = texts.select("id", "text", F.explode(places(F.col("text"), INTRODUCERS_EN)).alias("m"))
+    m = texts.select("id", "text", F.explode(places(F.col("text"), L.INTRODUCERS_EN)).alias("m"))
     rest = m.select("id", "m", F.expr("substring(text, m.end + 1)").alias("rest"))
-    body = rest.withColumn("body", F.rtrim(F.regexp_extract("rest", r"^[^.!?\n]*", 0))).where(~F.substring("rest", 1, 1).isin(*(a for a, _ in BRACKETS)))
+    body = rest.withColumn("body", F.rtrim(F.get(F.split("rest", L.SENTENCE_END_EN, 2), F.lit(0)))).where(~F.substring("rest", 1, 1).isin(*(a for a, _ in L.BRACKETS)))
     kept = body.where((F.regexp_count("body", F.lit("[A-Za-z]{2,}")) >= 3) & (F.size(O.surfaces(F.col("body"))) == 0))
     said = F.lower("m.value").contains("said") & ~F.lower("m.value").contains("allah")
     return kept.select("id", F.col("m.end").alias("start"), (F.col("m.end") + F.length("body")).alias("end"), F.when(said, "hadith_matn").otherwise("quran").alias("kind"), F.lit(False).alias("marked"))
 
 
 def trailed(texts: DataFrame, least: int = 3) -> DataFrame:
-    """(id, start, end, kind, marked): what precedes a trailer, back to the last sentence's end."""
-    out = None
-    for trailer in TRAILERS:
-        m = texts.select("id", "text", F.explode(places(F.col("text"), f"(?<![ء-ي]){trailer}")).alias("m"))
-        before = F.regexp_replace(F.expr("substring(text, 1, m.start)"), "[\\s،,\\-–—]+$", "")
-        rows = m.select("id", F.regexp_extract(before, "[^.!?؟\\n؛:]*$", 0).alias("body"), F.length(before).alias("end"))
-        rows = rows.withColumn("body", F.ltrim("body")).where(F.size(O.surfaces(F.col("body"))) >= least)
-        part = rows.select("id", (F.col("end") - F.length("body")).alias("start"), "end", F.lit("quran" if trailer.startswith("صدق") else "hadith_matn").alias("kind"), F.lit(False).alias("marked"))
-        out = part if out is None else out.unionByName(part)
-    return out.distinct()
-
-
-def introduced(texts: DataFrame, lexicon: DataFrame, least: int = 3) -> DataFrame:
-    """(id, start, end, kind, marked): from the token after an introducer (and honorifics) to the end of the sentence.
-
-    ``lexicon``: (words array<string>, kind), loose. Introducers meet the tokens as runs, the longest at a place wins,
-    and one inside another is none. A conjunction may stand before its first word.
+    """(id, start, end, kind, marked): what precedes a trailer, back to the last sentence's end. Callers keep the ``uncovered`` ones."""
+    pattern = "(?<![ء-ي])(?:" + "|".join(L.TRAILERS) + ")"
+    m = texts.select("id", "text", F.explode(places(F.col("text"), pattern)).alias("m"))
+    before = F.regexp_replace(F.expr("substring(text, 1, m.start)"), "[\\s،,\\-–—]+$", "")
+    rows = m.select("id", F.regexp_extract(before, f"[^{L.SENTENCE[1:]}*$", 0).alias("body"), F.length(before).alias("end"), F.col("m.value").startswith("صدق").alias("scripture"))
+    rows = rows.withColumn("body", F.ltrim("body")).where(F.size(O.surfaces(F.col("body"))) >= least)
+    return rows.select("id", (F.col("end") - F.length("body")).alias("start"), "end", F.when(F.col("scripture"), "quran").otherwise("hadith_matn").alias("kind"), F.lit(False).alias("marked")).distinct()
+
+
+def _words(phrase: str) -> str:
+    """A phrase of loose words as a pattern over marked words, see ``marked_words``."""
+    return f"{L.LIGATURE}? ".join(phrase.split(" "))
+
+
+def introducer_pattern(phrases: tuple[str, ...]) -> str:
+    """Introducers and the honorifics after them, over marked words; the longest of those that begin at a place."""
+    loose = {" ".join(_LOOSE(p)) for p in phrases}
+    whole = sorted((p for p in loose if p not in L.BARE_VERBS), key=lambda p: (-len(p.split()), p))
+    some = "|".join([*map(_words, whole), *(v + L.LIGATURE for v in L.BARE_VERBS)])
+    return f"(?<![^ ])[وف]?(?:{some})(?![^ {L.LIGATURE}])(?>(?:{L.LIGATURE}? )(?:{'|'.join(map(_words, L.HONORIFICS))})(?![^ {L.LIGATURE}]))*"
+
+
+def _LOOSE(phrase: str) -> list[str]:
+    """The loose words of a short constant phrase, as ``loose_tokens`` makes them."""
+    return phrase.replace(L.LIGATURE, " ").translate(str.maketrans(*O.LOOSE)).split()
+
+
+INTRODUCER = introducer_pattern(L.INTRODUCERS)
+
+
+def marked_words(text: Column, tokens: Column) -> Column:
+    """Loose words joined by a space, each with the ligature after it if one stands before the next word."""
+
+    def word(t: Column, i: Column) -> Column:
+        after = F.coalesce(F.get(tokens, i + 1)["start"], F.length(text))
+        return F.concat(t["loose"], F.when(F.substring(text, t["end"] + 1, after - t["end"]).contains(L.LIGATURE), L.LIGATURE).otherwise(""))
+
+    return F.array_join(F.transform(tokens, word), " ")
+
+
+def kind_of_introducer(words: Column) -> Column:
+    any_ = lambda names: F.greatest(*(words.contains(n) for n in names))
+    return F.when(any_(L.OF_SCRIPTURE) & ~any_(L.OF_NARRATION), "quran").otherwise("hadith_matn")
+
+
+def introduced(texts: DataFrame, phrases: tuple[str, ...] = L.INTRODUCERS, least: int = 3) -> DataFrame:
+    """(id, start, end, kind, marked): from the word after an introducer (and honorifics) to the end of the sentence.
+
+    Introducers are found on loose words, the longest at a place; one inside another is none. A conjunction may stand
+    before its first word. Texts are read once and meet nothing.
     """
-    toks = texts.select("id", "text", O.tokens(F.col("text")).alias("t"))
-    at = toks.select("id", "text", "t", F.explode(F.sequence(F.lit(0), F.greatest(F.size("t") - 1, F.lit(0)))).alias("i")).where(F.size("t") > 0)
-    sizes = F.broadcast(lexicon.select("words", F.col("kind").alias("k"), F.size("words").alias("n")))
-    run = F.transform(F.slice("t", F.col("i") + 1, F.col("n")), lambda x: x["loose"])
-    bare = F.transform(run, lambda w, k: F.when((k == 0) & (F.length(w) > 2) & w.rlike("^[وف]"), F.substring(w, 2, 99)).otherwise(w))
-    hits = at.join(sizes, (run == F.col("words")) | (bare == F.col("words")))
-    longest = Window.partitionBy("id", "i").orderBy(F.desc("n"))
-    hits = hits.withColumn("r", F.row_number().over(longest)).where("r = 1")
-    covered = F.max(F.col("i") + F.col("n")).over(Window.partitionBy("id").orderBy("i", F.desc("n")).rowsBetween(Window.unboundedPreceding, -1))
-    hits = hits.withColumn("covered", covered).where(F.col("covered").isNull() | (F.col("i") >= F.col("covered"))).withColumn("j", F.col("i") + F.col("n"))
-    tail = F.transform(F.slice("t", F.col("j") + 1, F.lit(5)), lambda x: x["loose"])
-    options = [F.when(F.array_join(F.slice(tail, 1, len(h.split())), " ") == h, len(h.split())).otherwise(0) for h in HONORIFICS]
-    hits = hits.withColumn("j", F.col("j") + F.greatest(*options)).where(F.col("j") < F.size("t"))
-    hits = hits.withColumn("start", F.col("t")[F.col("j")]["start"]).withColumn("between", F.expr("substring(text, t[j - 1].end + 1, t[j].start - t[j - 1].end)"))
-    hits = hits.where(~F.col("between").rlike("[﴿«“\"(\\[{]"))
-    body = F.rtrim(F.regexp_extract(F.expr("substring(text, start + 1)"), "^.*?(?=[.!?؟\\n؛]|\\s+(?:رواه|أخرجه|متفق|صدق الله|سورة|\\[|\\(|«|﴿)|$)", 0))
-    return hits.withColumn("body", body).where(F.size(O.surfaces(F.col("body"))) >= least).select("id", "start", (F.col("start") + F.length("body")).alias("end"), F.col("k").alias("kind"), F.lit(False).alias("marked"))
+    pattern = INTRODUCER if phrases == L.INTRODUCERS else introducer_pattern(phrases)
+    spaces = lambda s: F.length(s) - F.length(F.replace(s, F.lit(" "), F.lit("")))
+    openers = "[" + "".join(_quoted(a) for a, _ in L.BRACKETS) + "]"
+
+    def hits(t: Column) -> Column:
+        found = bound(marked_words(F.col("text"), t), lambda w: placed(w, pattern, lambda m, a, b: F.struct(m.alias("intro"), (spaces(F.substring(w, F.lit(1), b)) + 1).alias("j"))))
+        place = lambda x: F.struct(x["intro"].alias("intro"), F.get(t, x["j"] - 1)["end"].alias("last"), F.get(t, x["j"])["start"].alias("start"))
+        return F.filter(F.transform(found, place), lambda x: x["start"].isNotNull())
+
+    rows = texts.select("id", "text", F.explode(bound(O.tokens(F.col("text")), hits)).alias("x")).select("id", "text", "x.*")
+    rows = rows.where(~F.expr("substring(text, last + 1, start - last)").rlike(openers))
+    body = F.rtrim(F.get(F.split(F.expr("substring(text, start + 1)"), L.SENTENCE_END, 2), F.lit(0)))
+    rows = rows.withColumn("body", body).where(F.size(O.surfaces(F.col("body"))) >= least)
+    return rows.select("id", "start", (F.col("start") + F.length("body")).alias("end"), kind_of_introducer(F.col("intro")).alias("kind"), F.lit(False).alias("marked"))
+
+
+def kind_from_context(before: Column, claim: Column) -> Column:
+    """quran, hadith_matn or unknown: by an introducer that ends the text before a quotation, else by the claimed source."""
+    intro = bound(O.tokens(before), lambda t: F.regexp_extract(marked_words(before, t), f"(?:{INTRODUCER}){L.LIGATURE}?$", 0))
+    return F.when(intro != "", kind_of_introducer(intro)).when(claim["surah"].isNotNull(), "quran").when(F.size(claim["books"]) > 0, "hadith_matn").otherwise("unknown")
+
+
+def is_noise(segment: Column, marked: Column) -> Column:
+    """An unmarked span that only announces a quotation: it ends in a colon with few words, or has label words alone."""
+    words = O.loose_tokens(segment)
+    return ~marked & ((F.trim(segment).rlike("[:：]$") & (F.size(words) < 4)) | ((F.size(words) > 0) & F.forall(words, lambda w: w.isin(*L.LABELS))))
+
+
+def asserted_kind(text: Column, start: Column, end: Column, window: int = 60) -> Column:
+    """What the wording around a quotation asserts: quran, hadith, or '' for neither and for both.
+
+    Before it counts the sentence, with what stands before its colon; after it, the rest of the sentence.
+    """
+    low = F.greatest(start - window, F.lit(0))
+    before = F.regexp_extract(F.substring(text, low + 1, start - low), f"[^{L.SENTENCE[1:]}*(?::[^{L.SENTENCE[1:]}*)?$", 0)
+    after = F.get(F.split(F.substring(text, end + 1, F.lit(window)), L.SENTENCE, 2), F.lit(0))
+    q = before.rlike(L.ASSERTS_SCRIPTURE) | ((start > 0) & (F.substring(text, start, F.lit(1)) == "﴿"))
+    h = before.rlike(L.ASSERTS_NARRATION) | after.rlike(L.ASSERTS_AFTER)
+    return F.when(q & ~h, "quran").when(h & ~q, "hadith").otherwise("")
 
 
 def tagged(texts: DataFrame) -> DataFrame:
     """(id, start, end, kind, marked) of text between a tag's start and its end, without edges."""
-    m = texts.select("id", F.explode(places(F.col("text"), "(?s)" + TAGS)).alias("m"))
+    m = texts.select("id", F.explode(places(F.col("text"), "(?s)" + L.TAGS)).alias("m"))
     head = F.length(F.regexp_extract("m.value", "^<(?:aya|hadith)_start>", 0))
-    body = F.expr("substring(m.value, 1)")
-    inner = F.regexp_extract(body, "(?s)" + TAGS, 2)
-    lead, core = F.length(F.regexp_extract(inner, f"^[{EDGE}]*", 0)), F.regexp_replace(inner, f"^[{EDGE}]+|[{EDGE}]+$", "")
-    start = F.col("m.start") + head + lead
-    return m.select("id", start.alias("start"), (start + F.length(core)).alias("end"), F.when(F.col("m.value").startswith("<aya"), "quran").otherwise("hadith_matn").alias("kind"), F.lit(True).alias("marked")).where("end > start")
+    inner = tightened(F.regexp_extract("m.value", "(?s)" + L.TAGS, 2))
+    start = F.col("m.start") + head + inner["lead"]
+    return m.select("id", start.alias("start"), (start + F.length(inner["core"])).alias("end"), F.when(F.col("m.value").startswith("<aya"), "quran").otherwise("hadith_matn").alias("kind"), F.lit(True).alias("marked")).where("end > start")
 
 
-def tightened(text: Column) -> Column:
-    """Text without punctuation, quotation marks and markup at its edges."""
-    return F.regexp_replace(text, f"^[{EDGE}]+|[{EDGE}]+$", "")
+def tag_places(text: Column) -> Column:
+    """array<struct<value, start, end>> of the tags themselves, which are part of no quotation."""
+    return places(text, L.TAG)
 
 
-_SPAN = "struct<start:int,end:int,kind:string,marked:boolean>"
+def tightened(text: Column) -> Column:
+    """struct<lead, core>: a text without punctuation, quotation marks, markup and a tag at its edges, and what was cut before it."""
+    edges = f"(?:[{L.EDGE}]*(?:<(?:aya|hadith)_(?:start|end)>)?[{L.EDGE}]*)"
+    lead = F.regexp_extract(text, f"^{edges}", 0)
+    core = F.regexp_replace(F.substring(text, F.length(lead) + 1, F.length(text)), f"{edges}$", "")
+    return F.struct(F.length(lead).alias("lead"), core.alias("core"))
 
 
 def merged(spans: DataFrame) -> DataFrame:
@@ -177,35 +197,49 @@ def merged(spans: DataFrame) -> DataFrame:
     return rows.select("id", F.explode(folded).alias("x")).select("id", "x.*")
 
 
-def claimed_source(after: Column) -> Column:
-    """struct<raw, books, surah, ayah, ayah_to>: the first claim of a source in a piece of text, or nulls.
+_CLAIM = "struct<raw:string,books:array<string>,surah:int,ayah:int,ayah_to:int>"
+
+
+def claimed_source(part: Column, chapters: dict[str, int] | None = None) -> Column:
+    """struct<raw, books, surah, ayah, ayah_to>: the first claim of a source in a piece of text, or null.
 
-    In this order: agreed by two books, narrated by, a book's name, chapter and verse in numbers.
+    In this order: agreed by two books, narrated by, a book's name, chapter and verse. ``chapters``: numbers by the loose
+    names of chapters; a verse of an unknown chapter is no claim.
     """
-    low = F.lower(after)
-    kind = "struct<raw:string,books:array<string>,surah:int,ayah:int,ayah_to:int>"
+    low = F.lower(part)
 
     def claim(raw: Column, books: Column | None = None, *numbers: Column) -> Column:
         s, a, to = numbers or (F.lit(None),) * 3
-        return F.struct(raw.alias("raw"), (F.array().cast("array<string>") if books is None else books).alias("books"), s.cast("int").alias("surah"), a.cast("int").alias("ayah"), to.cast("int").alias("ayah_to")).cast(kind)
+        return F.struct(raw.alias("raw"), (F.array().cast("array<string>") if books is None else books).alias("books"), s.cast("int").alias("surah"), a.cast("int").alias("ayah"), to.cast("int").alias("ayah_to")).cast(_CLAIM)
 
-    options = [F.when(after.contains(p), claim(F.lit(p), F.array(F.lit("sahih_al-bukhari"), F.lit("sahih_muslim")))) for p in AGREED]
-    narrated = F.regexp_extract(after, NARRATED_BY, 1)
-    named = F.filter(F.array(*(F.when(F.greatest(*(F.lower(narrated).contains(a) for a in names)), F.lit(book)) for book, names in BOOKS.items())), lambda b: b.isNotNull())
-    options.append(F.when((narrated != "") & (F.size(named) > 0), claim(F.trim(narrated), named)))
-    for book, names in BOOKS.items():
+    options = [F.when(part.contains(p), claim(F.lit(p), F.array(F.lit("sahih_al-bukhari"), F.lit("sahih_muslim")))) for p in L.AGREED]
+    narrated = F.regexp_extract(part, L.NARRATED_BY, 1)
+    named = F.array_compact(F.array(*(F.when(F.greatest(*(F.lower(narrated).contains(a) for a in names)), F.lit(book)) for book, names in L.BOOKS.items())))
+    options.append(F.when((narrated != "") & (F.size(named) > 0), claim(F.trim(F.regexp_extract(part, L.NARRATED_BY, 0)), named)))
+    for book, names in L.BOOKS.items():
         for name in names:
             hit = low.rlike(f"(?<![\\wء-ي]){name.lower()}(?![\\wء-ي])")
-            if book in AMBIGUOUS_BOOKS:
-                hit = hit & low.rlike(BOOK_CONTEXT)
+            if book in L.AMBIGUOUS_BOOKS:
+                hit = hit & low.rlike(L.BOOK_CONTEXT)
             options.append(F.when(hit, claim(F.lit(name), F.array(F.lit(book)))))
-    for pattern, group in ((NAMED_VERSE, 3), (BARE_VERSE, 0)):
-        s, a = (F.regexp_extract(after, pattern, k).try_cast("int") for k in (1, 2))
-        to = F.regexp_extract(after, pattern, group).try_cast("int") if group else F.lit(None).cast("int")
-        options.append(F.when(s.between(1, 114) & a.between(1, 286), claim(F.regexp_extract(after, pattern, 0), None, s, a, to)))
+    found = F.regexp_extract(part, L.VERSE, 0)
+    group = lambda k: F.regexp_extract(part, L.VERSE, k)
+    number = lambda k: F.nullif(group(k), F.lit("")).try_cast("int")
+    if chapters:
+        table = F.create_map(*(F.lit(x) for pair in chapters.items() for x in pair))
+        chapter = F.try_element_at(table, F.regexp_replace(O.joined(O.loose_tokens(group(1))), "^(?:سوره )?", ""))
+        options.append(F.when((group(1) != "") & chapter.isNotNull(), claim(F.trim(found), None, chapter, number(2), number(3))))
+    s, a = F.coalesce(number(4), number(7)), F.coalesce(number(5), number(8))
+    options.append(F.when((group(1) == "") & s.between(1, 114) & a.between(1, 286), claim(F.trim(found), None, s, a, number(6))))
     return F.coalesce(*options)
 
 
+def claimed_around(text: Column, start: Column, end: Column, chapters: dict[str, int] | None = None, window: int = 80) -> Column:
+    """The claim right after a quotation, else the one before it."""
+    low = F.greatest(start - window, F.lit(0))
+    return F.coalesce(claimed_source(F.substring(text, end + 1, F.lit(window)), chapters), claimed_source(F.substring(text, low + 1, start - low), chapters))
+
+
 def foreign_runs(text: Column) -> Column:
     """array<struct<value, start, end>>: what stands between the first and the last token and is neither letter nor punctuation.
 
@@ -220,10 +254,14 @@ def foreign_runs(text: Column) -> Column:
 
 
 def detectors(texts: DataFrame) -> DataFrame:
-    """(id, private, chain_message, refusal): flags of a text as a whole."""
-    low = F.lower(F.coalesce("text", F.lit("")))
-    any_ = lambda tests: F.coalesce(F.greatest(*tests), F.lit(False))
-    return texts.select("id", any_([F.coalesce("text", F.lit("")).rlike(p) for p in PRIVATE]).alias("private"), any_([low.contains(p) for p in CHAIN_MESSAGES]).alias("chain_message"), any_([low.contains(p) for p in RULINGS]).alias("refusal"))
+    """(id, private, chain_message, refusal): flags of a text as a whole. Arabic phrases are looked for in loose words."""
+    text = F.coalesce("text", F.lit(""))
+    low, loose = F.lower(text), O.joined(O.loose_tokens(text))
+    said = lambda phrases: F.greatest(*(low.contains(p) if p.isascii() else loose.contains(" ".join(_LOOSE(_MARKS.sub("", p)))) for p in phrases))
+    return texts.select("id", F.greatest(*(text.rlike(p) for p in L.PRIVATE)).alias("private"), said(L.CHAIN_MESSAGES).alias("chain_message"), said(L.RULINGS).alias("refusal"))
+
+
+_MARKS = re.compile(f"[{O.DROPPED}]")
 
 
 def deduplicated(quotes: DataFrame, most: int = 30) -> DataFrame:
@@ -239,7 +277,9 @@ def deduplicated(quotes: DataFrame, most: int = 30) -> DataFrame:
 
 def relocate(text: Column, piece: Column, hint: Column) -> Column:
     """Where a piece stands verbatim in a text, nearest to the hinted place; null if nowhere. Occurrences don't overlap."""
-    gaps = F.split(text, F.concat(F.lit("\\Q"), piece, F.lit("\\E")), -1)
-    steps = F.transform(F.sequence(F.lit(1), F.greatest(F.size(gaps) - 1, F.lit(1))), lambda k: F.aggregate(F.slice(gaps, 1, k), F.lit(0), lambda a, g: a + F.length(g)) + (k - 1) * F.length(piece))
-    nearest = F.array_min(F.transform(steps, lambda s: F.struct(F.abs(s - hint).alias("d"), s.alias("s"))))
-    return F.when((F.size(gaps) > 1) & (F.length(piece) > 0), nearest["s"])
+    def nearest(gaps: Column) -> Column:
+        gone = F.slice(gaps, F.lit(1), F.size(gaps) - 1)
+        starts = F.zip_with(running(F.transform(gone, lambda g: F.length(g) + F.length(piece))), gone, lambda r, g: r + F.length(g))
+        return F.array_min(F.transform(starts, lambda s: F.struct(F.abs(s - hint).alias("d"), s.alias("s"))))["s"]
+
+    return F.when(F.length(piece) > 0, bound(F.split(text, F.concat(F.lit("\\Q"), piece, F.lit("\\E")), -1), nearest))

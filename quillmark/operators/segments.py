@@ -6,23 +6,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import orthography as O
+from ..functions.arrays import bound
+from . import extraction as E
+from . import lexicon as L
 
 # Tokens from which a quotation is judged, by what it claims to be; those of an explicit quotation.
 LEAST = {"quran": 2, "hadith_matn": 3}
 LEAST_MARKED = 2
 
-# Words that chains of narrators are made of, in loose letters, and the most tokens of a chain.
-CHAIN_WORDS = ("عن", "وعن", "بن", "ابن", "ابي", "ابو", "حدثنا", "حدثني", "اخبرنا", "اخبرني", "قال", "قالت", "سمعت", "ان", "انه")
-LINK_WORDS = ("عن", "وعن", "حدثنا", "حدثني", "اخبرنا", "اخبرني", "سمعت")
-LONGEST_CHAIN = 40
-
-
 def prepared(quotes: DataFrame, arabic: bool = True) -> DataFrame:
-    """Quotes (kind, marked, quoted) with enough tokens to be judged; those without a token in any script are none."""
-    n = F.size(O.loose_tokens(F.col("quoted"), arabic))
+    """Quotes (kind, marked, quoted) with enough words to be judged; those without a word in any script are none."""
+    n, language = F.size(O.loose_tokens(F.col("quoted"), arabic)), O.language(F.col("quoted")) if arabic else F.lit("ar")
     least = F.when(F.col("kind") == "quran", LEAST["quran"]).otherwise(LEAST["hadith_matn"])
-    foreign = (n == 0) & F.col("quoted").rlike("[A-Za-z]{3,}")
-    return quotes.where(foreign | (n >= F.when(F.col("marked"), F.least(least, F.lit(LEAST_MARKED))).otherwise(least)))
+    enough = n >= F.when(F.col("marked"), F.least(least, F.lit(LEAST_MARKED))).otherwise(least)
+    return quotes.where(F.when(language == "ar", enough).otherwise((n > 0) | (language != "other")))
 
 
 def records_covering(windows: DataFrame, records: DataFrame) -> DataFrame:
@@ -54,21 +51,120 @@ def located(needle: Column, hay: Column) -> Column:
 
 
 def chain_shaped(tokens: Column) -> Column:
-    """Whether loose tokens are a list of narrators: three to forty, two links at least, and every name near a chain word."""
-    links = F.size(F.filter(tokens, lambda t: t.isin(*LINK_WORDS)))
-    near = F.forall(F.sequence(F.lit(1), F.greatest(F.size(tokens), F.lit(1))), lambda i: F.exists(F.slice(tokens, F.greatest(i - 2, F.lit(1)), 5), lambda t: t.isin(*CHAIN_WORDS)))
-    return (F.size(tokens) >= 3) & (F.size(tokens) <= LONGEST_CHAIN) & (links >= 2) & near
+    """Whether loose words are a list of narrators: three to forty, begun by a link, two links at least, each name close after a chain word."""
+    links = F.size(F.filter(tokens, lambda t: t.isin(*L.CHAIN_START)))
+    near = F.forall(F.transform(tokens, lambda t, i: t.isin(*L.CHAIN_WORDS) | F.exists(F.slice(tokens, F.greatest(i - 1, F.lit(1)), F.least(i, F.lit(2))), lambda w: w.isin(*L.CHAIN_WORDS))), lambda x: x)
+    return F.coalesce(F.get(tokens, F.lit(0)).isin(*L.CHAIN_START), F.lit(False)) & F.size(tokens).between(3, L.LONGEST_CHAIN) & (links >= 2) & near
+
+
+def only_filler(text: Column) -> Column:
+    """Whether a text has nothing but honorifics and reporting verbs."""
+    some = "|".join(sorted(L.CHAIN_FILLER, key=lambda p: -len(p.split())))
+    return O.joined(O.loose_tokens(text)).rlike(f"^(?:(?:{some})(?: |$))*$")
+
+
+def chain_then_filler(text: Column, most: int = 12) -> Column:
+    """Whether narrators are peeled off from the left, ``most`` at most, until only filler is left."""
+    kind = "struct<rest:string,some:boolean,done:boolean,filler:boolean>"
+    start = F.struct(text.alias("rest"), F.lit(False).alias("some"), F.lit(False).alias("done"), F.lit(False).alias("filler")).cast(kind)
+
+    def step(acc: Column, _: Column) -> Column:
+        link = F.regexp_extract(acc["rest"], f"^(?:{L.NARRATOR})", 0)
+        rest = F.ltrim(F.regexp_replace(F.substring(acc["rest"], F.length(link) + 1, F.length(acc["rest"])), "[\\s:：،,.؛;\\-–]+$", ""))
+        further = F.regexp_replace(rest, "^(?:قال|قالت)\\s+", "")
+        stop = (further == rest) & ~rest.rlike(L.CHAIN_LINK)
+        peeled = F.struct(F.when(stop, rest).otherwise(further).alias("rest"), F.lit(True).alias("some"), (only_filler(rest) | stop).alias("done"), only_filler(rest).alias("filler")).cast(kind)
+        halted = F.struct(acc["rest"].alias("rest"), acc["some"].alias("some"), F.lit(True).alias("done"), acc["filler"].alias("filler")).cast(kind)
+        return F.when(acc["done"], acc).when(link == "", halted).otherwise(peeled)
+
+    end = F.aggregate(F.sequence(F.lit(1), F.lit(most)), start, step)
+    return bound(end, lambda e: e["filler"] | (e["some"] & only_filler(e["rest"])))
+
+
+def quote_inner(quoted: Column) -> Column:
+    """What stands in the first brackets of a quotation that kept its introducer; else the quotation without marks at its edges."""
+    pattern, marks = '«([^«»]+)»|“([^“”]+)”|"([^"]+)"|﴿([^﴾﴿]+)﴾', "«»\"“”‹›﴾﴿()\\[\\]'’"
+    groups = [F.nullif(F.regexp_extract(quoted, pattern, k), F.lit("")) for k in range(1, 5)]
+    return F.trim(F.coalesce(*groups, F.regexp_replace(F.trim(quoted), f"^[{marks}]+|[{marks}]+$", "")))
+
+
+def attribution_only(quoted: Column) -> Column:
+    """attribution: a quotation that only names books; isnad: a chain of narrators without a text; null: it has words of its own."""
+
+    def kind(inner: Column) -> Column:
+        claim = E.claimed_source(inner)
+        at = F.position(claim["raw"], inner)  # only the first place is taken out
+        rest = F.concat(F.substring(inner, F.lit(1), at - 1), F.lit(" "), F.substring(inner, at + F.length(claim["raw"]), F.length(inner)))
+        letters = F.length(F.regexp_replace(rest, r"\P{L}", ""))
+        bare = (F.size(claim["books"]) > 0) & (letters <= 2)
+        words = O.loose_tokens(inner)
+        chain = (F.size(words) >= 3) & (chain_then_filler(inner) | chain_shaped(words))
+        return F.when(F.coalesce(bare, F.lit(False)), "attribution").when(chain, "isnad")
+
+    return bound(quote_inner(quoted), kind)
+
 
+def chain_before(text: Column, start: Column, reach: int = L.CHAIN_REACH) -> Column:
+    """struct<type, start, end> of the chain of narrators that ends right before a quotation, two characters between at most; null if there is none."""
+    low = F.greatest(start - reach, F.lit(0))
 
-def chain_before(text: Column, start: Column, reach: int = 220) -> Column:
-    """The chain of narrators that ends right before a quotation, with at most two characters between; null if there is none."""
-    window = F.regexp_replace(F.substring(text, F.greatest(F.lit(1), start - reach + 1), F.least(start, F.lit(reach))), "[\\s\"'«“*:]+$", "")
-    chain = F.regexp_extract(window, "(?:حدثنا|حدثني|أخبرنا|أخبرني|عن|وعن)\\s+[\\u0621-\\u064a]+[^\\n«\"“﴿]{0,140}(?:قال|قالت|يقول|أن رسول الله|أن النبي)$", 0)
-    return F.when(chain != "", chain)
+    def last(window: Column) -> Column:
+        between = lambda x: F.regexp_replace(F.substring(window, x["end"] + 1, F.length(window)), f"{L.TAG}|[\\s\"'«“*:]", "")
+        good = F.filter(E.places(window, L.NARRATOR), lambda x: F.length(between(x)) <= 2)
+        return bound(F.element_at(good, -1), lambda x: F.when(F.size(good) > 0, F.struct(F.lit("isnad").alias("type"), (low + x["start"]).alias("start"), (low + x["start"] + F.length(F.rtrim(x["value"]))).alias("end"))))
+
+    return bound(F.substring(text, low + 1, start - low), lambda w: F.when(w.rlike(L.NARRATOR), last(w)))
+
+
+def source_near(text: Column, start: Column, end: Column, scripture: Column, chapters: dict[str, int] | None = None, window: int = 90, reach: int = 40) -> Column:
+    """struct<type, start, end> of a claimed source after a quotation, else before it, at most ``reach`` characters away.
+
+    After it the search stops where the next citation begins. Of the two kinds of sources that of the quotation's own kind
+    comes first; one of scripture must name a chapter.
+    """
+    low = F.greatest(start - window, F.lit(0))
+    after = F.get(F.split(F.substring(text, end + 1, F.lit(window)), L.NEXT_CITATION, 2), F.lit(0))
+    before = F.substring(text, low + 1, start - low)
+
+    def names_chapter(value: Column) -> Column:
+        claim = E.claimed_source(value, chapters)
+        return value.contains("سورة") | F.coalesce(claim["surah"].isNotNull() & value.rlike("[ء-ي]"), F.lit(False))
+
+    def found(part: Column, base: Column, pattern: str, first: bool) -> Column:
+        near = (lambda x: x["start"] <= reach) if first else (lambda x: F.length(part) - x["end"] <= reach)
+
+        def segment(x: Column) -> Column:
+            fits = near(x) & (names_chapter(x["value"]) if pattern == L.SOURCE_OF_SCRIPTURE else F.lit(True))
+            cut = E.tightened(x["value"])
+            return F.when(fits & (F.length(cut["core"]) > 0), F.struct(F.lit("claimed_source").alias("type"), (base + x["start"] + cut["lead"]).alias("start"), (base + x["start"] + cut["lead"] + F.length(cut["core"])).alias("end")))
+
+        return F.when(part.rlike(pattern), bound(F.element_at(E.places(part, pattern), 1 if first else -1), segment))
+
+    def either(part: Column, base: Column, first: bool) -> Column:
+        q, h = found(part, base, L.SOURCE_OF_SCRIPTURE, first), found(part, base, L.SOURCE_OF_NARRATION, first)
+        return F.when(scripture, F.coalesce(q, h)).otherwise(F.coalesce(h, q))
+
+    return F.coalesce(bound(after, lambda w: either(w, end, True)), bound(before, lambda w: either(w, low, False)))
+
+
+def segments(text: Column, start: Column, end: Column, scripture: Column, chapters: dict[str, int] | None = None) -> Column:
+    """array<struct<type, start, end>>: a quotation (Ayah or matn), its claimed source, and the chain before a narration."""
+    source, chain = source_near(text, start, end, scripture, chapters), F.when(~scripture, chain_before(text, start))
+    own = F.struct(F.when(scripture, "Ayah").otherwise("matn").alias("type"), start.cast("int").alias("start"), end.cast("int").alias("end"))
+    kind = "struct<type:string,start:int,end:int>"
+    apart = bound(source, lambda s: F.when(~((s["start"] < end) & (start < s["end"])), s.cast(kind)))
+    return F.array_compact(F.array(own.cast(kind), apart, chain.cast(kind)))
 
 
 def augmented(spans: DataFrame, tags: DataFrame, anchors: DataFrame) -> DataFrame:
-    """Spans (id, start, end, kind, marked) where tags replace what they overlap, and anchors fill what is free."""
-    overlap = lambda a, b: (a["id"] == b["id"]) & (a["start"] < b["end"]) & (b["start"] < a["end"])
-    kept = spans.join(tags, overlap(spans, tags), "left_anti").unionByName(tags)
-    return kept.unionByName(anchors.join(kept, overlap(anchors, kept), "left_anti"))
+    """Spans (id, start, end, kind, marked) where tags replace what they overlap, and anchors fill what is free.
+
+    A span of unknown kind that an anchor overlaps takes the kind of the first such anchor.
+    """
+    kept = E.uncovered(spans, tags).unionByName(tags)
+    free = E.uncovered(anchors, kept)
+    a = anchors.select(F.col("id").alias("other"), F.col("start").alias("a0"), F.col("end").alias("a1"), F.col("kind").alias("told"))
+    met = kept.where("kind = 'unknown'").distinct().join(a, (F.col("id") == F.col("other")) & (F.col("a0") < F.col("end")) & (F.col("start") < F.col("a1")))
+    told = met.groupBy("id", "start", "end").agg(F.min_by("told", F.struct("a0", "a1", "told")).alias("told"))
+    named = kept.join(told, ["id", "start", "end"], "left").select("id", "start", "end", F.when(F.col("kind") == "unknown", F.coalesce("told", "kind")).otherwise(F.col("kind")).alias("kind"), "marked")
+    return named.unionByName(free)

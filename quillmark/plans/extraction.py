@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import orthography as O
 from ..operators import diffs as X
 from ..operators import extraction as E
+from ..operators import lexicon as L
 from ..sources import corpus as S
 from .common import ITEMS, Query, spread, table
 
@@ -30,7 +31,7 @@ def spans_bracketed(spark: SparkSession, d: str) -> DataFrame:
     return s.select("id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "kind", "marked")
 
 
-_BRACKET_PARTS = [(f"b{k}", f"{E._quoted(a)}[^{E._quoted(b)}]*{E._quoted(b)}") for k, (a, b) in enumerate(E.BRACKETS)]
+_BRACKET_PARTS = [(f"b{k}", f"{E._quoted(a)}[^{E._quoted(b)}]*{E._quoted(b)}") for k, (a, b) in enumerate(L.BRACKETS)]
 _BRACKETED = (
     "WITH t AS (SELECT doc_id AS id, text FROM documents WHERE text IS NOT NULL), "
     + ", ".join(_placed_sql(name, "t", pattern) for name, pattern in _BRACKET_PARTS)
@@ -46,12 +47,12 @@ def spans_introduced(spark: SparkSession, d: str) -> DataFrame:
     """Turns of conversations after three introducing phrases."""
     c = table(spark, d, "conversations").where("text is not null").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
     lead = F.element_at(F.array(F.lit("The Prophet said: "), F.lit("Allah says, "), F.lit("plainly ")), (F.col("id") % 3 + 1).cast("int"))
-    s = E.introduced_english(c.select("id", F.concat(lead, F.regexp_replace(F.substring("text", 1, 60), "[\"(\\[{]", " ")).alias("text")))
+    s = E.introduced_english(c.select("id", F.concat(lead, F.regexp_replace("text", "[\"(\\[{]", " ")).alias("text")))
     return s.select("id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "kind", "marked")
 
 
 _INTRODUCED = r"""
-WITH t AS (SELECT conv_id * 1000 + turn AS id, regexp_replace(substring(text, 1, 60), '["(\[{]', ' ', 'g') AS body FROM conversations WHERE text IS NOT NULL),
+WITH t AS (SELECT conv_id * 1000 + turn AS id, regexp_replace(text, '["(\[{]', ' ', 'g') AS body FROM conversations WHERE text IS NOT NULL),
 r AS (SELECT id, CASE id % 3 WHEN 0 THEN 18 ELSE 12 END + length(body) - length(ltrim(body, E' \n\t')) AS start, id % 3 AS k, rtrim(regexp_extract(ltrim(body, E' \n\t'), '^[^.!?\n]*')) AS said FROM t WHERE id % 3 < 2)
 SELECT id, start, start + length(said) AS "end", CASE WHEN k = 0 THEN 'hadith_matn' ELSE 'quran' END AS kind, false AS marked FROM r WHERE len(regexp_extract_all(said, '[A-Za-z]{2,}')) >= 3
 """
@@ -77,7 +78,7 @@ def detect_pii(spark: SparkSession, d: str) -> DataFrame:
     return E.detectors(_texts(spark, d)).select("id", "private")
 
 
-_PRIVATE = "SELECT doc_id AS id, " + " OR ".join(f"regexp_matches(text, '{p}')" for p in E.PRIVATE) + " AS private FROM documents WHERE text IS NOT NULL"
+_PRIVATE = "SELECT doc_id AS id, " + " OR ".join(f"regexp_matches(text, '{p.replace('(?<!\\d)', '(?:^|[^0-9])').replace('(?!\\d)', '(?:[^0-9]|$)')}')" for p in L.PRIVATE) + " AS private FROM documents WHERE text IS NOT NULL"
 
 
 def detect_flags(spark: SparkSession, d: str) -> DataFrame:
@@ -87,7 +88,7 @@ def detect_flags(spark: SparkSession, d: str) -> DataFrame:
 
 _FLAGS = (
     "WITH c AS (SELECT conv_id * 1000 + turn AS id, lower(coalesce(text, '') || CASE turn % 3 WHEN 0 THEN ' What is the ruling?' WHEN 1 THEN ' FORWARD THIS TO all' ELSE '' END) AS t FROM conversations) SELECT id, "
-    + " OR ".join(f"contains(t, '{p}')" for p in E.CHAIN_MESSAGES) + " AS chain_message, " + " OR ".join(f"contains(t, '{p}')" for p in E.RULINGS) + " AS refusal FROM c"
+    + " OR ".join(f"contains(t, '{p}')" for p in L.CHAIN_MESSAGES if p.isascii()) + " AS chain_message, " + " OR ".join(f"contains(t, '{p}')" for p in L.RULINGS if p.isascii()) + " AS refusal FROM c"
 )
 
 
@@ -117,14 +118,15 @@ def cap_quotes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def relocated(spark: SparkSession, d: str) -> DataFrame:
-    """The third word of each document, from its middle: where does it stand nearest?"""
-    t = _texts(spark, d).select("id", F.substring("text", 1, 300).alias("text")).withColumn("word", F.try_element_at(F.split("text", " "), F.lit(3)))
-    return t.where("word <> ''").select("id", E.relocate(F.col("text"), F.col("word"), F.lit(150)).cast("long").alias("start"))
+    """The third word of each document: where does it stand nearest to the middle?"""
+    t = _texts(spark, d).withColumn("word", F.try_element_at(F.split("text", " "), F.lit(3)))
+    return t.where("word <> ''").select("id", E.relocate(F.col("text"), F.col("word"), F.floor(F.length("text") / 2)).cast("long").alias("start"))
 
 
 _RELOCATED = """
-WITH t AS (SELECT doc_id AS id, substring(text, 1, 300) AS text, string_split(substring(text, 1, 300), ' ')[3] AS word FROM documents WHERE text IS NOT NULL), g AS (SELECT id, length(word) AS n, string_split(text, word) AS g FROM t WHERE word <> ''),
-p AS (SELECT id, CAST(list_sum([length(x) FOR x IN g[1:k]]) + (k - 1) * n AS BIGINT) AS start FROM (SELECT *, unnest(range(1, len(g))) AS k FROM g)) SELECT id, min_by(start, abs(start - 150) * 1000 + start) AS start FROM p GROUP BY id
+WITH t AS (SELECT doc_id AS id, text, string_split(text, ' ')[3] AS word FROM documents WHERE text IS NOT NULL), g AS (SELECT id, length(text) // 2 AS middle, length(word) AS n, string_split(text, word) AS g FROM t WHERE word <> ''),
+s AS (SELECT id, middle, n, length(g[k]) AS size, k FROM (SELECT *, unnest(range(1, len(g))) AS k FROM g)),
+p AS (SELECT id, middle, CAST(sum(size + n) OVER (PARTITION BY id ORDER BY k) - n AS BIGINT) AS start FROM s) SELECT id, min_by(start, abs(start - middle) * 1000000 + start) AS start FROM p GROUP BY id
 """
 
 
@@ -151,8 +153,7 @@ FOREIGN = [("قلم xyz كتاب", "xyz"), ("قلم، كتاب", ""), ("قلم (
 CLAIMS = [("رواه البخاري ومسلم", "sahih_al-bukhari,sahih_muslim", None, None), ("متفق عليه", "sahih_al-bukhari,sahih_muslim", None, None), ("see Muslim", "sahih_muslim", None, None), ("Malik said", None, None, None), ("Muwatta of Malik", "maliks_muwataa", None, None), ("(Quran 2:255)", "", 2, 255), ("12:5", "", 12, 5), ("Q 115:1", None, None, None), ("nothing", None, None, None)]
 TAGGED = [("x <aya_start> «قلم» <aya_end> y", 15, 18, "quran"), ("<hadith_start>كتاب جديد<hadith_end>", 14, 23, "hadith_matn")]
 TRAILED = [("قلت. هذا كتاب جديد جدا، رواه مسلم", 5, 22, "hadith_matn"), ("هذا كتاب رواه", None, None, None)]
-INTRODUCED = [("وقال تعالى: هذا كتاب جديد جدا. نعم", 12, 29, "quran"), ("قال رسول الله صلى الله عليه وسلم هذا كتاب جديد", 33, 46, "hadith_matn"), ("قال فلان هذا كتاب", None, None, None)]
-LEXICON = [(["قال", "تعالي"], "quran"), (["قال", "الله"], "quran"), (["قال", "رسول", "الله"], "hadith_matn"), (["قوله", "تعالي"], "quran")]
+INTRODUCED = [("وقال تعالى: هذا كتاب جديد جدا. نعم", 12, 29, "quran"), ("قال رسول الله صلى الله عليه وسلم هذا كتاب جديد", 33, 46, "hadith_matn"), ("قال فلان هذا كتاب", None, None, None), ("قال ﷺ: هذا كتاب جديد، نعم", 7, 25, "hadith_matn"), ("وفي الحديث قال عز وجل رضي الله عنه هذا بيت جديد؟ لا", 11, 47, "hadith_matn"), ("وفي الحديث قال عز وجل رضي الله عنه هذا بيت جديد؟ لا", 35, 47, "quran")]
 DIFFS = [("a b c", "a b c", ""), ("a b c", "a x c", "word_replaced"), ("a b c", "a c", "word_added_in_quote"), ("a c", "a b c d", "word_missing_in_quote"), ("a b", "c a", "word_added_in_quote,word_missing_in_quote")]
 REFERENCES = [(1, 7, None, 7, True), (1, 8, None, 7, False), (2, 3, 5, 286, True), (2, 5, 3, 286, False), (115, 1, None, None, False)]
 
@@ -196,14 +197,14 @@ def claimed_source(spark: SparkSession, d: str) -> DataFrame:
 
 def _spanned(rows: list[tuple], find) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        t = _fixture("id string, text string", rows, 0, 0)(spark)
+        t = _fixture("id string, text string", rows, 0, 0)(spark).distinct()
         return t.select("id").join(find(spark, t), "id", "left").select(F.col("id").alias("text"), "start", "end", "kind")
 
     return Query(run, _values('text, start, "end", kind', rows))
 
 
 def _introduced(spark: SparkSession, t: DataFrame) -> DataFrame:
-    return E.introduced(t, spark.createDataFrame(LEXICON, "words array<string>, kind string"))
+    return E.introduced(t)
 
 
 def ref_possible(spark: SparkSession, d: str) -> DataFrame:

@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 from quillmark.functions import text_tools as T
+from quillmark.operators import extraction as E
 
 
 def one(spark, column, **values):
@@ -27,9 +28,13 @@ def test_names(spark):
 
 
 def test_asserted(spark):
-    a = T.asserted(F.col("b"), F.col("a"), "Allah says", "Prophet", "narrated")
-    assert one(spark, a, b="x. Allah says: ", a="") == "quran" and one(spark, a, b="The Prophet said ", a="") == "hadith"
-    assert one(spark, a, b="Allah says. Then ", a=" narrated by") == "hadith" and one(spark, a, b="Allah says, the Prophet said ", a="") == ""
+    def a(before, quote, after):
+        t = before + quote + after
+        return one(spark, E.asserted_kind(F.col("t"), F.lit(len(before)), F.lit(len(before + quote))), t=t)
+
+    assert a("x. Allah says: ", "q", "") == "quran" and a("The Prophet said ", "q", "") == "hadith" and a("﴿", "q", "﴾") == "quran"
+    assert a("Allah says. Then ", "q", " رواه مسلم") == "hadith" and a("Allah says, the Prophet said ", "q", "") == "" and a("", "q", "") == ""
+
 
 
 def test_chunks(spark):
