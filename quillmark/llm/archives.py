@@ -27,7 +27,7 @@ _LENGTH = re.compile(rb"\r\nContent-Length: (\d+)", re.IGNORECASE)
 DATE = "2024-01-01T00:00:00Z"
 
 #: Bytes of a file, about, as written; and those above which a file isn't read, for one task holds it.
-FILE_BYTES, LARGEST_FILE = 64 << 20, 1 << 30
+FILE_BYTES, LARGEST_FILE = 16 << 20, 1 << 30
 
 
 def record(id_: Column, url: Column, body: Column, date: Column | None = None) -> Column:
@@ -42,7 +42,7 @@ def record(id_: Column, url: Column, body: Column, date: Column | None = None) -
 
 def _records(pages: DataFrame, id_col: str, url_col: str, body_col: str) -> DataFrame:
     text = record(F.col(id_col), F.col(url_col), F.col(body_col))
-    return pages.select(F.col(id_col).alias("id"), text.alias("value")).withColumn("digest", F.sha2("value", 256))
+    return pages.select(F.col(id_col).alias("id"), text.alias("value")).withColumn("digest", F.unhex(F.sha2("value", 256)))
 
 
 def write_archive(pages: DataFrame, path: str, files: int | None = None, id_col: str = "page_id", url_col: str = "url", body_col: str = "html") -> None:
@@ -52,7 +52,7 @@ def write_archive(pages: DataFrame, path: str, files: int | None = None, id_col:
     """
     if files is None:
         size = pages.agg(F.sum(F.coalesce(F.octet_length(body_col), F.lit(0)) + 256)).first()[0]
-        files = max(pages.sparkSession.sparkContext.defaultParallelism, -(-int(size or 0) // FILE_BYTES))
+        files = max(1, -(-int(size or 0) // FILE_BYTES))
     rows = _records(pages, id_col, url_col, body_col)
     dealt = rows.repartitionByRange(files, F.col("id").asc_nulls_first(), "digest")
     dealt.sortWithinPartitions(F.col("id").asc_nulls_first(), "digest").select("value").write.option("lineSep", END).text(path)
@@ -61,14 +61,18 @@ def write_archive(pages: DataFrame, path: str, files: int | None = None, id_col:
 _NAMES = [f"name{k}" for k in range(1, DEPTH + 1)]
 
 
+def _hex(digest: str | Column) -> Column:
+    return F.lower(F.hex(digest))
+
+
 def _numbered(rows: DataFrame, part: str, *order: Column) -> DataFrame:
     """Adds rank, offset, k and the names of the ranges over each row: parts in order, rows of a part by ``order``.
 
-    ``k`` counts rows of the same id and digest. A range is named by the key that opens it, 0 before the first. Gathers a
+    ``k`` counts rows of the same id and digest in a part, where all such rows are neighbours. A range is named by the key that opens it, 0 before the first. Gathers a
     row per part at most.
     """
-    rows = rows.withColumn("k", F.row_number().over(Window.partitionBy("id", "digest").orderBy(part, *order)) - 1)
-    key = F.md5(F.concat_ws("|", F.coalesce(F.col("id").cast("string"), F.lit("")), "digest", F.col("k").cast("string")))
+    rows = rows.withColumn("k", F.row_number().over(Window.partitionBy(part, "id", "digest").orderBy(*order)) - 1)
+    key = F.md5(F.concat_ws("|", F.coalesce(F.col("id").cast("string"), F.lit("")), _hex("digest"), F.col("k").cast("string")))
     level, name = F.length(F.regexp_extract(key, "0*$", 0)), F.conv(F.substring(key, 1, 15), 16, 10).cast("long")
     opened = [F.when(F.col("level") >= k + 1, F.col("name")) for k in range(DEPTH)]
     rows = rows.withColumns({"level": level, "name": name})
@@ -112,14 +116,14 @@ def archive_leaves(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for name, content in zip(batch.column(0), batch.column(1), strict=True):
                 rows = list(parse(content.as_buffer().to_pybytes()))
-                columns = [pa.array([name.as_py()] * len(rows), pa.string()), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.string())]
+                columns = [pa.array([name.as_py()] * len(rows), pa.string()), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array([bytes.fromhex(r[3]) for r in rows], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=["part", "id", "at", "length", "digest"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
     largest = files.agg(F.max("length")).first()[0] or 0
     if largest > LARGEST_FILE:
         raise ValueError(f"a WARC file of {largest} bytes: files of up to {LARGEST_FILE} are audited")
-    rows = materialize(files.select("path", "content").mapInArrow(run, "part string, id string, at long, length long, digest string"), "archive")
+    rows = materialize(files.select("path", "content").mapInArrow(run, "part string, id string, at long, length long, digest binary"), "archive")
     return _numbered(rows, "part", F.col("at"))
 
 
@@ -129,7 +133,7 @@ def tree(leaves: DataFrame) -> list[DataFrame]:
     A node's own name is the first of its columns, the others name the ranges above it; ``first`` and ``after`` bound its
     offsets. A node gathers FANOUT children on average, some hundred at most by any likelihood, whatever the archive's size.
     """
-    level, levels = leaves.select("digest", F.col("offset").alias("first"), (F.col("offset") + F.col("length") + len(END)).alias("after"), *_NAMES), []
+    level, levels = leaves.select(_hex("digest").alias("digest"), F.col("offset").alias("first"), (F.col("offset") + F.col("length") + len(END)).alias("after"), *_NAMES), []
     for k in range(DEPTH):
         children = F.array_sort(F.collect_list(F.struct("first", "digest")))
         level = level.groupBy(*_NAMES[k:]).agg(F.min("first").alias("first"), F.max("after").alias("after"), F.sha2(F.array_join(F.transform(children, lambda c: c["digest"]), ""), 256).alias("digest"))
@@ -154,7 +158,7 @@ def mismatches(one: DataFrame, other: DataFrame) -> tuple[DataFrame, str | None]
     """
     spark, trees = one.sparkSession, [tree(one), tree(other)]
     roots = [root(t) for t in trees]
-    leaf = lambda df: df.select(F.col("id").cast("string").alias("name"), "k", "digest", F.struct("id", "rank", "offset", "length", "digest").alias("leaf"), "name1")
+    leaf = lambda df: df.select(F.col("id").cast("string").alias("name"), "digest", F.struct("id", "rank", "offset", "length", "digest").alias("leaf"), "name1")
     sides = [leaf(one), leaf(other)]
     if roots[0] == roots[1]:
         return spark.createDataFrame([], f"state string, one {sides[0].schema['leaf'].dataType.simpleString()}, other {sides[1].schema['leaf'].dataType.simpleString()}"), roots[0]
@@ -165,7 +169,8 @@ def mismatches(one: DataFrame, other: DataFrame) -> tuple[DataFrame, str | None]
         a, b = (x.select(F.col(name).alias("node"), F.col("digest").alias(n)) for x, n in zip(below, "ab", strict=True))
         bad = materialize(a.join(b, "node", "full").where(~F.col("a").eqNullSafe(F.col("b"))), "suspects")
         suspects = [bad.where(f"{n} is not null").select(F.col("node").alias(name)) for n in "ab"]
-    held = [x.join(s, "name1", "left_semi").drop("name1") for x, s in zip(sides, suspects, strict=True)]
+    again = F.row_number().over(Window.partitionBy("name", "digest").orderBy("leaf.rank")).alias("k")
+    held = [x.join(s, "name1", "left_semi").select("name", "digest", "leaf", again) for x, s in zip(sides, suspects, strict=True)]
     same = lambda a, b: a["name"].eqNullSafe(b["name"]) & (a["digest"] == b["digest"]) & (a["k"] == b["k"])
     alone = [a.join(b, same(a, b), "left_anti") for a, b in (held, held[::-1])]
     turn = Window.partitionBy("name").orderBy("leaf.rank")
@@ -188,6 +193,6 @@ def audit(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
     bad, digest = mismatches(leaves, found)
     kind = pages.schema[id_col].dataType
     states = bad.where("one is not null").select(F.col("one.rank").alias("rank"), "state")
-    rows = leaves.join(states, "rank", "left").select(F.col("id").alias(id_col), "rank", "offset", "length", "digest", F.coalesce("state", F.lit("intact")).alias("state"))
-    extra = bad.where("one is null").select(F.col("other.id").try_cast(kind).alias(id_col), F.lit(None).cast("long").alias("rank"), "other.offset", "other.length", "other.digest", "state")
+    rows = leaves.join(states, "rank", "left").select(F.col("id").alias(id_col), "rank", "offset", "length", _hex("digest").alias("digest"), F.coalesce("state", F.lit("intact")).alias("state"))
+    extra = bad.where("one is null").select(F.col("other.id").try_cast(kind).alias(id_col), F.lit(None).cast("long").alias("rank"), "other.offset", "other.length", _hex("other.digest").alias("digest"), "state")
     return rows.unionByName(extra).withColumn("root", F.lit(digest).cast("string"))
