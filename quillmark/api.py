@@ -7,79 +7,179 @@ import tempfile
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .functions import english
 from .functions import orthography as O
 from .operators import decisions as D
+from .operators import diffs as X
+from .operators import evidence as V
 from .operators import extraction as E
 from .operators import index as I
 from .operators import matching as M
+from .operators import segments as G
+from .operators import validation as P
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """Ends the lineage: a checkpoint in the folder of spark.checkpoint.dir, or in a temporary one where none is set (tests)."""
+    """Ends the lineage: a checkpoint in the folder of spark.checkpoint.dir; in local mode (tests) a temporary one where none is set."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="quillmark-"))
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if named is None and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="quillmark-"))
     return df.checkpoint()
 
 
-def find_spans(texts: DataFrame, records: DataFrame, arabic: bool = False, lexicon: DataFrame | None = None, least: int = 6) -> DataFrame:
+def find_spans(texts: DataFrame, records: DataFrame, arabic: bool = False, least: int = 6, proposals: DataFrame | None = None, chapters: dict[str, int] | None = None) -> DataFrame:
     """(id, start, end, kind, marked, quoted) of the quotations in ``texts`` (id, text).
 
-    By brackets, introducing and trailing words, tags, and runs of ``least`` tokens that stand in ``records``
-    (id, corpus, book, text); overlapping spans become one.
+    By brackets, introducing and trailing words, tags, runs of ``least`` words that stand in ``records`` (id, corpus, book,
+    text), and ``proposals`` (id, start, end, kind). Overlapping spans become one; edges are tightened; labels are none. A
+    span of unknown kind takes that of what introduces it or of the source it claims.
     """
-    parts = [E.bracketed(texts), E.introduced_english(texts), E.trailed(texts), E.tagged(texts)] + ([E.introduced(texts, lexicon)] if lexicon is not None else [])
-    anchored = M.quotations(I.streams(texts, "id", arabic=arabic), I.streams(records, "id", arabic=arabic), least=least)
-    placed = anchored.select(F.col("text").alias("id"), "i", "n").distinct().join(texts, "id").withColumn("t", O.tokens(F.col("text"), arabic))
-    parts.append(placed.select("id", F.col("t")[F.col("i")]["start"].alias("start"), F.col("t")[F.col("i") + F.col("n") - 1]["end"].alias("end"), F.lit("unknown").alias("kind"), F.lit(False).alias("marked")))
-    spans = parts[0]
-    for p in parts[1:]:
-        spans = spans.unionByName(p)
-    return E.merged(settled(spans)).join(texts, "id").withColumn("quoted", F.expr("substring(text, start + 1, end - start)")).drop("text")
-
+    texts = texts.where("text is not null")
+    marked = E.bracketed(texts).unionByName(E.introduced(texts))
+    told = settled(marked.unionByName(E.uncovered(E.trailed(texts), marked)))
+    told = settled(E.merged(told.unionByName(E.uncovered(E.introduced_english(texts), told))))
+    spoken = told.join(texts, "id").where(~E.is_noise(_cut(), F.col("marked")))
+    claim = E.claimed_around(F.col("text"), F.col("start"), F.col("end"), chapters)
+    before = F.substring("text", F.greatest(F.col("start") - 120, F.lit(0)) + 1, F.least(F.col("start"), F.lit(120)))
+    kinded = spoken.select("id", "start", "end", F.when(F.col("kind") == "unknown", E.kind_from_context(before, claim)).otherwise(F.col("kind")).alias("kind"), "marked")
+    runs = M.quotations(I.streams(texts, "id", arabic=arabic), I.streams(records, "id", arabic=arabic), least=least)
+    placed = runs.join(records.select("id", F.when(F.col("corpus") == V.SCRIPTURE, "quran").otherwise("hadith_matn").alias("kind")), "id").groupBy(F.col("text").alias("id"), "i", "n").agg(F.max("kind").alias("kind"))
+    placed = placed.join(texts, "id").withColumn("t", O.tokens(F.col("text"), arabic))
+    anchors = placed.select("id", F.get("t", F.col("i"))["start"].alias("start"), F.get("t", F.col("i") + F.col("n") - 1)["end"].alias("end"), "kind", F.lit(False).alias("marked"))
+    spans = settled(G.augmented(kinded, E.tagged(texts), settled(E.merged(anchors))))
+    if proposals is not None:
+        spans = spans.unionByName(proposals.select("id", "start", "end", "kind", F.lit(False).alias("marked")))
+    cut = spans.join(texts, "id").withColumn("x", E.tightened(_cut())).where(F.length("x.core") > 0)
+    tight = cut.select("id", (F.col("start") + F.col("x.lead")).alias("start"), (F.col("start") + F.col("x.lead") + F.length("x.core")).alias("end"), "kind", "marked")
+    return E.merged(settled(tight)).join(texts, "id").withColumn("quoted", _cut()).drop("text")
+
+
+def _cut() -> Column:
+    return F.expr("substring(text, start + 1, end - start)")
+
+
+_MATCH = "array<struct<ord:int,rec:bigint,corpus:string,book:string,tier:string,score:double,start:int,n:int,continues_to:bigint,source_text:string,kinds:array<string>>>"
+
+
+def check(texts: DataFrame, records: DataFrame, arabic: bool = False, most_quotes: int = 30, shown: int = 3, image: bool = False, spans: DataFrame | None = None, proposals: DataFrame | None = None, chapters: dict[str, int] | None = None) -> DataFrame:
+    """A row for each quotation in ``texts`` (id, text): its place, verdict, and the matches that the verdict rests on.
+
+    ``records``: (id, corpus, book, text) and, where a corpus has them, ``evidence.OPTIONAL``: a second edition, chapter and
+    verse (a chapter's records are searched as one stream), vocalised text, grade. ``spans``: quotations that are known
+    already (id, start, end, kind, marked, quoted). Columns: id, start, end, quoted, kind, repeats, truncated, status, score,
+    message, scope, reason, notices, mismatch, total, segments and matches. Texts without quotations have no row; null texts
+    neither. Equal characters get one verdict.
+
+    A verdict that its own proof doesn't confirm is lowered: verbatim words must stand in a record again, a completed
+    spelling must be the only one again, and a quotation that only names its source or narrators is none.
+    """
+    records, texts = V.completed(records), texts.where("text is not null")
+    spans = settled(find_spans(texts, records, arabic, proposals=proposals, chapters=chapters) if spans is None else spans)
+    one = E.deduplicated(G.prepared(spans, arabic).select("id", "start", "quoted"), most_quotes)
+    quotes = settled(one.join(spans, ["id", "start", "quoted"]).join(texts, "id").withColumn("q", F.xxhash64("id", "start")))
+    asked = settled(quotes.select("q", "quoted", O.loose_tokens(F.col("quoted"), arabic).alias("loose"), O.strict_tokens(F.col("quoted"), arabic).alias("strict")))
+    claim = E.claimed_around(F.col("text"), F.col("start"), F.col("end"), chapters)
+    language = O.language(F.col("quoted")) if arabic else F.lit("ar")
+    facts = settled(quotes.join(asked.select("q", F.size("loose").alias("n_tokens")), "q").withColumn("c", claim).select(
+        "q", "n_tokens", language.alias("language"), "kind", "marked", E.asserted_kind(F.col("text"), F.col("start"), F.col("end")).alias("asserted"), F.coalesce("c.books", F.array().cast("array<string>")).alias("books"),
+        F.col("c.surah").alias("ref_surah"), "c.surah", "c.ayah", "c.ayah_to",
+    ))
+    searched = asked.join(facts.where("language = 'ar' and n_tokens > 0"), "q", "left_semi")
+    evidence, proofs = V.gathered(searched.select("q", "loose", "strict"), records, arabic, settled)
+    decided = settled(D.decide(facts, evidence))
+    won = settled(D.winners(decided, evidence))
+
+    verse = V.matched_verse(evidence, records, facts.select("q", "surah", "ayah", "ayah_to"))
+    books = won.groupBy("q").agg(F.array_distinct(F.array_compact(F.collect_list("book"))).alias("found_books"))
+    claims = facts.select("q", "surah", "ayah", "ayah_to", "books").join(verse, "q", "left").join(books, "q", "left")
+    decided = D.apply_claims(decided, claims.withColumn("found_books", F.coalesce("found_books", F.array().cast("array<string>"))))
+    mismatch = settled(decided.select("q", "mismatch"))
+    runs = E.foreign_runs(F.col("quoted")) if arabic else F.array()
+    decided = settled(D.foreign_gate(decided.drop("mismatch"), asked.select("q", (F.size(runs) > 0).alias("foreign"))))
+    if arabic:
+        diffs = V.vowel_diffs(asked.select("q", "quoted"), won, records)
+        decided, won = (settled(x) for x in D.vowel_gate(decided, won, settled(diffs), asked.where(O.vocalised(F.col("quoted")))))
+    decided = D.image_gate(decided) if image else decided
+    decided = settled(_noted(decided, facts, evidence, won, records, arabic, shown))
+    decided = settled(_validated(decided, won, asked, records, arabic))
+
+    lib = V.streams(V.editions(records, arabic))
+    matches = _matches(won.where(F.col("ord") <= shown), asked, records, lib, decided, arabic)
+    total = won.groupBy("q").agg(F.count("*").cast("int").alias("total"))
+    rows = quotes.join(decided, "q").join(mismatch, "q").join(matches, "q", "left").join(total, "q", "left")
+    parts = G.segments(F.col("text"), F.col("start"), F.col("end"), (F.col("scope") == "quran") | (F.col("kind") == "quran"), chapters)
+    return rows.select("id", "start", "end", "quoted", "kind", "repeats", "truncated", "status", "score", "message", "scope", "reason", "notices", "mismatch", F.coalesce("total", F.lit(0)).alias("total"), parts.alias("segments"), F.coalesce("matches", F.array().cast(_MATCH)).alias("matches"))
+
+
+def _noted(decided: DataFrame, facts: DataFrame, evidence: DataFrame, won: DataFrame, records: DataFrame, arabic: bool, shown: int) -> DataFrame:
+    """Verdicts with the notices that describe them and change none; each notice once, in order."""
+    verses = records.where("chapter is not null").groupBy(F.col("chapter").alias("surah")).agg(F.max("verse").alias("verses"))
+    impossible = facts.where("surah is not null").join(F.broadcast(verses) if verses.limit(1001).count() <= 1000 else verses, "surah", "left").select("q", (~P.possible_reference(F.col("surah"), F.col("ayah"), F.col("ayah_to"), F.col("verses"))).alias("impossible"))
+    lib = V.streams(V.editions(records, arabic))
+    whole = V.fragments(won, lib)
+    told = won.join(records.select("id", "chapter", "verse", "grade"), "id").groupBy("q").agg(
+        F.count("*").alias("total"), F.bool_or("first_edition").alias("reading"), F.array_sort(F.collect_set(F.struct("chapter", "verse"))).alias("refs"),
+        F.collect_set(F.when(F.col("ord") <= shown, D.tier(F.col("corpus"), F.col("book")))).alias("tiers"), F.bool_or(F.col("grade").isNotNull()).alias("graded"),
+    )
+    rows = decided.join(impossible, "q", "left").join(whole, "q", "left").join(told, "q", "left")
+    basmala = F.to_json("refs") == '[{"chapter":1,"verse":1},{"chapter":27,"verse":30}]'
+    found = (F.col("status") == "found") & (F.col("scope") == "quran")
+    own = F.array_compact(F.array(
+        F.when(F.col("impossible"), "claimed_ref_invalid"), F.when(found & F.col("reading"), "qiraah_note"), F.when(found & basmala, "basmala_note"), F.when(F.col("total") > shown, "many_positions"), F.when(found & F.col("fragment"), "quran_fragment"),
+    ))
+    source = D.source_notices(F.coalesce("tiers", F.array().cast("array<string>")), F.coalesce("graded", F.lit(False)), F.col("status"), F.col("scope"))
+    message = F.when((F.col("status") == "found") & (F.col("total") > 1), "found_multi").otherwise(F.col("message"))
+    return rows.select("q", "status", F.round("score", 4).alias("score"), message.alias("message"), "scope", "reason", F.array_distinct(F.concat("notices", own, source)).alias("notices"))
+
+
+def _validated(decided: DataFrame, won: DataFrame, asked: DataFrame, records: DataFrame, arabic: bool) -> DataFrame:
+    """Verdicts that stand their own proof; others are lowered to needs_review, never raised."""
+    found = decided.where("status = 'found'").select("q", F.array_contains("notices", "rasm_completed").alias("completed"))
+    strict = won.join(found.where("not completed"), "q", "left_semi").join(asked.select("q", F.col("strict").alias("needle")), "q").select("q", F.col("id").alias("rec"), "needle")
+    exact = P.stands_again(strict, P.open_streams(V.streams(V.editions(records, arabic)))).groupBy("q").agg(F.bool_or("ok").alias("ok"))
+    tokens = records.select("id", O.strict_tokens(F.col("text"), arabic).alias("tokens"))
+    completed = P.completed_again(asked.join(found.where("completed"), "q", "left_semi").select("q", F.col("strict").alias("user")), tokens).select("q", "ok")
+    rows = decided.join(exact.unionByName(completed), "q", "left").join(asked.select("q", G.attribution_only(F.col("quoted")).alias("only")), "q")
+    failed, only = F.col("status").isin("found", "partial_match") & ~F.coalesce("ok", F.lit(True)), F.col("only").isNotNull() & F.col("status").isin("found", "partial_match")
+    lowered = D._lowered(D._lowered(rows, failed, F.lit("validator_rejected")), only & ~failed, F.lit("attribution_only"), F.lit("needs_review_attribution_only"))
+    return lowered.drop("ok", "only")
+
+
+def _matches(won: DataFrame, asked: DataFrame, records: DataFrame, lib: DataFrame, decided: DataFrame, arabic: bool) -> DataFrame:
+    """(q, matches): what is shown of each record a verdict rests on. The encyclopedia's texts are linked, not shown."""
+    last = V.covered(won, lib).groupBy("q", "id").agg(F.max_by("rec", "ord").alias("last"), F.count("*").alias("n"))
+    rows = won.join(records.select("id", "text"), "id").join(asked.select("q", "strict"), "q").join(last.select("q", "id", F.when(F.col("n") > 1, F.col("last")).alias("continues_to")), ["q", "id"], "left")
+    rows = rows.join(decided.select("q", F.col("status").alias("s")), "q")
+    window = F.slice(O.strict_tokens(F.col("text"), arabic), F.greatest(F.col("start"), F.lit(0)) + 1, F.col("w"))
+    link = F.col("corpus") == V.ENCYCLOPEDIA
+    same = (F.col("s") == "found") & F.col("strict_ok")
+    kinds = F.when(same | link, F.array().cast("array<string>")).otherwise(X.diff_kinds(X.word_diff(F.col("strict"), window)))
+    match = F.struct(F.col("ord").cast("int").alias("ord"), F.col("id").alias("rec"), "corpus", "book", D.tier(F.col("corpus"), F.col("book")).alias("tier"), F.round("score", 4).alias("score"), F.col("start").cast("int").alias("start"), F.col("w").cast("int").alias("n"), "continues_to", F.when(~link, F.col("text")).alias("source_text"), kinds.alias("kinds"))
+    return rows.groupBy("q").agg(F.array_sort(F.collect_list(match)).cast(_MATCH).alias("matches"))
 
-def gather_evidence(quotes: DataFrame, records: DataFrame, arabic: bool = False, candidates: int = 20) -> DataFrame:
-    """(q, rec, corpus, book, score, is_exact, strict_ok, rasm, start) for ``quotes`` (q, quoted).
 
-    Exact places first; only quotes without one are compared with windows of the records that share most of their words.
-    """
-    asked = quotes.select("q", O.loose_tokens(F.col("quoted"), arabic).alias("loose"), O.strict_tokens(F.col("quoted"), arabic).alias("strict")).where(F.size("loose") > 0)
-    stream = I.streams(records, "id", arabic=arabic)
-    exact = M.phrase_hits(asked, stream).select("q", F.col("id").alias("rec"), F.lit(1.0).alias("score"), F.lit(True).alias("is_exact"), "strict_ok", "start")
-    rest = asked.join(exact.select("q").distinct(), "q", "left_anti")
-    near = I.top_k(I.bm25(rest.select("q", F.col("loose").alias("terms")), stream.select("id", F.col("loose").alias("terms")), None), candidates)
-    pairs = near.select("q", "id").join(rest.select("q", F.col("loose").alias("ql")), "q").join(stream.select("id", "loose"), "id").select("q", "ql", "id", "loose")
-    fuzzy = M.best_windows(M.windows(pairs)).select("q", F.col("id").alias("rec"), F.least("score", F.lit(0.999)).alias("score"), F.lit(False).alias("is_exact"), F.lit(False).alias("strict_ok"), F.col("at").cast("int").alias("start"))
-    return exact.unionByName(fuzzy).join(records.select(F.col("id").alias("rec"), "corpus", "book"), "rec").withColumn("rasm", F.lit(""))
+def guard(texts: DataFrame, records: DataFrame, arabic: bool = False) -> DataFrame:
+    """A verdict for each text as a whole: no_quotes, clear or flagged, with counts."""
+    return D.guard(texts, check(texts, records, arabic))
 
 
-def check(texts: DataFrame, records: DataFrame, arabic: bool = False, most_quotes: int = 30, lexicon: DataFrame | None = None) -> DataFrame:
-    """A row for each quotation in ``texts`` (id, text): its place, verdict, and strongest matches.
+def compact_check(verdicts: DataFrame, sentences: DataFrame, display_only: tuple[str, ...] = ("ohd_display_note", "ohd_numbering", "many_positions", "no_grade", "hadeethenc_link_only")) -> DataFrame:
+    """(id, start, status, reason, quoted, ref, said) of ``check``'s rows: the best match and the sentences of notices that aren't for display alone.
 
-    Columns: id, start, end, quoted, kind, repeats, truncated, status, score, message, scope, reason, notices, matches
-    (rec, corpus, score, start). Texts without quotations have no row; null texts neither. Equal characters get one verdict.
+    ``sentences``: (notice, said).
     """
-    spans = settled(find_spans(texts, records, arabic, lexicon))
-    one = E.deduplicated(spans.select("id", "start", "quoted"), most_quotes)
-    quotes = one.join(spans, ["id", "start", "quoted"]).withColumn("q", F.xxhash64("id", "start"))
-    quotes = settled(quotes)
-    language: Column = O.language(F.col("quoted")) if arabic else F.lit("ar")
-    claim = E.claimed_source(F.expr("substring(text, end + 1, 80)"))
-    facts = quotes.join(texts, "id").select(
-        "q", F.size(O.loose_tokens(F.col("quoted"), arabic)).alias("n_tokens"), language.alias("language"), "kind", "marked", F.lit("").alias("asserted"),
-        F.coalesce(claim["books"], F.array().cast("array<string>")).alias("books"), claim["surah"].alias("ref_surah"),
-    )
-    evidence = settled(gather_evidence(quotes.select("q", "quoted"), records, arabic))
-    decided = D.decide(facts, evidence)
-    shown = D.ordered_evidence(evidence).groupBy("q").agg(F.array_sort(F.collect_list(F.struct("ord", "rec", "corpus", "score", "start"))).alias("matches"))
-    rows = quotes.join(decided, "q").join(shown, "q", "left")
-    kept = F.when(F.col("status") == "not_found", F.array().cast("array<struct<ord:int,rec:bigint,corpus:string,score:double,start:int>>")).otherwise(F.coalesce("matches", F.array().cast("array<struct<ord:int,rec:bigint,corpus:string,score:double,start:int>>")))
-    return rows.select("id", "start", "end", "quoted", "kind", "repeats", "truncated", "status", "score", "message", "scope", "reason", "notices", kept.alias("matches"))
+    keyed = verdicts.select("id", "start", "status", "reason", "quoted", F.get("matches", F.lit(0))["rec"].alias("ref"), F.posexplode_outer(F.filter("notices", lambda n: ~n.isin(*display_only))).alias("k", "notice"))
+    said = keyed.join(sentences, "notice", "left")
+    return said.groupBy("id", "start", "status", "reason", "quoted", "ref").agg(F.transform(F.array_sort(F.collect_list(F.when(F.col("said").isNotNull(), F.struct("k", "said")))), lambda x: x["said"]).alias("said"))
 
 
-def guard(texts: DataFrame, records: DataFrame, arabic: bool = False) -> DataFrame:
-    """A verdict for each text as a whole: no_quotes, clear or flagged, with counts."""
-    return D.guard(texts, check(texts, records, arabic))
+def hashes(texts: DataFrame, verdicts: DataFrame, corpus_digest: str, arabic: bool = False) -> DataFrame:
+    """(id, hash) of each text's verdicts, which changes only if the corpus, the folded text or a verdict does."""
+    quotes = verdicts.select("id", "start", "end", "status", "message", F.transform("matches", lambda m: F.concat(m["corpus"], F.lit(":"), m["rec"].cast("string"))).alias("matches"))
+    return D.determinism_hash(texts.select("id", O.joined(O.loose_tokens(F.col("text"), arabic)).alias("folded")), quotes, corpus_digest)
 
 
 def verify_quotes(quotes: DataFrame, records: DataFrame, arabic: bool = False) -> DataFrame:
@@ -89,14 +189,9 @@ def verify_quotes(quotes: DataFrame, records: DataFrame, arabic: bool = False) -
 
 def candidates(texts: DataFrame, translations: DataFrame, k: int = 5) -> DataFrame:
     """(q, id, score, rank): for each text (q, text) the translations (id, text) nearest to it by words and word pairs."""
-    from .functions import english
-
     asked = texts.select("q", english.english_tokens(F.col("text")).alias("t"))
     docs = translations.select("id", english.english_tokens(F.col("text")).alias("t"))
-    one = I.bm25(asked.select("q", F.col("t").alias("terms")), docs.select("id", F.col("t").alias("terms")), None, True).withColumnRenamed("score", "s1")
-    two = I.bm25(asked.select("q", english.bigrams(F.col("t")).alias("terms")), docs.select("id", english.bigrams(F.col("t")).alias("terms")), None, True).withColumnRenamed("score", "s2")
-    fused = 0.8 * F.coalesce("s1", F.lit(0.0)) + 0.2 * F.coalesce("s2", F.lit(0.0))
-    return I.top_k(one.join(two, ["q", "id"], "full").select("q", "id", fused.alias("score")), k)
+    return I.top_k(I.words_and_pairs(asked, docs), k)
 
 
 def to_json(rows: DataFrame, path: str) -> None:

@@ -118,7 +118,7 @@ def tier(corpus: Column, book: Column) -> Column:
 
 def ordered_evidence(evidence: DataFrame, most: int = 5) -> DataFrame:
     """The strongest records of each quote: score, scripture first, linked-only last, the two first collections, record."""
-    order = Window.partitionBy("q").orderBy(F.desc("score"), F.col("corpus") != "quran", F.col("corpus") == "encyclopedia", ~F.coalesce(F.col("book").isin(*SAHIHAIN), F.lit(False)), "rec")
+    order = Window.partitionBy("q").orderBy(F.desc("score"), F.col("corpus") != "quran", F.col("corpus") == "encyclopedia", ~F.coalesce(F.col("book").isin(*SAHIHAIN), F.lit(False)), "id")
     return evidence.withColumn("ord", F.row_number().over(order)).where(F.col("ord") <= most)
 
 
@@ -131,6 +131,71 @@ def guard(texts: DataFrame, decisions: DataFrame) -> DataFrame:
     return rows.select("id", verdict.alias("verdict"), "quotes", "found", (F.col("quotes") - F.col("found")).alias("flagged"), by.alias("by_status"))
 
 
+def winners(decisions: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Rows of ``evidence`` on which each verdict rests, with ord: exact ones of its side, or the best near one (three of a narration under review)."""
+    rows = ordered_evidence(evidence, 1 << 30).join(decisions.select("q", "status", "scope", "reason", "notices"), "q")
+    side = rows.where(((F.col("corpus") == "quran") == (F.col("scope") == "quran")) & F.col("scope").isin("quran", "hadith") & (F.col("status") != "not_found"))
+    unproved = F.array_contains("notices", "rasm_completed") | F.coalesce(F.col("reason").isin("rasm_ambiguous", "orthographic_difference"), F.lit(False))
+    near = (F.col("status") == "partial_match") | F.coalesce(F.col("reason").isin("near_miss", "short_quote"), F.lit(False))
+    most = F.when((F.col("reason") == "near_miss") & (F.col("scope") == "hadith"), 3).otherwise(1)
+    kept = side.withColumn("ord", F.row_number().over(Window.partitionBy("q").orderBy("ord")))
+    kept = kept.where(F.when(near, F.col("ord") <= most).when(unproved, F.col("is_exact") & ~F.col("strict_ok")).otherwise(F.col("is_exact") & F.col("strict_ok")))
+    return kept.drop("status", "scope", "reason", "notices")
+
+
+def foreign_gate(decisions: DataFrame, foreign: DataFrame) -> DataFrame:
+    """found becomes needs_review where foreign matter stands between a quotation's words; ``foreign``: (q, foreign)."""
+    hit = (F.col("status") == "found") & F.coalesce("foreign", F.lit(False))
+    return _lowered(decisions.join(foreign, "q", "left"), hit, F.lit("foreign_material")).drop("foreign")
+
+
+def _lowered(rows: DataFrame, hit: Column, why: Column, message: Column | None = None) -> DataFrame:
+    """Rows that ``hit`` as needs_review for a reason, which is their notice too."""
+    review = F.when(F.col("scope") == "quran", "needs_review_quran").otherwise("needs_review")
+    return rows.withColumns({
+        "status": F.when(hit, "needs_review").otherwise(F.col("status")), "reason": F.when(hit, why).otherwise(F.col("reason")), "message": F.when(hit, review if message is None else message).otherwise(F.col("message")),
+        "notices": F.when(hit, F.concat("notices", F.array(why))).otherwise(F.col("notices")),
+    })
+
+
+def vowel_gate(decisions: DataFrame, won: DataFrame, diffs: DataFrame, vocalised: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Verdicts and winners after vowels were compared: ``diffs`` (q, id, kinds), ``vocalised`` (q) the quotes that write any.
+
+    Of scripture that was found, records without a conflict stay; marks left out and pauses are noted. If all conflict, or
+    none can be aligned, a person should look.
+    """
+    asked = decisions.where("status = 'found' and scope = 'quran'").select("q").join(vocalised.select("q"), "q", "left_semi")
+    rows = won.join(asked, "q", "left_semi").join(diffs, ["q", "id"], "left").withColumn("state", F.when(F.col("kinds").isNull(), "unverified").when(F.array_contains("kinds", "conflict"), "conflict").otherwise("verified"))
+    said = lambda kind: F.bool_or((F.col("state") == "verified") & F.array_contains("kinds", kind))
+    states = rows.groupBy("q").agg(F.bool_or(F.col("state") == "verified").alias("fine"), F.bool_or(F.col("state") == "conflict").alias("against"), said("missing").alias("missing"), said("waqf").alias("waqf"))
+    joined = decisions.join(states, "q", "left")
+    bad = F.coalesce(~F.col("fine"), F.lit(False))
+    lowered = _lowered(joined, bad, F.when(F.col("against"), "diacritic_difference").otherwise("diacritic_unverified"))
+    more = F.array_compact(F.array(F.when(F.col("missing"), "harakat_incomplete"), F.when(F.col("waqf"), "waqf_note")))
+    out = lowered.withColumn("notices", F.concat("notices", F.when(F.col("fine"), more).otherwise(F.array().cast("array<string>")))).drop("fine", "against", "missing", "waqf")
+    kept = F.when(F.col("fine"), F.col("state") == "verified").when(F.col("against"), F.col("state") == "conflict").otherwise(F.col("state") == "unverified")
+    dropped = rows.join(states.select("q", "fine", "against"), "q").where(~kept).select("q", "id")
+    return out, won.join(dropped, ["q", "id"], "left_anti")
+
+
+def image_gate(decisions: DataFrame) -> DataFrame:
+    """Of text read from an image nothing is found for sure: the reader may have put it right."""
+    hit = F.col("status") == "found"
+    noted = decisions.withColumn("notices", F.concat("notices", F.array(F.lit("image_extracted"))))
+    return noted.withColumns({"status": F.when(hit, "needs_review").otherwise(F.col("status")), "reason": F.when(hit, "image_unconfirmed").otherwise(F.col("reason")), "message": F.when(hit, "needs_review_image").otherwise(F.col("message"))})
+
+
+def source_notices(tiers: Column, graded: Column, status: Column, scope: Column) -> Column:
+    """What is told about the sources of a narration, never about its standing. ``tiers``: of the shown matches."""
+    has = lambda t: F.array_contains(tiers, t)
+    narrated, encyclopedia = has("sahihain") | has("other_nine"), has("encyclopedia")
+    notices = F.array_compact(F.array(
+        F.when(narrated, "ohd_numbering"), F.when(narrated, "ohd_display_note"), F.when(has("other_nine"), "other_nine_referral"), F.when(encyclopedia & graded, "grade_line"),
+        F.when(encyclopedia, "hadeethenc_link_only"), F.when(~encyclopedia & status.isin("found", "partial_match"), "no_grade"),
+    ))
+    return F.when((scope == "hadith") & (F.size(tiers) > 0), notices).otherwise(F.array().cast("array<string>"))
+
+
 def receipt_state(then: DataFrame, now: DataFrame) -> DataFrame:
     """(id, state): whether a stored determinism hash is that of today: current, stale or unknown."""
     rows = then.select("id", F.col("hash").alias("old")).join(now.select("id", F.col("hash").alias("new")), "id", "left")

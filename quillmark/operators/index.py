@@ -11,6 +11,9 @@ from ..functions import orthography as O
 K1, B = 1.2, 0.75
 WORD_CUTOFF, GRAM_CUTOFF = 0.20, 0.30
 
+#: Documents up to which a term is never a stop term, so that small corpora have terms at all.
+STOP_FLOOR = 50
+
 
 def streams(rows: DataFrame, id_col: str, text_col: str = "text", arabic: bool = False) -> DataFrame:
     """(id, loose, strict, text): token arrays of each row, and its text; null texts have no tokens.
@@ -66,7 +69,7 @@ def term_tables(terms: DataFrame, cutoff: float | None) -> tuple[DataFrame, Data
     df = tf.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(total))
     idf = F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     if cutoff is not None:
-        idf = F.when(F.col("df") > cutoff * F.col("n"), 0.0).otherwise(idf)
+        idf = F.when(F.col("df") > F.greatest(cutoff * F.col("n"), F.lit(float(STOP_FLOOR))), 0.0).otherwise(idf)
     return tf, df.select("term", "df", idf.alias("idf")), lengths
 
 
@@ -90,6 +93,30 @@ def bm25(queries: DataFrame, terms: DataFrame, cutoff: float | None = WORD_CUTOF
     return scores.join(mass, "q").select("q", "id", (F.col("score") / F.col("mass")).alias("score"))
 
 
+def words_and_pairs(asked: DataFrame, docs: DataFrame, pairs: float = 0.2) -> DataFrame:
+    """(q, id, score) of (q, t) over (id, t): words and word pairs as one channel each, relative to the query's idf mass, and added.
+
+    Both channels go through one pass: a term carries its channel, so texts are read and counted once.
+    """
+    both = lambda df, key: df.select(key, F.transform("t", lambda t: F.concat(F.lit("1"), t)).alias("terms"), F.lit(1).alias("channel")).unionByName(df.select(key, F.transform(_pairs("t"), lambda t: F.concat(F.lit("2"), t)).alias("terms"), F.lit(2).alias("channel")))
+    asked_, docs_ = both(asked, "q"), both(docs, "id")
+    tf = docs_.select("id", "channel", F.size("terms").alias("len"), F.explode("terms").alias("term")).groupBy("id", "channel", "len", "term").agg(F.count("*").alias("tf"))
+    size = docs.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("a1"), F.avg(F.greatest(F.size("t") - 1, F.lit(0))).alias("a2"))
+    df = tf.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(size))
+    known = df.select("term", F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    wanted = asked_.select("q", "channel", F.explode(F.array_distinct("terms")).alias("term")).join(bounded(known.where("idf > 0")), "term")
+    mass = wanted.groupBy("q", "channel").agg(F.sum("idf").alias("mass"))
+    average = F.when(F.col("channel") == 1, F.col("a1")).otherwise(F.col("a2"))
+    normed = tf.crossJoin(F.broadcast(size)).select("id", "term", "tf", (K1 * (1 - B + B * F.col("len") / average)).alias("norm"))
+    part = wanted.join(bounded(normed), "term").groupBy("q", "id", "channel").agg(F.sum(F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + F.col("norm"))).alias("s"))
+    weight = F.when(F.col("channel") == 1, 1 - pairs).otherwise(pairs)
+    return part.join(mass, ["q", "channel"]).groupBy("q", "id").agg(F.sum(weight * F.col("s") / F.col("mass")).alias("score"))
+
+
+def _pairs(tokens: str) -> Column:
+    return O.shingles(F.col(tokens), 2)
+
+
 def top_k(scores: DataFrame, k: int = 50, decimals: int = 6) -> DataFrame:
     """The k best of each query by rounded score, ties to the smaller id: (q, id, score, rank)."""
     rounded = scores.where("score > 0").withColumn("score", F.round("score", decimals))

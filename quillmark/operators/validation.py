@@ -10,6 +10,9 @@ from ..functions import orthography as O
 # Fixed value: tokens up to which a span is searched again.
 LONGEST = 4096
 
+#: Words by which a span meets the records; so a common first word alone brings nothing together.
+HEAD = 3
+
 
 def _stands(needle: str, hay: str) -> Column:
     """Whether an array stands in another one without gaps."""
@@ -33,6 +36,22 @@ def exact_again(found: DataFrame, records: DataFrame) -> DataFrame:
     return rows.select("q", "rec", F.coalesce(_stands("needle", "hay"), F.lit(False)).alias("ok"))
 
 
+def open_streams(streams: DataFrame) -> DataFrame:
+    """(rec, first, second): from each record's first indexed word on the words of its stream, in both editions."""
+    rows = streams.select("strict", "strict_alt", F.explode("parts").alias("p"))
+    rest = lambda c: F.slice(c, F.col("p.open") + 1, F.size(c))
+    return rows.select(F.col("p.rec").alias("rec"), rest("strict").alias("first"), rest("strict_alt").alias("second"))
+
+
+def stands_again(found: DataFrame, hays: DataFrame) -> DataFrame:
+    """(q, rec, ok): the words of ``found`` (q, rec, needle) stand in the record or run on from it, each word in either edition."""
+    rows = found.join(hays, "rec", "left")
+    n = F.size("needle")
+    same = lambda k: F.forall(F.arrays_zip(F.col("needle").alias("u"), F.slice("first", k, n).alias("a"), F.slice("second", k, n).alias("b")), lambda x: (x["u"] == x["a"]) | (x["u"] == x["b"]))
+    inside = F.exists(F.sequence(F.lit(1), F.greatest(F.size("first") - n + 1, F.lit(1))), lambda k: (F.get("first", k - 1).eqNullSafe(F.get("needle", F.lit(0))) | F.get("second", k - 1).eqNullSafe(F.get("needle", F.lit(0)))) & same(k))
+    return rows.select("q", "rec", F.coalesce((n > 0) & (n <= LONGEST) & (n <= F.size("first")) & inside, F.lit(False)).alias("ok"))
+
+
 def completed_again(found: DataFrame, records: DataFrame) -> DataFrame:
     """(q, ok, spellings): bare forms stand somewhere, all places spell them alike, and no other form was chosen.
 
@@ -41,9 +60,11 @@ def completed_again(found: DataFrame, records: DataFrame) -> DataFrame:
     """
     bare = lambda c: F.transform(F.col(c), O.bare_form)
     hay = records.select("id", "tokens", bare("tokens").alias("bare"))
-    first = hay.select("id", F.posexplode("bare").alias("k", "t"))
-    asked = found.select("q", "user", bare("user").alias("b")).where(F.size("user") > 0)
-    met = asked.join(first, F.col("b")[0] == F.col("t")).join(hay, "id")
+    asked = found.select("q", "user", bare("user").alias("b")).where(F.size("user") > 0).withColumn("g", F.least(F.size("b"), F.lit(HEAD)))
+    lengths = F.broadcast(asked.select("g").distinct())  # at most HEAD rows
+    places = hay.select("id", F.posexplode("bare").alias("k", "t"), "bare").crossJoin(lengths).where(F.col("k") + F.col("g") <= F.size("bare"))
+    heads = places.select("id", "k", F.xxhash64("g", F.slice("bare", F.col("k") + 1, F.col("g"))).alias("h"))
+    met = asked.withColumn("h", F.xxhash64("g", F.slice("b", 1, F.col("g")))).join(heads, "h").join(hay, "id")
     window = lambda c: F.slice(F.col(c), F.col("k") + 1, F.size("b"))
     places = met.where(window("bare") == F.col("b")).select("q", F.zip_with("user", window("tokens"), O.classify).alias("kinds"), F.array_join(window("tokens"), " ").alias("spelling"))
     judged = places.groupBy("q").agg(F.count_distinct("spelling").alias("spellings"), F.bool_or(F.exists("kinds", lambda k: ~k.isin("equal", "completion"))).alias("swap"))

@@ -200,7 +200,7 @@ def bm25_trigrams(spark: SparkSession, d: str) -> DataFrame:
 def _bm25_sql(name: str, asked: str, terms: str, cutoff: float | None, normalised: bool = False) -> str:
     """Common tables ending in ``name`` (q, id, score); asked: (q, terms), terms: (id, terms)."""
     idf = "ln(1 + (n - df + 0.5) / (df + 0.5))"
-    idf = idf if cutoff is None else f"CASE WHEN df > {cutoff} * n THEN 0 ELSE {idf} END"
+    idf = idf if cutoff is None else f"CASE WHEN df > greatest({cutoff} * n, {I.STOP_FLOOR}) THEN 0 ELSE {idf} END"
     mass = f"/ max(mass)" if normalised else ""
     return f"""
 {name}_tf AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(terms) AS term FROM {terms}) GROUP BY ALL),
@@ -277,11 +277,7 @@ def candidates_topk(spark: SparkSession, d: str) -> DataFrame:
     """The five items nearest to each document by words and word pairs, each channel relative to its idf mass."""
     docs = spread(table(spark, d, "documents").select("doc_id", "text")).where("text is not null").select(F.col("doc_id").alias("q"), E.english_tokens(F.col("text")).alias("t"))
     bench = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), E.english_tokens(F.col("text")).alias("t"))
-    one = I.bm25(docs.select("q", F.col("t").alias("terms")), bench.select("id", F.col("t").alias("terms")), None, True)
-    two = I.bm25(docs.select("q", E.bigrams(F.col("t")).alias("terms")), bench.select("id", E.bigrams(F.col("t")).alias("terms")), None, True)
-    score = 0.8 * F.coalesce("s1", F.lit(0.0)) + 0.2 * F.coalesce("s2", F.lit(0.0))
-    both = one.withColumnRenamed("score", "s1").join(two.withColumnRenamed("score", "s2"), ["q", "id"], "full").select("q", "id", score.alias("score"))
-    return I.top_k(both, 5).select("q", F.col("id").alias("item_id"), "score", F.col("rank").cast("long").alias("rank"))
+    return I.top_k(I.words_and_pairs(docs, bench), 5).select("q", F.col("id").alias("item_id"), "score", F.col("rank").cast("long").alias("rank"))
 
 
 _CANDIDATES = f"""

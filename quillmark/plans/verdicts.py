@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import api
 from ..functions import orthography as O
 from ..operators import decisions as D
 from ..operators import evaluation as V
@@ -12,8 +13,9 @@ from ..operators import intervals as N
 from ..operators import matching as M
 from ..operators import validation as P
 from ..sources import corpus as S
-from .common import DOCS, ITEMS, Query, documents, items, stream_sql, table
-from .matching import _SEEDS
+
+from .common import DOCS, ITEMS, Query, documents, fold_sql, items, stream_sql, table
+from .matching import _SEEDS, _WINDOWS, _pairs
 
 _FACTS_SQL = """
 facts AS (SELECT doc_id AS q, doc_id % 9 + 1 AS n_tokens, CASE WHEN doc_id % 11 = 0 THEN 'en' ELSE 'ar' END AS language, ['quran', 'hadith_matn', 'unknown'][doc_id % 3 + 1] AS kind, doc_id % 4 = 0 AS marked,
@@ -139,38 +141,41 @@ SELECT tid AS id, CASE WHEN quotes IS NULL THEN 'no_quotes' WHEN quotes = found
 
 def determinism_hash(spark: SparkSession, d: str) -> DataFrame:
     docs = documents(spark, d)
-    q = M.quotations(docs, items(spark, d)).select(F.col("text").alias("id"), F.col("i").cast("long").alias("start"), (F.col("i") + F.col("n")).cast("long").alias("end"), F.when(F.col("strict_ok"), "found").otherwise("needs_review").alias("status"), F.lit("m").alias("message"), F.array(F.col("id").cast("string")).alias("matches"))
-    one = q.withColumn("r", F.row_number().over(_by_start())).where("r = 1").drop("r")
-    return D.determinism_hash(docs.select("id", O.joined(F.col("loose")).alias("folded")), one, "corpus-1")
-
-
-def _by_start():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("id").orderBy("start", "matches")
+    q = M.quotations(docs, items(spark, d)).groupBy(F.col("text").alias("id"), F.col("i").cast("long").alias("start"), (F.col("i") + F.col("n")).cast("long").alias("end"))
+    q = q.agg(F.when(F.bool_or("strict_ok"), "found").otherwise("needs_review").alias("status"), F.array_sort(F.collect_set(F.col("id").cast("string"))).alias("matches")).withColumn("message", F.lit("m"))
+    return D.determinism_hash(docs.select("id", O.joined(F.col("loose")).alias("folded")), q, "corpus-1")
 
 
 _HASH = """
-{seeds}, judged AS (SELECT doc_id, i, i + n AS e, CAST(item_id AS VARCHAR) AS item, CASE WHEN d.strict[i + 1:i + n] = t.strict[j + 1:j + n] THEN 'found' ELSE 'needs_review' END AS status FROM runs r JOIN docs d ON d.id = doc_id JOIN items t ON t.id = item_id WHERE n >= 6),
-first AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i, e, item) AS k FROM judged)
-SELECT id, sha256('corpus-1' || chr(0) || array_to_string(loose, ' ') || coalesce(chr(0) || i || ':' || e || ':' || status || ':m|' || item, '')) AS hash FROM docs LEFT JOIN (SELECT * FROM first WHERE k = 1) ON doc_id = id
+{seeds}, judged AS (SELECT doc_id, i, i + n AS e, CAST(item_id AS VARCHAR) AS item, d.strict[i + 1:i + n] = t.strict[j + 1:j + n] AS ok FROM runs r JOIN docs d ON d.id = doc_id JOIN items t ON t.id = item_id WHERE n >= 6),
+parts AS (SELECT doc_id, i, chr(0) || i || ':' || e || ':' || CASE WHEN bool_or(ok) THEN 'found' ELSE 'needs_review' END || ':m|' || array_to_string(list_sort(list(DISTINCT item)), '|') AS part FROM judged GROUP BY doc_id, i, e),
+said AS (SELECT doc_id, string_agg(part, '' ORDER BY i, part) AS said FROM parts GROUP BY doc_id)
+SELECT id, sha256('corpus-1' || chr(0) || array_to_string(loose, ' ') || coalesce(said, '')) AS hash FROM docs LEFT JOIN said ON doc_id = id
 """
 
 
+def _runs_of_two(stream: DataFrame) -> DataFrame:
+    """(id, k, loose, strict): each two neighbouring words."""
+    two = lambda c: F.array(F.get(c, F.col("k")), F.get(c, F.col("k") + 1))
+    rows = stream.select("id", "loose", "strict", F.explode(F.sequence(F.lit(0), F.greatest(F.size("loose") - 2, F.lit(0)))).alias("k")).where(F.size("loose") > 1)
+    return rows.select("id", "k", two("loose").alias("loose"), two("strict").alias("strict"))
+
+
 def census_proof(spark: SparkSession, d: str) -> DataFrame:
-    """Two-token runs of items as quotes, typed in small letters without accents: are their spellings proved by the documents?"""
-    pairs = lambda df: df.select("id", F.posexplode(F.arrays_zip(F.slice("loose", 1, F.size("loose") - 1).alias("a"), F.slice("loose", 2, F.size("loose")).alias("b"), F.slice("strict", 1, F.size("strict") - 1).alias("c"), F.slice("strict", 2, F.size("strict")).alias("e"))).alias("k", "p")).select("id", "k", "p.*")
-    quotes = pairs(items(spark, d)).where("k = 0").select(F.col("id").alias("q"), "a", "b")
-    places = pairs(documents(spark, d)).join(quotes, ["a", "b"])
-    spelt = places.groupBy("q", F.concat_ws(" ", "c", "e").alias("spelling")).agg(F.count("*").alias("n"))
-    return spelt.groupBy("q").agg(F.count("*").alias("spellings"), F.sum("n").alias("places"), F.min("spelling").alias("first_spelling"))
+    """Each two neighbouring words of items, typed in small letters without accents: do the documents prove their spelling?"""
+    quotes = _runs_of_two(items(spark, d)).select((F.col("id") * 1000 + F.col("k")).alias("q"), "loose")
+    hits = _runs_of_two(documents(spark, d)).join(quotes, "loose").select("q", F.struct("id", "k").alias("place"), F.col("loose").alias("user"), F.col("strict").alias("first"), F.col("strict").alias("second"))
+    c = M.census(hits)
+    return c.select("q", "proved", "unique", "spelling", F.size("alternatives").cast("long").alias("spellings"), F.get("alternatives", F.lit(0))["spelling"].alias("commonest"), F.get("alternatives", F.lit(0))["count"].alias("places"))
 
 
 _CENSUS = f"""
-WITH {DOCS}, {ITEMS}, quotes AS (SELECT id AS q, loose[1] AS a, loose[2] AS b FROM items WHERE len(loose) >= 2),
+WITH {DOCS}, {ITEMS}, quotes AS (SELECT id * 1000 + k - 1 AS q, loose[k] AS a, loose[k + 1] AS b FROM (SELECT id, loose, unnest(range(1, len(loose))) AS k FROM items WHERE len(loose) >= 2)),
 places AS (SELECT loose, strict, unnest(range(1, len(loose))) AS k FROM docs WHERE len(loose) >= 2),
-spelt AS (SELECT q, strict[k] || ' ' || strict[k + 1] AS spelling, count(*) AS n FROM places JOIN quotes ON loose[k] = a AND loose[k + 1] = b GROUP BY ALL)
-SELECT q, count(*) AS spellings, CAST(sum(n) AS BIGINT) AS places, min(spelling) AS first_spelling FROM spelt GROUP BY q
+spelt AS (SELECT q, strict[k] || ' ' || strict[k + 1] AS spelling, bool_or(strict[k] <> a OR strict[k + 1] <> b) AS other, count(*) AS n FROM places JOIN quotes ON loose[k] = a AND loose[k + 1] = b GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY n DESC, spelling) AS r FROM spelt)
+SELECT q, NOT bool_or(other) AS proved, NOT bool_or(other) AND count(*) = 1 AS "unique", CASE WHEN NOT bool_or(other) AND count(*) = 1 THEN min(spelling) ELSE '' END AS spelling, count(*) AS spellings,
+    max(spelling) FILTER (r = 1) AS commonest, CAST(max(n) FILTER (r = 1) AS BIGINT) AS places FROM ranked GROUP BY q
 """
 
 
@@ -205,15 +210,67 @@ def validate_v1_v3(spark: SparkSession, d: str) -> DataFrame:
 
 
 def validate_v7(spark: SparkSession, d: str) -> DataFrame:
-    """Strict token pairs of items, all of them records: which pairs have one spelling under the bare fold?"""
+    """Each two neighbouring words of items as a quote, all items as records: which have one spelling under the bare fold?"""
     s = items(spark, d)
-    found = s.where(F.size("strict") > 1).select(F.col("id").alias("q"), F.slice("strict", 1, 2).alias("user"))
+    found = _runs_of_two(s).select((F.col("id") * 1000 + F.col("k")).alias("q"), F.col("strict").alias("user"))
     return P.completed_again(found, s.select("id", F.col("strict").alias("tokens")))
 
 
 _V7 = f"""
-WITH {ITEMS}, asked AS (SELECT id AS q, strict[1] AS a, strict[2] AS b FROM items WHERE len(strict) > 1), pairs AS (SELECT strict, unnest(range(1, len(strict))) AS k FROM items WHERE len(strict) > 1)
-SELECT q, true AS ok, count(DISTINCT a || ' ' || b) AS spellings FROM asked JOIN pairs ON strict[k] = a AND strict[k + 1] = b GROUP BY q
+WITH {ITEMS}, pairs AS (SELECT id * 1000 + k - 1 AS q, strict[k] AS a, strict[k + 1] AS b FROM (SELECT id, strict, unnest(range(1, len(strict))) AS k FROM items WHERE len(strict) > 1))
+SELECT x.q, true AS ok, count(DISTINCT y.a || ' ' || y.b) AS spellings FROM pairs x JOIN pairs y ON x.a = y.a AND x.b = y.b GROUP BY x.q
+"""
+
+
+def decide_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Verdicts on items that lost every fifth word, by their best windows in all items; items of even id are scripture."""
+    quotes, scripture = _pairs(spark, d), F.when(F.col("id") % 2 == 0, "quran").otherwise("hadith")
+    best = M.best_windows(M.windows(quotes)).select("q", scripture.alias("corpus"), "score", F.lit(False).alias("is_exact"), F.lit(False).alias("strict_ok"), F.lit("").alias("rasm"))
+    facts = quotes.select("q", F.size("ql").alias("n_tokens"), F.lit("ar").alias("language"), F.lit("unknown").alias("kind"), (F.col("q") % 3 == 0).alias("marked"), F.lit("").alias("asserted"), F.array().cast("array<string>").alias("books"), F.lit(None).cast("int").alias("ref_surah")).distinct()
+    return D.decide(facts, best).withColumn("notices", F.array_join("notices", ","))
+
+
+_DECIDE_TEXTS = f"""
+{_WINDOWS}, best AS (SELECT q, id, n, round_even(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY q, id ORDER BY score DESC, w, "at") AS k FROM (SELECT windows.*, n FROM windows JOIN (SELECT DISTINCT q, n FROM coded) USING (q))) WHERE k = 1),
+sides AS (SELECT q, max(n) AS n, max(score) FILTER (id % 2 = 0) AS bq, max(score) FILTER (id % 2 = 1) AS bh, max(score) AS best FROM best GROUP BY q),
+every AS (SELECT c.q, c.n, bq, bh, coalesce(best, 0) AS best, c.n < 5 AND c.q % 3 <> 0 AS short FROM (SELECT DISTINCT q, n FROM coded) c LEFT JOIN sides USING (q)),
+near AS (SELECT *, bq >= CASE WHEN short THEN 0.75 ELSE 0.6 END AS q_ok, CASE WHEN short THEN CASE WHEN bh >= 0.75 THEN 's' END WHEN bh >= 0.75 THEN 'p' WHEN bh >= 0.7 THEN 'r' END AS h_ok, bq IS NOT NULL AND (bh IS NULL OR bq >= bh) AS q_first FROM every),
+branch AS (SELECT *, CASE WHEN coalesce(q_ok, false) AND (q_first OR h_ok IS NULL) THEN 'q' WHEN h_ok IS NOT NULL THEN h_ok ELSE 'n' END AS b FROM near)
+SELECT q, CASE b WHEN 'p' THEN 'partial_match' WHEN 'n' THEN 'not_found' ELSE 'needs_review' END AS status, CASE b WHEN 'q' THEN bq WHEN 'n' THEN best ELSE bh END AS score,
+    CASE b WHEN 'q' THEN CASE WHEN short THEN 'needs_review_short' ELSE 'needs_review_quran' END WHEN 's' THEN 'needs_review_short' WHEN 'p' THEN 'partial_match' WHEN 'r' THEN 'needs_review' ELSE 'not_found_any' END AS message,
+    CASE b WHEN 'q' THEN 'quran' WHEN 'n' THEN 'both' ELSE 'hadith' END AS scope, CASE WHEN b = 's' OR (b = 'q' AND short) THEN 'short_quote' WHEN b IN ('q', 'r') THEN 'near_miss' END AS reason, CASE WHEN b = 'p' THEN 'hadith_variant' ELSE '' END AS notices FROM branch
+"""
+
+
+def check_batch(spark: SparkSession, d: str) -> DataFrame:
+    """The whole life cycle over documents and items: what stands verbatim in an item, in small letters and without accents, is checked as a quotation."""
+    texts, bench = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text").where("text is not null"), table(spark, d, "benchmark")
+    records = bench.select(F.col("item_id").alias("id"), F.when(F.col("item_id") % 2 == 0, "quran").otherwise("hadith").alias("corpus"), F.lit("").alias("book"), "text")
+    runs = M.quotations(documents(spark, d), items(spark, d)).select(F.col("text").alias("id"), "i", "n").distinct()
+    placed = runs.join(texts, "id").withColumn("t", O.tokens(F.col("text"), False))
+    spans = N.merged(placed.select("id", F.get("t", F.col("i"))["start"].alias("start"), (F.get("t", F.col("i") + F.col("n") - 1)["end"]).alias("end")))
+    spans = spans.join(texts, "id").select("id", "start", "end", F.lit("unknown").alias("kind"), F.lit(True).alias("marked"), F.expr("substring(text, start + 1, end - start)").alias("quoted"))
+    c = api.check(texts, records, spans=spans)
+    return c.select("id", F.col("start").cast("long").alias("start"), F.size("repeats").cast("long").alias("repeats"), "status", "score", "message", "scope", "reason", F.array_join("notices", ",").alias("notices"), F.col("total").cast("long").alias("total"), F.array_join(F.transform("matches", lambda m: m["rec"].cast("string")), ",").alias("matches"))
+
+
+_CHECK = rf"""
+{_SEEDS}, w AS (SELECT doc_id AS id, text, regexp_extract_all(text, '[\p{{L}}\p{{N}}]+') AS w, regexp_split_to_array(text, '[\p{{L}}\p{{N}}]+') AS g FROM documents),
+ranges AS (SELECT DISTINCT id, CAST(list_sum([length(x) FOR x IN g[1:i + 1]]) + coalesce(list_sum([length(x) FOR x IN w[1:i]]), 0) AS BIGINT) AS s, CAST(list_sum([length(x) FOR x IN g[1:i + n]]) + list_sum([length(x) FOR x IN w[1:i + n]]) AS BIGINT) AS e FROM runs JOIN w ON w.id = doc_id WHERE n >= 6),
+fresh AS (SELECT *, CASE WHEN max(e) OVER (PARTITION BY id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) >= s THEN 0 ELSE 1 END AS new FROM ranges),
+merged AS (SELECT id, min(s) AS s, max(e) AS e FROM (SELECT *, sum(new) OVER (PARTITION BY id ORDER BY s, e) AS part FROM fresh) GROUP BY id, part),
+quoted AS (SELECT m.id, s, substring(text, CAST(s + 1 AS BIGINT), CAST(e - s AS BIGINT)) AS quoted FROM merged m JOIN w ON w.id = m.id),
+once AS (SELECT id, min(s) AS start, count(*) - 1 AS repeats, quoted, regexp_extract_all(quoted, '[\p{{L}}\p{{N}}]+') AS qs FROM quoted GROUP BY id, quoted),
+folded AS (SELECT *, [{fold_sql('x')} FOR x IN qs] AS ql FROM once),
+spots AS (SELECT id, loose, strict, unnest(range(1, len(loose) + 1)) AS k FROM items),
+hits AS (SELECT f.id, start, p.id AS item, bool_or(strict[k:k + len(qs) - 1] = qs) AS ok, bool_or(k = 1 AND len(loose) = len(qs)) AS whole FROM folded f JOIN spots p ON loose[k:k + len(ql) - 1] = ql GROUP BY f.id, start, p.id),
+sides AS (SELECT id, start, CASE WHEN bool_or(ok AND item % 2 = 0) THEN 'q' WHEN bool_or(ok) THEN 'h' WHEN bool_or(item % 2 = 0) THEN 'ql' ELSE 'hl' END AS b FROM hits GROUP BY id, start),
+won AS (SELECT h.*, b, row_number() OVER (PARTITION BY h.id, h.start ORDER BY item) AS r FROM hits h JOIN sides s ON s.id = h.id AND s.start = h.start WHERE ok = (len(b) = 1) AND (item % 2 = 0) = (b[1] = 'q')),
+told AS (SELECT id, start, b, count(*) AS total, bool_or(whole) AS whole, array_to_string(list(CAST(item AS VARCHAR) ORDER BY item) FILTER (r <= 3), ',') AS matches FROM won GROUP BY id, start, b)
+SELECT t.id, t.start, f.repeats, CASE WHEN len(b) = 1 THEN 'found' ELSE 'needs_review' END AS status, 1.0::DOUBLE AS score, CASE WHEN len(b) = 1 THEN CASE WHEN total > 1 THEN 'found_multi' ELSE 'found' END WHEN b = 'ql' THEN 'needs_review_quran' ELSE 'needs_review' END AS message,
+    CASE WHEN b[1] = 'q' THEN 'quran' ELSE 'hadith' END AS scope, CASE WHEN len(b) = 2 THEN 'orthographic_difference' END AS reason,
+    array_to_string([x FOR x IN [CASE WHEN b = 'hl' THEN 'matched_other_wording' END, CASE WHEN total > 3 THEN 'many_positions' END, CASE WHEN b = 'q' AND NOT whole THEN 'quran_fragment' END, CASE WHEN b[1] = 'h' THEN 'ohd_numbering' END, CASE WHEN b[1] = 'h' THEN 'ohd_display_note' END, CASE WHEN b[1] = 'h' THEN 'other_nine_referral' END, CASE WHEN b = 'h' THEN 'no_grade' END] IF x IS NOT NULL], ',') AS notices, total, matches
+FROM told t JOIN folded f ON f.id = t.id AND f.start = t.start
 """
 
 
@@ -387,7 +444,7 @@ UNION ALL SELECT count(*), 'without label' FROM documents d WHERE NOT EXISTS (SE
 QUERIES = {
     "decide_states": Query(decide_states, _DECIDED), "apply_claims": Query(apply_claims, _CLAIMS), "gates": Query(gates, _GATES),
     "status_rollup": Query(status_rollup, f"WITH decided AS ({_DECIDED}) SELECT scope, status, count(*) AS n, CAST(sum(round(score * 100)) AS BIGINT) AS hundredths FROM decided GROUP BY ROLLUP (scope, status)"),
-    "guard_verdicts": Query(guard_verdicts, _GUARD), "determinism_hash": Query(determinism_hash, _HASH.format(seeds=_SEEDS)), "census_proof": Query(census_proof, _CENSUS),
+    "guard_verdicts": Query(guard_verdicts, _GUARD), "determinism_hash": Query(determinism_hash, _HASH.format(seeds=_SEEDS)), "census_proof": Query(census_proof, _CENSUS), "decide_texts": Query(decide_texts, _DECIDE_TEXTS), "check_batch": Query(check_batch, _CHECK),
     "validate_v1_v3": Query(validate_v1_v3, "SELECT item_id AS q, CASE WHEN item_id % 5 = 1 THEN item_id + 100000 ELSE item_id END AS rec, item_id % 5 NOT IN (1, 2, 3) AS ok, CASE item_id % 5 WHEN 1 THEN 'no_record' WHEN 2 THEN 'source_text' WHEN 3 THEN 'span' END AS rule FROM benchmark WHERE text IS NOT NULL"),
     "validate_v6": Query(validate_v6, _V6), "validate_v7": Query(validate_v7, _V7), "wilson_ci": Query(wilson_ci, _WILSON), "precision_recall": Query(precision_recall, _PR), "char_macro_f1": Query(char_macro_f1, _F1),
     "recall_mrr": Query(recall_mrr), "latency_pctl": Query(latency_pctl, _PCTL), "mutations": Query(mutations, _MUTATIONS), "false_alarm": Query(false_alarm, _ALARM), "interval_merge": Query(interval_merge, _MERGE),
