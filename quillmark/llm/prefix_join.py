@@ -20,11 +20,12 @@ from pyspark.sql import functions as F
 from . import words as W
 from .storage import materialize
 
-#: Texts of the sample, about. It decides the order of shingles and so the cost, never the result.
-SAMPLE = 10_000
+#: One text of so many is looked at to tell frequent shingles, so that those of some dozens of texts are known at any size. This
+#: decides the order of shingles and so the cost, never the result.
+SAMPLE_PART = 8
 
 #: Shingles put last: at most so many of those that so many texts of the sample hold. Their number shapes the cost only.
-FREQUENT, FREQUENT_FROM = 100_000, 4
+FREQUENT, FREQUENT_FROM = 300_000, 4
 
 #: Rows of one side that meet in one group; more are dealt over several.
 GROUP = 4096
@@ -66,27 +67,28 @@ def _unseen(digests: pa.Array, seen: set[bytes]) -> np.ndarray:
     return np.array(keep, np.int64)
 
 
-def _frequent(texts: DataFrame, size: int, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Shingles that are frequent in a sample of (digest, text), sorted; their ranks from 1, the most frequent last; stars for each."""
-    part = max(1, count // SAMPLE)
+def _frequent(texts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shingles that are frequent in a sample of (digest, text), sorted; their ranks from 1, the most frequent last; stars for each.
+
+    A text that several tasks hold counts in each, which at most puts its shingles later than they need be.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for batch in slices(batches):
             rows = batch.take(pa.array(_unseen(batch.column(0), seen)))
-            yield pa.RecordBatch.from_arrays([rows.column(0), lists(list(shingle_sets(rows.column(1), size)))], names=["digest", "keys"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *shingle_sets(rows.column(1), size)]))], names=["key"])
 
-    sample = texts.where(F.pmod(F.xxhash64("digest"), F.lit(part)) == 0).mapInArrow(run, "digest binary, `keys` array<long>").dropDuplicates(["digest"])
-    counts = sample.select(F.explode("keys").alias("key")).groupBy("key").count().where(F.col("count") >= FREQUENT_FROM)
-    top = counts.orderBy(F.desc("count"), "key").limit(FREQUENT).collect()
-    found, often = np.array([r.key for r in top], np.int64), np.array([r["count"] for r in top], np.int64)
+    counts = texts.where(F.pmod(F.xxhash64("digest"), F.lit(SAMPLE_PART)) == 0).mapInArrow(run, "key long").groupBy("key").count().where(F.col("count") >= FREQUENT_FROM)
+    top = counts.orderBy(F.desc("count"), "key").limit(FREQUENT).toArrow()
+    found, often = top["key"].to_numpy(), top["count"].to_numpy()
     order = np.argsort(found)
-    return found[order], np.arange(len(found), 0, -1)[order], -(-often * part // STAR)[order]
+    return found[order], np.arange(len(found), 0, -1)[order], -(-often * SAMPLE_PART // STAR)[order]
 
 
 def prefixes(texts: DataFrame, nodes: DataFrame, size: int, at_least: float) -> DataFrame:
     """(node, n, keys, stars) of (digest, text) and (node, digest): the set's size, its prefix, and stars of each key, null where all have one."""
-    found = _frequent(texts, size, nodes.count())
+    found = _frequent(texts, size)
     shared = texts.sparkSession.sparkContext.broadcast(found)  # at most FREQUENT rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

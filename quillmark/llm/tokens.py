@@ -22,7 +22,7 @@ import pyarrow as pa
 from .words import BLOCK, ends_of, mixed_keys, utf8
 
 #: Chunks that a table holds before it is emptied; up to 60 bytes each, ids included.
-KEPT = 1_500_000
+KEPT = 500_000
 
 _SPACE, _LINE, _BLANK, _LETTER, _DIGIT, _PUNCT, _QUOTE, _OTHER = range(8)
 _CLASS = np.full(256, _OTHER, np.uint8)
