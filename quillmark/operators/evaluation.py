@@ -29,14 +29,29 @@ def nearest_rank(values: Column, q: float) -> Column:
     return F.element_at(v, F.least(F.size(v), F.floor(F.size(v) * q).cast("int") + 1))
 
 
+#: Equal widths into which the values of a quantile are counted.
+BUCKETS = 10_000
+
+
 def quantile_table(rows: DataFrame, value: str, qs: tuple[float, ...]) -> DataFrame:
-    """(q, value) at the same places over any number of rows: counts of values, a running sum, no gathering of rows."""
+    """(q, value) at the same places over any number of rows, of a number.
+
+    Values are counted in BUCKETS equal widths; only the buckets that hold a place asked for are looked into, so nothing but
+    a row for each bucket is in one task.
+    """
     counts = rows.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("n"))
+    ends = counts.agg(F.min(value).cast("double").alias("lo"), F.max(value).cast("double").alias("hi"))
+    width = F.when(F.col("hi") > F.col("lo"), (F.col(value) - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(0.0)
+    bucketed = counts.crossJoin(F.broadcast(ends)).select(value, "n", F.least(F.floor(width * BUCKETS), F.lit(BUCKETS - 1)).cast("int").alias("bucket"))
+    upto = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # over BUCKETS rows at most
+    held = bucketed.groupBy("bucket").agg(F.sum("n").alias("held")).select("bucket", "held", (F.sum("held").over(upto) - F.col("held")).alias("before"))
     total = counts.agg(F.sum("n").alias("total"))
-    upto = counts.withColumn("upto", F.sum("n").over(Window.orderBy(value)))
     asked = counts.sparkSession.createDataFrame([(float(q),) for q in qs], "q double")
     place = asked.crossJoin(F.broadcast(total)).select("q", F.least(F.col("total") - 1, F.floor(F.col("q") * F.col("total"))).alias("place"))
-    return upto.join(F.broadcast(place), F.col("upto") > F.col("place")).groupBy("q").agg(F.min(value).alias("value"))
+    wanted = held.join(F.broadcast(place), (F.col("before") <= F.col("place")) & (F.col("place") < F.col("before") + F.col("held")))
+    inside = Window.partitionBy("q").orderBy(value)
+    found = bucketed.join(F.broadcast(wanted), "bucket").withColumn("upto", F.col("before") + F.sum("n").over(inside))
+    return found.where(F.col("upto") > F.col("place")).groupBy("q").agg(F.min(value).alias("value"))
 
 
 def macro_f1(rows: DataFrame, by: str) -> DataFrame:

@@ -73,13 +73,14 @@ def term_tables(terms: DataFrame, cutoff: float | None) -> tuple[DataFrame, Data
     return tf, df.select("term", "df", idf.alias("idf")), lengths
 
 
-def bm25(queries: DataFrame, terms: DataFrame, cutoff: float | None = WORD_CUTOFF, normalised: bool = False) -> DataFrame:
+def bm25(queries: DataFrame, terms: DataFrame | None, cutoff: float | None = WORD_CUTOFF, normalised: bool = False, tables: tuple[DataFrame, DataFrame, DataFrame] | None = None) -> DataFrame:
     """(q, id, score) of ``queries`` (q, terms) over documents ``terms`` (id, terms); a query's terms count once.
 
     ``normalised``: divided by the idf of the query's known terms. Stop terms are gone before the join; both sides meet
-    on the term, the query side being broadcast only where Spark's own threshold allows it.
+    on the term, the query side being broadcast only where Spark's own threshold allows it. ``tables``: those of
+    ``term_tables``, where they are kept; then queries are look-ups.
     """
-    tf, stats, lengths = term_tables(terms, cutoff)
+    tf, stats, lengths = tables or term_tables(terms, cutoff)
     average = lengths.agg(F.avg("len").alias("avg_len"))
     wanted = queries.select("q", F.explode(F.array_distinct("terms")).alias("term"))
     known = stats.where("idf > 0")

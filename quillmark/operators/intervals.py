@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,18 +42,24 @@ def annotation_runs(lengths: DataFrame, marks: DataFrame) -> DataFrame:
 def rate_limited(requests: DataFrame, most: int = 30, seconds: int = 60) -> DataFrame:
     """(key, at, request, allowed): a request is let through if fewer than ``most`` were let through in the last ``seconds``.
 
-    Refused requests don't count, so the answer depends on order: one fold over each key's hour (requests further
-    apart than ``seconds`` can't touch each other, so a key's line is cut at its pauses and a busy key is many folds).
+    Refused requests don't count, so the answer depends on order. Each key's requests stream by in order, and only the
+    times let through lately are held, however busy a key is.
     """
-    line = Window.partitionBy("key").orderBy("at", "request")
-    rows = requests.withColumn("pause", F.when(F.col("at") - F.lag("at").over(line) >= seconds, 1).otherwise(0)).withColumn("part", F.sum("pause").over(line))
-    grouped = rows.groupBy("key", "part").agg(F.array_sort(F.collect_list(F.struct("at", "request"))).alias("all"))
-    kind = "struct<recent:array<bigint>,out:array<struct<at:bigint,request:bigint,allowed:boolean>>>"
-    start = F.struct(F.array().alias("recent"), F.array().alias("out")).cast(kind)
+    kinds = {f.name: f.dataType.simpleString() for f in requests.schema}
 
-    def step(acc, x):
-        recent = F.filter(acc["recent"], lambda t: t > x["at"] - seconds)
-        ok = F.size(recent) < most
-        return F.struct(F.when(ok, F.concat(recent, F.array(x["at"]))).otherwise(recent).alias("recent"), F.concat(acc["out"], F.array(F.struct(x["at"].alias("at"), x["request"].alias("request"), ok.alias("allowed")))).alias("out")).cast(kind)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, recent = None, deque()
+        for batch in batches:
+            allowed = []
+            for k, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if k != key:
+                    key, recent = k, deque()
+                while recent and recent[0] <= at - seconds:
+                    recent.popleft()
+                allowed.append(len(recent) < most)
+                if allowed[-1]:
+                    recent.append(at)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(allowed, pa.bool_())], names=["key", "at", "request", "allowed"])
 
-    return grouped.select("key", F.explode(F.aggregate("all", start, step)["out"]).alias("r")).select("key", "r.*")
+    ordered = requests.select("key", "at", "request").repartition("key").sortWithinPartitions("key", "at", "request")
+    return ordered.mapInArrow(run, f"key {kinds['key']}, at {kinds['at']}, request {kinds['request']}, allowed boolean")

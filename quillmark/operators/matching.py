@@ -55,14 +55,20 @@ def mixed_hits(windows: DataFrame) -> DataFrame:
 def seeds(texts: DataFrame, stream: DataFrame, size: int = 4, most: int = 4000) -> DataFrame:
     """(text, id, i, j, strict_ok): a text's runs of ``size`` tokens and their places in the corpus; strict where the strict forms agree.
 
-    Runs that occur at more than ``most`` places are no evidence and make no seed. Runs meet by 128 bits of hashes, so
-    that no string is made for a place.
+    Runs that occur at more than ``most`` places are no evidence and start nothing (``rare`` is false); they count only on
+    the diagonals where a rarer one stands, so that a quotation isn't broken at a frequent phrase. Runs meet by 128 bits of
+    hashes, so that no string is made for a place.
     """
     grams = lambda df, name, pos, z: df.select(F.col("id").alias(name), F.posexplode(_hashed(F.col("loose"), F.col("strict"), size)).alias(pos, "h")).select(name, pos, "h.x", "h.y", F.col("h.z").alias(z))
-    corpus = grams(stream, "id", "j", "zs")
+    corpus, asked = grams(stream, "id", "j", "zs"), grams(texts, "text", "i", "zt")
     common = corpus.groupBy("x", "y").agg(F.count("*").alias("n")).where(F.col("n") > most).drop("n")
-    met = grams(texts, "text", "i", "zt").join(bounded(corpus.join(common, ["x", "y"], "left_anti")), ["x", "y"])
-    return met.select("text", "id", "i", "j", (F.col("zt") == F.col("zs")).alias("strict_ok"))
+    row = lambda df, rare: df.select("text", "id", "i", "j", (F.col("zt") == F.col("zs")).alias("strict_ok"), F.lit(rare).alias("rare"))
+    if common.isEmpty():
+        return row(asked.join(bounded(corpus), ["x", "y"]), True)
+    met = row(asked.join(bounded(corpus.join(common, ["x", "y"], "left_anti")), ["x", "y"]), True)
+    diagonals = met.select("text", "id", (F.col("i") - F.col("j")).alias("d")).distinct()
+    frequent = asked.join(common, ["x", "y"], "left_semi").join(diagonals, "text").withColumn("j", F.col("i") - F.col("d")).where("j >= 0")
+    return met.unionByName(row(frequent.join(corpus.join(common, ["x", "y"], "left_semi"), ["id", "j", "x", "y"]), False))
 
 
 def _hashed(loose: Column, strict: Column, size: int) -> Column:
@@ -76,11 +82,11 @@ def _hashed(loose: Column, strict: Column, size: int) -> Column:
 
 
 def runs(seeds_: DataFrame, size: int = 4) -> DataFrame:
-    """(text, id, i, j, n, strict_ok): the longest runs that seeds make, neighbour by neighbour on a diagonal."""
+    """(text, id, i, j, n, strict_ok): the longest runs that seeds make, neighbour by neighbour on a diagonal; one of them must be rare."""
     diagonal = Window.partitionBy("text", "id", F.col("i") - F.col("j")).orderBy("i")
     islands = seeds_.withColumn("island", F.col("i") - F.row_number().over(diagonal))
-    grouped = islands.groupBy("text", "id", (F.col("i") - F.col("j")).alias("d"), "island").agg(F.min("i").alias("i"), F.min("j").alias("j"), (F.count("*") + size - 1).cast("int").alias("n"), F.bool_and("strict_ok").alias("strict_ok"))
-    return grouped.select("text", "id", "i", "j", "n", "strict_ok")
+    grouped = islands.groupBy("text", "id", (F.col("i") - F.col("j")).alias("d"), "island").agg(F.min("i").alias("i"), F.min("j").alias("j"), (F.count("*") + size - 1).cast("int").alias("n"), F.bool_and("strict_ok").alias("strict_ok"), F.bool_or("rare").alias("rare"))
+    return grouped.where("rare").select("text", "id", "i", "j", "n", "strict_ok")
 
 
 def quotations(texts: DataFrame, stream: DataFrame, size: int = 4, least: int = 6) -> DataFrame:

@@ -6,9 +6,11 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions.orthography import ACCENTS
-from ..operators.index import streams
+from ..operators.index import streams, term_tables
+from ..operators.tables import stored
 
 
 @dataclass(frozen=True)
@@ -31,11 +33,18 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
-    return streams(spread(table(spark, folder, "documents").select("doc_id", "text")), "doc_id")
+    """The token streams of the documents, an index table: texts are tokenised once for all queries of an application."""
+    return stored(spark, f"{folder}/documents.parquet", "document-streams", lambda: streams(spread(table(spark, folder, "documents").select("doc_id", "text")), "doc_id"))
 
 
 def items(spark: SparkSession, folder: str) -> DataFrame:
-    return streams(table(spark, folder, "benchmark"), "item_id")
+    return stored(spark, f"{folder}/benchmark.parquet", "item-streams", lambda: streams(table(spark, folder, "benchmark"), "item_id"))
+
+
+def document_terms(spark: SparkSession, folder: str, cutoff: float | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The term tables of the documents' words, which are index tables too."""
+    made = term_tables(documents(spark, folder).select("id", F.col("loose").alias("terms")), cutoff)
+    return tuple(stored(spark, f"{folder}/documents.parquet", f"document-{name}-{cutoff}", lambda t=t: t) for name, t in zip(("tf", "idf", "lengths"), made, strict=True))
 
 
 def fold_sql(x: str) -> str:

@@ -9,7 +9,7 @@ from ..functions import english as E
 from ..functions import orthography as O
 from ..operators import index as I
 from ..operators import matching as M
-from .common import DOCS, ITEMS, Query, documents, fold_sql, grams_sql, items, spread, table
+from .common import DOCS, ITEMS, Query, document_terms, documents, fold_sql, grams_sql, items, spread, table
 
 #: Stop words and chain words of the driver's languages, for the acceptance rules.
 STOP = ["the", "of", "and", "to", "in", "a", "is", "that", "it", "was", "on", "for", "as", "with", "by", "this", "or", "an", "re", "at"]
@@ -188,7 +188,7 @@ def _gram_terms(c: str):
 
 
 def bm25_words(spark: SparkSession, d: str) -> DataFrame:
-    scores = I.bm25(_asked(spark, d, F.col), documents(spark, d).select("id", F.col("loose").alias("terms")))
+    scores = I.bm25(_asked(spark, d, F.col), None, tables=document_terms(spark, d, I.WORD_CUTOFF))
     return I.top_k(scores).select("q", F.col("id").alias("doc_id"), "score", F.col("rank").cast("long").alias("rank"))
 
 
