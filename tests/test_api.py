@@ -44,3 +44,29 @@ def test_found_slices_to_the_text(spark, records):
 def test_candidates(spark, records):
     asked = spark.createDataFrame([(1, "the long roads home")], "q long, text string")
     assert api.candidates(asked, records.select("id", "text")).first().id == 3
+
+
+ARABIC = [
+    (1, "quran", "", "قل هو الكتاب الجديد", None, 5, 1, "قُلْ هُوَ الكِتَابُ الجَدِيدُ"), (2, "quran", "", "والبيت الأول في المدينة", None, 5, 2, None),
+    (3, "hadith", "sahih_muslim", "حدثنا زيد أن القلم خير من السيف عند أهل العلم", None, None, None, None), (4, "hadith", "sunan_ibn-maja", "إن أحسن الناس من كتب كتابا في بيته", None, None, None, None),
+    (5, "quran", "", "هذا الصراط قديم هنا", "هذا السراط قديم هنا", 6, 1, None),
+]
+
+
+def test_life_cycle_in_arabic(spark):
+    records = spark.createDataFrame(ARABIC, "id long, corpus string, book string, text string, alt string, chapter int, verse int, vocalised string")
+    texts = [
+        (1, "قال تعالى: «الكتاب الجديد والبيت الأول» (Quran 5:1)"), (2, "قال رسول الله ﷺ: القلم خير من السيف عند اهل العلم. رواه البخاري"), (3, "«قُلْ هُوَ الكِتَابَ الجَدِيدُ»"), (4, "«قُلْ هُوَ الكِتَابُ الجَدِيدُ»"), (5, "«ان احسن الناس من كتب كتابا»"),
+        (6, "«رواه البخاري في صحيحه»"), (7, "«القلم خير xyz من السيف»"), (8, "«هذا السراط قديم هنا»"), (9, "«ليس في هذه الكتب شيء كهذا»"),
+    ]
+    got = {r.id: r for r in api.check(spark.createDataFrame(texts, "id long, text string"), records, arabic=True).collect()}
+    assert got[1].status == "found" and got[1].scope == "quran" and got[1].matches[0].continues_to == 2 and "quran_fragment" in got[1].notices  # across two verses
+    assert got[2].status == "found" and got[2].mismatch and {"rasm_completed", "claimed_source_mismatch"} <= set(got[2].notices) and [x.type for x in got[2].segments] == ["matn", "claimed_source"]
+    assert got[3].status == "needs_review" and got[3].reason == "diacritic_difference" and got[4].status == "found" and got[4].notices == []
+    assert got[5].status == "found" and "rasm_completed" in got[5].notices and got[5].matches[0].tier == "other_nine"  # the corpus has one spelling
+    assert 6 not in got  # a reference, no quotation
+    assert got[7].status == "needs_review" and got[7].reason == "foreign_material"
+    assert got[8].status == "found" and got[8].matches[0].rec == 5  # in the second edition's spelling
+    assert got[9].status == "not_found" and got[9].matches == []
+    seen = api.check(spark.createDataFrame(texts[3:4], "id long, text string"), records, arabic=True, image=True).first()
+    assert seen.status == "needs_review" and seen.reason == "image_unconfirmed" and "image_extracted" in seen.notices
