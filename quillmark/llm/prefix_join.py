@@ -124,14 +124,15 @@ def _need(n: np.ndarray, m: np.ndarray, at_least: float) -> np.ndarray:
 def stars(prefixes_: DataFrame, at_least: float) -> DataFrame:
     """What meets on a shingle, as a table: pairs (a, b, need, two) where key is null, else members (key, a, n) of larger groups.
 
-    The first node of each group meets all others, so a group costs its size; ``two``: the pair is the whole group. Groups
+    The node that has the fewest rarer shingles than the group's, so the source of copies rather than one of them, meets all
+    others, so a group costs its size; ``two``: the pair is the whole group. Groups
     of three or more hand their members on; so do the stars of a frequent shingle, whatever their size. Rows stream by in
-    order of key and node: a task holds a batch and the head of a group, however large the group is.
+    order: a task holds a batch and the head of a group, however large the group is.
     """
     rows = prefixes_.select("node", "n", "stars", F.posexplode("keys").alias("pos", "key"))
     of = F.get("stars", F.col("pos"))
     star = F.when(of > 1, F.pmod(F.xxhash64("node"), of)).otherwise(-1).cast("int")  # -1: the only one
-    ordered = rows.select("key", star.alias("star"), "node", "n").repartition("key", "star").sortWithinPartitions("key", "star", "node")
+    ordered = rows.select("key", star.alias("star"), "node", "n", "pos").repartition("key", "star").sortWithinPartitions("key", "star", "pos", "node").drop("pos")
 
     def emit(columns: list[np.ndarray], seen: bool, goes_on: bool = False) -> Iterator[pa.RecordBatch]:
         """From rows of whole groups; of the first one only a head that was ``seen`` before and what follows; the last may go on."""
