@@ -1,7 +1,7 @@
 """WARC archives and their Merkle fixity audit.
 
-Records are written as WARC files in the order of their ids, uncompressed, so that an offset can be sought. A record's
-digest is a leaf of a tree whose nodes cover ordered ranges of offsets. Where a range ends is told by the records
+Records are written as WARC files in the order of their ids. Spark's writer compresses files as a whole, so offsets count
+in the uncompressed files; without compression they can be sought. A record's digest is a leaf of a tree whose nodes cover ordered ranges of offsets. Where a range ends is told by the records
 themselves: one whose key hashes to a number of trailing zero digits opens a range of as many levels, so ranges hold
 FANOUT of the level below on average, and a lost, added or changed record moves the bounds next to it alone. Two replicas
 are compared by their roots, and only below nodes that differ are children compared.
@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -45,17 +46,18 @@ def _records(pages: DataFrame, id_col: str, url_col: str, body_col: str) -> Data
     return pages.select(F.col(id_col).alias("id"), text.alias("value")).withColumn("digest", F.unhex(F.sha2("value", 256)))
 
 
-def write_archive(pages: DataFrame, path: str, files: int | None = None, id_col: str = "page_id", url_col: str = "url", body_col: str = "html") -> None:
+def write_archive(pages: DataFrame, path: str, files: int | None = None, compression: str = "gzip", id_col: str = "page_id", url_col: str = "url", body_col: str = "html") -> None:
     """Writes WARC files whose records follow each other by id (null first), then digest, from file to file.
 
     ``files``: how many, else as many as keep them near FILE_BYTES; an id that many rows share spans files.
+    ``compression``: gzip, or none for files in which offsets can be sought.
     """
     if files is None:
         size = pages.agg(F.sum(F.coalesce(F.octet_length(body_col), F.lit(0)) + 256)).first()[0]
         files = max(1, -(-int(size or 0) // FILE_BYTES))
     rows = _records(pages, id_col, url_col, body_col)
     dealt = rows.repartitionByRange(files, F.col("id").asc_nulls_first(), "digest")
-    dealt.sortWithinPartitions(F.col("id").asc_nulls_first(), "digest").select("value").write.option("lineSep", END).text(path)
+    dealt.sortWithinPartitions(F.col("id").asc_nulls_first(), "digest").select("value").write.option("lineSep", END).option("compression", compression).text(path)
 
 
 _NAMES = [f"name{k}" for k in range(1, DEPTH + 1)]
@@ -115,7 +117,7 @@ def archive_leaves(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content in zip(batch.column(0), batch.column(1), strict=True):
-                rows = list(parse(content.as_buffer().to_pybytes()))
+                rows = list(parse(unpacked(content.as_buffer().to_pybytes())))
                 columns = [pa.array([name.as_py()] * len(rows), pa.string()), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array([bytes.fromhex(r[3]) for r in rows], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=["part", "id", "at", "length", "digest"])
 
@@ -127,6 +129,21 @@ def archive_leaves(spark: SparkSession, path: str) -> DataFrame:
     return _numbered(rows, "part", F.col("at"))
 
 
+def unpacked(data: bytes) -> bytes:
+    """A gzip file of one or more members; of a damaged one what comes before the damage; other files as they are."""
+    if data[:2] != b"\x1f\x8b":
+        return data
+    out = []
+    while data:
+        member = zlib.decompressobj(31)
+        try:
+            out.append(member.decompress(data))
+        except zlib.error:
+            break
+        data = member.unused_data
+    return b"".join(out)
+
+
 def tree(leaves: DataFrame) -> list[DataFrame]:
     """Levels from 1 to DEPTH: (name1 .., first, after, digest), a node over each range of the level below.
 

@@ -1,4 +1,5 @@
 import glob
+import gzip
 import hashlib
 import os
 import random
@@ -49,7 +50,7 @@ ROWS = [(k, f"http://x/{k}", f"<p>é {k}</p>\r\n\r\nWARC/1.1\r\n" * (k % 5)) for
 def archive(spark, tmp_path):
     pages = spark.createDataFrame([(*r, "clash", 1) for r in ROWS], SCHEMA)
     path = f"file://{tmp_path}/warc"
-    A.write_archive(pages, path, files=3)
+    A.write_archive(pages, path, files=3, compression="none")
     return pages, path, sorted(glob.glob(f"{tmp_path}/warc/part-*"))
 
 
@@ -142,6 +143,7 @@ def test_empty(spark, tmp_path):
 
 
 def test_damaged_files():
+    assert A.unpacked(gzip.compress(b"a") + gzip.compress(b"b")) == b"ab" and A.unpacked(b"WARC") == b"WARC"
     assert list(A.parse(b"rubbish")) == [(None, 0, 7, hashlib.sha256(b"rubbish").hexdigest())]
 
 
