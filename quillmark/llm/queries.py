@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .archives import DATE, audit, write_archive
 from .decontamination import contaminated
+from .infilling import digests, fill_in_middle
 from .languages import fit, held_out, identify
 from .licenses import scan_licenses
 from .near_dups import components, fingerprints
@@ -116,6 +117,23 @@ def op10_multiprobe_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(vectors, vectors.where("vec_id % 20 = 0"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests(fill_in_middle(_read(spark, sf_dir, "documents")))
+
+
+_OP11_SQL = """
+WITH rows AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+drawn AS (SELECT *, CAST(length(text) AS BIGINT) AS n, {draws} FROM rows),
+cut AS (
+    SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+        CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM drawn),
+parts AS (SELECT *, left(text, a) AS p, substring(text, a + 1, b - a) AS m, substring(text, b + 1) AS s FROM cut)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+    sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256
+FROM parts
+""".format(draws=", ".join(f"CAST('0x' || substr(h, {8 * k + 1}, 8) AS BIGINT) AS h{k + 1}" for k in range(4)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_license_scan": op1_license_scan,
@@ -128,8 +146,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_files": op8_token_files,
         "op9_benchmark_decontamination": op9_benchmark_decontamination,
         "op10_multiprobe_search": op10_multiprobe_search,
+        "op11_fill_in_middle": op11_fill_in_middle,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_merkle_audit": _OP6_SQL}
+    return {"op6_merkle_audit": _OP6_SQL, "op11_fill_in_middle": _OP11_SQL}
