@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .archives import DATE, audit, write_archive
+from .ball_clusters import ball_kmeans
 from .decontamination import contaminated
 from .infilling import digests, fill_in_middle
 from .languages import fit, held_out, identify
@@ -134,6 +135,30 @@ FROM parts
 """.format(draws=", ".join(f"CAST('0x' || substr(h, {8 * k + 1}, 8) AS BIGINT) AS h{k + 1}" for k in range(4)))
 
 
+def op12_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_kmeans(_read(spark, sf_dir, "embeddings"))
+
+
+def _op12_round(r: int) -> str:
+    return f"""
+near{r} AS MATERIALIZED (SELECT row, min({{'d': CAST(list_sum(list_transform(list_zip(kept.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT), 'c': c.c}}) AS best FROM kept, centroids{r} AS c GROUP BY row),
+sums{r} AS (SELECT best.c AS c, i, sum(x[i]) AS s, count(*) AS n FROM near{r} JOIN kept USING (row), range(1, 65) AS t(i) GROUP BY ALL),
+centroids{r + 1} AS MATERIALIZED (
+    SELECT old.c, coalesce(new.x, old.x) AS x FROM centroids{r} AS old
+    LEFT JOIN (SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS x FROM sums{r} GROUP BY c) AS new USING (c))"""
+
+
+_OP12_SQL = f"""
+WITH finite AS (SELECT vec_id, embedding FROM embeddings WHERE len(embedding) = 64 AND list_count(embedding) = 64 AND len(list_filter(embedding, lambda v: isfinite(v))) = 64),
+kept AS MATERIALIZED (SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda v: CAST(floor(256 * CAST(v AS DOUBLE)) AS BIGINT)) AS x FROM finite),
+starts AS (SELECT row_number() OVER (ORDER BY sha256('2:' || coalesce(CAST(vec_id AS VARCHAR), '')), x) - 1 AS c, x FROM kept),
+centroids0 AS MATERIALIZED (SELECT c, x FROM starts WHERE c < 40),{','.join(_op12_round(r) for r in range(6))},
+done AS (SELECT vec_id, best.c AS c, best.d AS d FROM near5 JOIN kept USING (row))
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+    sha256(array_to_string(centroids5.x, ',')) AS centroid_sha256 FROM done JOIN centroids5 USING (c)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_license_scan": op1_license_scan,
@@ -147,8 +172,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_benchmark_decontamination": op9_benchmark_decontamination,
         "op10_multiprobe_search": op10_multiprobe_search,
         "op11_fill_in_middle": op11_fill_in_middle,
+        "op12_ball_kmeans": op12_ball_kmeans,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_merkle_audit": _OP6_SQL, "op11_fill_in_middle": _OP11_SQL}
+    return {"op6_merkle_audit": _OP6_SQL, "op11_fill_in_middle": _OP11_SQL, "op12_ball_kmeans": _OP12_SQL}
