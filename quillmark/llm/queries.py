@@ -17,6 +17,7 @@ from .near_dups import components, fingerprints
 from .packing import pack_pieces, pieces
 from .privacy import find_private
 from .storage import new_path
+from .suffix_dedup import remove_repeats
 from .token_counts import count_tokens
 from .token_files import file_digests, write_token_files
 from .vector_search import nearest
@@ -159,6 +160,12 @@ SELECT vec_id, CAST(c AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (P
 """
 
 
+def op13_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = remove_repeats(_read(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + (s["end"] - s["start"]))
+    return rows.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_license_scan": op1_license_scan,
@@ -173,6 +180,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_multiprobe_search": op10_multiprobe_search,
         "op11_fill_in_middle": op11_fill_in_middle,
         "op12_ball_kmeans": op12_ball_kmeans,
+        "op13_suffix_array_dedup": op13_suffix_array_dedup,
     }
 
 
