@@ -186,7 +186,9 @@ def skeleton(word: Column) -> Column:
 
 
 def compare_vowels(user: Column, reference: Column, final: Column) -> Column:
-    """array<struct<kind, u_start, u_end, r_start, r_end>> of conflict, missing and waqf; null where letters don't align.
+    """array<struct<kind, u_start, u_end, r_start, r_end, i>> of conflict, missing and waqf; null where letters don't align.
+
+    ``i``: the letter's number in either word, from 0.
 
     A letter without signs is missing what the reference has. Doubling alone is compared as doubling. At the end of a
     quotation silence may stand for a vowel (waqf). Otherwise another vowel, a vowel where there is none, or doubling
@@ -208,6 +210,12 @@ def compare_vowels(user: Column, reference: Column, final: Column) -> Column:
             .when((av == "") & final & (x["i"] == F.size(u)) & sounded, "waqf")
             .when(conflict, "conflict").when(~a["shadda"] & b["shadda"], "missing")
         )
-        return F.struct(kind.alias("kind"), a["start"].alias("u_start"), a["end"].alias("u_end"), b["start"].alias("r_start"), b["end"].alias("r_end"))
+        return F.struct(kind.alias("kind"), a["start"].alias("u_start"), a["end"].alias("u_end"), b["start"].alias("r_start"), b["end"].alias("r_end"), (x["i"] - 1).alias("i"))
 
     return F.when(aligned, F.filter(F.transform(pairs, judge), lambda d: d["kind"].isNotNull()))
+
+
+def vowel_conflicts(user: Column, reference: Column) -> Column:
+    """The conflicts alone, every letter judged as one that other words follow; none where letters don't align."""
+    found = compare_vowels(user, reference, F.lit(False))
+    return F.coalesce(F.filter(found, lambda d: d["kind"] == "conflict"), F.array().cast("array<struct<kind:string,u_start:int,u_end:int,r_start:int,r_end:int,i:int>>"))

@@ -1,69 +1,53 @@
-"""Differences between a quotation and its source, for display; and receipts. Here alone Python works on the executors."""
+"""Differences between a quotation and its source, for display: of words, of vowels, foreign matter; and receipts."""
 
 from __future__ import annotations
 
 import base64
 import zlib
-from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import orthography as O
+def diff_kinds(ops: Column) -> Column:
+    """The kinds of difference that opcodes have, sorted."""
+    named = F.transform(ops, lambda o: F.when(o["op"] == "replace", "word_replaced").when(o["op"] == "insert", "word_missing_in_quote").when(o["op"] == "delete", "word_added_in_quote"))
+    return F.array_sort(F.array_distinct(F.array_compact(named)))
 
-_OPS = T.ArrayType(T.StructType([T.StructField("op", T.StringType()), *(T.StructField(n, T.IntegerType()) for n in ("q_start", "q_end", "s_start", "s_end"))]))
-_RANGES = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 
+def vowel_ops(words: Column, window: Column, found: Column) -> Column:
+    """A stretch for each word, replaced where its vowels contradict the source, with the letters that carry other marks.
 
-def _opcodes(a: list, b: list) -> list[tuple]:
-    return [tuple(x) for x in SequenceMatcher(a=a, b=b, autojunk=False).get_opcodes()]
+    ``words``: array<struct<start,end>> of the quotation, ``window``: of the source, ``found``: differences by word number.
+    """
 
+    def one(w: Column, k: Column) -> Column:
+        mine = F.filter(found, lambda d: d["k"] == k)
+        return _stretch(F.when(F.exists(mine, lambda d: d["kind"] == "conflict"), "replace").otherwise("equal"), k, k + 1, w, F.get(window, k), F.transform(mine, lambda d: d["quote_chars"]), F.transform(mine, lambda d: d["source_chars"]))
 
-@F.pandas_udf(_OPS)
-def _diff(quote: pd.Series, source: pd.Series) -> pd.Series:
-    names = ("op", "q_start", "q_end", "s_start", "s_end")
-    return pd.Series([None if q is None or s is None else [dict(zip(names, x, strict=True)) for x in _opcodes(list(q), list(s))] for q, s in zip(quote, source, strict=True)])
+    return F.transform(words, one)
 
 
-def word_diff(quote: Column, source: Column, other: Column | None = None) -> Column:
-    """Opcodes that turn a quotation's tokens into the source's; ``other``: the source in another edition's spelling.
+def foreign_ops(words: Column, window: Column, runs: Column) -> Column:
+    """A stretch for each word, and one that is to be deleted for each foreign run (start, end), in their order in the text."""
+    none = F.array().cast("array<array<int>>")
+    equal = F.transform(words, lambda w, k: _stretch(F.lit("equal"), k, k + 1, w, F.get(window, k), none, none))
+    nowhere = F.struct(F.lit(-1).alias("start"), F.lit(-1).alias("end"))
+    extra = F.transform(runs, lambda r: _stretch(F.lit("delete"), F.lit(-1), F.lit(-1), r, nowhere, none, none))
+    keyed = F.transform(F.concat(equal, extra), lambda o: F.struct(F.get(o["quote_chars"], F.lit(0)).alias("at"), (F.get(o["quote_range"], F.lit(0)) < 0).alias("late"), o.alias("o")))
+    return F.transform(F.array_sort(keyed), lambda x: x["o"])
 
-    Where the quotation has only the other spelling of a word, that one is compared.
-    """
-    if other is not None:
-        source = F.when(F.size(source) == F.size(other), F.zip_with(source, other, lambda s, o: F.when(~F.array_contains(quote, s) & F.array_contains(quote, o), o).otherwise(s))).otherwise(source)
-    return _diff(quote, source)
 
-
-def diff_kinds(ops: Column) -> Column:
-    """The kinds of difference that opcodes have, sorted."""
-    named = F.transform(ops, lambda o: F.when(o["op"] == "replace", "word_replaced").when(o["op"] == "insert", "word_missing_in_quote").when(o["op"] == "delete", "word_added_in_quote"))
-    return F.array_sort(F.array_distinct(F.array_compact(named)))
+def _stretch(op: Column, first: Column, after: Column, word: Column, source: Column, quote_letters: Column, source_letters: Column) -> Column:
+    chars = lambda w: F.array(F.coalesce(w["start"], F.lit(-1)).cast("int"), F.coalesce(w["end"], F.lit(-1)).cast("int"))
+    both = F.array(first.cast("int"), after.cast("int"))
+    return F.struct(op.alias("op"), both.alias("quote_range"), both.alias("source_range"), chars(word).alias("quote_chars"), chars(source).alias("source_chars"), quote_letters.alias("quote_letters"), source_letters.alias("source_letters"))
 
 
-@F.pandas_udf(T.StructType([T.StructField("quote", _RANGES), T.StructField("source", _RANGES)]))
-def _letters(quote: pd.Series, source: pd.Series) -> pd.DataFrame:
-    out = {"quote": [], "source": []}
-    for q, s in zip(quote, source, strict=True):
-        q, s = ([] if x is None else list(x) for x in (q, s))
-        matcher = SequenceMatcher(a=[g["letter"] for g in q], b=[g["letter"] for g in s], autojunk=False)
-        marks: dict[str, list] = {"quote": [], "source": []}
-        if q and s and matcher.ratio() >= 0.5:  # words that share next to nothing are other words
-            for op, i, j, k, m in matcher.get_opcodes():
-                if op != "equal":
-                    marks["quote"] += [{"start": int(q[i]["start"]), "end": int(q[j - 1]["end"])}] if j > i else []
-                    marks["source"] += [{"start": int(s[k]["start"]), "end": int(s[m - 1]["end"])}] if m > k else []
-        for name in out:
-            out[name].append(marks[name])
-    return pd.DataFrame(out)
-
-
-def letter_diff(quote: Column, source: Column) -> Column:
-    """Ranges of the letters in which two words differ, with their marks; none if they share less than half."""
-    letters = lambda w: F.transform(O.skeleton(w), lambda g: F.struct(F.translate(g["letter"], *O.STRICT).alias("letter"), g["start"].alias("start"), g["end"].alias("end")))
-    return _letters(letters(quote), letters(source))
+def vowel_kinds(found: Column) -> Column:
+    """The kinds of vowel differences as they are told, sorted."""
+    return F.array_sort(F.array_distinct(F.transform(found, lambda d: F.when(d["kind"] == "conflict", "diacritic_conflict").when(d["kind"] == "missing", "diacritic_missing").otherwise("waqf"))))
 
 
 @F.pandas_udf(T.StringType())

@@ -129,15 +129,13 @@ def near_windows(quotes: DataFrame, editions_: DataFrame, streams_: DataFrame) -
 _ROWS = ["q", "id", "sid", "corpus", "start", "place", "w", "score", "is_exact", "strict_ok", "rasm", "first_edition"]
 
 
-def gathered(quotes: DataFrame, records: DataFrame, arabic: bool, settle=lambda df: df) -> tuple[DataFrame, DataFrame]:
-    """Evidence (q, id, sid, corpus, book, start, place, w, score, is_exact, strict_ok, rasm, first_edition) and the proofs of spelling.
+def gathered(quotes: DataFrame, records: DataFrame, own: DataFrame, lib: DataFrame, settle=lambda df: df) -> DataFrame:
+    """Evidence (q, id, sid, corpus, book, start, place, w, score, is_exact, strict_ok, rasm, first_edition).
 
-    ``quotes``: (q, loose, strict). Exact places first, one for each of a record's; where no place of a quote is strict, the
+    ``quotes``: (q, loose, strict); ``own``: the records' editions, ``lib``: their streams. Exact places first, one for each of a record's; where no place of a quote is strict, the
     corpora are asked for proof. Only quotes without any place are compared with near windows. A window whose words are each
     one of two spellings is exact; others score below one. ``first_edition``: strict in the first edition but not in the second.
     """
-    own = settle(editions(records, arabic))
-    lib = settle(streams(own))
     places = settle(exact_places(quotes, lib).withColumn("any", F.bool_or("strict_ok").over(Window.partitionBy("q"))))
     proved = settle(proofs(places))
     one = Window.partitionBy("q", "id", "variant")
@@ -151,7 +149,7 @@ def gathered(quotes: DataFrame, records: DataFrame, arabic: bool, settle=lambda
     near = near_windows(rest, own, lib)
     fuzzy = near.select("q", "id", "sid", "corpus", F.col("at").cast("int").alias("start"), F.col("place").cast("int").alias("place"), F.col("w").cast("int").alias("w"), F.when(F.col("mixed").isNotNull(), 1.0).otherwise(F.least("score", F.lit(0.999))).alias("score"), F.col("mixed").isNotNull().alias("is_exact"), F.coalesce("mixed", F.lit(False)).alias("strict_ok"), F.lit("").alias("rasm"), F.lit(False).alias("first_edition"))
     rows = exact.unionByName(fuzzy).join(records.select("id", "book"), "id")
-    return settle(rows), proved
+    return settle(rows)
 
 
 def matched_verse(evidence: DataFrame, records: DataFrame, claims: DataFrame) -> DataFrame:
@@ -180,23 +178,51 @@ def fragments(evidence: DataFrame, streams_: DataFrame) -> DataFrame:
     return rows.groupBy("q").agg((~F.bool_or(whole)).alias("fragment"))
 
 
-def vowel_diffs(quotes: DataFrame, evidence: DataFrame, records: DataFrame) -> DataFrame:
-    """(q, id, kinds): conflict, missing and waqf between a vocalised quote and each record that it is; null where letters don't align.
+def compared(evidence: DataFrame, quotes: DataFrame, records: DataFrame, streams_: DataFrame, arabic: bool) -> DataFrame:
+    """(q, id, start, w, quoted, words, text, window, other, vocalised) of each piece of evidence.
 
-    ``quotes``: (q, quoted). The reference is the record's vocalised text where it has as many words as the shown text, else
-    the shown text itself. Windows that run past their record are compared as far as it goes and so don't align.
+    ``words``: array<struct<loose,strict,start,end>> of the quotation; ``window``: array<struct<strict,start,end>> of the words
+    it was matched with, places in the record's text, -1 for words of other records of the stream; ``other``: the same words
+    in the second edition. ``quotes``: (q, quoted); ``records``: completed ones.
     """
-    words = lambda c: F.transform(O.tokens(F.col(c)), lambda t: F.regexp_extract(F.substring(F.col(c), t["start"] + 1, F.length(c)), "^(?:[ء-يٱ][^\\sء-يٱ]*)+", 0))
-    rows = evidence.where(F.col("is_exact") & (F.col("start") >= 0)).select("q", "id", "start", "w").join(quotes, "q").join(records.select("id", "text", "vocalised"), "id")
-    rows = rows.withColumns({"u": words("quoted"), "shown": words("text"), "voiced": words("vocalised")})
-    reference = F.when(F.size("voiced") == F.size("shown"), F.col("voiced")).otherwise(F.col("shown"))
-    rows = rows.withColumns({"r": F.slice(reference, F.col("start") + 1, F.col("w")), "d": F.slice("shown", F.col("start") + 1, F.col("w"))})
-    pairs = F.arrays_zip(F.col("u").alias("u"), F.col("r").alias("r"), F.col("d").alias("d"))
-
-    def judged(x: Column, i: Column) -> Column:
-        final = i == F.size("u") - 1
-        return F.coalesce(O.compare_vowels(x["u"], x["r"], final), O.compare_vowels(x["u"], x["d"], final))
-
-    each = F.transform(pairs, judged)
-    fits = (F.size("u") > 0) & (F.size("u") == F.size("r")) & F.forall(each, lambda e: e.isNotNull())
-    return rows.select("q", "id", F.when(fits, F.array_sort(F.array_distinct(F.transform(F.flatten(each), lambda e: e["kind"])))).alias("kinds"))
+    met = evidence.select("q", "id", "sid", "start", "place", "w").join(quotes.select("q", "quoted"), "q").join(records.select("id", "text", "vocalised"), "id").join(streams_.select("sid", "strict", "strict_alt"), "sid")
+    cut = lambda c: F.slice(c, F.col("place") + 1, F.col("w"))
+    rows = met.select("q", "id", "start", "w", "quoted", "text", "vocalised", O.tokens(F.col("quoted"), arabic).alias("words"), O.tokens(F.col("text"), arabic).alias("shown"), cut("strict").alias("s"), cut("strict_alt").alias("other"))
+
+    def word(strict: Column, k: Column) -> Column:
+        at_ = F.when(F.col("start") + k >= 0, F.get("shown", F.col("start") + k))
+        return F.struct(strict.alias("strict"), F.coalesce(at_["start"], F.lit(-1)).alias("start"), F.coalesce(at_["end"], F.lit(-1)).alias("end"))
+
+    return rows.select("q", "id", "start", "w", "quoted", "words", "text", F.transform("s", word).alias("window"), "other", "vocalised")
+
+
+def vowel_diffs(rows: DataFrame) -> DataFrame:
+    """(q, id, found): array<struct<k, kind, quote_chars, source_chars>> of conflict, missing and waqf between a vocalised quote
+    and each record that it is; null where letters don't align. ``k``: the word's number; places in the quote and the record.
+
+    ``rows``: of ``compared``. The reference is the record's vocalised text where it has as many words as the shown text, else
+    the shown text itself; what aligns with neither can't be told. Windows that run past their record don't align. The letter
+    is marked in the shown word, or all of that word if it has another number of letters.
+    """
+    written = lambda text, a: F.regexp_extract(F.substring(text, a + 1, F.length(text)), "^(?:[ء-يٱ][^\\sء-يٱ]*)+", 0)
+    voiced = F.transform(O.tokens(F.col("vocalised")), lambda t: written(F.col("vocalised"), t["start"]))
+    shown = O.tokens(F.col("text"))
+    named = rows.select("q", "id", "quoted", "words", "window", "text", F.when(F.size(voiced) == F.size(shown), F.slice(voiced, F.col("start") + 1, F.col("w"))).alias("voiced"))
+    pairs = F.zip_with("words", "window", lambda u, d: F.struct(u["start"].alias("at"), written(F.col("quoted"), u["start"]).alias("u"), d["start"].alias("da"), F.when(d["start"] >= 0, written(F.col("text"), d["start"])).alias("d")))
+    rows = named.where(F.size("words") == F.size("window")).select("q", "id", pairs.alias("pairs"), "voiced")
+
+    def judged(x: Column, k: Column) -> Column:
+        final = k == F.size("pairs") - 1
+        found = F.coalesce(O.compare_vowels(x["u"], F.get("voiced", k), final), O.compare_vowels(x["u"], x["d"], final))
+        letters = O.skeleton(x["d"])
+        same = F.size(letters) == F.size(O.skeleton(x["u"]))
+
+        def place(f: Column) -> Column:
+            letter = F.get(letters, f["i"])
+            source = F.when(same, F.array(x["da"] + letter["start"], x["da"] + letter["end"])).otherwise(F.array(x["da"], x["da"] + F.length(x["d"])))
+            return F.struct(k.cast("int").alias("k"), f["kind"].alias("kind"), F.array(x["at"] + f["u_start"], x["at"] + f["u_end"]).alias("quote_chars"), source.alias("source_chars"))
+
+        return F.transform(found, place)
+
+    each = F.transform("pairs", judged)
+    return rows.select("q", "id", each.alias("each")).select("q", "id", F.when((F.size("each") > 0) & F.forall("each", lambda e: e.isNotNull()), F.flatten("each")).alias("found"))

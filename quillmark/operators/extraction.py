@@ -237,7 +237,8 @@ def claimed_source(part: Column, chapters: dict[str, int] | None = None) -> Colu
 def claimed_around(text: Column, start: Column, end: Column, chapters: dict[str, int] | None = None, window: int = 80) -> Column:
     """The claim right after a quotation, else the one before it."""
     low = F.greatest(start - window, F.lit(0))
-    return F.coalesce(claimed_source(F.substring(text, end + 1, F.lit(window)), chapters), claimed_source(F.substring(text, low + 1, start - low), chapters))
+    both = F.array(F.substring(text, end + 1, F.lit(window)), F.substring(text, low + 1, start - low))
+    return bound(F.transform(both, lambda part: claimed_source(part, chapters)), lambda found: F.coalesce(F.get(found, F.lit(0)), F.get(found, F.lit(1))))
 
 
 def foreign_runs(text: Column) -> Column:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 from collections.abc import Callable
+from types import TracebackType
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,3 +39,42 @@ def stored(spark: SparkSession, source: str, name: str, make: Callable[[], DataF
         make().write.mode("overwrite").parquet(path)
         _made[key] = path
     return spark.read.parquet(_made[key])
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder, unless the session has stopped."""
+    context = spark.sparkContext
+    if getattr(context, "_jsc", None) is not None:
+        target = context._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
+
+
+class Scratch:
+    """Tables that end the lineage of a job's steps, in the folder that the cluster shares: written once, read by what follows.
+
+    Used as a context: its tables are deleted when it ends, whether the job succeeds or not; those that were ``kept`` stay
+    until the application ends.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.count = spark, 0
+        self.path = f"{shared_folder(spark)}/quillmark/scratch-{uuid.uuid4().hex}"
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, kind: type[BaseException] | None, error: BaseException | None, trace: TracebackType | None) -> None:
+        _delete(self.spark, self.path)
+
+    def _written(self, df: DataFrame, path: str) -> DataFrame:
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        self.count += 1
+        return self._written(df, f"{self.path}/{self.count}")
+
+    def kept(self, df: DataFrame) -> DataFrame:
+        path = f"{self.path}-kept"
+        atexit.register(_delete, self.spark, path)
+        return self._written(df, path)

@@ -154,7 +154,6 @@ CLAIMS = [("رواه البخاري ومسلم", "sahih_al-bukhari,sahih_muslim"
 TAGGED = [("x <aya_start> «قلم» <aya_end> y", 15, 18, "quran"), ("<hadith_start>كتاب جديد<hadith_end>", 14, 23, "hadith_matn")]
 TRAILED = [("قلت. هذا كتاب جديد جدا، رواه مسلم", 5, 22, "hadith_matn"), ("هذا كتاب رواه", None, None, None)]
 INTRODUCED = [("وقال تعالى: هذا كتاب جديد جدا. نعم", 12, 29, "quran"), ("قال رسول الله صلى الله عليه وسلم هذا كتاب جديد", 33, 46, "hadith_matn"), ("قال فلان هذا كتاب", None, None, None), ("قال ﷺ: هذا كتاب جديد، نعم", 7, 25, "hadith_matn"), ("وفي الحديث قال عز وجل رضي الله عنه هذا بيت جديد؟ لا", 11, 47, "hadith_matn"), ("وفي الحديث قال عز وجل رضي الله عنه هذا بيت جديد؟ لا", 35, 47, "quran")]
-DIFFS = [("a b c", "a b c", ""), ("a b c", "a x c", "word_replaced"), ("a b c", "a c", "word_added_in_quote"), ("a c", "a b c d", "word_missing_in_quote"), ("a b", "c a", "word_added_in_quote,word_missing_in_quote")]
 REFERENCES = [(1, 7, None, 7, True), (1, 8, None, 7, False), (2, 3, 5, 286, True), (2, 5, 3, 286, False), (115, 1, None, None, False)]
 
 
@@ -214,16 +213,6 @@ def ref_possible(spark: SparkSession, d: str) -> DataFrame:
     return t.select("surah", "ayah", "ayah_to", "verses", possible_reference(F.col("surah"), F.col("ayah"), F.col("ayah_to"), F.col("verses")).alias("possible"))
 
 
-def word_diff(spark: SparkSession, d: str) -> DataFrame:
-    t = _fixture("quote string, source string", DIFFS, 0, 1)(spark)
-    return t.select("quote", "source", F.array_join(X.diff_kinds(X.word_diff(F.split("quote", " "), F.split("source", " "))), ",").alias("kinds"))
-
-
-def letter_diff(spark: SparkSession, d: str) -> DataFrame:
-    t = spark.createDataFrame([("كِتاب", "كتب"), ("مدرسه", "مدرسة"), ("قلم", "بيت")], "quote string, source string")
-    return t.select("quote", "source", F.to_json(X.letter_diff(F.col("quote"), F.col("source"))).alias("letters"))
-
-
 def receipt_token(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "benchmark").select("item_id", X.receipt_payload(X.receipt_token(F.col("text"))).alias("text"))
 
@@ -250,6 +239,6 @@ QUERIES = {
     "ar_bare_class": Query(_classes, _values("user, corpus, class", CLASSES).replace("v(user", 'v("user"')), "ar_vowels_fixture": Query(_vowels, _values("user, ref, final, kinds", VOWELS).replace("v(user", 'v("user"')),
     "foreign_runs": Query(_foreign, _values("text, runs", FOREIGN)), "claimed_source": Query(claimed_source, _values("text, books, surah, ayah", CLAIMS)), "spans_tagged": _spanned(TAGGED, lambda _, t: E.tagged(t)),
     "spans_trailed": _spanned(TRAILED, lambda _, t: E.trailed(t)), "spans_introduced_fixture": _spanned(INTRODUCED, _introduced), "ref_possible": Query(ref_possible, _values("surah, ayah, ayah_to, verses, possible", REFERENCES)),
-    "word_diff": Query(word_diff, _values("quote, source, kinds", DIFFS)), "letter_diff": Query(letter_diff), "receipt_token": Query(receipt_token, "SELECT item_id, text FROM benchmark"),
+    "receipt_token": Query(receipt_token, "SELECT item_id, text FROM benchmark"),
     "matn_start": Query(matn_start, _MATN),
 }

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import english as E
 from ..functions import orthography as O
+from ..operators import anchors as N
 from ..operators import index as I
 from ..operators import matching as M
 from .common import DOCS, ITEMS, Query, document_terms, documents, fold_sql, grams_sql, items, spread, table
@@ -114,6 +115,15 @@ def anchor_accept(spark: SparkSession, d: str) -> DataFrame:
     return a.select(F.col("text").alias("doc_id"), F.col("id").alias("item_id"), F.col("i").cast("long").alias("i"), F.col("n").cast("long").alias("n"), F.col("n_content").cast("long").alias("n_content"), "n_places", "why")
 
 
+def anchors(spark: SparkSession, d: str) -> DataFrame:
+    """Stretches of documents that are quotations of items without a mark; items of even number count as scripture."""
+    bench = items(spark, d)
+    even = F.col("id") % 2 == 0
+    parts = bench.select("id", F.when(even, "quran").otherwise("hadith").alias("corpus"), even.alias("scripture"), F.lit(0).alias("first"), F.size("loose").alias("after"))
+    found = N.detected(documents(spark, d).select("id", "loose"), bench.select("id", "loose"), parts, N.Rule(stop=tuple(STOP), chain=tuple(CHAIN), link="from"))
+    return found.select(F.col("text").alias("doc_id"), F.col("i").cast("long").alias("i"), F.col("n").cast("long").alias("n"), F.col("id").alias("item_id"), "corpus", "n_places", F.col("n_content").cast("long").alias("n_content"), "why")
+
+
 def _list(words: list[str]) -> str:
     return "(" + ", ".join(f"'{w}'" for w in words) + ")"
 
@@ -126,6 +136,29 @@ SELECT doc_id, item_id, i, n, n_content, n_places, why FROM named WHERE why IS N
 """
 
 
+_ANCHORS = f"""
+{_SEEDS.replace("WITH ", "WITH RECURSIVE ", 1)},
+tails AS (SELECT id AS doc_id, len(loose) - 3 AS i, loose[len(loose) - 2:] AS w FROM docs WHERE len(loose) >= 3),
+short AS (SELECT id AS item_id, j, loose[j + 1:j + 3] AS w FROM (SELECT id, loose, unnest(range(0, len(loose) - 2)) AS j FROM items WHERE len(loose) >= 3)),
+last AS (SELECT t.doc_id, s.item_id, t.i, s.j FROM tails t JOIN short s USING (w) WHERE w IN (SELECT w FROM short GROUP BY w HAVING count(*) <= 4000)),
+grams AS (SELECT doc_id, item_id, i, j, i + 4 AS hi, 4 AS size FROM seeds UNION ALL SELECT doc_id, item_id, i, j, i + 3, 3 FROM last),
+fresh AS (SELECT *, CASE WHEN i > max(hi) OVER (PARTITION BY doc_id, item_id, i - j ORDER BY i, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS new FROM grams),
+parted AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, item_id, i - j ORDER BY i, hi) AS part FROM fresh),
+maximal AS (SELECT doc_id, item_id, min(i) AS lo, max(hi) AS hi, min(j) AS j FROM parted GROUP BY doc_id, item_id, i - j, part),
+stretches AS MATERIALIZED (
+    SELECT doc_id, lo, hi, count(*) AS n_places, min({{'other': item_id % 2, 'id': item_id}}) AS p, bool_or(item_id % 2 = 0 AND m.j = 0 AND hi - lo = len(t.loose)) AS whole
+    FROM maximal m JOIN items t ON t.id = item_id GROUP BY doc_id, lo, hi),
+starts AS (SELECT DISTINCT doc_id, i FROM grams g JOIN docs d ON d.id = g.doc_id WHERE len([w FOR w IN d.loose[i + 1:i + size] IF w NOT IN {_list(STOP)}]) > 0),
+reach AS (SELECT s.doc_id, s.i, max(hi) AS after FROM starts s JOIN stretches k ON k.doc_id = s.doc_id AND k.lo <= s.i GROUP BY ALL),
+jumps AS MATERIALIZED (SELECT r.doc_id, r.i, r.after, min(k.lo) AS lo, (SELECT min(n.i) FROM starts n WHERE n.doc_id = r.doc_id AND n.i >= r.after) AS next FROM reach r JOIN stretches k ON k.doc_id = r.doc_id AND k.hi = r.after GROUP BY ALL),
+walk AS (SELECT doc_id, min(i) AS i FROM starts GROUP BY doc_id UNION ALL SELECT w.doc_id, j.next FROM walk w JOIN jumps j ON j.doc_id = w.doc_id AND j.i = w.i WHERE j.next IS NOT NULL),
+chosen AS (SELECT k.*, d.loose[k.lo + 1:k.hi] AS words, k.hi - k.lo AS n FROM walk w JOIN jumps j ON j.doc_id = w.doc_id AND j.i = w.i JOIN stretches k ON k.doc_id = w.doc_id AND k.lo = j.lo AND k.hi = j.after JOIN docs d ON d.id = w.doc_id),
+counted AS (SELECT *, len([w FOR w IN words IF w NOT IN {_list(STOP)}]) AS n_content, len([w FOR w IN words IF w IN {_list(CHAIN)}]) * 2 >= n OR len([w FOR w IN words IF w = 'from']) >= 2 AS chained FROM chosen),
+named AS (SELECT *, CASE WHEN n >= CASE WHEN p.other = 0 THEN 4 ELSE 6 END AND n_content >= 3 THEN 'long' WHEN whole THEN 'whole' WHEN n >= 3 AND n_content >= 1 AND n_places <= 60 AND NOT chained THEN 'rare' END AS why FROM counted)
+SELECT doc_id, lo AS i, n, p.id AS item_id, CASE WHEN p.other = 0 THEN 'quran' ELSE 'hadith' END AS corpus, n_places, n_content, why FROM named WHERE why IS NOT NULL
+"""
+
+
 def _quotes(spark: SparkSession, d: str) -> DataFrame:
     """(q, loose, strict): the first eight tokens of each item."""
     return items(spark, d).where(F.size("loose") >= 8).select(F.col("id").alias("q"), F.slice("loose", 1, 8).alias("loose"), F.slice("strict", 1, 8).alias("strict"))
@@ -305,7 +338,7 @@ QUERIES = {
     "lang_of": Query(lang_of, _LANG),
     "quote_exact": Query(quote_exact, _QUOTE_EXACT),
     "anchor_seeds": Query(anchor_seeds, f"{_SEEDS} SELECT doc_id, item_id, i, j FROM seeds"),
-    "anchor_runs": Query(anchor_runs, f"{_SEEDS} SELECT n AS run_len, count(*) AS runs, count(DISTINCT doc_id) AS docs FROM runs GROUP BY n"),
+    "anchors": Query(anchors, _ANCHORS), "anchor_runs": Query(anchor_runs, f"{_SEEDS} SELECT n AS run_len, count(*) AS runs, count(DISTINCT doc_id) AS docs FROM runs GROUP BY n"),
     "anchor_accept": Query(anchor_accept, _ACCEPT),
     "exact_phrase": Query(exact_phrase, f"{_HITS} SELECT * FROM hits"),
     "exact_dedupe": Query(exact_dedupe, _DEDUPE),

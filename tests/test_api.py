@@ -53,13 +53,23 @@ ARABIC = [
 ]
 
 
-def test_life_cycle_in_arabic(spark):
-    records = spark.createDataFrame(ARABIC, "id long, corpus string, book string, text string, alt string, chapter int, verse int, vocalised string")
+ARABIC_SCHEMA = "id long, corpus string, book string, text string, alt string, chapter int, verse int, vocalised string"
+
+
+@pytest.fixture(scope="module")
+def arabic_verdicts(spark):
+    """One job for all texts: what it costs is fixed."""
     texts = [
         (1, "قال تعالى: «الكتاب الجديد والبيت الأول» (Quran 5:1)"), (2, "قال رسول الله ﷺ: القلم خير من السيف عند اهل العلم. رواه البخاري"), (3, "«قُلْ هُوَ الكِتَابَ الجَدِيدُ»"), (4, "«قُلْ هُوَ الكِتَابُ الجَدِيدُ»"), (5, "«ان احسن الناس من كتب كتابا»"),
         (6, "«رواه البخاري في صحيحه»"), (7, "«القلم خير xyz من السيف»"), (8, "«هذا السراط قديم هنا»"), (9, "«ليس في هذه الكتب شيء كهذا»"),
+        (21, "«قُلْ هُوَ الكِتَابَ الجَدِيدُ»"), (22, "«قُلْ هُوَ الكتَابُ الجَدِيدْ»"), (23, "«القلم خير xyz من السيف»"), (24, "قال رسول الله ﷺ: «حدثنا زيد أن القلم خير من السيوف جدا عند أهل العلم»"), (25, "«قل هو الكتاب الجديد»"),
+        (26, "«الكتاب الجديد والبيت الأول في القرية»"),
     ]
-    got = {r.id: r for r in api.check(spark.createDataFrame(texts, "id long, text string"), records, arabic=True).collect()}
+    return {r.id: r for r in api.check(spark.createDataFrame(texts, "id long, text string"), spark.createDataFrame(ARABIC, ARABIC_SCHEMA), arabic=True).collect()}
+
+
+def test_life_cycle_in_arabic(spark, arabic_verdicts):
+    got = arabic_verdicts
     assert got[1].status == "found" and got[1].scope == "quran" and got[1].matches[0].continues_to == 2 and "quran_fragment" in got[1].notices  # across two verses
     assert got[2].status == "found" and got[2].mismatch and {"rasm_completed", "claimed_source_mismatch"} <= set(got[2].notices) and [x.type for x in got[2].segments] == ["matn", "claimed_source"]
     assert got[3].status == "needs_review" and got[3].reason == "diacritic_difference" and got[4].status == "found" and got[4].notices == []
@@ -68,5 +78,33 @@ def test_life_cycle_in_arabic(spark):
     assert got[7].status == "needs_review" and got[7].reason == "foreign_material"
     assert got[8].status == "found" and got[8].matches[0].rec == 5  # in the second edition's spelling
     assert got[9].status == "not_found" and got[9].matches == []
-    seen = api.check(spark.createDataFrame(texts[3:4], "id long, text string"), records, arabic=True, image=True).first()
+    seen = api.check(spark.createDataFrame([(4, "«قُلْ هُوَ الكِتَابُ الجَدِيدُ»")], "id long, text string"), spark.createDataFrame(ARABIC, ARABIC_SCHEMA), arabic=True, image=True).first()
     assert seen.status == "needs_review" and seen.reason == "image_unconfirmed" and "image_extracted" in seen.notices
+
+
+def test_differences_of_all_families(arabic_verdicts):
+    rows = {k - 20: r for k, r in arabic_verdicts.items() if k > 20}
+    source = {r[0]: r[3] for r in ARABIC}
+
+    def first(i):
+        m = rows[i].matches[0]
+        return rows[i].quoted, source[m.rec], m
+
+    quoted, text, m = first(1)  # a conflict: the last vowel of the third word
+    assert m.kinds == ["diacritic_conflict"] and [o.op for o in m.diff] == ["equal", "equal", "replace", "equal"]
+    (a, b), (c, d) = m.diff[2].quote_letters[0], m.diff[2].source_letters[0]
+    assert quoted[a:b] == "بَ" and text[c:d] == "ب" and m.source_range == [0, len(text)]
+    quoted, text, m = first(2)  # one vowel left out, and a pause at the end
+    assert rows[2].status == "found" and m.kinds == ["diacritic_missing", "waqf"] and {o.op for o in m.diff} == {"equal"}
+    assert [[quoted[a:b] for a, b in o.quote_letters] for o in m.diff] == [[], [], ["ك"], ["دْ"]]
+    quoted, text, m = first(3)  # foreign matter
+    assert m.kinds == ["foreign_material"] and [o.op for o in m.diff] == ["equal", "equal", "delete", "equal", "equal"]
+    assert quoted[slice(*m.diff[2].quote_chars)] == "xyz" and [text[slice(*o.source_chars)] for o in m.diff if o.op == "equal"] == ["القلم", "خير", "من", "السيف"]
+    quoted, text, m = first(4)  # a word replaced and one added
+    assert m.kinds == ["word_replaced"] or set(m.kinds) == {"word_replaced", "word_added_in_quote"}
+    for o in m.diff:
+        if o.op == "equal":
+            assert quoted[slice(*o.quote_chars)].split() == text[slice(*o.source_chars)].split()
+    assert rows[5].status == "found" and first(5)[2].diff == [] and first(5)[2].kinds == []
+    quoted, text, m = first(6)  # across two verses: words of the other record have no place
+    assert m.kinds == ["word_added_in_quote"] and [o.op for o in m.diff] == ["equal", "delete"] and m.source_range == [text.index("الكتاب"), len(text)] and m.diff[0].source_chars[1] == -1

@@ -17,4 +17,4 @@ def test_equals_sql(spark, connection, name):
 
 @pytest.mark.parametrize("name", [n for n, q in QUERIES.items() if not q.sql])
 def test_runs(spark, name):
-    assert QUERIES[name].run(spark, FOLDER).count() > 0
+    assert QUERIES[name].run(spark, FOLDER).collect()  # a count would leave columns out

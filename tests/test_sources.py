@@ -53,9 +53,7 @@ def test_pins_and_index(spark, tmp_path):
     assert S.load_index(spark, f"{tmp_path}/i", ["stream"], "d2") is None and S.load_index(spark, f"{tmp_path}/none", [], "d1") is None
 
 
-def test_diff_receipts_and_judging(spark):
-    d = spark.createDataFrame([("a b c", "a x c")], "q string, s string").select(diffs.word_diff(F.split("q", " "), F.split("s", " ")).alias("d")).first().d
-    assert [(o.op, o.q_start, o.q_end, o.s_start, o.s_end) for o in d] == [("equal", 0, 1, 0, 1), ("replace", 1, 2, 1, 2), ("equal", 2, 3, 2, 3)]
+def test_receipts_and_judging(spark):
     t = spark.createDataFrame([("é" * 500,), (None,)], "p string").select("p", diffs.receipt_token("p").alias("t")).select("p", diffs.receipt_payload("t").alias("r"), F.length("t").alias("n")).collect()
     assert t[0].r == t[0].p and t[0].n < 100 and t[1].r is None
     got = spark.createDataFrame([("a", "found", None, ["quran"], ["n"])], "case_id string, status string, reason string, corpora array<string>, notices array<string>")
