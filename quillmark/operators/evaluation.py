@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import heapq
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,20 +70,96 @@ def macro_f1(rows: DataFrame, by: str) -> DataFrame:
     return joined.groupBy(by).agg(F.round(F.avg(2 * F.col("hit") / (F.col("t") + F.col("g"))), 6).alias("f1"))
 
 
-def painted(spans: DataFrame, lengths: DataFrame) -> DataFrame:
-    """(id, pos, label): each character's label, where later spans lie over earlier ones; uncovered ones are ''.
+#: Label of characters that no span covers.
+UNLABELLED = ""
 
-    ``spans``: (id, ord, start, end, label); ``lengths``: (id, n).
-    """
-    chars = spans.where("end > start").select("id", "ord", "label", F.explode(F.sequence("start", F.col("end") - 1)).alias("pos"))
-    top = chars.groupBy("id", "pos").agg(F.max_by("label", "ord").alias("label"))
-    every = lengths.where("n > 0").select("id", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("pos"))
-    return every.join(top, ["id", "pos"], "left").fillna("", ["label"])
 
+def swept(truth: DataFrame, guess: DataFrame, lengths: DataFrame) -> DataFrame:
+    """(id, truth, predicted, n): how many characters of each text have which labels under two sets of spans.
 
-def confusion(rows: DataFrame, labels: list) -> DataFrame:
-    """Truth by prediction, a column for each label."""
-    return rows.groupBy("truth").pivot("predicted", labels).count().fillna(0)
+    ``truth``, ``guess``: (id, ord, start, end, label), later ones lie over earlier ones; ``lengths``: (id, n). Ends of spans
+    stream by in the order of their places; between two of them all characters are alike and count as one stretch, so the
+    work grows with spans and not with characters. What lies outside a text is cut off; texts without a span have one row.
+    """
+    kind = lengths.schema["id"].dataType.simpleString()
+    ends = lengths.select("id", F.col("n").cast("long").alias("at"), F.lit(-1).alias("side"), F.lit(0).cast("long").alias("ord"), F.lit(None).cast("string").alias("label"), F.lit(True).alias("opens"))
+    events = ends
+    for side, spans in enumerate((truth, guess)):
+        inside = spans.join(lengths.select("id", F.col("n").cast("long").alias("n")), "id").select("id", F.greatest(F.col("start"), F.lit(0)).cast("long").alias("start"), F.least(F.col("end"), F.col("n")).cast("long").alias("end"), F.col("ord").cast("long").alias("ord"), "label").where("end > start")
+        for opens in (True, False):
+            events = events.unionByName(inside.select("id", F.col("start" if opens else "end").alias("at"), F.lit(side).alias("side"), "ord", "label", F.lit(opens).alias("opens")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, place, counts = None, 0, Counter()
+        open_: list[dict] = [{}, {}]
+        tops: list[list] = [[], []]
+
+        def top(side: int) -> str:
+            heap, live = tops[side], open_[side]
+            while heap and -heap[0][0] not in live:
+                heapq.heappop(heap)
+            return live[-heap[0][0]][1] if heap else UNLABELLED
+
+        def told(id_: object) -> Iterator[dict]:
+            return ({"id": id_, "truth": t, "predicted": p, "n": n} for (t, p), n in sorted(counts.items()))
+
+        schema, first = None, True
+        for batch in batches:
+            schema, done = pa.schema([batch.schema.field("id"), ("truth", pa.string()), ("predicted", pa.string()), ("n", pa.int64())]), []
+            for id_, at, side, ord_, label, opens in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if first or id_ != now:
+                    if not first:
+                        done += told(now)
+                    now, place, counts, open_, tops, first = id_, 0, Counter(), [{}, {}], [[], []], False
+                if at > place:
+                    counts[top(0), top(1)] += at - place
+                    place = at
+                if side < 0:
+                    continue
+                held = open_[side].get(ord_, (0, label))[0] + (1 if opens else -1)
+                if held:
+                    open_[side][ord_] = (held, label)
+                    if opens:
+                        heapq.heappush(tops[side], (-ord_, at))
+                else:
+                    open_[side].pop(ord_, None)
+            yield pa.RecordBatch.from_pylist(done, schema)
+        if not first:
+            yield pa.RecordBatch.from_pylist(list(told(now)), schema)
+
+    ordered = events.repartition("id").sortWithinPartitions("id", "at", "opens")
+    return ordered.mapInArrow(run, f"id {kind}, truth string, predicted string, n long")
+
+
+def character_scores(cells: DataFrame, unannotated: DataFrame | None = None) -> DataFrame:
+    """(id, f1) of each text: the mean F1 over the labels that its characters have, characters without one included.
+
+    ``cells``: of ``swept``. ``unannotated`` (id): texts without a true span; one scores 1 if nothing is predicted there, else 0.
+    """
+    scores = macro_f1(cells, "id")
+    if unannotated is None:
+        return scores
+    said = cells.groupBy("id").agg(F.bool_or(F.col("predicted") != UNLABELLED).alias("said"))
+    bare = unannotated.select("id").distinct().join(said, "id", "left").select("id", F.when(F.coalesce("said", F.lit(False)), 0.0).otherwise(1.0).alias("f1"))
+    return scores.join(bare.select("id"), "id", "left_anti").unionByName(bare)
+
+
+def class_f1(cells: DataFrame, labels: list[str]) -> DataFrame:
+    """(label, f1) over all texts' characters together, a row for each label; 0 where neither side has it."""
+    total = cells.groupBy("truth", "predicted").agg(F.sum("n").alias("n"))
+    asked = cells.sparkSession.createDataFrame([(x,) for x in labels], "label string")
+    counted = asked.join(total, (F.col("label") == F.col("truth")) | (F.col("label") == F.col("predicted")), "left").groupBy("label").agg(
+        F.sum(F.when((F.col("truth") == F.col("label")) & (F.col("predicted") == F.col("label")), F.col("n")).otherwise(0)).alias("hit"),
+        F.sum(F.when(F.col("truth") == F.col("label"), F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("predicted") == F.col("label"), F.col("n")).otherwise(0)).alias("g"),
+    )
+    return counted.select("label", F.when(F.col("t") + F.col("g") > 0, F.round(2 * F.col("hit") / (F.col("t") + F.col("g")), 6)).otherwise(0.0).alias("f1"))
+
+
+def confusion(cells: DataFrame, labels: list[str]) -> DataFrame:
+    """Truth by prediction, a row and a column for each label, of cells (truth, predicted, n)."""
+    rows = cells.sparkSession.createDataFrame([(x,) for x in labels], "truth string")
+    found = cells.groupBy("truth").pivot("predicted", labels).agg(F.sum("n"))
+    return rows.join(found, "truth", "left").fillna(0)
 
 
 def retrieval_quality(ranked: DataFrame, truth: DataFrame, k: int = 5) -> DataFrame:

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,9 +47,16 @@ def bracketed(texts: DataFrame, least_arabic: int = 2, least_latin: int = 3) ->
 
 
 def uncovered(spans: DataFrame, by: DataFrame) -> DataFrame:
-    """The spans that overlap none of ``by`` in their text."""
-    b = by.select(F.col("id").alias("other"), F.col("start").alias("b0"), F.col("end").alias("b1"))
-    return spans.join(b, (F.col("id") == F.col("other")) & (F.col("b0") < F.col("end")) & (F.col("start") < F.col("b1")), "left_anti")
+    """The spans that overlap none of ``by`` in their text.
+
+    One pass over a text's places: a span is covered if, of all that begin before its end, one reaches beyond its start.
+    """
+    row = F.struct(*spans.columns)
+    asked = spans.select("id", F.col("end").cast("long").alias("key"), F.lit(0).alias("side"), F.lit(None).cast("long").alias("reach"), row.alias("row"))
+    there = by.select("id", F.col("start").cast("long").alias("key"), F.lit(1).alias("side"), F.col("end").cast("long").alias("reach"), F.lit(None).cast(asked.schema["row"].dataType).alias("row"))
+    before = Window.partitionBy("id").orderBy("key", "side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = asked.unionByName(there).withColumn("reach", F.max("reach").over(before)).where("side = 0")
+    return met.where(F.col("id").isNull() | F.col("reach").isNull() | (F.col("reach") <= F.col("row.start"))).select("row.*")
 
 
 def introduced_english(texts: DataFrame) -> DataFrame:
@@ -178,23 +187,31 @@ def tightened(text: Column) -> Column:
 def merged(spans: DataFrame) -> DataFrame:
     """Overlapping spans of a text become one: an explicit quotation wins over a wider unmarked one, others unite.
 
-    In the order of start and, at one start, of length; each span is held against the last one kept.
+    In the order of start and, at one start, of length; each span is held against the last one kept. A text's spans stream
+    by in that order, so only one is held.
     """
-    order = F.array_sort(F.collect_list(F.struct(F.col("start").cast("int").alias("start"), (-F.col("end")).cast("int").alias("neg"), "kind", "marked")))
-    rows = spans.groupBy("id").agg(order.alias("s"))
-
-    def span(start: Column, end: Column, kind: Column, marked: Column) -> Column:
-        return F.struct(start.alias("start"), end.cast("int").alias("end"), kind.alias("kind"), marked.alias("marked"))
-
-    def step(out: Column, x: Column) -> Column:
-        last, head, end = F.element_at(out, -1), F.slice(out, 1, F.size(out) - 1), -x["neg"]
-        new = span(x["start"], end, x["kind"], x["marked"])
-        wins = x["marked"] & ~last["marked"] & (end <= last["end"])
-        united = span(last["start"], F.greatest(last["end"], end), F.when(last["kind"] == "unknown", x["kind"]).otherwise(last["kind"]), last["marked"])
-        return F.when((F.size(out) == 0) | (x["start"] >= last["end"]), F.concat(out, F.array(new))).when(wins, F.concat(head, F.array(new))).when(last["marked"] & ~x["marked"], out).otherwise(F.concat(head, F.array(united)))
-
-    folded = F.aggregate("s", F.array().cast(f"array<{_SPAN}>"), lambda out, x: F.when(F.size(out) == 0, F.array(span(x["start"], -x["neg"], x["kind"], x["marked"]))).otherwise(step(out, x)))
-    return rows.select("id", F.explode(folded).alias("x")).select("id", "x.*")
+    kinds = {f.name: f.dataType.simpleString() for f in spans.schema}
+    names = ["id", "start", "end", "kind", "marked"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: list | None = None
+        for batch in batches:
+            done = []
+            for id_, start, end, kind, marked in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if last is None or last[0] != id_ or start >= last[2]:
+                    done += [last] if last else []
+                    last = [id_, start, end, kind, marked]
+                elif marked and not last[4] and end <= last[2]:
+                    last = [id_, start, end, kind, marked]
+                elif marked or not last[4]:
+                    last[2], last[3] = max(last[2], end), kind if last[3] == "unknown" else last[3]
+            yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in done], batch.schema)
+        if last:
+            yield pa.RecordBatch.from_pylist([dict(zip(names, last, strict=True))], batch.schema)
+
+    rows = spans.select("id", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), F.col("kind").cast("string").alias("kind"), "marked")
+    ordered = rows.repartition("id").sortWithinPartitions("id", "start", F.desc("end"), "kind", "marked")
+    return ordered.mapInArrow(run, f"id {kinds['id']}, start int, end int, kind string, marked boolean")
 
 
 _CLAIM = "struct<raw:string,books:array<string>,surah:int,ayah:int,ayah_to:int>"

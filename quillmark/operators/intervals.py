@@ -21,22 +21,16 @@ def merged(ranges: DataFrame) -> DataFrame:
 def annotation_runs(lengths: DataFrame, marks: DataFrame) -> DataFrame:
     """(id, ord, kind, start, end): a text as runs with and without a mark. Of overlapping marks the earlier, then the
     longer one keeps its place and the next begins where it ends. ``lengths``: (id, n); ``marks``: (id, start, end, kind)."""
-    order = F.array_sort(F.collect_list(F.struct(F.col("start").cast("int").alias("start"), (-F.col("end")).cast("int").alias("neg"), "kind")))
-    rows = lengths.join(marks.groupBy("id").agg(order.alias("m")), "id", "left")
-    kind = "array<struct<kind:string,start:int,end:int>>"
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
-
-    def run(name, a, b):
-        return F.struct(name.alias("kind"), a.cast("int").alias("start"), b.cast("int").alias("end"))
-
-    def step(acc, x):
-        a, b = F.greatest(x["start"], acc["at"]), -x["neg"]
-        gap = F.when(a > acc["at"], F.array(run(F.lit("text"), acc["at"], a))).otherwise(F.array().cast(kind))
-        return F.when(b > a, F.struct(b.alias("at"), F.concat(acc["out"], gap, F.array(run(x["kind"], a, b))).alias("out"))).otherwise(acc)
-
-    folded = F.aggregate(F.coalesce("m", F.array().cast("array<struct<start:int,neg:int,kind:string>>")), start, step)
-    rest = F.when(folded["at"] < F.col("n"), F.array(run(F.lit("text"), folded["at"], F.col("n")))).otherwise(F.array().cast(kind))
-    return rows.select("id", F.posexplode(F.concat(folded["out"], rest)).alias("ord", "r")).select("id", "ord", "r.*")
+    by = Window.partitionBy("id").orderBy("start", F.desc("end"), "kind")
+    before = F.coalesce(F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    some = marks.join(lengths.select("id").distinct(), "id", "left_semi").select("id", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), "kind")
+    placed = some.withColumn("at", F.greatest(before, F.lit(0))).select("id", "kind", "at", F.greatest("start", "at").alias("start"), "end")
+    run = lambda kind, a, b: F.struct(kind.alias("kind"), a.cast("int").alias("start"), b.cast("int").alias("end"))
+    taken = placed.where("end > start").select("id", F.explode(F.array(run(F.lit("text"), F.col("at"), F.col("start")), run(F.col("kind"), F.col("start"), F.col("end")))).alias("r"))
+    reach = marks.groupBy("id").agg(F.max("end").alias("reach"))
+    rest = lengths.join(reach, "id", "left").select("id", run(F.lit("text"), F.greatest(F.coalesce("reach", F.lit(0)), F.lit(0)), F.col("n")).alias("r"))
+    runs = taken.unionByName(rest).where("r.end > r.start").select("id", "r.*")
+    return runs.select("id", (F.row_number().over(Window.partitionBy("id").orderBy("start")) - 1).alias("ord"), "kind", "start", "end")
 
 
 def rate_limited(requests: DataFrame, most: int = 30, seconds: int = 60) -> DataFrame:

@@ -159,12 +159,15 @@ def segments(text: Column, start: Column, end: Column, scripture: Column, chapte
 def augmented(spans: DataFrame, tags: DataFrame, anchors: DataFrame) -> DataFrame:
     """Spans (id, start, end, kind, marked) where tags replace what they overlap, and anchors fill what is free.
 
-    A span of unknown kind that an anchor overlaps takes the kind of the first such anchor.
+    A span of unknown kind that an anchor overlaps takes the kind of the first such anchor; anchors don't overlap each other.
     """
     kept = E.uncovered(spans, tags).unionByName(tags)
     free = E.uncovered(anchors, kept)
-    a = anchors.select(F.col("id").alias("other"), F.col("start").alias("a0"), F.col("end").alias("a1"), F.col("kind").alias("told"))
-    met = kept.where("kind = 'unknown'").distinct().join(a, (F.col("id") == F.col("other")) & (F.col("a0") < F.col("end")) & (F.col("start") < F.col("a1")))
-    told = met.groupBy("id", "start", "end").agg(F.min_by("told", F.struct("a0", "a1", "told")).alias("told"))
-    named = kept.join(told, ["id", "start", "end"], "left").select("id", "start", "end", F.when(F.col("kind") == "unknown", F.coalesce("told", "kind")).otherwise(F.col("kind")).alias("kind"), "marked")
+    asked = kept.select("id", F.col("start").alias("key"), F.lit(0).alias("side"), F.lit(None).cast("struct<start:int,kind:string>").alias("a"), F.struct("start", "end", "kind", "marked").alias("row"))
+    there = anchors.select("id", F.col("end").alias("key"), F.lit(1).alias("side"), F.struct(F.col("start").cast("int").alias("start"), "kind").alias("a"), F.lit(None).cast(asked.schema["row"].dataType).alias("row"))
+    # Backwards through a text, the last anchor seen is the first one that ends after a span's start.
+    order = Window.partitionBy("id").orderBy(F.desc("key"), "side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = asked.unionByName(there).withColumn("near", F.last("a", ignorenulls=True).over(order)).where("side = 0")
+    told = F.when((F.col("row.kind") == "unknown") & (F.col("near.start") < F.col("row.end")), F.col("near.kind"))
+    named = met.select("id", "row.start", "row.end", F.coalesce(told, "row.kind").alias("kind"), "row.marked")
     return named.unionByName(free)

@@ -9,12 +9,13 @@ from .. import api
 from ..functions import orthography as O
 from ..operators import decisions as D
 from ..operators import evaluation as V
+from ..operators import extraction as E
 from ..operators import intervals as N
 from ..operators import matching as M
 from ..operators import validation as P
 from ..sources import corpus as S
 
-from .common import DOCS, ITEMS, Query, documents, fold_sql, items, stream_sql, table
+from .common import DOCS, ITEMS, Query, documents, fold_sql, items, spread, stream_sql, table
 from .matching import _SEEDS, _WINDOWS, _pairs
 
 _FACTS_SQL = """
@@ -300,24 +301,58 @@ SELECT lang, hits, positives, truths, CASE WHEN positives > 0 THEN round(hits /
 """
 
 
+#: Words of documents that truth and prediction take for spans: label and pattern, later ones over earlier ones.
+_TRUTH, _GUESS = (("Ayah", "[a-z]*th[a-z ]*"), ("matn", "[A-Z][a-z]+ [a-z]+")), (("Ayah", "[a-z]*he[a-z ]*"), ("isnad", "[a-z]{8,}"), ("matn", "[A-Z][a-z]+"))
+_LABELS = ["", "Ayah", "matn", "isnad", "claimed_source"]
+
+
+def _swept(spark: SparkSession, d: str) -> DataFrame:
+    docs = spread(table(spark, d, "documents").where("doc_id is not null and text is not null").select(F.col("doc_id").alias("id"), "text"))
+
+    def spans(rules: tuple[tuple[str, str], ...]) -> DataFrame:
+        out = None
+        for k, (label, pattern) in enumerate(rules):
+            part = docs.select("id", F.explode(E.places(F.col("text"), pattern)).alias("m")).select("id", (F.col("m.start") + k * 10_000_000).alias("ord"), "m.start", "m.end", F.lit(label).alias("label"))
+            out = part if out is None else out.unionByName(part)
+        return out
+
+    return V.swept(spans(_TRUTH), spans(_GUESS), docs.select("id", F.length("text").alias("n")))
+
+
 def char_macro_f1(spark: SparkSession, d: str) -> DataFrame:
-    """Each document's first hundred characters under two overlapping truths and two overlapping predictions."""
-    i = F.col("doc_id")
-    docs = table(spark, d, "documents").where("doc_id is not null")
-    n = docs.select(i.alias("id"), F.lit(100).alias("n"))
-    span = lambda a, b, label, ord_: F.struct(F.lit(ord_).alias("ord"), a.cast("int").alias("start"), b.cast("int").alias("end"), F.lit(label).alias("label"))
-    truth = docs.select(i.alias("id"), F.explode(F.array(span(i % 40, i % 40 + 30, "A", 1), span(i % 40 + 20, i % 40 + 50, "B", 2))).alias("s")).select("id", "s.*")
-    guess = docs.select(i.alias("id"), F.explode(F.array(span(i % 37, i % 37 + 33, "A", 1), span(i % 37 + 25, i % 37 + 45, "B", 2))).alias("s")).select("id", "s.*")
-    both = V.painted(truth, n).withColumnRenamed("label", "truth").join(V.painted(guess, n).withColumnRenamed("label", "predicted"), ["id", "pos"])
-    return V.macro_f1(both.where("truth <> '' or predicted <> ''").withColumn("n", F.lit(1)), "id")
-
-
-_F1 = """
-WITH chars AS (SELECT doc_id AS id, pos FROM documents, range(0, 100) r(pos) WHERE doc_id IS NOT NULL),
-painted AS (SELECT id, CASE WHEN pos >= id % 40 + 20 AND pos < id % 40 + 50 THEN 'B' WHEN pos >= id % 40 AND pos < id % 40 + 30 THEN 'A' ELSE '' END AS t, CASE WHEN pos >= id % 37 + 25 AND pos < id % 37 + 45 THEN 'B' WHEN pos >= id % 37 AND pos < id % 37 + 33 THEN 'A' ELSE '' END AS p FROM chars),
-kept AS (SELECT * FROM painted WHERE t <> '' OR p <> ''), labels AS (SELECT DISTINCT id, l FROM (SELECT id, t AS l FROM kept UNION ALL SELECT id, p FROM kept)),
-f AS (SELECT k.id, l, 2.0::DOUBLE * count(*) FILTER (t = l AND p = l) / (count(*) FILTER (t = l) + count(*) FILTER (p = l)) AS f1 FROM labels JOIN kept k USING (id) GROUP BY k.id, l)
-SELECT id, round(avg(f1), 6) AS f1 FROM f GROUP BY id
+    """The score of each document's characters under words taken for spans by two sets of patterns."""
+    return V.character_scores(_swept(spark, d))
+
+
+def class_f1(spark: SparkSession, d: str) -> DataFrame:
+    return V.class_f1(_swept(spark, d), _LABELS[1:])
+
+
+def char_confusion(spark: SparkSession, d: str) -> DataFrame:
+    c = V.confusion(_swept(spark, d), _LABELS)
+    return c.select("truth", *(F.col(f"`{x}`").alias(x or "none") for x in _LABELS))
+
+
+def _chars_sql(name: str, rules: tuple[tuple[str, str], ...]) -> str:
+    parts = ", ".join(f"""{name}{k}_m AS (SELECT id, regexp_extract_all(text, '{p}') AS m, regexp_split_to_array(text, '{p}') AS g FROM t),
+{name}{k} AS (SELECT id, unnest(range(s, s + len)) AS pos, {k} AS k, '{label}' AS label FROM (SELECT id, length(m[k]) AS len, CAST(list_sum([length(x) FOR x IN g[1:k]]) + coalesce(list_sum([length(x) FOR x IN m[1:k - 1]]), 0) AS BIGINT) AS s FROM (SELECT *, unnest(range(1, len(m) + 1)) AS k FROM {name}{k}_m)))""" for k, (label, p) in enumerate(rules))
+    union = " UNION ALL ".join(f"SELECT * FROM {name}{k}" for k in range(len(rules)))
+    return f"{parts}, {name} AS (SELECT id, pos, max_by(label, k) AS label FROM ({union}) GROUP BY id, pos)"
+
+
+_CELLS = f"""
+WITH t AS (SELECT doc_id AS id, text FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL), {_chars_sql('tr', _TRUTH)}, {_chars_sql('gu', _GUESS)},
+chars AS (SELECT id, unnest(range(0, length(text))) AS pos FROM t),
+cells AS (SELECT c.id, coalesce(tr.label, '') AS truth, coalesce(gu.label, '') AS predicted, count(*) AS n FROM chars c LEFT JOIN tr ON tr.id = c.id AND tr.pos = c.pos LEFT JOIN gu ON gu.id = c.id AND gu.pos = c.pos GROUP BY ALL)"""
+_F1 = f"""{_CELLS}, labels AS (SELECT DISTINCT id, l FROM (SELECT id, truth AS l FROM cells UNION ALL SELECT id, predicted FROM cells)),
+f AS (SELECT k.id, l, 2.0::DOUBLE * coalesce(sum(n) FILTER (truth = l AND predicted = l), 0) / (coalesce(sum(n) FILTER (truth = l), 0) + coalesce(sum(n) FILTER (predicted = l), 0)) AS f1 FROM labels JOIN cells k USING (id) GROUP BY k.id, l)
+SELECT id, round(avg(f1), 6)::DOUBLE AS f1 FROM f GROUP BY id
+"""
+_CLASS_F1 = f"""{_CELLS} SELECT l AS label, coalesce(round(2.0::DOUBLE * coalesce(sum(n) FILTER (truth = l AND predicted = l), 0) / nullif(coalesce(sum(n) FILTER (truth = l), 0) + coalesce(sum(n) FILTER (predicted = l), 0), 0), 6), 0)::DOUBLE AS f1
+FROM cells, (VALUES {', '.join(f"('{x}')" for x in _LABELS[1:])}) v(l) GROUP BY l
+"""
+_CONFUSION = f"""{_CELLS} SELECT l AS truth, {', '.join(f"CAST(coalesce(sum(n) FILTER (truth = l AND predicted = '{x}'), 0) AS BIGINT) AS {x or 'none'}" for x in _LABELS)}
+FROM cells RIGHT JOIN (VALUES {', '.join(f"('{x}')" for x in _LABELS)}) v(l) ON l = truth GROUP BY l
 """
 
 
@@ -446,7 +481,7 @@ QUERIES = {
     "status_rollup": Query(status_rollup, f"WITH decided AS ({_DECIDED}) SELECT scope, status, count(*) AS n, CAST(sum(round(score * 100)) AS BIGINT) AS hundredths FROM decided GROUP BY ROLLUP (scope, status)"),
     "guard_verdicts": Query(guard_verdicts, _GUARD), "determinism_hash": Query(determinism_hash, _HASH.format(seeds=_SEEDS)), "census_proof": Query(census_proof, _CENSUS), "decide_texts": Query(decide_texts, _DECIDE_TEXTS), "check_batch": Query(check_batch, _CHECK),
     "validate_v1_v3": Query(validate_v1_v3, "SELECT item_id AS q, CASE WHEN item_id % 5 = 1 THEN item_id + 100000 ELSE item_id END AS rec, item_id % 5 NOT IN (1, 2, 3) AS ok, CASE item_id % 5 WHEN 1 THEN 'no_record' WHEN 2 THEN 'source_text' WHEN 3 THEN 'span' END AS rule FROM benchmark WHERE text IS NOT NULL"),
-    "validate_v6": Query(validate_v6, _V6), "validate_v7": Query(validate_v7, _V7), "wilson_ci": Query(wilson_ci, _WILSON), "precision_recall": Query(precision_recall, _PR), "char_macro_f1": Query(char_macro_f1, _F1),
+    "validate_v6": Query(validate_v6, _V6), "validate_v7": Query(validate_v7, _V7), "wilson_ci": Query(wilson_ci, _WILSON), "precision_recall": Query(precision_recall, _PR), "char_macro_f1": Query(char_macro_f1, _F1), "class_f1": Query(class_f1, _CLASS_F1), "char_confusion": Query(char_confusion, _CONFUSION),
     "recall_mrr": Query(recall_mrr), "latency_pctl": Query(latency_pctl, _PCTL), "mutations": Query(mutations, _MUTATIONS), "false_alarm": Query(false_alarm, _ALARM), "interval_merge": Query(interval_merge, _MERGE),
     "annotation_runs": Query(annotation_runs, _RUNS), "rate_limit": Query(rate_limit, _RATE), "corpus_fingerprint": Query(corpus_fingerprint, _FINGERPRINT), "manifest_counts": Query(manifest_counts, _MANIFEST),
     "fixture_cut": Query(fixture_cut, "SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents) WHERE k <= 3 OR doc_id IN (7, 77, 777)"), "ingest_asserts": Query(ingest_asserts, _ASSERTS),
