@@ -12,6 +12,7 @@ from ..functions import orthography as O
 from ..operators import diffs as X
 from ..operators import extraction as E
 from ..operators import lexicon as L
+from ..operators import proposals as P
 from ..sources import corpus as S
 from .common import ITEMS, Query, spread, table
 
@@ -231,8 +232,40 @@ hits AS (SELECT id, CASE WHEN loose[k] = 'the' AND len(loose) - k >= 3 THEN k WH
 SELECT id, max(after) AS start FROM hits GROUP BY id
 """
 
+#: Words that stand in for markers of a quotation in the documents.
+_MARKERS = ("the", "que", "die", "los")
+
+
+def proposals(spark: SparkSession, d: str) -> DataFrame:
+    """Sentences of documents that hold a marker and lie beside all bracketed spans."""
+    t = _texts(spark, d)
+    found = P.proposed(t, E.bracketed(t), _MARKERS, arabic=False)
+    return found.select("id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
+
+
+def _words_sql(x: str) -> str:
+    return f"len(regexp_extract_all({x}, '[\\p{{L}}\\p{{N}}]+'))"
+
+
+def _after_sql(marker: str) -> str:
+    """Where a marker ends for the last time in s, if four words follow; else 0."""
+    back = f"strpos(reverse(s), reverse('{marker}'))"
+    return f"CASE WHEN contains(s, '{marker}') AND {_words_sql(f'right(s, {back} - 1)')} >= 4 THEN length(s) - {back} + 1 ELSE 0 END"
+
+
+_PROPOSALS = f"""
+WITH t AS (SELECT doc_id AS id, text FROM documents WHERE text IS NOT NULL), known AS ({_BRACKETED}),
+parts AS (SELECT id, regexp_extract_all(text, '\\s+') AS m, regexp_split_to_array(text, '\\s+') AS g FROM t),
+masked AS (SELECT id, array_to_string([g[k] || CASE WHEN k > len(m) THEN '' WHEN right(g[k], 1) IN ('.', '!', '?', '؟', '؛') THEN repeat(chr(1), length(m[k])) WHEN contains(m[k], chr(10)) THEN left(m[k], strpos(m[k], chr(10)) - 1) || repeat(chr(1), length(m[k]) - strpos(m[k], chr(10)) + 1) ELSE m[k] END FOR k IN range(1, len(g) + 1)], '') AS text FROM parts),
+{_placed_sql('sentences', 'masked', '[^' + chr(1) + ']+')},
+free AS (SELECT s.id, s.start, s.value AS s FROM sentences s WHERE NOT EXISTS (SELECT 1 FROM known k WHERE k.id = s.id AND k.start < s.start + length(s.value) AND s.start < k."end")),
+told AS (SELECT id, start, s, greatest({', '.join(map(_after_sql, _MARKERS))}) AS rel FROM free WHERE ({' OR '.join(f"contains(s, '{m}')" for m in _MARKERS)}) AND {_words_sql('s')} >= 4),
+bodies AS (SELECT id, start + rel + length(b) - length(ltrim(b, ' :،,-–' || chr(9))) AS start, b, trim(b, ' :،,-–.' || chr(9)) AS body FROM (SELECT *, substring(s, rel + 1) AS b FROM told))
+SELECT id, start, start + length(body) AS "end" FROM bodies WHERE body <> '' AND starts_with(ltrim(b, ' :،,-–' || chr(9)), body) AND {_words_sql('body')} >= 4
+"""
+
 QUERIES = {
-    "spans_bracketed": Query(spans_bracketed, _BRACKETED), "spans_introduced": Query(spans_introduced, _INTRODUCED), "spans_merged": Query(spans_merged, _MERGED),
+    "proposals": Query(proposals, _PROPOSALS), "spans_bracketed": Query(spans_bracketed, _BRACKETED), "spans_introduced": Query(spans_introduced, _INTRODUCED), "spans_merged": Query(spans_merged, _MERGED),
     "detect_pii": Query(detect_pii, _PRIVATE), "detect_flags": Query(detect_flags, _FLAGS), "dedup_quotes": Query(dedup_quotes, _DEDUP),
     "cap_quotes": Query(cap_quotes, f"WITH q AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY start) AS k, count(*) OVER (PARTITION BY id) > 5 AS truncated FROM ({_LINES})) SELECT truncated, count(*) AS quotes, count(DISTINCT id) AS texts FROM (SELECT DISTINCT id, quoted, truncated FROM q WHERE k <= 5) GROUP BY truncated"),
     "relocated": Query(relocated, _RELOCATED), "ar_fold_fixture": _folded(FOLDS), "ar_compose_fixture": _folded(COMPOSITIONS), "ar_spans_fixture": Query(_spans, _values('text, pos, loose, start, "end"', SPANS)),

@@ -12,6 +12,7 @@ from ..operators import evaluation as V
 from ..operators import extraction as E
 from ..operators import intervals as N
 from ..operators import matching as M
+from ..operators import requests as R
 from ..operators import validation as P
 from ..sources import corpus as S
 
@@ -431,6 +432,35 @@ SELECT id, row_number() OVER (PARTITION BY id ORDER BY x.a) - 1 AS ord, x.k AS k
 """
 
 
+def _address(x: str) -> str:
+    """An address from a number, an expression of both engines."""
+    return f"CASE {x} % 5 WHEN 0 THEN concat('10.', {x} % 200, '.0.', {x} % 250) WHEN 1 THEN concat('192.168.', {x} % 4, '.', {x} % 250) WHEN 2 THEN concat('8.8.', {x} % 7, '.', {x} % 9) WHEN 3 THEN concat('172.', 14 + {x} % 20, '.1.1') ELSE concat('9.9.9.', {x} % 200) END"
+
+
+_TRUSTED = ("10.0.0.0/8", "192.168.1.0/24", "172.16.0.0/12")
+_HOPS = f"{_address('(event_id * 7 + 1)')}, CASE WHEN event_id % 4 > 0 THEN {_address('(event_id * 3)')} END, CASE WHEN event_id % 4 > 1 THEN {_address('(event_id + user_id)')} END"
+
+
+def identity(spark: SparkSession, d: str) -> DataFrame:
+    """Who sent each event, as a request that came by up to three hops."""
+    e = table(spark, d, "events").select(F.col("event_id").alias("request"), F.expr(_address("event_id")).alias("peer"), F.expr(f"CASE WHEN event_id % 9 > 0 THEN concat_ws(' , ', {_HOPS}) END").alias("forwarded"))
+    return R.client_identity(e, R.networks(spark.createDataFrame([(n,) for n in _TRUSTED], "network string")))
+
+
+def _within(h: str) -> str:
+    number = f"list_sum([CAST(string_split({h}, '.')[k] AS BIGINT) * CAST(256 ** (4 - k) AS BIGINT) FOR k IN range(1, 5)])"
+    base = lambda n: sum(int(x) << 8 * (3 - k) for k, x in enumerate(n.split("/")[0].split(".")))
+    size = lambda n: 2 ** (32 - int(n.split("/")[1]))
+    return "(" + " OR ".join(f"{number} // {size(n)} = {base(n) // size(n)}" for n in _TRUSTED) + ")"
+
+
+_IDENTITY = f"""
+WITH e AS (SELECT event_id AS request, {_address('event_id')} AS peer, CASE WHEN event_id % 9 > 0 THEN [x FOR x IN [{_HOPS}] IF x IS NOT NULL] ELSE [] END AS hops FROM events),
+told AS (SELECT *, [h FOR h IN hops IF NOT {_within('h')}] AS strangers FROM e)
+SELECT request, CASE WHEN {_within('peer')} THEN coalesce(strangers[-1], hops[1], peer) ELSE peer END AS identity FROM told
+"""
+
+
 def rate_limit(spark: SparkSession, d: str) -> DataFrame:
     """Events as requests, a second for each id: at most three of a user in four thousand seconds."""
     r = table(spark, d, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("at"), F.col("event_id").alias("request"))
@@ -483,6 +513,6 @@ QUERIES = {
     "validate_v1_v3": Query(validate_v1_v3, "SELECT item_id AS q, CASE WHEN item_id % 5 = 1 THEN item_id + 100000 ELSE item_id END AS rec, item_id % 5 NOT IN (1, 2, 3) AS ok, CASE item_id % 5 WHEN 1 THEN 'no_record' WHEN 2 THEN 'source_text' WHEN 3 THEN 'span' END AS rule FROM benchmark WHERE text IS NOT NULL"),
     "validate_v6": Query(validate_v6, _V6), "validate_v7": Query(validate_v7, _V7), "wilson_ci": Query(wilson_ci, _WILSON), "precision_recall": Query(precision_recall, _PR), "char_macro_f1": Query(char_macro_f1, _F1), "class_f1": Query(class_f1, _CLASS_F1), "char_confusion": Query(char_confusion, _CONFUSION),
     "recall_mrr": Query(recall_mrr), "latency_pctl": Query(latency_pctl, _PCTL), "mutations": Query(mutations, _MUTATIONS), "false_alarm": Query(false_alarm, _ALARM), "interval_merge": Query(interval_merge, _MERGE),
-    "annotation_runs": Query(annotation_runs, _RUNS), "rate_limit": Query(rate_limit, _RATE), "corpus_fingerprint": Query(corpus_fingerprint, _FINGERPRINT), "manifest_counts": Query(manifest_counts, _MANIFEST),
+    "annotation_runs": Query(annotation_runs, _RUNS), "rate_limit": Query(rate_limit, _RATE), "identity": Query(identity, _IDENTITY), "corpus_fingerprint": Query(corpus_fingerprint, _FINGERPRINT), "manifest_counts": Query(manifest_counts, _MANIFEST),
     "fixture_cut": Query(fixture_cut, "SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents) WHERE k <= 3 OR doc_id IN (7, 77, 777)"), "ingest_asserts": Query(ingest_asserts, _ASSERTS),
 }
