@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import orthography as O
 from ..operators import alignment as A
+from ..operators import messages as G
+from ..operators.extraction import places
 from .common import Query, spread, table
 
 LATIN = "abcdefghijklmnopqrstuvwxyzéèàçêñü"
@@ -193,4 +195,42 @@ told AS (SELECT id, coalesce({_SAID.format(kind='kind', where='kind IS NOT NULL'
 SELECT quote, source, last, found, coalesce(conflicts, '') AS conflicts FROM two LEFT JOIN told USING (id)
 """
 
-QUERIES = {"vowel_diffs": Query(vowel_diffs, _VOWEL_DIFFS), "word_diff": Query(word_diff, _WORD_DIFF), "letter_diff": Query(letter_diff, _LETTER_DIFF)}
+def message_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations in Arabic letters: marks on one letter and on one vowel sign, widened to whole letters."""
+    texts = spread(table(spark, d, "conversations").where("text is not null")).select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), arabised(F.col("text")).alias("text"))
+    marks = texts.select("id", F.explode(places(F.col("text"), "[َك]")).alias("m")).select("id", "m.start", "m.end")
+    return G.marked_runs(texts, marks).select("id", F.col("ord").cast("long").alias("ord"), "marked", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
+
+
+_SIGNS = O.VOWELS + O.SHADDA + O.SUKUN
+_MESSAGE_RUNS = f"""
+WITH t AS (SELECT conv_id * 1000 + turn AS id, {arabised_sql('text')} AS text FROM conversations WHERE text IS NOT NULL),
+c AS (SELECT id, regexp_extract_all(text, '(?s).[{_SIGNS}]*') AS c FROM t),
+k AS (SELECT id, k, c[k] AS c, regexp_matches(c[k], '^ك|َ') AS marked, regexp_matches(c[k], '^[كَ]') AS opens, regexp_matches(c[k], '^ك$|َ$') AS closes FROM (SELECT id, c, unnest(range(1, len(c) + 1)) AS k FROM c)),
+b AS (SELECT *, CASE WHEN lag(marked) OVER w = marked AND (NOT marked OR (opens AND lag(closes) OVER w)) THEN 0 ELSE 1 END AS fresh, sum(length(c)) OVER w AS upto FROM k WINDOW w AS (PARTITION BY id ORDER BY k)),
+g AS (SELECT *, sum(fresh) OVER (PARTITION BY id ORDER BY k) AS run FROM b)
+SELECT id, run - 1 AS ord, bool_or(marked) AS marked, CAST(min(upto - length(c)) AS BIGINT) AS start, CAST(max(upto) AS BIGINT) AS "end" FROM g GROUP BY id, run
+"""
+
+
+def messages(spark: SparkSession, d: str) -> DataFrame:
+    """Turns of a conversation, their words as blocks, packed into messages of 150 units."""
+    turns = table(spark, d, "conversations").where("text is not null").select(F.col("conv_id").alias("id"), F.col("turn").alias("grp"), F.posexplode(F.regexp_extract_all("text", F.lit("[^ \n\t]+"), F.lit(0))).alias("ord", "w"))
+    blocks = turns.select("id", "grp", "ord", F.array(F.struct(F.col("w").alias("text"), (F.col("ord") % 5 == 0).alias("marked"))).alias("runs"), F.lit("").alias("wrap"), F.lit("").alias("prefix"))
+    return G.messages(G.packed(blocks, 150)).select("id", F.col("message").cast("long").alias("message"), "html")
+
+
+_MESSAGES = r"""
+WITH RECURSIVE w AS (SELECT conv_id AS id, turn, regexp_extract_all(text, '[^ \n\t]+') AS w FROM conversations WHERE text IS NOT NULL),
+b AS (SELECT id, turn, k, replace(replace(replace(w[k], '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS h FROM (SELECT *, unnest(range(1, len(w) + 1)) AS k FROM w)),
+s AS (SELECT id, turn, k, CASE WHEN (k - 1) % 5 = 0 THEN '<b>' || h || '</b>' ELSE h END AS h FROM b),
+sized AS (SELECT *, length(h) + length(regexp_replace(h, '[^\x{10000}-\x{10FFFF}]', '', 'g')) AS n FROM s),
+rows AS MATERIALIZED (SELECT id, h, n, k = 1 AS opens, CAST(sum(n) OVER g + count(*) OVER g - 1 AS BIGINT) AS whole, row_number() OVER (PARTITION BY id ORDER BY turn, k) AS r FROM sized WINDOW g AS (PARTITION BY id, turn)),
+walk AS (
+    SELECT id, r, n AS used, CAST(0 AS BIGINT) AS message, h AS html FROM rows WHERE r = 1
+    UNION ALL SELECT x.id, x.r, CASE WHEN fresh THEN x.n ELSE used + gap + x.n END, message + CASE WHEN fresh THEN 1 ELSE 0 END, CASE WHEN fresh THEN x.h ELSE repeat(chr(10), gap) || x.h END
+    FROM (SELECT rows.id, rows.r, rows.n, rows.h, used, message, CASE WHEN opens AND whole <= 150 THEN 2 ELSE 1 END AS gap, CASE WHEN opens THEN whole > 150 OR used + 2 + whole > 150 ELSE whole > 150 AND used + 1 + n > 150 END AS fresh FROM walk JOIN rows ON rows.id = walk.id AND rows.r = walk.r + 1) AS x)
+SELECT id, message, string_agg(html, '' ORDER BY r) AS html FROM walk GROUP BY id, message
+"""
+
+QUERIES = {"message_runs": Query(message_runs, _MESSAGE_RUNS), "messages": Query(messages, _MESSAGES), "vowel_diffs": Query(vowel_diffs, _VOWEL_DIFFS), "word_diff": Query(word_diff, _WORD_DIFF), "letter_diff": Query(letter_diff, _LETTER_DIFF)}
