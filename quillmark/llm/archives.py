@@ -10,6 +10,7 @@ are compared by their roots, and only below nodes that differ are children compa
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 import zlib
 from collections.abc import Iterator
@@ -27,8 +28,8 @@ _LENGTH = re.compile(rb"\r\nContent-Length: (\d+)", re.IGNORECASE)
 #: The capture date of pages that have none of their own.
 DATE = "2024-01-01T00:00:00Z"
 
-#: Bytes of a file, about, as written; and those above which a file isn't read, for one task holds it.
-FILE_BYTES, LARGEST_FILE = 16 << 20, 1 << 30
+#: Bytes of a file, about, as written; bytes that are inflated at a time; and those of a record's head at most.
+FILE_BYTES, PIECE, LONGEST_HEAD = 16 << 20, 1 << 16, 1 << 20
 
 
 def record(id_: Column, url: Column, body: Column, date: Column | None = None) -> Column:
@@ -96,52 +97,99 @@ def expected_leaves(pages: DataFrame, id_col: str = "page_id", url_col: str = "u
     return _numbered(rows, "part", F.col("id").asc_nulls_first(), F.col("digest"))
 
 
-def parse(data: bytes) -> Iterator[tuple[str | None, int, int, str]]:
-    """(id, offset, length, digest) of the records of a file; what can't be read as a record is one, without an id."""
-    at = 0
-    while at < len(data):
-        end = data.find(END.encode(), at)
-        size = _LENGTH.search(data, at, end) if end >= 0 and data.startswith(b"WARC/", at) else None
-        to = end + 4 + int(size[1]) if size else len(data)
-        if size is None or not data.startswith(END.encode(), to):
-            yield None, at, len(data) - at, hashlib.sha256(data[at:]).hexdigest()
-            return
-        name = re.search(rb"\r\nWARC-Record-ID: <urn:page:([^>\r]*)>", data[at:end])
-        yield (name[1].decode("utf-8", "replace") or None) if name else None, at, to - at, hashlib.sha256(data[at:to]).hexdigest()
-        at = to + len(END)
+class _Bytes:
+    """A stream of pieces, of which no more than was asked for is held."""
+
+    def __init__(self, pieces: Iterator[bytes]):
+        self.pieces, self.held, self.at = pieces, b"", 0
+
+    def more(self) -> bool:
+        piece = next(self.pieces, None)
+        self.held += piece or b""
+        return piece is not None
+
+    def take(self, n: int | None) -> Iterator[bytes]:
+        """The next ``n`` bytes, or all, piece by piece; fewer at the end."""
+        while (n is None or n > 0) and (self.held or self.more()):
+            part, self.held = (self.held, b"") if n is None else (self.held[:n], self.held[n:])
+            self.at += len(part)
+            n = None if n is None else n - len(part)
+            yield part
+
+    def ahead(self, mark: bytes, most: int) -> int:
+        """Where ``mark`` stands, from here; -1 if it doesn't within ``most`` bytes."""
+        seen = 0
+        while (found := self.held.find(mark, max(0, seen - len(mark)))) < 0:
+            seen = len(self.held)
+            if seen > most or not self.more():
+                return -1
+        return found
+
+
+def parse(pieces: Iterator[bytes]) -> Iterator[tuple[str | None, int, int, str]]:
+    """(id, offset, length, digest) of the records of a file; what can't be read as a record is one, without an id.
+
+    The file comes in pieces and records are hashed as they pass, so a long record or a large file takes no more memory.
+    """
+    data = _Bytes(pieces)
+    while data.held or data.more():
+        at, digest, name = data.at, hashlib.sha256(), None
+        end = data.ahead(END.encode(), LONGEST_HEAD)
+        head = b"".join(data.take(end + len(END) if end >= 0 else 0))
+        size = _LENGTH.search(head, 0, end) if head.startswith(b"WARC/") else None
+        digest.update(head)
+        if size:
+            for part in data.take(int(size[1])):
+                digest.update(part)
+            length = data.at - at
+            close = b"".join(data.take(len(END)))
+            if length == end + 4 + int(size[1]) and close == END.encode():
+                name = re.search(rb"\r\nWARC-Record-ID: <urn:page:([^>\r]*)>", head)
+                yield (name[1].decode("utf-8", "replace") or None) if name else None, at, length, digest.hexdigest()
+                continue
+            digest.update(close)
+        for part in data.take(None):
+            digest.update(part)
+        yield None, at, data.at - at, digest.hexdigest()
+        return
 
 
 def archive_leaves(spark: SparkSession, path: str) -> DataFrame:
-    """The numbered records that stand in WARC files, in the order of the files. A task holds a file, so none may pass LARGEST_FILE."""
+    """The numbered records that stand in WARC files, in the order of the files. A task holds one file as it is stored, which
+    Spark reads up to 2 GB of, and inflates it piece by piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content in zip(batch.column(0), batch.column(1), strict=True):
-                rows = list(parse(unpacked(content.as_buffer().to_pybytes())))
-                columns = [pa.array([name.as_py()] * len(rows), pa.string()), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array([bytes.fromhex(r[3]) for r in rows], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["part", "id", "at", "length", "digest"])
+                for rows in itertools.batched(parse(unpacked(memoryview(content.as_buffer()).cast("B"))), 1 << 14):
+                    columns = [pa.array([name.as_py()] * len(rows), pa.string()), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array([bytes.fromhex(r[3]) for r in rows], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["part", "id", "at", "length", "digest"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
-    largest = files.agg(F.max("length")).first()[0] or 0
-    if largest > LARGEST_FILE:
-        raise ValueError(f"a WARC file of {largest} bytes: files of up to {LARGEST_FILE} are audited")
     rows = materialize(files.select("path", "content").mapInArrow(run, "part string, id string, at long, length long, digest binary"), "archive")
     return _numbered(rows, "part", F.col("at"))
 
 
-def unpacked(data: bytes) -> bytes:
-    """A gzip file of one or more members; of a damaged one what comes before the damage; other files as they are."""
+def unpacked(data: memoryview) -> Iterator[bytes]:
+    """The bytes of a gzip file of one or more members, in pieces; of a damaged one what comes before the damage; other files as they are."""
     if data[:2] != b"\x1f\x8b":
-        return data
-    out = []
-    while data:
-        member = zlib.decompressobj(31)
-        try:
-            out.append(member.decompress(data))
-        except zlib.error:
-            break
-        data = member.unused_data
-    return b"".join(out)
+        for k in range(0, len(data), PIECE):
+            yield bytes(data[k : k + PIECE])
+        return
+    at, member = 0, zlib.decompressobj(31)
+    try:
+        while at < len(data) or member.unconsumed_tail:
+            given = member.unconsumed_tail
+            if not given:
+                given, at = bytes(data[at : at + PIECE]), at + PIECE
+            if out := member.decompress(given, PIECE):
+                yield out
+            if member.eof:
+                at, member = min(at, len(data)) - len(member.unused_data), zlib.decompressobj(31)
+        if out := member.flush():
+            yield out
+    except zlib.error:
+        return
 
 
 def tree(leaves: DataFrame) -> list[DataFrame]:

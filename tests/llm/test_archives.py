@@ -1,6 +1,7 @@
 import glob
 import gzip
 import hashlib
+import tracemalloc
 import os
 import random
 from collections import Counter
@@ -63,7 +64,7 @@ def test_round_trip(archive):
     leaves = sorted(map(tuple, A.archive_leaves(pages.sparkSession, path).select("id", "rank", "offset", "length", F.lower(F.hex("digest"))).collect()), key=lambda r: r[1])
     assert [(r[0] and int(r[0]), *r[1:]) for r in leaves] == expected
     whole = b"".join(open(f, "rb").read() for f in files)
-    assert len(files) > 1 and len(list(A.parse(whole))) == len(ROWS)
+    assert len(files) > 1 and len(list(A.parse(iter([whole])))) == len(ROWS)
     for r in got:  # an offset can be sought
         assert hashlib.sha256(whole[r[2] : r[2] + r[3]]).hexdigest() == r[4]
 
@@ -77,7 +78,7 @@ def rewrite(path, data):
 def test_corruption_is_located(archive):
     pages, path, files = archive
     data = bytearray(open(files[1], "rb").read())
-    bad = list(A.parse(bytes(data)))[4]
+    bad = list(A.parse(iter([bytes(data)])))[4]
     data[bad[1] + bad[2] - 1] ^= 1
     rewrite(files[1], bytes(data))
     rows = A.audit(pages, path).collect()
@@ -87,7 +88,7 @@ def test_corruption_is_located(archive):
 def test_an_unreadable_header_loses_what_follows_in_its_file_alone(archive):
     pages, path, files = archive
     data = open(files[1], "rb").read()
-    records = list(A.parse(data))
+    records = list(A.parse(iter([data])))
     rewrite(files[1], data[: records[-2][1]] + b"X" + data[records[-2][1] + 1 :])
     bad = sorted((str(r.page_id), r.state) for r in A.audit(pages, path).collect() if r.state != "intact")
     assert bad == sorted([("None", "extra"), (records[-2][0], "missing"), (records[-1][0], "missing")])
@@ -143,8 +144,11 @@ def test_empty(spark, tmp_path):
 
 
 def test_damaged_files():
-    assert A.unpacked(gzip.compress(b"a") + gzip.compress(b"b")) == b"ab" and A.unpacked(b"WARC") == b"WARC"
-    assert list(A.parse(b"rubbish")) == [(None, 0, 7, hashlib.sha256(b"rubbish").hexdigest())]
+    read = lambda data: b"".join(A.unpacked(memoryview(data)))
+    assert read(gzip.compress(b"a") + gzip.compress(b"b")) == b"ab" and read(b"WARC") == b"WARC" and read(b"") == b""
+    long = bytes(range(256)) * 4000
+    assert read(gzip.compress(long) + gzip.compress(long)) == long * 2 and read(gzip.compress(long)[:-900] + b"x" * 50).startswith(long[:1000])
+    assert list(A.parse(iter([b"rubbish"]))) == [(None, 0, 7, hashlib.sha256(b"rubbish").hexdigest())]
 
 
 def test_query_equals_its_sql(spark):
@@ -155,3 +159,27 @@ def test_query_equals_its_sql(spark):
     from quillmark.llm import queries
 
     assert oracle.same(spark, queries.op6_merkle_audit, queries.oracle_sql()["op6_merkle_audit"], "/root/testdata/sf0.001") > 40
+
+
+def test_records_come_in_pieces():
+    """However the bytes are cut, records are the same, and a file that unpacks to much takes little."""
+    def one(k, n):
+        body = bytes([65 + k % 26]) * n
+        return b"WARC/1.1\r\nWARC-Record-ID: <urn:page:%d>\r\nContent-Length: %d\r\n\r\n" % (k, n) + body
+
+    records = [one(k, n) for k, n in enumerate([0, 5, 70_000, 3, 200_000])]
+    data = b"".join(r + b"\r\n\r\n" for r in records)
+    at, want = 0, []
+    for k, r in enumerate(records):
+        want.append((str(k), at, len(r), hashlib.sha256(r).hexdigest()))
+        at += len(r) + 4
+    for step in (1_000, 4097, len(data)):
+        assert list(A.parse(data[k : k + step] for k in range(0, len(data), step))) == want
+    short = data[:-100]
+    assert list(A.parse(iter([short])))[-1] == (None, want[4][1], len(short) - want[4][1], hashlib.sha256(short[want[4][1] :]).hexdigest())
+    packed = gzip.compress(data * 200)
+    tracemalloc.start()
+    count = sum(1 for _ in A.parse(A.unpacked(memoryview(packed))))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert count == 1000 and peak < 4 << 20
