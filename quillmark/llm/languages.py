@@ -25,9 +25,6 @@ UNKNOWN = "und"
 #: At most so many labelled rows are fitted, equally many of each language, and so many windows of each row.
 SAMPLE_ROWS, SAMPLE_WINDOWS = 8000, 3
 
-#: Languages that a network tells apart, at most: those of the most labelled rows.
-MAX_LANGUAGES = 500
-
 _LETTER = regex.compile(r"\p{L}").search
 
 
@@ -124,15 +121,19 @@ def cut_windows(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def labelled_sample(docs: DataFrame, rows: int = SAMPLE_ROWS, windows: int = SAMPLE_WINDOWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], list[tuple[str, str]]]:
-    """The labels, and (label, piece of text) of at most ``rows`` rows, chosen by a hash of their ids."""
+    """The labels, and (label, piece of text) of at most ``rows`` rows, chosen by a hash of their ids: as many of each label.
+
+    Every label has a row, unless there are more labels than ``rows``; then those of the most rows do.
+    """
     labelled = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang is not null and text is not null")
-    counts = {r.lang: r["count"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
+    counts = {r.lang: r["count"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(rows).collect()}
     if not counts:
         return [], []
     each = max(1, rows // len(counts))
     chosen, pick = F.xxhash64("id", F.lit("sample")), F.pmod(F.xxhash64("id", F.lit("share")), F.lit(1 << 30))
-    share = F.element_at(F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, int(min(1.0, 1.5 * each / n) * (1 << 30))))), F.col("lang"))
-    few = labelled.where(pick < share).withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(chosen, "id", "text"))).where(F.col("rank") <= each)
+    shares = docs.sparkSession.createDataFrame([(lang, int(min(1.0, 1.5 * each / n) * (1 << 30))) for lang, n in counts.items()], f"lang {labelled.schema['lang'].dataType.simpleString()}, share long")
+    some = labelled.join(F.broadcast(shares), "lang").where(pick < F.col("share"))  # as many rows as labels, ``rows`` at most
+    few = some.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(chosen, "id", "text"))).where(F.col("rank") <= each)
     pieces = [F.substring("text", F.lit(1) + F.pmod(F.xxhash64("id", F.lit(k)), F.greatest(F.lit(1), F.length("text") - WINDOW + 1)).cast("int"), WINDOW) for k in range(windows)]
     found = few.select("lang", F.explode(F.array(*pieces)).alias("piece")).collect()
     return sorted(counts), sorted((r.lang, r.piece) for r in found)
