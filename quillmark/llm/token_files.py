@@ -70,9 +70,10 @@ def file_digests(spark: SparkSession, path: str, id_col: str = "doc_id") -> Data
             sums = [zlib.crc32(flat[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.diff(ends).astype(np.int64)), pa.array(sums, pa.int64())], names=["file", "row", "id", "n_tokens", "ids_crc32"])
 
-    # A number for each file: the part number in its name, which follows the id ranges.
-    file = F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("int")
-    rows = files.select(file.alias("file"), F.col("_metadata.row_index").alias("row"), F.col(id_col).alias("id"), "ids").mapInArrow(check, f"file int, row long, id {kind}, n_tokens long, ids_crc32 long")
+    # A number for each file: that of its part, which follows the id ranges, and its own among the files of a part.
+    number = lambda pattern: F.regexp_extract(F.col("_metadata.file_name"), pattern, 1).cast("long")
+    file = number(r"part-(\d+)") * (1 << 31) + number(r"-c(\d+)\.")
+    rows = files.select(file.alias("file"), F.col("_metadata.row_index").alias("row"), F.col(id_col).alias("id"), "ids").mapInArrow(check, f"file long, row long, id {kind}, n_tokens long, ids_crc32 long")
     counted = files.select(file.alias("file"), "n_tokens").groupBy("file").agg(F.sum("n_tokens").alias("tokens"))
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # over one row per file
     files_before = counted.select("file", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("files_before"))

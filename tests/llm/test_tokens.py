@@ -97,6 +97,17 @@ def test_starts_follow_the_files_where_ids_repeat(spark, tmp_path):
         assert zlib.crc32(np.array(stands[r.start : r.start + r.n_tokens], "<u4").tobytes()) == r.ids_crc32
         assert stands[r.start + r.n_tokens - 1] == 0 and 0 not in stands[r.start : r.start + r.n_tokens - 1]
 
+def test_starts_where_a_task_writes_several_files(spark, tmp_path):
+    path = f"file://{tmp_path}/ids"
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", "3")
+    try:
+        write_token_files(spark.createDataFrame([(k, "x " * (k + 1)) for k in range(10)], "doc_id long, text string"), path, JSON)
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    rows = sorted(file_digests(spark, path).collect(), key=lambda r: r.doc_id)
+    assert [r.start for r in rows] == [sum(r.n_tokens for r in rows[:k]) for k in range(10)]
+
+
 def test_chunks_are_told_apart_by_their_bytes(monkeypatch):
     monkeypatch.setattr(tokens, "mixed_keys", lambda data, starts, ends: np.full(len(starts), 5 << 40, np.uint64))  # all hashes collide
     encoder = tokens.Encoder(JSON)
