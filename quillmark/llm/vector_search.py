@@ -349,25 +349,28 @@ def _crowded(vectors: DataFrame, cells: Cells, most: int) -> tuple[np.ndarray, n
 
 
 def _distinct(prepared: DataFrame, keep: int | None) -> tuple[DataFrame, DataFrame]:
-    """A row (id, norm, v) for each distinct vector, under its least id, and (rep, id) of the ids of each.
+    """A row (id, norm, v) for each distinct vector, and (rep, id, x, y) of the rows that have it: ``rep`` is the vector's number.
 
-    Of an id with several vectors the one of the least hash counts. ``keep``: so many ids of a vector are enough.
+    Numbers follow the least ids of the vectors, so that of two the one with the smaller id has the smaller number. Rows are
+    told apart by place, so an id may have several vectors and a row may repeat. ``keep``: so many rows of a vector are enough.
     """
-    named = prepared.groupBy("id").agg(F.min(F.struct("x", "y")).alias("h")).select("id", "h.x", "h.y")
-    least = named.groupBy("x", "y").agg(F.min("id").alias("rep"))
+    own = prepared.groupBy("x", "y").agg(F.min("id").alias("least"), F.any_value("norm").alias("norm"), F.any_value("v").alias("v"))
+    ordered = materialize(own, "distinct").repartitionByRange("least", "x", "y").sortWithinPartitions("least", "x", "y")
+    vectors = materialize(ordered.withColumn("id", F.monotonically_increasing_id()), "vectors")
+    rows = prepared.select("x", "y", "id")
     if keep is not None:
-        named = named.withColumn("n", F.row_number().over(Window.partitionBy("x", "y").orderBy("id"))).where(F.col("n") <= keep)
-    members = materialize(named.join(least, ["x", "y"]).select("rep", "id", "x", "y"), "members")
-    chosen = members.where("rep = id").select("id", "x", "y")
-    return materialize(prepared.join(chosen, ["id", "x", "y"]).select("id", "norm", "v").dropDuplicates(["id"]), "vectors"), members.select("rep", "id")
+        rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("x", "y").orderBy("id"))).where(F.col("n") <= keep)
+    members = materialize(rows.join(vectors.select("x", "y", F.col("id").alias("rep")), ["x", "y"]).select("rep", "id", "x", "y"), "members")
+    return vectors.select("id", "norm", "v"), members
 
 
 def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, plan: Plan | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """For each row of ``queries`` its ``k`` nearest of ``rows`` other than the row of its own id: query_id, rank, vec_id, score.
+    """For each row of ``queries`` its ``k`` nearest of ``rows`` other than itself, a row of its id and vector: query_id, rank, vec_id, score.
 
     Score: the inner product of the original vectors in double precision; ties go to the smaller id; all candidates, if
     there are fewer than ``k``. Vectors that are null, zero, hold null or non-finite components or have another dimension
-    than most take no part; nor do null ids. An id that repeats with other vectors counts once. An empty table on either
+    than most take no part; nor do null ids. Rows count as they stand, where an id repeats with the same vector or others too,
+    and so do queries. An empty table on either
     side gives an empty one; other columns play no part.
 
     Equal vectors are one candidate, whose least ids stand for it, and one query, so a vector that a third of all rows
@@ -393,9 +396,9 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, plan: Plan | None
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
 
     def answered(found: DataFrame) -> DataFrame:
-        """The k + 1 nearest of each distinct query, for it may be among them itself; equal vectors as their ids."""
+        """The k + 1 nearest rows of each distinct query, for it may be among them itself."""
         top = found.withColumn("n", F.dense_rank().over(best)).where(F.col("n") <= k + 1).select("query_id", "vec_id", "score").distinct()  # tables may find the same
-        spelt = top.join(members.select(F.col("rep").alias("vec_id"), "id"), "vec_id").select("query_id", F.col("id").alias("vec_id"), "score")
+        spelt = top.join(members.select(F.col("rep").alias("vec_id"), "id"), "vec_id").select("query_id", F.col("id").alias("vec_id"), "score", F.col("vec_id").alias("rep"))
         return materialize(spelt.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1), "nearest")
 
     found = answered(_meet(vectors, asked, cells, max(plan.blocks, -(-n * plan.tables // most)), _crowded(vectors, cells, most), k + 1))
@@ -405,6 +408,9 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, plan: Plan | None
         blocks = max(1, -(-n // plan.block))
         again = answered(_meet(vectors, lacking, Everywhere(), blocks, (np.zeros(1, np.int64), np.array([blocks], np.int64)), k + 1))
         found = found.join(again.select("query_id").distinct(), "query_id", "left_anti").unionByName(again)
-    lists = found.groupBy(F.col("query_id").alias("rep")).agg(F.array_sort(F.collect_list(F.struct("n", "vec_id", "score"))).alias("all"))
-    own = askers.join(lists, "rep").select(F.col("id").alias("query_id"), F.slice(F.filter("all", lambda x: x["vec_id"] != F.col("id")), 1, k).alias("all"))
+    lists = found.groupBy(F.col("query_id").alias("rep")).agg(F.array_sort(F.collect_list(F.struct("n", "vec_id", "score", F.col("rep").alias("node")))).alias("all"))
+    numbers = members.select("x", "y", F.col("rep").alias("node")).distinct()
+    asking = askers.join(numbers, ["x", "y"], "left").join(lists, "rep")
+    itself = F.array_position(F.transform("all", lambda x: (x["vec_id"] == F.col("id")) & F.coalesce(x["node"] == F.col("node"), F.lit(False))), True)
+    own = asking.select(F.col("id").alias("query_id"), "all", itself.alias("itself")).select("query_id", F.slice(F.filter("all", lambda x, i: i + 1 != F.col("itself")), 1, k).alias("all"))
     return own.select("query_id", F.posexplode("all").alias("at", "x")).select("query_id", (F.col("at") + 1).alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score"))

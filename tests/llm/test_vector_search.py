@@ -63,7 +63,7 @@ def test_edges(spark, rows):
     table = spark.createDataFrame([(i, v, "", 1) for i, v in rows], SCHEMA)
     assert nearest(table.limit(0), table.limit(0)).collect() == []
     few = spark.createDataFrame([(0, [1.0, 0.0], "", 1), (20, [0.5, 0.5], "", 1), (20, [0.5, 0.5], "", 1)], SCHEMA)
-    assert sorted(map(tuple, nearest(few, few.where(F.col("vec_id") % 20 == 0)).collect())) == [(0, 1, 20, 0.5), (20, 1, 0, 0.5)]
+    assert sorted(map(tuple, nearest(few, few.where(F.col("vec_id") % 20 == 0)).collect())) == [(0, 1, 20, 0.5), (0, 2, 20, 0.5), *[(20, 1, 0, 0.5)] * 2, *[(20, 2, 20, 0.5)] * 2]  # the repeated row is a query and a candidate of its own
 
 
 def recall(got, rows, queries, k=20):
@@ -122,3 +122,16 @@ def test_extreme_norms(spark):
     table = spark.createDataFrame([(i, v, "", 1) for i, v in rows], SCHEMA)
     got = {(r.query_id, r.rank): r.vec_id for r in nearest(table, table.where("vec_id % 20 = 0")).collect()}
     assert got == {(0, 1): 1, (0, 2): 20, (20, 1): 0, (20, 2): 1}
+
+
+def test_rows_count_as_they_stand(spark):
+    """Repeated ids and rows: only the query's own row is left out."""
+    rows = [(20, [1.0, 0.0]), (1, [0.9, 0.1]), (1, [0.5, 0.5]), (3, [0.8, 0.3]), (3, [0.8, 0.3]), (40, [0.2, 1.0]), (40, [0.2, 1.0]), (40, [1.0, 0.2]), (7, [0.9, 0.1])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, V.nearest(table, table.where("vec_id % 20 = 0"), k=20).collect()))
+    want = []
+    for at, (q, v) in enumerate(rows):
+        if q % 20 == 0:
+            near = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for k, (i, w) in enumerate(rows) if k != at)
+            want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(near)]
+    assert [x[:3] for x in got] == [x[:3] for x in sorted(want)] and len(got) == 4 * 8
