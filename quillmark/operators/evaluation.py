@@ -34,29 +34,38 @@ def nearest_rank(values: Column, q: float) -> Column:
     return F.element_at(v, F.least(F.size(v), F.floor(F.size(v) * q).cast("int") + 1))
 
 
-#: Equal widths into which the values of a quantile are counted.
-BUCKETS = 10_000
+#: Parts into which a round cuts the values that are left, and distinct values that one task sorts at last.
+PARTS, SORTED = 256, 1_000_000
 
 
-def quantile_table(rows: DataFrame, value: str, qs: tuple[float, ...]) -> DataFrame:
-    """(q, value) at the same places over any number of rows, of a number.
+def quantile_table(rows: DataFrame, value: str, qs: tuple[float, ...], most: int = SORTED) -> DataFrame:
+    """(q, value) at the same places over any number of rows, of a number; no rows without a value.
 
-    Values are counted in BUCKETS equal widths; only the buckets that hold a place asked for are looked into, so nothing but
-    a row for each bucket is in one task.
+    Selection in rounds: the distinct values around a rank are cut at their own quantiles, so that parts hold equally many
+    of them however the values are spread, and the part that holds the rank is what is left. At ``most`` values it is sorted.
     """
-    counts = rows.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("n"))
-    ends = counts.agg(F.min(value).cast("double").alias("lo"), F.max(value).cast("double").alias("hi"))
-    width = F.when(F.col("hi") > F.col("lo"), (F.col(value) - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(0.0)
-    bucketed = counts.crossJoin(F.broadcast(ends)).select(value, "n", F.least(F.floor(width * BUCKETS), F.lit(BUCKETS - 1)).cast("int").alias("bucket"))
-    upto = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # over BUCKETS rows at most
-    held = bucketed.groupBy("bucket").agg(F.sum("n").alias("held")).select("bucket", "held", (F.sum("held").over(upto) - F.col("held")).alias("before"))
-    total = counts.agg(F.sum("n").alias("total"))
-    asked = counts.sparkSession.createDataFrame([(float(q),) for q in qs], "q double")
-    place = asked.crossJoin(F.broadcast(total)).select("q", F.least(F.col("total") - 1, F.floor(F.col("q") * F.col("total"))).alias("place"))
-    wanted = held.join(F.broadcast(place), (F.col("before") <= F.col("place")) & (F.col("place") < F.col("before") + F.col("held")))
-    inside = Window.partitionBy("q").orderBy(value)
-    found = bucketed.join(F.broadcast(wanted), "bucket").withColumn("upto", F.col("before") + F.sum("n").over(inside))
-    return found.where(F.col("upto") > F.col("place")).groupBy("q").agg(F.min(value).alias("value"))
+    spark, kind = rows.sparkSession, rows.schema[value].dataType.simpleString()
+    counts = rows.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("n"))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    found = spark.createDataFrame([], f"q double, value {kind}")
+    for q in qs if total else ():
+        place, low, high, before = min(total - 1, int(total * q)), None, None, 0
+        while True:
+            left = counts if low is None else counts.where(F.col("v") > low)
+            left = left if high is None else left.where(F.col("v") <= high)
+            if left.limit(most + 1).count() <= most:
+                break
+            cuts = sorted(set(left.agg(F.percentile_approx("v", [k / PARTS for k in range(1, PARTS)], 10_000)).first()[0]))
+            part = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("v")))  # number of the first cut at or above a value
+            held = {r.part: r.n for r in left.groupBy(part.alias("part")).agg(F.sum("n").alias("n")).collect()}  # PARTS rows
+            for k in sorted(held):
+                if before + held[k] > place:
+                    break
+                before += held[k]
+            low, high = cuts[k - 1] if k else low, cuts[k] if k < len(cuts) else high
+        upto = F.lit(before) + F.sum("n").over(Window.orderBy("v"))  # over ``most`` rows at most
+        found = found.unionByName(left.withColumn("upto", upto).where(F.col("upto") > place).agg(F.lit(float(q)).alias("q"), F.min("v").alias("value")))
+    return found
 
 
 def macro_f1(rows: DataFrame, by: str) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import time
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -149,21 +152,53 @@ def fixture(rows: DataFrame, by: str, order: str, most: int, pinned: list[int])
     return rows.withColumn("k", F.row_number().over(Window.partitionBy(by).orderBy(order))).where((F.col("k") <= most) | F.col(order).isin(pinned)).drop("k")
 
 
-def save_index(tables: dict[str, DataFrame], path: str, digest: str) -> None:
-    """Index tables as Parquet, and last a row that names the corpus and the version they were made from."""
-    for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{path}/{name}")
-    spark = next(iter(tables.values())).sparkSession
-    spark.createDataFrame([(digest, VERSION)], "digest string, version int").coalesce(1).write.mode("overwrite").parquet(f"{path}/_meta")
+#: The pointer of an index folder: the name of the version that readers open.
+CURRENT = "current"
+
+
+def _at(spark: SparkSession, path: str):
+    """The file system of a path, and the path."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def _pointed(spark: SparkSession, path: str) -> str | None:
+    fs, target = _at(spark, f"{path}/{CURRENT}")
+    return spark.read.text(f"{path}/{CURRENT}").first()[0] if fs.exists(target) else None
+
+
+def save_index(tables: dict[str, DataFrame], path: str, digest: str, keep: int = 2) -> str:
+    """Publishes index tables as a new version and returns its name.
+
+    A version is a folder of its own, with a row that names the corpus and the format. Only when all of it is written is the
+    pointer replaced, by one rename, so a writer that dies leaves readers on the version before, and readers never see half.
+    Of older versions the ``keep`` - 1 last ones stay for readers that have them open; what a dead writer left goes too.
+    """
+    spark, name = next(iter(tables.values())).sparkSession, f"v{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+    for table, df in tables.items():
+        df.write.parquet(f"{path}/{name}/{table}")
+    spark.createDataFrame([(digest, VERSION)], "digest string, version int").coalesce(1).write.parquet(f"{path}/{name}/_meta")
+    fs, fresh = _at(spark, f"{path}/{CURRENT}-{name}")
+    out = fs.create(fresh, True)
+    out.write(bytearray(name.encode()))
+    out.close()
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    overwrite = spark._sc._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    overwrite[0] = hadoop.Options.Rename.OVERWRITE
+    hadoop.FileContext.getFileContext(fresh.toUri(), spark._jsc.hadoopConfiguration()).rename(fresh, hadoop.Path(f"{path}/{CURRENT}"), overwrite)
+    versions = sorted(s.getPath().getName() for s in fs.listStatus(hadoop.Path(path)) if s.isDirectory() and s.getPath().getName().startswith("v"))
+    for old in [v for v in versions if v < name][: -(keep - 1) or None]:
+        fs.delete(hadoop.Path(f"{path}/{old}"), True)
+    return name
 
 
 def load_index(spark: SparkSession, path: str, names: list[str], digest: str) -> dict[str, DataFrame] | None:
-    """The tables; None if they were made from another corpus or by another version, or aren't there."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_meta")
-    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+    """The tables of the current version; None if they were made from another corpus or in another format, or aren't there."""
+    version = _pointed(spark, path)
+    if version is None:
         return None
-    meta = spark.read.parquet(f"{path}/_meta").first()
-    return {n: spark.read.parquet(f"{path}/{n}") for n in names} if (meta.digest, meta.version) == (digest, VERSION) else None
+    meta = spark.read.parquet(f"{path}/{version}/_meta").first()
+    return {n: spark.read.parquet(f"{path}/{version}/{n}") for n in names} if (meta.digest, meta.version) == (digest, VERSION) else None
 
 
 def sources_markdown(sources: DataFrame) -> DataFrame:

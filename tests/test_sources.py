@@ -2,7 +2,7 @@ import zipfile
 
 import pytest
 from pyspark.sql import functions as F
-from quillmark.operators import diffs, evaluation
+from quillmark.operators import diffs, evaluation, intervals
 from quillmark.operators.index import streams
 from quillmark.sources import corpus as S
 from quillmark.streaming import checks
@@ -53,6 +53,31 @@ def test_pins_and_index(spark, tmp_path):
     assert S.load_index(spark, f"{tmp_path}/i", ["stream"], "d2") is None and S.load_index(spark, f"{tmp_path}/none", [], "d1") is None
 
 
+def test_an_index_is_published_whole_or_not_at_all(spark, tmp_path):
+    path, table = f"{tmp_path}/i", lambda x: {"stream": spark.createDataFrame([(1, x)], "id long, text string")}
+    read = lambda digest: S.load_index(spark, path, ["stream"], digest)["stream"].first().text
+    S.save_index(table("one"), path, "d1")
+    opened = S.load_index(spark, path, ["stream"], "d1")["stream"]
+
+    class Dies(Exception):
+        pass
+
+    def broken():
+        raise Dies
+
+    bad = table("two")
+    bad["late"] = type("Late", (), {"write": property(lambda self: broken()), "sparkSession": spark})()
+    with pytest.raises(Dies):
+        S.save_index(bad, path, "d2")
+    assert read("d1") == "one" and S.load_index(spark, path, ["stream"], "d2") is None  # a writer died: readers stay where they were
+    S.save_index(table("three"), path, "d3")
+    assert read("d3") == "three"
+    S.save_index(table("four"), path, "d4")
+    assert read("d4") == "four" and len([x for x in (tmp_path / "i").iterdir() if x.is_dir()]) == 2
+    S.save_index(table("five"), path, "d5", keep=3)
+    assert read("d5") == "five" and opened is not None
+
+
 def test_receipts_and_judging(spark):
     t = spark.createDataFrame([("é" * 500,), (None,)], "p string").select("p", diffs.receipt_token("p").alias("t")).select("p", diffs.receipt_payload("t").alias("r"), F.length("t").alias("n")).collect()
     assert t[0].r == t[0].p and t[0].n < 100 and t[1].r is None
@@ -67,9 +92,22 @@ def test_streams(spark, tmp_path):
     q = checks.check_stream(spark.readStream.schema("id long, text string").parquet(f"{tmp_path}/in"), records, f"{tmp_path}/out", f"{tmp_path}/cp", "id")
     q.awaitTermination()
     assert [(r.text, r.id, r.n) for r in spark.read.parquet(f"{tmp_path}/out").collect()] == [(1, 9, 6)]
-    spark.createDataFrame([(1, t, t) for t in range(5)], "key long, at long, request long").coalesce(1).write.parquet(f"{tmp_path}/req")
-    s = checks.rate_limited_stream(spark.readStream.schema("key long, at long, request long").parquet(f"{tmp_path}/req"), most=2, seconds=3)
-    q = s.writeStream.format("memory").queryName("limited").outputMode("append").start()
-    q.processAllAvailable()
-    q.stop()
-    assert [r.allowed for r in spark.sql("select * from limited order by at").collect()] == [True, True, False, True, True]
+    rows = [(k, 1000 + t, n) for n, (k, t) in enumerate([(1, 0), (1, 1), (1, 2), (1, 3), (1, 4), (2, 1), (3, 100), (1, 101), (3, 102), (3, 102), (3, 102), (4, 300)])]
+    for batch in ([r for r in rows if r[1] < 1050], [r for r in rows if 1050 <= r[1] < 1200], [r for r in rows if r[1] >= 1200]):
+        spark.createDataFrame(batch, "key long, at long, request long").coalesce(1).write.mode("append").parquet(f"{tmp_path}/req")
+        s = checks.rate_limited_stream(spark.readStream.schema("key long, at long, request long").parquet(f"{tmp_path}/req"), most=2, seconds=3)
+        q = s.writeStream.format("parquet").option("path", f"{tmp_path}/limited").option("checkpointLocation", f"{tmp_path}/limits").outputMode("append").trigger(availableNow=True).start()
+        q.awaitTermination()
+        kept = sum(o["numRowsTotal"] for o in q.lastProgress["stateOperators"])
+    assert kept == 1  # only the key of the last batch; the others' windows have passed
+    want = intervals.rate_limited(spark.createDataFrame(rows, "key long, at long, request long"), most=2, seconds=3)
+    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/limited").collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_exact_ranks_on_heavy_tails(spark, monkeypatch):
+    values = [float(k % 997) / 1000 for k in range(4000)] + [1e12, -1e9]
+    rows = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double")
+    for most in (1_000_000, 50, 5):
+        got = {r.q: r.value for r in evaluation.quantile_table(rows, "v", (0.0, 0.5, 0.95, 1.0), most).collect()}
+        assert got == {q: sorted(values)[min(len(values) - 1, int(len(values) * q))] for q in (0.0, 0.5, 0.95, 1.0)}
+    assert evaluation.quantile_table(rows.where("v is null"), "v", (0.5,)).collect() == []
