@@ -101,17 +101,6 @@ def apply_claims(decisions: DataFrame, claims: DataFrame) -> DataFrame:
     return rows.select("q", "status", "score", "message", "scope", "reason", F.when(notice.isNotNull(), F.concat("notices", F.array(notice))).otherwise(F.col("notices")).alias("notices"), F.coalesce(verse | book, F.lit(False)).alias("mismatch"))
 
 
-def gate(decisions: DataFrame, flags: DataFrame) -> DataFrame:
-    """found becomes needs_review where foreign matter, contradicting vowels or an image as the source stand against it.
-
-    ``flags``: (q, foreign, conflict, image); the first that holds gives the reason.
-    """
-    f = decisions.join(flags, "q", "left").fillna(False, ["foreign", "conflict", "image"])
-    why = F.when(F.col("foreign"), "foreign_text").when(F.col("conflict"), "harakat_conflict").when(F.col("image"), "image_source")
-    hit = (F.col("status") == "found") & why.isNotNull()
-    return f.select("q", F.when(hit, "needs_review").otherwise(F.col("status")).alias("status"), "score", "scope", F.when(hit, why).otherwise(F.col("reason")).alias("reason"))
-
-
 def tier(corpus: Column, book: Column) -> Column:
     return F.when(corpus == "quran", "quran").when(corpus == "encyclopedia", "encyclopedia").when(book.isin(*SAHIHAIN), "sahihain").otherwise("other_nine")
 

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions import orthography as O
 from ..operators import alignment as A
+from ..operators import extraction as E
 from ..operators import messages as G
+from ..operators import validation as P
 from ..operators.extraction import places
 from .common import Query, spread, table
 
@@ -233,4 +235,155 @@ walk AS (
 SELECT id, message, string_agg(html, '' ORDER BY r) AS html FROM walk GROUP BY id, message
 """
 
-QUERIES = {"message_runs": Query(message_runs, _MESSAGE_RUNS), "messages": Query(messages, _MESSAGES), "vowel_diffs": Query(vowel_diffs, _VOWEL_DIFFS), "word_diff": Query(word_diff, _WORD_DIFF), "letter_diff": Query(letter_diff, _LETTER_DIFF)}
+def _turns(spark: SparkSession, d: str) -> DataFrame:
+    """(id, text): conversations in Arabic letters."""
+    t = spread(table(spark, d, "conversations").where("text is not null"))
+    return t.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), arabised(F.col("text")).alias("text"))
+
+
+_TURNS = f"turns AS (SELECT conv_id * 1000 + turn AS id, {arabised_sql('text')} AS text FROM conversations WHERE text IS NOT NULL)"
+_TOKEN = f"'[{_BASES}](?:[{_SIGNS}]*[{_BASES}])*'"
+
+
+def _form_sql(x: str, pair: tuple[str, str]) -> str:
+    return f"translate(regexp_replace({x}, '[{_SIGNS}]', '', 'g'), '{pair[0]}', '{pair[1]}')"
+
+
+def ar_fold(spark: SparkSession, d: str) -> DataFrame:
+    """Both tiers of conversations in Arabic letters."""
+    t = _turns(spark, d)
+    return t.select("id", O.joined(O.loose_tokens(F.col("text"))).alias("loose"), O.joined(O.strict_tokens(F.col("text"))).alias("strict"))
+
+
+_AR_FOLD = f"WITH {_TURNS}, w AS (SELECT id, regexp_extract_all(text, {_TOKEN}) AS w FROM turns) SELECT id, array_to_string([{_form_sql('x', O.LOOSE)} FOR x IN w], ' ') AS loose, array_to_string([{_form_sql('x', O.STRICT)} FOR x IN w], ' ') AS strict FROM w"
+
+#: Letters and signs above or below them that make other letters.
+_PARTS = ("aoiyeuxbcdfghjklmnpqrstvwz", "اويىٕٔٓبجدفغهزكلمنةقرستحشع")
+
+
+def ar_compose(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations in letters that are composed with the signs after them."""
+    t = spread(table(spark, d, "conversations").where("text is not null")).select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.translate(F.lower("text"), *_PARTS).alias("text"))
+    return t.select("id", O.joined(O.loose_tokens(F.col("text"))).alias("loose"), O.joined(O.strict_tokens(F.col("text"))).alias("strict"))
+
+
+def _composed_sql(x: str) -> str:
+    for pair, letter in O.COMPOSED:
+        x = f"replace({x}, '{pair}', '{letter}')"
+    return x
+
+
+_HAMZAS = "ٕٔٓ"
+_COMPOSED_LETTERS = "".join(c for c in _PARTS[1] if c not in _HAMZAS) + "".join(b for _, b in O.COMPOSED)
+_AR_COMPOSE = f"""
+WITH t AS (SELECT conv_id * 1000 + turn AS id, {_composed_sql(f"translate(lower(text), '{_PARTS[0]}', '{_PARTS[1]}')")} AS text FROM conversations WHERE text IS NOT NULL),
+w AS (SELECT id, [regexp_replace(x, '[{_HAMZAS}]', '', 'g') FOR x IN regexp_extract_all(text, '[{_COMPOSED_LETTERS}](?:[{_HAMZAS}]*[{_COMPOSED_LETTERS}])*')] AS w FROM t)
+SELECT id, array_to_string([translate(x, '{O.LOOSE[0]}', '{O.LOOSE[1]}') FOR x IN w], ' ') AS loose, array_to_string([translate(x, '{O.STRICT[0]}', '{O.STRICT[1]}') FOR x IN w], ' ') AS strict FROM w
+"""
+
+
+def ar_spans(spark: SparkSession, d: str) -> DataFrame:
+    t = _turns(spark, d).select("id", F.posexplode(O.tokens(F.col("text"))).alias("pos", "t"))
+    return t.select("id", F.col("pos").cast("long").alias("pos"), F.col("t.loose").alias("loose"), F.col("t.start").cast("long").alias("start"), F.col("t.end").cast("long").alias("end"))
+
+
+_AR_SPANS = f"""
+WITH {_TURNS}, m AS (SELECT id, regexp_extract_all(text, {_TOKEN}) AS m, regexp_split_to_array(text, {_TOKEN}) AS g FROM turns),
+k AS (SELECT id, k, m[k] AS w, length(g[k]) AS gap FROM (SELECT *, unnest(range(1, len(m) + 1)) AS k FROM m)),
+p AS (SELECT *, CAST(sum(gap + length(w)) OVER (PARTITION BY id ORDER BY k) AS BIGINT) AS upto FROM k)
+SELECT id, k - 1 AS pos, {_form_sql('w', O.LOOSE)} AS loose, upto - length(w) AS start, upto AS "end" FROM p
+"""
+
+
+def ar_bare_class(spark: SparkSession, d: str) -> DataFrame:
+    """Words of documents against themselves with some forms of letters changed."""
+    words = spread(table(spark, d, "documents").where("text is not null").select("text")).select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("w")).distinct()
+    other = F.when(F.length("w") % 3 == 0, F.translate("w", "gvwh", "qhiv")).when(F.length("w") % 3 == 1, F.translate("w", "pyq", "oig")).otherwise(F.translate("w", "bd", "db"))
+    rows = words.select(O.strict_form(arabised(F.col("w"))).alias("written"), O.strict_form(arabised(other)).alias("corpus")).distinct()
+    return rows.select("written", "corpus", O.classify(F.col("written"), F.col("corpus")).alias("class"))
+
+
+_AR_CLASS = f"""
+WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents WHERE text IS NOT NULL),
+p AS (SELECT DISTINCT {_form_sql(arabised_sql('w'), O.STRICT)} AS written, {_form_sql(arabised_sql("CASE length(w) % 3 WHEN 0 THEN translate(w, 'gvwh', 'qhiv') WHEN 1 THEN translate(w, 'pyq', 'oig') ELSE translate(w, 'bd', 'db') END"), O.STRICT)} AS corpus FROM w)
+SELECT written, corpus, CASE WHEN written = corpus THEN 'equal' WHEN translate(written, '{O.BARE[0]}', '{O.BARE[1]}') <> translate(corpus, '{O.BARE[0]}', '{O.BARE[1]}') THEN 'other'
+    WHEN len([k FOR k IN range(1, length(written) + 1) IF written[k] <> corpus[k] AND contains('{O.MARKED}', written[k])]) > 0 THEN 'swap' ELSE 'completion' END AS class FROM p
+"""
+
+
+def foreign_runs(spark: SparkSession, d: str) -> DataFrame:
+    """What is foreign in conversations whose small letters alone are Arabic."""
+    t = spread(table(spark, d, "conversations").where("text is not null")).select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.translate("text", LATIN, ARABIC).alias("text"))
+    runs = E.foreign_runs(F.col("text"))
+    return t.select("id", F.array_join(F.transform(runs, lambda r: F.concat_ws("-", r["start"].cast("string"), r["end"].cast("string"))), ",").alias("runs"))
+
+
+_FOREIGN_RUN = "[^\\p{Mn}\\p{Me}\\p{Cf}\\s.,،؛;:!?؟*_`>#\\-–—…\"''“”«»﴾﴿()\\[\\]{}/\\\\|~^+=<·•ﷺﷻ۞۝۩ـ" + O.LETTERS + O.PERSIAN[0] + "]+"
+_FOREIGN = rf"""
+WITH t AS (SELECT conv_id * 1000 + turn AS id, translate(text, '{LATIN}', '{ARABIC}') AS text FROM conversations WHERE text IS NOT NULL),
+s AS (SELECT id, text, regexp_replace(regexp_replace(regexp_replace(text, '[(\[](\s*)[0-9](\s*)[)\]]', '   ', 'g'), '[(\[][0-9]{{2}}[)\]]', '    ', 'g'), '[(\[][0-9]{{3}}[)\]]', '     ', 'g') AS clean FROM t),
+p AS (SELECT id, regexp_extract_all(text, {_TOKEN}) AS w, regexp_split_to_array(text, {_TOKEN}) AS g, length(text) AS n, regexp_extract_all(clean, 'FOREIGN') AS m, regexp_split_to_array(clean, 'FOREIGN') AS h FROM s),
+r AS (SELECT id, w, length(g[1]) + length(w[1]) AS first, n - length(g[-1]) - length(w[-1]) AS last, [{{'s': list_sum([length(x) FOR x IN h[1:k]]) + coalesce(list_sum([length(x) FOR x IN m[1:k - 1]]), 0), 'n': length(m[k])}} FOR k IN range(1, len(m) + 1)] AS runs FROM p)
+SELECT id, CASE WHEN len(w) > 1 THEN array_to_string([CAST(x.s AS BIGINT) || '-' || CAST(x.s + x.n AS BIGINT) FOR x IN runs IF x.s >= first AND x.s + x.n <= last], ',') END AS runs FROM r
+""".replace("FOREIGN", _FOREIGN_RUN)
+
+
+#: Phrases after a turn, and what they claim: books, chapter, verse.
+_CLAIMS = (
+    ("رواه البخاري ومسلم", "sahih_al-bukhari,sahih_muslim", None, None), ("متفق عليه", "sahih_al-bukhari,sahih_muslim", None, None), ("see Muslim", "sahih_muslim", None, None), ("Malik said", None, None, None),
+    ("Muwatta of Malik", "maliks_muwataa", None, None), ("(Quran 2:255)", "", 2, 255), ("12:5", "", 12, 5), ("Q 115:1", None, None, None), ("nothing", None, None, None),
+)
+
+
+def _cleaned(text: Column) -> Column:
+    """Words of a text in Arabic letters alone."""
+    return F.trim(F.regexp_replace(text, f"[^{ARABIC}]+", " "))
+
+
+def claimed_source(spark: SparkSession, d: str) -> DataFrame:
+    """What the phrase after each turn claims."""
+    t = _turns(spark, d).select("id", F.concat(_cleaned(F.col("text")), F.lit(" "), F.get(F.array(*(F.lit(c[0]) for c in _CLAIMS)), (F.col("id") % 9).cast("int"))).alias("text"))
+    c = E.claimed_source(F.col("text"))
+    return t.select("id", F.array_join(c["books"], ",").alias("books"), c["surah"].alias("surah"), c["ayah"].alias("ayah"))
+
+
+def _value(x: object) -> str:
+    return "NULL" if x is None else str(x) if isinstance(x, int) else f"'{x}'"
+
+
+_CLAIMED = f"WITH {_TURNS}, c(k, books, surah, ayah) AS (VALUES {', '.join(f'({k}, {_value(c[1])}, {_value(c[2])}, {_value(c[3])})' for k, c in enumerate(_CLAIMS))}) SELECT id, books, surah, ayah FROM turns JOIN c ON k = id % 9"
+
+
+def _spanned(make, find):
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        t = _turns(spark, d).select("id", _cleaned(F.col("text")).alias("a")).where(F.col("a").rlike(f"^[{_BASES}]"))
+        s = find(t.select("id", make(F.col("id"), F.col("a")).alias("text")))
+        return s.select("id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "kind")
+
+    return run
+
+
+_CLEAN = f"WITH {_TURNS}, c AS (SELECT id, trim(regexp_replace(text, '[^{ARABIC}]+', ' ', 'g')) AS a FROM turns), t AS (SELECT id, a, length(a) AS n, len(regexp_extract_all(a, {_TOKEN})) AS w FROM c WHERE regexp_matches(a, '^[{_BASES}]'))"
+_text = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+spans_tagged = _spanned(lambda i, a: F.when(i % 2 == 0, _text("x <aya_start> «", a, "» <aya_end> y")).otherwise(_text(a, " <hadith_start>", a, "<hadith_end>")), E.tagged)
+_TAGGED = f"""{_CLEAN} SELECT id, CASE id % 2 WHEN 0 THEN 15 ELSE n + 15 END AS start, CASE id % 2 WHEN 0 THEN 15 ELSE n + 15 END + n AS "end", CASE id % 2 WHEN 0 THEN 'quran' ELSE 'hadith_matn' END AS kind FROM t"""
+spans_trailed = _spanned(lambda i, a: _text("قلت. ", a, "، رواه مسلم"), E.trailed)
+_TRAILED = f"""{_CLEAN} SELECT id, 5 AS start, 5 + n AS "end", 'hadith_matn' AS kind FROM t WHERE w >= 3"""
+spans_after = _spanned(lambda i, a: F.when(i % 2 == 0, _text("وقال تعالى: ", a, ". نعم")).otherwise(_text("قال رسول الله صلى الله عليه وسلم ", a, "؟ لا")), E.introduced)
+_AFTER = f"""{_CLEAN} SELECT id, CASE id % 2 WHEN 0 THEN 12 ELSE 33 END AS start, CASE id % 2 WHEN 0 THEN 12 ELSE 33 END + n AS "end", CASE id % 2 WHEN 0 THEN 'quran' ELSE 'hadith_matn' END AS kind FROM t WHERE w >= 3"""
+
+
+def ref_possible(spark: SparkSession, d: str) -> DataFrame:
+    """References made of the numbers of orders."""
+    o = table(spark, d, "orders").select("o_orderkey", *(F.expr(x).cast("int").alias(n) for n, x in _REFERENCE.items()))
+    return o.select("o_orderkey", P.possible_reference(F.col("surah"), F.col("ayah"), F.col("ayah_to"), F.col("verses")).alias("possible"))
+
+
+_REFERENCE = {"surah": "o_orderkey % 120", "ayah": "o_custkey % 90", "ayah_to": "CASE WHEN o_orderkey % 3 = 0 THEN o_custkey % 100 END", "verses": "CASE WHEN o_orderkey % 120 BETWEEN 1 AND 114 THEN o_orderkey % 61 + 3 END"}
+_POSSIBLE = f"SELECT o_orderkey, verses IS NOT NULL AND ayah BETWEEN 1 AND coalesce(verses, 0) AND (ayah_to IS NULL OR ayah_to BETWEEN ayah AND coalesce(verses, 0)) AS possible FROM (SELECT o_orderkey, {', '.join(f'{x} AS {n}' for n, x in _REFERENCE.items())} FROM orders)"
+
+QUERIES = {
+    "ar_fold": Query(ar_fold, _AR_FOLD), "ar_compose": Query(ar_compose, _AR_COMPOSE), "ar_spans": Query(ar_spans, _AR_SPANS), "ar_bare_class": Query(ar_bare_class, _AR_CLASS), "foreign_runs": Query(foreign_runs, _FOREIGN), "claimed_source": Query(claimed_source, _CLAIMED),
+    "spans_tagged": Query(spans_tagged, _TAGGED), "spans_trailed": Query(spans_trailed, _TRAILED), "spans_after_introducers": Query(spans_after, _AFTER), "ref_possible": Query(ref_possible, _POSSIBLE),
+    "message_runs": Query(message_runs, _MESSAGE_RUNS), "messages": Query(messages, _MESSAGES), "vowel_diffs": Query(vowel_diffs, _VOWEL_DIFFS), "word_diff": Query(word_diff, _WORD_DIFF), "letter_diff": Query(letter_diff, _LETTER_DIFF),
+}

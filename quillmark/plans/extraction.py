@@ -1,7 +1,4 @@
-"""Spans, claims and flags of free text, and the Arabic rules on small fixtures of neutral prose.
-
-A fixture query's SQL lists the expected rows, derived by hand from the rules; the others compute them anew.
-"""
+"""Spans, claims and flags of free text."""
 
 from __future__ import annotations
 
@@ -131,89 +128,6 @@ p AS (SELECT id, middle, CAST(sum(size + n) OVER (PARTITION BY id ORDER BY k) -
 """
 
 
-def _values(columns: str, rows: list[tuple]) -> str:
-    def one(x) -> str:
-        return "NULL" if x is None else str(x).lower() if isinstance(x, bool) else str(x) if isinstance(x, (int, float)) else "'" + x.replace("'", "''") + "'"
-
-    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(one, r)) + ')' for r in rows)}) v({columns})"
-
-
-# Neutral words and what the rules make of them: written, loose tokens, strict tokens.
-FOLDS = [
-    ("أحمد إلى آخر", "احمد الي اخر", "أحمد إلى آخر"), ("مدرسةٌ", "مدرسه", "مدرسة"), ("كِتَــابٌ جَدِيدٌ", "كتاب جديد", "كتاب جديد"), ("سؤال بئر", "سوال بير", "سؤال بئر"),
-    ("ٱلبيت", "البيت", "البيت"), ("کیف", "كيف", "كيف"), ("قال ﷺ نعم", "قال نعم", "قال نعم"), ("رقم 12 و 3", "رقم و", "رقم و"), ("ﻻ بأس", "لا باس", "لا بأس"), ("hello", "", ""), ("كلمة،أخرى", "كلمه اخري", "كلمة أخرى"),
-]
-COMPOSITIONS = [("آخر", "اخر", "آخر"), ("أمر", "امر", "أمر"), ("إذا", "اذا", "إذا"), ("سؤال", "سوال", "سؤال"), ("بئر", "بير", "بئر"), ("قىٔ", "قي", "قئ")]
-SPANS = [("قلم كِتَابٌ", 0, "قلم", 0, 3), ("قلم كِتَابٌ", 1, "كتاب", 4, 10), ("(بيت)", 0, "بيت", 1, 4), ("a بيت", 0, "بيت", 2, 5)]
-CLASSES = [("على", "على", "equal"), ("علي", "على", "completion"), ("على", "علي", "swap"), ("ان", "أن", "completion"), ("إن", "أن", "swap"), ("قلم", "كتاب", "other"), ("مدرسه", "مدرسة", "completion")]
-VOWELS = [
-    ("كَتَبَ", "كَتَبَ", False, ""), ("كُتَبَ", "كَتَبَ", False, "conflict"), ("كتب", "كَتَبَ", False, "missing,missing,missing"), ("كَتَبْ", "كَتَبَ", True, "waqf"), ("كَتَبْ", "كَتَبَ", False, "conflict"),
-    ("مَدَ", "مَدَّ", False, "missing"), ("مَدَّ", "مَدَ", False, "conflict"), ("قلم", "كتاب", False, None),
-]
-FOREIGN = [("قلم xyz كتاب", "xyz"), ("قلم، كتاب", ""), ("قلم (12) كتاب", ""), ("قلم 12 كتاب", "12"), ("xyz قلم كتاب", ""), ("قلم", None)]
-CLAIMS = [("رواه البخاري ومسلم", "sahih_al-bukhari,sahih_muslim", None, None), ("متفق عليه", "sahih_al-bukhari,sahih_muslim", None, None), ("see Muslim", "sahih_muslim", None, None), ("Malik said", None, None, None), ("Muwatta of Malik", "maliks_muwataa", None, None), ("(Quran 2:255)", "", 2, 255), ("12:5", "", 12, 5), ("Q 115:1", None, None, None), ("nothing", None, None, None)]
-TAGGED = [("x <aya_start> «قلم» <aya_end> y", 15, 18, "quran"), ("<hadith_start>كتاب جديد<hadith_end>", 14, 23, "hadith_matn")]
-TRAILED = [("قلت. هذا كتاب جديد جدا، رواه مسلم", 5, 22, "hadith_matn"), ("هذا كتاب رواه", None, None, None)]
-INTRODUCED = [("وقال تعالى: هذا كتاب جديد جدا. نعم", 12, 29, "quran"), ("قال رسول الله صلى الله عليه وسلم هذا كتاب جديد", 33, 46, "hadith_matn"), ("قال فلان هذا كتاب", None, None, None), ("قال ﷺ: هذا كتاب جديد، نعم", 7, 25, "hadith_matn"), ("وفي الحديث قال عز وجل رضي الله عنه هذا بيت جديد؟ لا", 11, 47, "hadith_matn"), ("وفي الحديث قال عز وجل رضي الله عنه هذا بيت جديد؟ لا", 35, 47, "quran")]
-REFERENCES = [(1, 7, None, 7, True), (1, 8, None, 7, False), (2, 3, 5, 286, True), (2, 5, 3, 286, False), (115, 1, None, None, False)]
-
-
-def _fixture(columns: str, rows: list[tuple], *pick: int):
-    return lambda spark: spark.createDataFrame([tuple(r[k] for k in pick) for r in rows], columns)
-
-
-def _folded(rows: list[tuple]) -> Query:
-    def run(spark: SparkSession, d: str) -> DataFrame:
-        t = _fixture("text string", rows, 0)(spark)
-        return t.select("text", O.joined(O.loose_tokens(F.col("text"))).alias("loose"), O.joined(O.strict_tokens(F.col("text"))).alias("strict"))
-
-    return Query(run, _values("text, loose, strict", rows))
-
-
-def _spans(spark: SparkSession, d: str) -> DataFrame:
-    t = _fixture("text string", SPANS, 0)(spark).distinct().select("text", F.posexplode(O.tokens(F.col("text"))).alias("pos", "t"))
-    return t.select("text", "pos", F.col("t.loose").alias("loose"), F.col("t.start").alias("start"), F.col("t.end").alias("end"))
-
-
-def _classes(spark: SparkSession, d: str) -> DataFrame:
-    return _fixture("user string, corpus string", CLASSES, 0, 1)(spark).select("user", "corpus", O.classify(F.col("user"), F.col("corpus")).alias("class"))
-
-
-def _vowels(spark: SparkSession, d: str) -> DataFrame:
-    t = _fixture("user string, ref string, final boolean", VOWELS, 0, 1, 2)(spark)
-    diffs = O.compare_vowels(F.col("user"), F.col("ref"), F.col("final"))
-    return t.select("user", "ref", "final", F.when(diffs.isNotNull(), F.array_join(F.transform(diffs, lambda x: x["kind"]), ",")).alias("kinds"))
-
-
-def _foreign(spark: SparkSession, d: str) -> DataFrame:
-    runs = E.foreign_runs(F.col("text"))
-    return _fixture("text string", FOREIGN, 0)(spark).select("text", F.when(runs.isNotNull(), F.array_join(F.transform(runs, lambda r: r["value"]), ",")).alias("runs"))
-
-
-def claimed_source(spark: SparkSession, d: str) -> DataFrame:
-    c = E.claimed_source(F.col("text"))
-    return _fixture("text string", CLAIMS, 0)(spark).select("text", F.array_join(c["books"], ",").alias("books"), c["surah"].alias("surah"), c["ayah"].alias("ayah"))
-
-
-def _spanned(rows: list[tuple], find) -> Query:
-    def run(spark: SparkSession, d: str) -> DataFrame:
-        t = _fixture("id string, text string", rows, 0, 0)(spark).distinct()
-        return t.select("id").join(find(spark, t), "id", "left").select(F.col("id").alias("text"), "start", "end", "kind")
-
-    return Query(run, _values('text, start, "end", kind', rows))
-
-
-def _introduced(spark: SparkSession, t: DataFrame) -> DataFrame:
-    return E.introduced(t)
-
-
-def ref_possible(spark: SparkSession, d: str) -> DataFrame:
-    from ..operators.validation import possible_reference
-
-    t = _fixture("surah int, ayah int, ayah_to int, verses int", REFERENCES, 0, 1, 2, 3)(spark)
-    return t.select("surah", "ayah", "ayah_to", "verses", possible_reference(F.col("surah"), F.col("ayah"), F.col("ayah_to"), F.col("verses")).alias("possible"))
-
-
 def receipt_token(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "benchmark").select("item_id", X.receipt_payload(X.receipt_token(F.col("text"))).alias("text"))
 
@@ -268,10 +182,7 @@ QUERIES = {
     "proposals": Query(proposals, _PROPOSALS), "spans_bracketed": Query(spans_bracketed, _BRACKETED), "spans_introduced": Query(spans_introduced, _INTRODUCED), "spans_merged": Query(spans_merged, _MERGED),
     "detect_pii": Query(detect_pii, _PRIVATE), "detect_flags": Query(detect_flags, _FLAGS), "dedup_quotes": Query(dedup_quotes, _DEDUP),
     "cap_quotes": Query(cap_quotes, f"WITH q AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY start) AS k, count(*) OVER (PARTITION BY id) > 5 AS truncated FROM ({_LINES})) SELECT truncated, count(*) AS quotes, count(DISTINCT id) AS texts FROM (SELECT DISTINCT id, quoted, truncated FROM q WHERE k <= 5) GROUP BY truncated"),
-    "relocated": Query(relocated, _RELOCATED), "ar_fold_fixture": _folded(FOLDS), "ar_compose_fixture": _folded(COMPOSITIONS), "ar_spans_fixture": Query(_spans, _values('text, pos, loose, start, "end"', SPANS)),
-    "ar_bare_class": Query(_classes, _values("user, corpus, class", CLASSES).replace("v(user", 'v("user"')), "ar_vowels_fixture": Query(_vowels, _values("user, ref, final, kinds", VOWELS).replace("v(user", 'v("user"')),
-    "foreign_runs": Query(_foreign, _values("text, runs", FOREIGN)), "claimed_source": Query(claimed_source, _values("text, books, surah, ayah", CLAIMS)), "spans_tagged": _spanned(TAGGED, lambda _, t: E.tagged(t)),
-    "spans_trailed": _spanned(TRAILED, lambda _, t: E.trailed(t)), "spans_introduced_fixture": _spanned(INTRODUCED, _introduced), "ref_possible": Query(ref_possible, _values("surah, ayah, ayah_to, verses, possible", REFERENCES)),
+    "relocated": Query(relocated, _RELOCATED),
     "receipt_token": Query(receipt_token, "SELECT item_id, text FROM benchmark"),
     "matn_start": Query(matn_start, _MATN),
 }

@@ -99,13 +99,18 @@ SELECT status, scope, verse OR book AS mismatch, count(*) AS n, count(*) FILTER
 
 
 def gates(spark: SparkSession, d: str) -> DataFrame:
-    i = F.col("q")
-    flags = _facts(spark, d).select("q", (i % 6 == 0).alias("foreign"), (i % 9 == 0).alias("conflict"), (i % 10 == 0).alias("image"))
-    return D.gate(_decided(spark, d), flags).groupBy("status", "reason").agg(F.count("*").alias("n"))
+    """Decisions past the gates that the life cycle has: foreign matter, vowels of scripture, an image as the source."""
+    decided, q = _decided(spark, d), F.col("q")
+    decided = D.foreign_gate(decided, decided.select("q", (q % 6 == 0).alias("foreign")))
+    won = decided.select("q", q.alias("id"))
+    diffs = won.where("q % 3 = 0").select("q", "id", F.when(q % 9 == 0, F.array(F.lit("conflict"))).when(q % 5 > 0, F.array().cast("array<string>")).alias("kinds"))
+    decided, _ = D.vowel_gate(decided, won, diffs, decided.where("q % 3 = 0").select("q"))
+    seen = decided.where("q % 10 <> 0").unionByName(D.image_gate(decided.where("q % 10 = 0")))
+    return seen.groupBy("status", "reason").agg(F.count("*").alias("n"))
 
 
 _GATES = f"""
-WITH decided AS ({_DECIDED}), g AS (SELECT status, reason, CASE WHEN status = 'found' THEN CASE WHEN q % 6 = 0 THEN 'foreign_text' WHEN q % 9 = 0 THEN 'harakat_conflict' WHEN q % 10 = 0 THEN 'image_source' END END AS why FROM decided)
+WITH decided AS ({_DECIDED}), g AS (SELECT status, reason, CASE WHEN status = 'found' THEN CASE WHEN q % 6 = 0 THEN 'foreign_material' WHEN scope = 'quran' AND q % 9 = 0 THEN 'diacritic_difference' WHEN scope = 'quran' AND q % 3 = 0 AND q % 5 = 0 THEN 'diacritic_unverified' WHEN q % 10 = 0 THEN 'image_unconfirmed' END END AS why FROM decided)
 SELECT CASE WHEN why IS NULL THEN status ELSE 'needs_review' END AS status, coalesce(why, reason) AS reason, count(*) AS n FROM g GROUP BY ALL
 """
 
