@@ -267,8 +267,8 @@ def foreign_runs(text: Column) -> Column:
     scrubbed = F.regexp_replace(scrubbed, "[﴿﴾(\\[【][0-9٠-٩۰-۹]{2}[﴾﴿)\\]】]", "    ")
     scrubbed = F.regexp_replace(scrubbed, "[﴿﴾(\\[【][0-9٠-٩۰-۹]{3}[﴾﴿)\\]】]", "     ")
     runs = places(scrubbed, "[^\\p{Mn}\\p{Me}\\p{Cf}\\s.,،؛;:!?؟*_`>#\\-–—…\"'“”«»﴾﴿()\\[\\]{}/\\\\|~^+=<·•ﷺﷻ۞۝۩ـ" + O.LETTERS + O.PERSIAN[0] + O.PRESENTATION + "]+")
-    toks = O.tokens(text)
-    return F.when(F.size(toks) > 1, F.filter(runs, lambda r: (r["start"] >= toks[0]["end"]) & (r["end"] <= F.element_at(toks, -1)["start"])))
+    words = bound(O.tokens(text), lambda t: F.when(F.size(t) > 1, F.struct(F.get(t, F.lit(0))["end"].alias("first"), F.element_at(t, -1)["start"].alias("last"))))
+    return bound(words, lambda w: F.when(w.isNotNull(), F.filter(runs, lambda r: (r["start"] >= w["first"]) & (r["end"] <= w["last"]))))
 
 
 def detectors(texts: DataFrame) -> DataFrame:
