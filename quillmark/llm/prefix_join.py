@@ -3,8 +3,10 @@
 All sets are put in one order, and the first n - ceil(t n) + 1 shingles are a set's prefix. Two sets of n and m shingles
 and of Jaccard similarity t or more have o = ceil(t / (1 + t) (n + m)) in common. At most n - o of the first set are not in
 the second, so of the one whose prefix ends first nearly all of the prefix stands in the other prefix too: a pair that
-shares fewer prefix shingles is ruled out. Any order finds the same similar pairs; the one here puts the shingles that a
-sample shows to be frequent last, so that few texts meet on them. Texts that are linked already need not meet again.
+shares fewer prefix shingles is ruled out. More so, the k-th shingle in common stands among the first n - o + k of the one
+and m - o + k of the other, so only what lies within these is counted, and k of it must be shared. Any order finds the same
+similar pairs; the one here puts the shingles that a sample shows to be frequent last, so that few texts meet on them.
+Texts that are linked already need not meet again.
 """
 
 from __future__ import annotations
@@ -113,16 +115,24 @@ def prefixes(texts: DataFrame, nodes: DataFrame, size: int, at_least: float) ->
     return made.join(nodes, "digest").select("node", "n", "keys", "stars")
 
 
-def _need(n: np.ndarray, m: np.ndarray, at_least: float) -> np.ndarray:
-    """Prefix shingles that sets of n and m shingles share at least if they are similar enough; 0: they can't be."""
+#: Of the prefix shingles that a similar pair is sure to share, one in so many is counted. A larger number lets texts meet
+#: within shorter prefixes, but asks less of them; it shapes the cost only.
+COUNTED = 4
+
+
+def _need(n: np.ndarray, m: np.ndarray, i: np.ndarray, j: np.ndarray, at_least: float) -> np.ndarray:
+    """Shingles that sets of n and m shingles share at least, within the stretches that are counted, if they are similar
+    enough; 0: they can't be, or places i and j of a shingle in their orders aren't both within."""
     common = np.ceil(at_least / (1 + at_least) * (n + m) - 1e-6)
     prefix = lambda x: x - np.ceil(at_least * x - 1e-9) + 1
     least = np.maximum(1, np.minimum(prefix(n) - (n - common), prefix(m) - (m - common)))
-    return np.where(np.minimum(n, m) >= common, least, 0).astype(np.int32)
+    k = np.ceil(least / COUNTED)
+    fits = (np.minimum(n, m) >= common) & (i < n - common + k) & (j < m - common + k)
+    return np.where(fits, k, 0).astype(np.int32)
 
 
 def stars(prefixes_: DataFrame, at_least: float) -> DataFrame:
-    """What meets on a shingle, as a table: pairs (a, b, need, two) where key is null, else members (key, a, n) of larger groups.
+    """What meets on a shingle, as a table: pairs (a, b, need, two) where key is null, else members (key, a, n, pos) of larger groups.
 
     The node that has the fewest rarer shingles than the group's, so the source of copies rather than one of them, meets all
     others, so a group costs its size; ``two``: the pair is the whole group. Groups
@@ -132,15 +142,15 @@ def stars(prefixes_: DataFrame, at_least: float) -> DataFrame:
     rows = prefixes_.select("node", "n", "stars", F.posexplode("keys").alias("pos", "key"))
     of = F.get("stars", F.col("pos"))
     star = F.when(of > 1, F.pmod(F.xxhash64("node"), of)).otherwise(-1).cast("int")  # -1: the only one
-    ordered = rows.select("key", star.alias("star"), "node", "n", "pos").repartition("key", "star").sortWithinPartitions("key", "star", "pos", "node").drop("pos")
+    ordered = rows.select("key", star.alias("star"), "node", "n", "pos").repartition("key", "star").sortWithinPartitions("key", "star", "pos", "node")
 
     def emit(columns: list[np.ndarray], seen: bool, goes_on: bool = False) -> Iterator[pa.RecordBatch]:
         """From rows of whole groups; of the first one only a head that was ``seen`` before and what follows; the last may go on."""
-        key, star, node, n = columns
+        key, star, node, n, pos = columns
         starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (star[1:] != star[:-1])]))
         sizes = np.diff(np.append(starts, len(key)))
         hub = np.repeat(starts, sizes)
-        need = _need(n[hub], n, at_least)
+        need = _need(n[hub], n, pos[hub], pos, at_least)
         pair = (node != node[hub]) & (need > 0)
         large = (sizes > 2) | (star[starts] >= 0)
         large[0] |= seen
@@ -149,13 +159,13 @@ def stars(prefixes_: DataFrame, at_least: float) -> DataFrame:
         two = ~member[pair]
         member[0] &= not seen
         none = lambda k, kind: pa.nulls(k, kind)
-        names = ["key", "a", "b", "n", "need", "two"]
+        names = ["key", "a", "b", "n", "pos", "need", "two"]
         if pair.any():
             k = int(pair.sum())
-            yield pa.RecordBatch.from_arrays([none(k, pa.int64()), pa.array(np.minimum(node[hub], node)[pair]), pa.array(np.maximum(node[hub], node)[pair]), none(k, pa.int32()), pa.array(need[pair]), pa.array(two)], names=names)
+            yield pa.RecordBatch.from_arrays([none(k, pa.int64()), pa.array(np.minimum(node[hub], node)[pair]), pa.array(np.maximum(node[hub], node)[pair]), none(k, pa.int32()), none(k, pa.int32()), pa.array(need[pair]), pa.array(two)], names=names)
         if member.any():
             k = int(member.sum())
-            yield pa.RecordBatch.from_arrays([pa.array(key[member]), pa.array(node[member]), none(k, pa.int64()), pa.array(n[member]), none(k, pa.int32()), none(k, pa.bool_())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(key[member]), pa.array(node[member]), none(k, pa.int64()), pa.array(n[member]), pa.array(pos[member]), none(k, pa.int32()), none(k, pa.bool_())], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, seen = None, False  # the last group so far: all of up to two rows, or the head of a larger one that is seen
@@ -176,7 +186,7 @@ def stars(prefixes_: DataFrame, at_least: float) -> DataFrame:
         if held is not None and not seen:
             yield from emit(held, False)
 
-    return materialize(ordered.mapInArrow(run, "key long, a long, b long, n int, need int, two boolean"), "met")
+    return materialize(ordered.mapInArrow(run, "key long, a long, b long, n int, pos int, need int, two boolean"), "met")
 
 
 def counted(met: DataFrame) -> DataFrame:
@@ -186,18 +196,18 @@ def counted(met: DataFrame) -> DataFrame:
 
 
 def _meet(rows: DataFrame, at_least: float) -> DataFrame:
-    """Pairs (a, b, need) of differing labels in each group of ``rows`` (key, kind, i, j, node, label, n, own).
+    """Pairs (a, b, need) of differing labels in each group of ``rows`` (key, kind, i, j, node, label, n, own, pos).
 
     Kind 0: rows of the key's main label (own -1) against others; kind 1: other rows of block i against those of block j.
     """
 
-    def pairs(kind: int, i: int, j: int, node: np.ndarray, label: np.ndarray, n: np.ndarray, own: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def pairs(kind: int, i: int, j: int, node: np.ndarray, label: np.ndarray, n: np.ndarray, own: np.ndarray, pos: np.ndarray) -> Iterator[pa.RecordBatch]:
         left, right = (own >= 0, own < 0) if kind == 0 else (own == i, own == j)
         x, y = np.flatnonzero(left), np.flatnonzero(right)
         step = max(1, (1 << 18) // max(1, len(y)))
         for k in range(0, len(x), step):
             p = x[k : k + step, None]
-            need = _need(n[p], n[y], at_least)
+            need = _need(n[p], n[y], pos[p], pos[y], at_least)
             fits = (label[p] != label[y]) & (need > 0)
             if kind and i == j:
                 fits &= node[p] < node[y]
@@ -221,19 +231,19 @@ def _meet(rows: DataFrame, at_least: float) -> DataFrame:
         if held:
             yield from pairs(*(int(c[0]) for c in held[1:4]), *held[4:])
 
-    ordered = rows.select("key", "kind", "i", "j", "node", "label", "n", "own").repartition("key", "kind", "i", "j").sortWithinPartitions("key", "kind", "i", "j")
+    ordered = rows.select("key", "kind", "i", "j", "node", "label", "n", "own", "pos").repartition("key", "kind", "i", "j").sortWithinPartitions("key", "kind", "i", "j")
     return ordered.mapInArrow(run, "a long, b long, need int")
 
 
 def unlinked_pairs(members: DataFrame, labels: DataFrame, counts: DataFrame, at_least: float) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of ``members`` (key, a, n) without a common label that ``at_least`` does not rule out.
+    """Distinct pairs (a, b), a < b, of ``members`` (key, a, n, pos) without a common label that ``at_least`` does not rule out.
 
     ``labels`` (node, label) names the groups known so far; a node it lacks is its own. ``counts`` are those of ``counted``:
     what a pair shares in groups of two is added to what it shares here. A shingle whose texts are one
     group costs a count. Otherwise the rows of its largest group and all its other rows are dealt into blocks of about
     GROUP, and any two blocks meet that may hold a pair of different groups; no task holds more than two blocks.
     """
-    named = members.select("key", F.col("a").alias("node"), "n").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    named = members.select("key", F.col("a").alias("node"), "n", "pos").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     named = materialize(named, "members")
     sizes = named.groupBy("key", "label").agg(F.count("*").alias("rows")).groupBy("key")
     mixed = sizes.agg(F.count("*").alias("labels"), F.max_by("label", F.struct("rows", "label")).alias("most"), F.max("rows").alias("m"), F.sum("rows").alias("all")).where("labels > 1")
@@ -247,7 +257,7 @@ def unlinked_pairs(members: DataFrame, labels: DataFrame, counts: DataFrame, at_
     visits = F.when(main, F.transform(every("others"), lambda j: at(0, F.col("block"), j))).otherwise(
         F.concat(F.transform(every("mains"), lambda i: at(0, i, F.col("block"))), F.transform(every("others"), lambda j: at(1, F.least("block", j), F.greatest("block", j))))
     )
-    dealt = met.select("key", "node", "label", "n", F.when(main, -1).otherwise(F.col("block")).alias("own"), F.explode(visits).alias("g")).select("*", "g.kind", "g.i", "g.j")
+    dealt = met.select("key", "node", "label", "n", "pos", F.when(main, -1).otherwise(F.col("block")).alias("own"), F.explode(visits).alias("g")).select("*", "g.kind", "g.i", "g.j")
     shared = _meet(dealt, at_least).groupBy("a", "b").agg(F.count("*").alias("here"), F.max("need").alias("need"))
     pairs = shared.join(counts.where("two > 0").select("a", "b", "two"), ["a", "b"], "left")
     return pairs.where(F.col("here") + F.coalesce("two", F.lit(0)) >= F.col("need")).select("a", "b")

@@ -56,8 +56,9 @@ def test_equals_brute_force(spark, rows, monkeypatch, bucket):
     assert sorted(r.doc_id for r in kept.collect()) == brute_kept(rows)
 
 
-@pytest.mark.parametrize(("frequent", "group", "star", "batch"), [(2, 2, 4, 3), (2, 3, 65536, 1), (4, 4096, 65536, 10000)])
-def test_any_setting_finds_the_same(spark, rows, monkeypatch, frequent, group, star, batch):
+@pytest.mark.parametrize(("frequent", "group", "star", "batch", "counted"), [(2, 2, 4, 3, 4), (2, 3, 65536, 1, 1), (4, 4096, 65536, 10000, 1000)])
+def test_any_setting_finds_the_same(spark, rows, monkeypatch, frequent, group, star, batch, counted):
+    monkeypatch.setattr(P, "COUNTED", counted)
     monkeypatch.setattr(P, "FREQUENT_FROM", frequent)
     monkeypatch.setattr(P, "GROUP", group)
     monkeypatch.setattr(P, "STAR", star)
