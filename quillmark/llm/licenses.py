@@ -1,9 +1,11 @@
 """License scans: a generalised suffix automaton of license words, matching statistics, and chained template spans.
 
 The templates' words make one suffix automaton. Each text streams through it; after each word it holds the longest
-run of words ending there that occurs in a template (the matching statistic). Base phrases are read off it exactly.
-Right-maximal matches of some length are chained, template by template, in text and template order, and a template
-that a chain covers well enough gives its label and a span of the text.
+run of words ending there that occurs in a template (the matching statistic); the suffix links of its state give the
+shorter ones that other places of templates have. Base phrases are read off it exactly. Right-maximal matches of some
+length are chained, template by template, in text and template order, and a template that a chain covers well enough gives
+its label and a span of the text. Of overlapping spans with different labels the better covered one counts, so that the
+words which decide between versions do.
 """
 
 from __future__ import annotations
@@ -35,7 +37,12 @@ TEMPLATES = (
     ("cc-by", "licensed under cc by 4 0"),
     ("cc-by-sa", "licensed under cc by sa 4 0"),
     ("cc-by-sa", "this work is licensed under a creative commons attribution sharealike 4 0 international license"),
+    ("cc-by-nc-sa", "this work is licensed under a creative commons attribution noncommercial sharealike 4 0 international license"),
+    ("cc-by-nc-sa", "licensed under cc by nc sa 4 0"),
+    ("cc-by-nd", "this work is licensed under a creative commons attribution noderivatives 4 0 international license"),
+    ("cc-by-nc-nd", "this work is licensed under a creative commons attribution noncommercial noderivatives 4 0 international license"),
     ("gpl-3", "this work is licensed under the gnu general public license version 3"),
+    ("gpl-3", "licensed under the gnu general public license version 3"),
     ("gpl-3", "it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
     ("gpl-2", "licensed under the gnu general public license version 2"),
     ("gpl-2", "it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version"),
@@ -131,6 +138,15 @@ class Scanner:
         self.pairs = np.zeros((len(vocabulary) + 1,) * 2, bool)
         for words in self.templates:
             self.pairs[words[:-1], words[1:]] = True
+        #: For each state the places at which only strings of its suffix links end, with their lengths.
+        a = self.automaton
+        self.shorter: list[list[tuple[int, int, int]]] = [[] for _ in a.link]
+        for s in range(1, len(a.link)):
+            seen, p = set(a.places[s]), a.link[s]
+            while p > 0 and a.size[p] >= min_match:
+                self.shorter[s] += [(t, e, a.size[p]) for t, e in a.places[p] if (t, e) not in seen]
+                seen.update(a.places[p])
+                p = a.link[p]
         #: For each state the base phrases that are suffixes of its longest string, with their lengths.
         whole = {(t, len(self.templates[t])) for t in range(self.n_base)}
         self.base_at: list[list[tuple[int, int]]] = [[] for _ in self.automaton.link]
@@ -159,9 +175,13 @@ class Scanner:
         numbers = [self.number.get(w, 0) for w in words]
         for k, (s, n) in enumerate([*self.automaton.stream(numbers), (0, 0)]):
             base += [(at + k + 1 - size, t) for t, size in self.base_at[s] if size <= n]
-            if before[1] >= self.min_match and n <= before[1]:
-                state, size = before
-                matches += [(t, end - size, at + k - size, size) for t, end in self.automaton.places[state] if t >= self.n_base]
+            state, size = before
+            if size >= self.min_match:
+                following = numbers[k] if k < len(numbers) else 0
+                for t, end, length in [*((t, e, size) for t, e in self.automaton.places[state]), *self.shorter[state]]:
+                    own = self.templates[t]
+                    if t >= self.n_base and not (end < len(own) and own[end] == following):
+                        matches.append((t, end - length, at + k - length, length))
             before = (s, n)
         return base, matches
 
@@ -186,6 +206,16 @@ class Scanner:
                 top = (covered, start, p + n)
         return top[0] / len(self.templates[template]), top[1], top[2]
 
+    @staticmethod
+    def agreed(spans: list[tuple[dict, float]]) -> list[dict]:
+        """Of spans and their covered words those that no better covered one of another label overlaps, nor an equally well
+        covered one of more words."""
+        kept: list[dict] = []
+        for x, _ in sorted(spans, key=lambda x: (-x[0]["coverage"], -x[1], x[0]["label"], x[0]["first"])):
+            if all(x["label"] == y["label"] or x["after"] <= y["first"] or y["after"] <= x["first"] for y in kept):
+                kept.append(x)
+        return [x for x, _ in spans if x in kept]
+
     def batch(self, column: pa.Array) -> Iterator[tuple]:
         """For each text: words, base places, first, last, base labels, labels, score, spans."""
         for scan in W.scans(column):
@@ -206,7 +236,7 @@ class Scanner:
                 for t, q, p, size in matches:
                     by.setdefault(t, []).append((q, p, size))
                 chains = [(*self.chain(t, m), self.labels[t]) for t, m in sorted(by.items())]
-                spans = [{"label": label, "first": s, "after": e, "coverage": c} for c, s, e, label in chains if c >= self.min_coverage]
+                spans = self.agreed([({"label": label, "first": s, "after": e, "coverage": c}, c * len(self.templates[t])) for (c, s, e, label), t in zip(chains, sorted(by), strict=True) if c >= self.min_coverage])
                 own = {self.labels[t] for _, t in base}
                 score = 1.0 if base else min(1.0, max([c for c, *_ in chains], default=0.0))
                 starts = [s for s, _ in base]

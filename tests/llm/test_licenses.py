@@ -66,5 +66,37 @@ def test_chain_keeps_template_order():
     assert [round(r[6], 3) for r in out] == [1.0, 0.5, 0.5]
 
 
+def test_right_maximal_matches_equal_brute_force():
+    rng = random.Random(5)
+    for _ in range(40):
+        templates = tuple(("t", " ".join(rng.choices("abcd", k=rng.randrange(3, 12)))) for _ in range(5))
+        s = Scanner(templates=templates, base=(("b", "a b c"),), min_match=3)
+        words = rng.choices("abcde", k=30)
+        got = s.read([w.encode() for w in words], 0)[1]
+        want = set()
+        for t, (_, text) in enumerate(templates, 1):
+            own = text.split()
+            for e in range(1, len(own) + 1):
+                for k in range(1, len(words) + 1):
+                    n = 0
+                    while n < min(e, k) and own[e - n - 1] == words[k - n - 1]:
+                        n += 1
+                    goes_on = e < len(own) and k < len(words) and own[e] == words[k]
+                    if n >= 3 and not goes_on:
+                        want.add((t, e - n, k - n, n))
+        assert set(got) == want and len(got) == len(want)
+
+
+def test_deciding_words():
+    import pyarrow as pa
+
+    said = {
+        "This work is licensed under the GNU General Public License version 2": "gpl-2", "This work is licensed under the GNU General Public License, version 3.": "gpl-3", "Licensed under the GNU General Public License version 3": "gpl-3",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.": "cc-by-nc-sa", "This work is licensed under a Creative Commons Attribution 4.0 International License.": "cc-by",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.": "cc-by-nc", "Released under the MIT License. Parts are licensed under the GNU General Public License version 2.": "gpl-2,mit",
+    }
+    assert {t: r[5] for t, r in zip(said, Scanner().batch(pa.array(list(said))), strict=True)} == said
+
+
 def test_empty_table(spark):
     assert scan_licenses(spark.createDataFrame([], SCHEMA)).collect() == []
