@@ -3,6 +3,8 @@ from pyspark.sql import functions as F
 from quillmark import api
 
 RECORDS = [(1, "quran", "", "alpha beta gamma delta epsilon zeta eta theta"), (2, "hadith", "sahih_muslim", "one two three four five six seven eight nine ten"), (3, "hadith", "sunan_ibn-maja", "Élan vital comes from the long road home")]
+# A word that stands in more than a fifth of the records is a stop word, so a corpus must have five or more.
+RECORDS += [(k, "hadith", "sunan_ibn-maja", " ".join(f"filler{k}{x}" for x in "abcdefgh")) for k in (4, 5, 6)]
 
 
 @pytest.fixture(scope="module")
