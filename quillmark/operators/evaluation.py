@@ -28,12 +28,6 @@ def precision_recall(rows: DataFrame, *by: str) -> DataFrame:
     return counted.select(*by, "hits", "positives", "truths", share("hits", "positives").alias("precision"), share("hits", "truths").alias("recall"), F.round(interval["low"], 4).alias("low"), F.round(interval["high"], 4).alias("high"))
 
 
-def nearest_rank(values: Column, q: float) -> Column:
-    """The value at place min(n - 1, int(q n)) of the sorted ones. For groups of bounded size, such as the cases of a run."""
-    v = F.sort_array(F.collect_list(values))
-    return F.element_at(v, F.least(F.size(v), F.floor(F.size(v) * q).cast("int") + 1))
-
-
 #: Parts into which a round cuts the values that are left, and distinct values that one task sorts at last.
 PARTS, SORTED = 256, 1_000_000
 

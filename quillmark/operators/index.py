@@ -48,13 +48,6 @@ def postings(stream: DataFrame, offset: Column | None = None) -> DataFrame:
     return rows.where("pos >= o").select(F.col("t.loose").alias("token"), "id", "pos", F.col("t.strict").alias("strict"))
 
 
-def twin(first: DataFrame, second: DataFrame) -> DataFrame:
-    """(id, loose, strict, loose_alt, strict_alt): the other edition's spelling of each word, where word counts agree."""
-    other = second.select("id", F.col("loose").alias("l2"), F.col("strict").alias("s2"))
-    same = F.size("loose") == F.size("l2")
-    return first.join(other, "id", "left").select("id", "loose", "strict", F.when(same, F.col("l2")).otherwise(F.col("loose")).alias("loose_alt"), F.when(same, F.col("s2")).otherwise(F.col("strict")).alias("strict_alt"))
-
-
 def term_tables(terms: DataFrame, cutoff: float | None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """From (id, terms): (id, term, tf), (term, df, idf) and (id, len); terms of too many documents get idf 0.
 

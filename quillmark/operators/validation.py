@@ -72,14 +72,6 @@ def completed_again(found: DataFrame, records: DataFrame) -> DataFrame:
     return rows.select("q", (F.coalesce(F.col("spellings") == 1, F.lit(False)) & ~F.coalesce("swap", F.lit(True))).alias("ok"), F.coalesce("spellings", F.lit(0)).alias("spellings"))
 
 
-def downgraded(decisions: DataFrame, failures: DataFrame) -> DataFrame:
-    """Verdicts whose proof failed (q, ok) are lowered to needs_review; never raised."""
-    bad = failures.groupBy("q").agg(F.bool_and("ok").alias("ok"))
-    rows = decisions.join(bad, "q", "left")
-    lower = F.col("status").isin("found", "partial_match") & ~F.coalesce("ok", F.lit(True))
-    return rows.select("q", F.when(lower, "needs_review").otherwise(F.col("status")).alias("status"), lower.alias("rejected"))
-
-
 def possible_reference(surah: Column, ayah: Column, to: Column, verses: Column) -> Column:
     """Whether a claimed reference can exist; ``verses``: how many the chapter has, null if there is no such chapter."""
     return verses.isNotNull() & ayah.between(1, verses) & (to.isNull() | (to.between(ayah, verses)))
