@@ -3,8 +3,8 @@ from pyspark.sql import functions as F
 from quillmark import api
 
 RECORDS = [(1, "quran", "", "alpha beta gamma delta epsilon zeta eta theta"), (2, "hadith", "sahih_muslim", "one two three four five six seven eight nine ten"), (3, "hadith", "sunan_ibn-maja", "Élan vital comes from the long road home")]
-# A word that stands in more than a fifth of the records is a stop word, so a corpus must have five or more.
-RECORDS += [(k, "hadith", "sunan_ibn-maja", " ".join(f"filler{k}{x}" for x in "abcdefgh")) for k in (4, 5, 6)]
+# A word that stands in more than a fifth of its side's records is a stop word, so each side must have five or more.
+RECORDS += [(k, corpus, "", " ".join(f"filler{k}{x}" for x in "abcdefgh")) for k, corpus in enumerate(["hadith"] * 3 + ["quran"] * 4, 4)]
 
 
 @pytest.fixture(scope="module")
@@ -55,6 +55,8 @@ ARABIC = [
 ]
 
 
+_OTHER = "زبدة ملح فلفل كركم زنجبيل قرفة هيل نعناع ريحان سماق كمون حبق بصل ثوم جزر خس لفت فجل خيار قرع توت تين خوخ رمان كرز موز جوز لوز".split()
+ARABIC += [(10 + k, corpus, "", " ".join(_OTHER[4 * k : 4 * k + 4]), None, None, None, None) for k, corpus in enumerate(["hadith"] * 4 + ["quran"] * 3)]  # so that rare words are no stop words
 ARABIC_SCHEMA = "id long, corpus string, book string, text string, alt string, chapter int, verse int, vocalised string"
 
 
