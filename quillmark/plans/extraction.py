@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import orthography as O
 from ..operators import diffs as X
 from ..operators import extraction as E
 from ..operators import lexicon as L
