@@ -266,7 +266,8 @@ def foreign_runs(text: Column) -> Column:
     scrubbed = F.regexp_replace(text, "[﴿﴾(\\[【](\\s*)[0-9٠-٩۰-۹]{1}(\\s*)[﴾﴿)\\]】]", "   ")
     scrubbed = F.regexp_replace(scrubbed, "[﴿﴾(\\[【][0-9٠-٩۰-۹]{2}[﴾﴿)\\]】]", "    ")
     scrubbed = F.regexp_replace(scrubbed, "[﴿﴾(\\[【][0-9٠-٩۰-۹]{3}[﴾﴿)\\]】]", "     ")
-    runs = places(scrubbed, "[^\\p{Mn}\\p{Me}\\p{Cf}\\s.,،؛;:!?؟*_`>#\\-–—…\"'“”«»﴾﴿()\\[\\]{}/\\\\|~^+=<·•ﷺﷻ۞۝۩ـ" + O.LETTERS + O.PERSIAN[0] + O.PRESENTATION + "]+")
+    # Members of a class are tried in this order, so letters and spaces come first.
+    runs = places(scrubbed, "[^" + O.LETTERS + O.PERSIAN[0] + "\\s.,،؛;:!?؟*_`>#\\-–—…\"'“”«»﴾﴿()\\[\\]{}/\\\\|~^+=<·•\\p{Mn}\\p{Me}\\p{Cf}ﷺﷻ۞۝۩ـ" + O.PRESENTATION + "]+")
     words = bound(O.tokens(text), lambda t: F.when(F.size(t) > 1, F.struct(F.get(t, F.lit(0))["end"].alias("first"), F.element_at(t, -1)["start"].alias("last"))))
     return bound(words, lambda w: F.when(w.isNotNull(), F.filter(runs, lambda r: (r["start"] >= w["first"]) & (r["end"] <= w["last"]))))
 
