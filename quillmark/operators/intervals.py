@@ -20,16 +20,19 @@ def merged(ranges: DataFrame) -> DataFrame:
 
 def annotation_runs(lengths: DataFrame, marks: DataFrame) -> DataFrame:
     """(id, ord, kind, start, end): a text as runs with and without a mark. Of overlapping marks the earlier, then the
-    longer one keeps its place and the next begins where it ends. ``lengths``: (id, n); ``marks``: (id, start, end, kind)."""
-    by = Window.partitionBy("id").orderBy("start", F.desc("end"), "kind")
+    longer one keeps its place and the next begins where it ends. ``lengths``: (id, n); ``marks``: (id, start, end, kind).
+
+    A text's end streams by after its marks, so that both are read once.
+    """
+    some = marks.where("id is not null").select("id", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), "kind", F.lit(False).alias("last"))
+    ends = lengths.select("id", F.col("n").cast("int").alias("start"), F.lit(None).cast("int").alias("end"), F.lit("text").alias("kind"), F.lit(True).alias("last"))
+    by = Window.partitionBy("id").orderBy("last", "start", F.desc("end"), "kind")
     before = F.coalesce(F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    some = marks.join(lengths.select("id").distinct(), "id", "left_semi").select("id", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), "kind")
-    placed = some.withColumn("at", F.greatest(before, F.lit(0))).select("id", "kind", "at", F.greatest("start", "at").alias("start"), "end")
+    placed = some.unionByName(ends).withColumn("at", F.greatest(before, F.lit(0))).withColumn("known", F.bool_or("last").over(Window.partitionBy("id"))).where("known")
+    placed = placed.select("id", "kind", "at", F.greatest("start", "at").alias("start"), "end", "last")
     run = lambda kind, a, b: F.struct(kind.alias("kind"), a.cast("int").alias("start"), b.cast("int").alias("end"))
-    taken = placed.where("end > start").select("id", F.explode(F.array(run(F.lit("text"), F.col("at"), F.col("start")), run(F.col("kind"), F.col("start"), F.col("end")))).alias("r"))
-    reach = marks.groupBy("id").agg(F.max("end").alias("reach"))
-    rest = lengths.join(reach, "id", "left").select("id", run(F.lit("text"), F.greatest(F.coalesce("reach", F.lit(0)), F.lit(0)), F.col("n")).alias("r"))
-    runs = taken.unionByName(rest).where("r.end > r.start").select("id", "r.*")
+    taken = placed.where("last or end > start").select("id", F.explode(F.array(run(F.lit("text"), F.col("at"), F.col("start")), run(F.col("kind"), F.col("start"), F.coalesce("end", "start")))).alias("r"))
+    runs = taken.where("r.end > r.start").select("id", "r.*")
     return runs.select("id", (F.row_number().over(Window.partitionBy("id").orderBy("start")) - 1).alias("ord"), "kind", "start", "end")
 
 

@@ -23,7 +23,11 @@ BUDGET = 3800
 
 
 def _combining() -> str:
-    """A pattern's class of the characters that combine with the one before them, by the Unicode property."""
+    """A pattern's class of the characters that combine with the one before them, by the Unicode property.
+
+    They are marks, or unassigned where the virtual machine's tables are older: other characters are told by that alone,
+    and the commonest marks by their own ranges, before the hundreds of others are tried one after another.
+    """
     ranges: list[list[int]] = []
     for point in range(0x300, 0x1F000):
         if unicodedata.combining(chr(point)):
@@ -31,7 +35,8 @@ def _combining() -> str:
                 ranges[-1][1] = point
             else:
                 ranges.append([point, point])
-    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" if b > a else f"\\x{{{a:x}}}" for a, b in ranges) + "]"
+    told = lambda some: "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" if b > a else f"\\x{{{a:x}}}" for a, b in some)
+    return "[" + told(r for r in ranges if r[0] in (0x300, 0x64B)) + "[[\\p{M}\\p{Cn}]&&[" + told(ranges) + "]]]"
 
 
 MARKS = _combining()
@@ -40,20 +45,23 @@ MARKS = _combining()
 _NEAR = 64
 
 
-def cluster_start(text: Column, place: Column) -> Column:
-    """A place, or that of the character which the marks at it combine with."""
+def cluster_start(text: Column, place: Column, n: Column | None = None) -> Column:
+    """A place, or that of the character which the marks at it combine with. ``n``: the text's length, where it is known."""
+    n = F.length(text) if n is None else n
 
     def back(part: Column) -> Column:
         return F.length(F.regexp_extract(part, f"{MARKS}+$", 0))
 
     near = back(F.substring(text, F.greatest(place + 1 - _NEAR, F.lit(0)) + 1, F.least(place + 1, F.lit(_NEAR))))
     run = F.when(near < _NEAR, near).otherwise(back(F.substring(text, F.lit(1), place + 1)))
-    return F.when((place > 0) & (place < F.length(text)), F.greatest(place - run, F.lit(0))).otherwise(place)
+    return F.when((place > 0) & (place < n), F.greatest(place - run, F.lit(0))).otherwise(place)
 
 
 def cluster_end(text: Column, place: Column) -> Column:
     """A place, or the end of the marks that stand at it."""
-    return place + F.length(F.regexp_extract(F.substring(text, place + 1, F.length(text)), f"^{MARKS}+", 0))
+    ahead = lambda part: F.length(F.regexp_extract(part, f"^{MARKS}+", 0))
+    near = ahead(F.substring(text, place + 1, F.lit(_NEAR)))
+    return place + F.when(near < _NEAR, near).otherwise(ahead(F.substring(text, place + 1, F.length(text))))
 
 
 def marked_runs(texts: DataFrame, marks: DataFrame) -> DataFrame:
@@ -63,8 +71,8 @@ def marked_runs(texts: DataFrame, marks: DataFrame) -> DataFrame:
     never added, left out or moved; marks beyond a text are cut.
     """
     sound = N.merged(marks.where("start >= 0").select("id", "start", "end"))
-    known = sound.join(texts, "id").where(F.col("start") < F.length("text"))
-    wide = known.select("id", cluster_start(F.col("text"), F.col("start")).alias("start"), cluster_end(F.col("text"), F.least(F.col("end"), F.length("text"))).alias("end"), F.lit("mark").alias("kind"))
+    known = sound.join(texts.select("id", "text", F.length("text").alias("n")), "id").where("start < n")
+    wide = known.select("id", cluster_start(F.col("text"), F.col("start"), F.col("n")).alias("start"), cluster_end(F.col("text"), F.least("end", "n")).alias("end"), F.lit("mark").alias("kind"))
     runs = N.annotation_runs(texts.select("id", F.length("text").alias("n")), wide)
     return runs.select("id", "ord", (F.col("kind") == "mark").alias("marked"), "start", "end")
 
