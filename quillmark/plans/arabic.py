@@ -158,13 +158,23 @@ marked AS (
 SELECT quote, source, coalesce(ql, '') AS quote_letters, coalesce(sl, '') AS source_letters FROM two LEFT JOIN marked USING (id)
 """
 
+def _vocabulary(spark: SparkSession, d: str) -> DataFrame:
+    """(w): the distinct words of documents in small letters.
+
+    Counted rather than ``distinct``, and the count is used: Spark merges a distinct into one that follows, and what is
+    made of a word would be made at each of its places.
+    """
+    words = spread(table(spark, d, "documents").where("text is not null").select("text")).select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)))).alias("w"))
+    return words.groupBy("w").agg(F.count("*").alias("n")).where("n > 0").select("w")
+
+
 #: Of a word, by its length: what is written as a quotation and as its source.
 _WRITTEN = {0: ("e", ""), 1: ("", ""), 2: ("eu", "ue")}
 
 
 def vowel_diffs(spark: SparkSession, d: str) -> DataFrame:
     """Distinct words of documents with some vowels left out or changed, against themselves; the conflicts alone, too."""
-    words = spread(table(spark, d, "documents").where("text is not null").select("text")).select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("w")).distinct()
+    words = _vocabulary(spark, d)
     n = F.length("w")
     user = F.translate("w", *_WRITTEN[1])
     for k, (a, b) in _WRITTEN.items():
@@ -297,7 +307,7 @@ SELECT id, k - 1 AS pos, {_form_sql('w', O.LOOSE)} AS loose, upto - length(w) AS
 
 def ar_bare_class(spark: SparkSession, d: str) -> DataFrame:
     """Words of documents against themselves with some forms of letters changed."""
-    words = spread(table(spark, d, "documents").where("text is not null").select("text")).select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("w")).distinct()
+    words = _vocabulary(spark, d)
     other = F.when(F.length("w") % 3 == 0, F.translate("w", "gvwh", "qhiv")).when(F.length("w") % 3 == 1, F.translate("w", "pyq", "oig")).otherwise(F.translate("w", "bd", "db"))
     rows = words.select(O.strict_form(arabised(F.col("w"))).alias("written"), O.strict_form(arabised(other)).alias("corpus")).distinct()
     return rows.select("written", "corpus", O.classify(F.col("written"), F.col("corpus")).alias("class"))
@@ -337,7 +347,7 @@ _CLAIMS = (
 
 def _cleaned(text: Column) -> Column:
     """Words of a text in Arabic letters alone."""
-    return F.trim(F.regexp_replace(text, f"[^{ARABIC}]+", " "))
+    return F.trim(F.regexp_replace(text, f"[^{O.ranges_of(ARABIC)}]+", " "))
 
 
 def claimed_source(spark: SparkSession, d: str) -> DataFrame:
