@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillmark.functions import orthography as O
 from quillmark.operators import evaluation, intervals
 from quillmark.operators import messages as G
+from quillmark.operators import tables
 from quillmark.plans import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
@@ -94,3 +95,9 @@ def test_kept_terms_meet_queries_by_broadcast(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert any("BroadcastHashJoin [term" in line for line in text.splitlines())
+
+
+def test_stored_tables_are_well_compressed(spark, tmp_path):
+    source = f"file://{tmp_path}/source"
+    spark.range(3).write.parquet(source)
+    assert all(".zstd." in path for path in tables.stored(spark, source, "any", lambda: spark.range(9)).inputFiles())
