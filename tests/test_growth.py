@@ -1,12 +1,13 @@
 """What queries do once for a row, a word or a text, and must not do once for each place."""
 
+import math
 import re
 import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
 from quillmark.functions import orthography as O
-from quillmark.operators import evaluation, intervals
+from quillmark.operators import evaluation, index, intervals
 from quillmark.operators import messages as G
 from quillmark.operators import tables
 from quillmark.plans import QUERIES
@@ -101,3 +102,16 @@ def test_stored_tables_are_well_compressed(spark, tmp_path):
     source = f"file://{tmp_path}/source"
     spark.range(3).write.parquet(source)
     assert all(".zstd." in path for path in tables.stored(spark, source, "any", lambda: spark.range(9)).inputFiles())
+
+
+@pytest.mark.parametrize("name", ["tok_loose", "tok_strict"])
+def test_lines_of_tokens_need_no_table(spark, name):
+    text = plan(QUERIES[name].run(spark, FOLDER))
+    assert "Relation [doc_id" in text and text.count("regexp_extract_all") == 1
+
+
+def test_lines_are_the_joined_tokens(spark):
+    rows = spark.createDataFrame([(1, "Straße, ÀÉ x_1"), (2, "plain Text"), (3, ""), (4, None), (5, "İstanbul 7")], "id int, text string")
+    want, got = index.streams(rows, "id"), index.tokenised(index.lines(rows, "id"))
+    assert sorted(map(str, got.select("id", "loose", "strict").collect())) == sorted(map(str, want.select("id", "loose", "strict").collect()))
+    assert {r.id: (r.loose, r.n) for r in index.lines(rows, "id").collect()} | {5: 0} == {1: ("strasse ae x 1", 4), 2: ("plain text", 2), 3: ("", 0), 4: ("", 0), 5: 0}
