@@ -46,52 +46,40 @@ class Rule:
     link: str = ""
 
 
-def _grams(rows: DataFrame, size: int, *names: str) -> DataFrame:
-    """(.., x, y) of each run of ``size`` words: two hashes of it."""
-
-    def two(i: Column) -> Column:
-        run = [F.get("loose", i + k) for k in range(size)]
-        return F.struct(F.xxhash64(*run).alias("x"), F.xxhash64(F.lit(size), *run).alias("y"))
-
-    runs = F.transform(F.sequence(F.lit(0), F.greatest(F.size("loose") - size, F.lit(0))), two)
-    return rows.where(F.size("loose") >= size).select(*names[:-1], F.posexplode(runs).alias(names[-1], "h")).select(*names, "h.x", "h.y")
-
-
 def _united(runs: DataFrame) -> DataFrame:
-    """(text, id, d, lo, hi): stretches on a diagonal that overlap or touch as one."""
+    """(text, id, d, lo, hi, seeds): stretches on a diagonal that overlap or touch as one, with the seeds of all."""
     order = Window.partitionBy("text", "id", "d").orderBy("lo", "hi")
     fresh = F.coalesce(F.col("lo") > F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
     parts = runs.withColumn("part", F.sum(fresh.cast("int")).over(order))
-    return parts.groupBy("text", "id", "d", "part").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("part")
+    return parts.groupBy("text", "id", "d", "part").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.flatten(F.collect_list("seeds")).alias("seeds")).drop("part")
 
 
-def shared_runs(texts: DataFrame, stream: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
-    """Maximal runs (text, id, d, lo, hi) of words that texts and stream share and that hold a seed's gram; seeds (text, i).
+def shared_runs(texts: DataFrame, stream: DataFrame, rule: Rule) -> DataFrame:
+    """Maximal runs (text, id, d, lo, hi, seeds) of words that texts and stream share and that hold a seed's gram.
 
-    ``texts``, ``stream``: (id, loose). ``d``: the place in the text less that in the stream.
+    ``texts``, ``stream``: (id, loose). ``d``: the place in the text less that in the stream; ``seeds``: where in the text the
+    run's telling seeds begin. A seed's words are those of the stream, so only the stream's are looked at.
     """
-    asked = _grams(texts.select(F.col("id").alias("text"), "loose"), rule.size, "text", "i")
-    corpus = _grams(stream.select("id", "loose"), rule.size, "id", "j")
+    def grams(rows: DataFrame, size: int) -> DataFrame:
+        silent = F.forall(F.array(*(F.col("g")[f"w{k}"] for k in range(size))), lambda w: w.isin(*rule.stop)) if rule.stop else F.lit(False)
+        return M.grams(rows, size, "j", "id").select("id", "j", "x", "y", (~silent).alias("tells"))
+
+    asked = M.grams(texts.select(F.col("id").alias("text"), "loose"), rule.size, "i", "text").select("text", "i", "x", "y")
+    corpus = grams(stream.select("id", "loose"), rule.size)
     common = corpus.groupBy("x", "y").agg(F.count("*").alias("n")).where(F.col("n") > rule.most).select("x", "y")
     crowded = not common.isEmpty()
     rare = corpus.join(common, ["x", "y"], "left_anti") if crowded else corpus
-    met = asked.join(bounded(rare), ["x", "y"]).select("text", "id", "i", (F.col("i") - F.col("j")).alias("d"), F.lit(rule.size).alias("n"))
+    met = asked.join(bounded(rare), ["x", "y"]).select("text", "id", "i", (F.col("i") - F.col("j")).alias("d"), F.lit(rule.size).alias("n"), "tells")
     # The last words of a text may be a shorter seed.
-    tails = texts.where(F.size("loose") >= rule.short).select(F.col("id").alias("text"), (F.size("loose") - rule.short).alias("at"), F.slice("loose", F.size("loose") - rule.short + 1, F.lit(rule.short)).alias("loose"))
-    ends = _grams(tails, rule.short, "text", "at", "i").drop("i")
-    short = _grams(stream.select("id", "loose"), rule.short, "id", "j").join(bounded(ends.select("x", "y").distinct()), ["x", "y"], "left_semi")
-    few = short.groupBy("x", "y").agg(F.count("*").alias("n")).where(F.col("n") <= rule.most).select("x", "y")
-    last = ends.join(short.join(few, ["x", "y"], "left_semi"), ["x", "y"]).select("text", "id", F.col("at").alias("i"), (F.col("at") - F.col("j")).alias("d"), F.lit(rule.short).alias("n"))
-    grams = met.unionByName(last)
-    runs = _united(grams.select("text", "id", "d", F.col("i").alias("lo"), (F.col("i") + F.col("n")).alias("hi")))
-    if crowded:
-        runs = _extended(runs, texts, stream, asked.join(common, ["x", "y"], "left_semi").select("text", "i").distinct(), rule.size)
-    telling = texts.select(F.col("id").alias("text"), F.posexplode(F.transform("loose", lambda w: ~w.isin(*rule.stop) if rule.stop else F.lit(True))).alias("i", "tells")).where("tells").select("text", "i") if rule.stop else None
-    seeds = grams.select("text", "i", "n").distinct()
-    if telling is not None:  # one of a seed's words at least
-        near = telling.select("text", F.explode(F.sequence(F.col("i") - (rule.size - 1), F.col("i"))).alias("i"), F.col("i").alias("k"))
-        seeds = seeds.join(near, ["text", "i"]).where(F.col("k") < F.col("i") + F.col("n"))
-    return runs, seeds.select("text", "i").distinct()
+    tails = texts.where(F.size("loose") >= rule.short).select(F.col("id").alias("text"), (F.size("loose") - rule.short).alias("at"), F.slice("loose", -rule.short, rule.short).alias("loose"))
+    ends = M.grams(tails, rule.short, "i", "text", "at").select("text", "at", "x", "y")
+    short = grams(stream.select("id", "loose"), rule.short)
+    many = short.groupBy("x", "y").agg(F.count("*").alias("n")).where(F.col("n") > rule.most).select("x", "y")
+    last = ends.join(bounded(short.join(many, ["x", "y"], "left_anti")), ["x", "y"]).select("text", "id", F.col("at").alias("i"), (F.col("at") - F.col("j")).alias("d"), F.lit(rule.short).alias("n"), "tells")
+    found = met.unionByName(last)
+    seeds = F.when(F.col("tells"), F.array("i")).otherwise(F.array().cast("array<int>"))
+    runs = _united(found.select("text", "id", "d", F.col("i").alias("lo"), (F.col("i") + F.col("n")).alias("hi"), seeds.alias("seeds")))
+    return _extended(runs, texts, stream, asked.join(common, ["x", "y"], "left_semi").select("text", "i").distinct(), rule.size) if crowded else runs
 
 
 def _extended(runs: DataFrame, texts: DataFrame, stream: DataFrame, common: DataFrame, size: int) -> DataFrame:
@@ -107,8 +95,8 @@ def _extended(runs: DataFrame, texts: DataFrame, stream: DataFrame, common: Data
     rest = lambda c, at: F.slice(c, at + 1, F.size(c))
     ahead = lambda c, n: F.reverse(F.slice(c, F.lit(1), n))
     lo, hi = F.col("lo"), F.col("hi")
-    grown = open_.select("text", "id", "d", (lo - F.when(F.col("l"), agreeing(ahead("t", lo), ahead("s", lo - F.col("d")))).otherwise(0)).alias("lo"), (hi + F.when(F.col("r"), agreeing(rest("t", hi), rest("s", hi - F.col("d")))).otherwise(0)).alias("hi"))
-    return _united(flagged.where("r is null and l is null").select("text", "id", "d", "lo", "hi").unionByName(grown))
+    grown = open_.select("text", "id", "d", (lo - F.when(F.col("l"), agreeing(ahead("t", lo), ahead("s", lo - F.col("d")))).otherwise(0)).alias("lo"), (hi + F.when(F.col("r"), agreeing(rest("t", hi), rest("s", hi - F.col("d")))).otherwise(0)).alias("hi"), "seeds")
+    return _united(flagged.where("r is null and l is null").select("text", "id", "d", "lo", "hi", "seeds").unionByName(grown))
 
 
 @F.arrow_udf(T.ArrayType(T.IntegerType()))
@@ -135,15 +123,18 @@ def detected(texts: DataFrame, stream: DataFrame, parts: DataFrame, rule: Rule)
     ``stream``: (id, loose); ``parts``: (id, corpus, scripture, first, after), the records in each stream. ``id``: the stream of
     the first place, scripture first. Why: long, whole (a whole verse) or rare. Texts shorter than a seed have none.
     """
-    runs, seeds = shared_runs(texts, stream, rule)
+    runs = shared_runs(texts, stream, rule)
     of = parts.groupBy("id").agg(F.first("corpus").alias("corpus"), F.bool_or("scripture").alias("scripture"))
     verses = parts.where("scripture").select("id", F.col("first").alias("j"), (F.col("after") - F.col("first")).alias("n"), F.lit(True).alias("verse"))
     placed = runs.withColumns({"j": F.col("lo") - F.col("d"), "n": F.col("hi") - F.col("lo")}).join(verses, ["id", "j", "n"], "left").join(of, "id")
-    stretches = placed.groupBy("text", "lo", "hi").agg(F.count("*").alias("n_places"), F.min(F.struct((~F.col("scripture")).alias("other"), "id", "j", "corpus")).alias("p"), F.coalesce(F.bool_or("verse"), F.lit(False)).alias("whole"))
-    listed = stretches.groupBy("text").agg(F.array_sort(F.collect_list(F.struct("lo", "hi", "n_places", "p", "whole"))).alias("s")).join(seeds.groupBy("text").agg(F.array_sort(F.collect_list("i")).alias("seeds")), "text")
+    # All places of a stretch agree with the text from end to end, and so hold the same seeds.
+    stretches = placed.groupBy("text", "lo", "hi").agg(F.count("*").alias("n_places"), F.min(F.struct((~F.col("scripture")).alias("other"), "id", "j", "corpus")).alias("p"), F.coalesce(F.bool_or("verse"), F.lit(False)).alias("whole"), F.first("seeds").alias("seeds"))
+    listed = stretches.groupBy("text").agg(F.array_sort(F.collect_list(F.struct("lo", "hi", "n_places", "p", "whole"))).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("seeds")))).alias("seeds")).where(F.size("seeds") > 0)
     listed = listed.select("text", "s", "seeds", F.col("s.lo").alias("low"), F.col("s.hi").alias("high"))
-    chosen = listed.withColumn("k", F.explode(_picked("seeds", "low", "high"))).select("text", F.get("s", F.col("k")).alias("x"))
-    rows = chosen.join(texts.select(F.col("id").alias("text"), "loose"), "text").select("text", F.col("x.lo").alias("i"), (F.col("x.hi") - F.col("x.lo")).alias("n"), "x.p.id", "x.p.corpus", (~F.col("x.p.other")).alias("scripture"), "x.n_places", "x.whole", F.slice("loose", F.col("x.lo") + 1, F.col("x.hi") - F.col("x.lo")).alias("w"))
+    chosen = listed.withColumn("k", F.explode(_picked("seeds", "low", "high"))).select("text", F.get("s", F.col("k")).alias("x")).withColumn("id", F.col("x.p.id"))
+    # A stretch's words are read at its place in the stream: the texts are needed no more.
+    words = F.slice("loose", F.col("x.p.j") + 1, F.col("x.hi") - F.col("x.lo")).alias("w")
+    rows = chosen.join(stream.select("id", "loose"), "id").select("text", F.col("x.lo").alias("i"), (F.col("x.hi") - F.col("x.lo")).alias("n"), "id", "x.p.corpus", (~F.col("x.p.other")).alias("scripture"), "x.n_places", "x.whole", words)
     telling = F.size(F.filter("w", lambda x: ~x.isin(*rule.stop, *rule.formal))) if rule.stop or rule.formal else F.col("n")
     chained = (F.size(F.filter("w", lambda x: x.isin(*rule.chain))) * 2 >= F.col("n")) if rule.chain else F.lit(False)
     chained = chained | (F.size(F.filter("w", lambda x: x == rule.link)) >= 2) if rule.link else chained

@@ -53,14 +53,20 @@ def mixed_hits(windows: DataFrame) -> DataFrame:
 
 
 def seeds(texts: DataFrame, stream: DataFrame, size: int = 4, most: int = 4000) -> DataFrame:
-    """(text, id, i, j, strict_ok): a text's runs of ``size`` tokens and their places in the corpus; strict where the strict forms agree.
+    """(text, id, i, j, strict_ok): a text's runs of ``size`` tokens and their places in the corpus; strict where the strict forms agree,
+    null where either side comes without them.
 
     Runs that occur at more than ``most`` places are no evidence and start nothing (``rare`` is false); they count only on
     the diagonals where a rarer one stands, so that a quotation isn't broken at a frequent phrase. Runs meet by 128 bits of
     hashes, so that no string is made for a place.
     """
-    grams = lambda df, name, pos, z: df.select(F.col("id").alias(name), F.posexplode(_hashed(F.col("loose"), F.col("strict"), size)).alias(pos, "h")).select(name, pos, "h.x", "h.y", F.col("h.z").alias(z))
-    corpus, asked = grams(stream, "id", "j", "zs"), grams(texts, "text", "i", "zt")
+    told = "strict" in texts.columns and "strict" in stream.columns
+
+    def hashed(df: DataFrame, name: str, pos: str, z: str) -> DataFrame:
+        strict = F.xxhash64(*(F.col("g")[f"s{k}"] for k in range(size))) if told else F.lit(None).cast("long")
+        return grams(df.select(F.col("id").alias(name), "loose", *["strict"] * told), size, pos, name).select(name, pos, "x", "y", strict.alias(z))
+
+    corpus, asked = hashed(stream, "id", "j", "zs"), hashed(texts, "text", "i", "zt")
     common = corpus.groupBy("x", "y").agg(F.count("*").alias("n")).where(F.col("n") > most).drop("n")
     row = lambda df, rare: df.select("text", "id", "i", "j", (F.col("zt") == F.col("zs")).alias("strict_ok"), F.lit(rare).alias("rare"))
     if common.isEmpty():
@@ -71,14 +77,17 @@ def seeds(texts: DataFrame, stream: DataFrame, size: int = 4, most: int = 4000)
     return met.unionByName(row(frequent.join(corpus.join(common, ["x", "y"], "left_semi"), ["id", "j", "x", "y"]), False))
 
 
-def _hashed(loose: Column, strict: Column, size: int) -> Column:
-    """array<struct<x, y, z>>: two hashes of each run of ``size`` loose tokens, and one of the strict ones."""
+def grams(rows: DataFrame, size: int, pos: str, *names: str) -> DataFrame:
+    """(.., pos, x, y, g) of each run of ``size`` tokens of ``rows`` (.., loose, and strict perhaps): its place, two hashes of it, and
+    its tokens w0, w1 .. and s0, s1 ...
 
-    def three(i: Column) -> Column:
-        run = [F.get(loose, i + k) for k in range(size)]
-        return F.struct(F.xxhash64(*run).alias("x"), F.xxhash64(F.lit(size), *run).alias("y"), F.xxhash64(*(F.get(strict, i + k) for k in range(size))).alias("z"))
-
-    return F.when(F.size(loose) >= size, F.transform(F.sequence(F.lit(0), F.greatest(F.size(loose) - size, F.lit(0))), three)).otherwise(F.array().cast("array<struct<x:bigint,y:bigint,z:bigint>>"))
+    Neighbours are brought side by side by shifted arrays; the hashes are then plain expressions over a row's columns, which
+    cost a third of those made for each place within the array.
+    """
+    n = F.greatest(F.size("loose") - (size - 1), F.lit(0))
+    beside = F.arrays_zip(*(F.slice(c, F.lit(k + 1), n).alias(f"{w}{k}") for c, w in (("loose", "w"), ("strict", "s")) if c in rows.columns for k in range(size)))
+    run = [F.col("g")[f"w{k}"] for k in range(size)]
+    return rows.where(F.size("loose") >= size).select(*names, F.posexplode(beside).alias(pos, "g")).select(*names, pos, F.xxhash64(*run).alias("x"), F.xxhash64(F.lit(size), *run).alias("y"), "g")
 
 
 def runs(seeds_: DataFrame, size: int = 4) -> DataFrame:
