@@ -106,17 +106,17 @@ def quotations(texts: DataFrame, stream: DataFrame, size: int = 4, least: int =
     return runs(seeds(texts, stream, size), size).where(F.col("n") >= least)
 
 
-def accepted(runs_: DataFrame, texts: DataFrame, stream: DataFrame, stop: list[str], chain: list[str], need: int = 6, content: int = 3, rare: int = 3, most: int = 60) -> DataFrame:
+def accepted(runs_: DataFrame, stream: DataFrame, stop: list[str], chain: list[str], need: int = 6, content: int = 3, rare: int = 3, most: int = 60) -> DataFrame:
     """Runs that are quotations: long ones with enough content words, whole records, and short ones that are rare.
 
     ``stop``: words that carry no content; ``chain``: words of which a list of narrators is made. Adds why, n_content, n_places.
+    A run's words are read in the stream, where they are the same, so texts are read once, for their seeds.
     """
-    words = F.slice("tl", F.col("i") + 1, F.col("n"))
+    words = F.slice("loose", F.col("j") + 1, F.col("n"))
     size = F.size(F.filter(words, lambda w: ~w.isin(stop)))
     chained = F.size(F.filter(words, lambda w: w.isin(chain))) * 2 >= F.col("n")
-    some = tokens_of(runs_.select(F.col("text").alias("id")).distinct().join(texts_of(texts), "id"))
-    rows = runs_.join(some.select(F.col("id").alias("text"), F.col("loose").alias("tl")), "text").join(stream.select("id", F.size("loose").alias("whole")), "id")
-    rows = rows.withColumn("n_content", size).withColumn("chained", chained).withColumn("n_places", F.count("*").over(Window.partitionBy("text", "i", "n")))
+    rows = runs_.join(stream.select("id", "loose"), "id").withColumns({"n_content": size, "chained": chained, "whole": F.size("loose")}).drop("loose")
+    rows = rows.withColumn("n_places", F.count("*").over(Window.partitionBy("text", "i", "n")))
     why = (
         F.when((F.col("n") >= need) & (F.col("n_content") >= content), "long")
         .when((F.col("j") == 0) & (F.col("n") == F.col("whole")), "whole")

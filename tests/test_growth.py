@@ -104,6 +104,18 @@ def test_stored_tables_are_well_compressed(spark, tmp_path):
     assert all(".zstd." in path for path in tables.stored(spark, source, "any", lambda: spark.range(9)).inputFiles())
 
 
+def reads(df, column):
+    """How often a query reads the table that has this column."""
+    return sum("Relation [" in line and f"{column}#" in line for line in plan(df).splitlines())
+
+
+@pytest.mark.parametrize(("name", "most"), [("anchors", 2), ("anchor_accept", 1)])
+def test_texts_are_read_for_their_grams_only(spark, name, most):
+    df = QUERIES[name].run(spark, FOLDER)
+    assert 0 < reads(df, ",n") <= most  # of the documents' token lines, which alone have n
+    assert "sequence(" not in plan(df)  # neither hashes place by place nor a row for each telling word
+
+
 @pytest.mark.parametrize("name", ["tok_loose", "tok_strict"])
 def test_lines_of_tokens_need_no_table(spark, name):
     text = plan(QUERIES[name].run(spark, FOLDER))
