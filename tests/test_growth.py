@@ -116,6 +116,12 @@ def test_texts_are_read_for_their_grams_only(spark, name, most):
     assert "sequence(" not in plan(df)  # neither hashes place by place nor a row for each telling word
 
 
+@pytest.mark.parametrize("name", ["candidates_topk", "rule_pick"])
+def test_two_channels_read_and_join_texts_once(spark, name):
+    df = QUERIES[name].run(spark, FOLDER)
+    assert reads(df, "[doc_id") == 1
+
+
 @pytest.mark.parametrize("name", ["tok_loose", "tok_strict"])
 def test_lines_of_tokens_need_no_table(spark, name):
     text = plan(QUERIES[name].run(spark, FOLDER))
@@ -127,3 +133,17 @@ def test_lines_are_the_joined_tokens(spark):
     want, got = index.streams(rows, "id"), index.tokenised(index.lines(rows, "id"))
     assert sorted(map(str, got.select("id", "loose", "strict").collect())) == sorted(map(str, want.select("id", "loose", "strict").collect()))
     assert {r.id: (r.loose, r.n) for r in index.lines(rows, "id").collect()} | {5: 0} == {1: ("strasse ae x 1", 4), 2: ("plain text", 2), 3: ("", 0), 4: ("", 0), 5: 0}
+
+
+def test_scores_of_two_channels(spark):
+    asked = spark.createDataFrame([(1, ["a", "b", "b", "zz"]), (2, ["zz"]), (3, ["c"]), (4, [])], "q int, t array<string>")
+    docs = spark.createDataFrame([(7, ["a", "b"]), (8, ["b", "a", "c"]), (9, [])], "id int, t array<string>")
+    got = {(r.q, r.id): r.score for r in index.words_and_pairs(asked, docs).collect()}
+    assert set(got) == {(1, 7), (1, 8), (3, 8)}
+
+    def part(df, tf, size, average):
+        return math.log1p((3 - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / average))
+
+    idf = lambda df: math.log1p((3 - df + 0.5) / (df + 0.5))
+    assert abs(got[1, 7] - (0.8 * 2 * part(2, 1, 2, 5 / 3) / (2 * idf(2)) + 0.2 * part(1, 1, 1, 1) / idf(1))) < 1e-12
+    assert abs(got[1, 8] - 0.8 * 2 * part(2, 1, 3, 5 / 3) / (2 * idf(2))) < 1e-12 and abs(got[3, 8] - 0.8 * part(1, 1, 3, 5 / 3) / idf(1)) < 1e-12
