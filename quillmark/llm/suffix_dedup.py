@@ -28,11 +28,11 @@ from pyspark.sql import functions as F
 from .storage import materialize, small_batches
 from .words import utf8
 
-#: Bytes whose windows are hashed at a time.
-BLOCK = 2 << 20
+#: Bytes whose windows are hashed at a time: temporary arrays of some megabytes, which a processor's cache holds.
+BLOCK = 1 << 18
 
 #: Suffixes that a task combines before it hands them on, some 40 bytes each.
-FLUSH = 1 << 20
+FLUSH = 1 << 18
 
 #: Distinct contexts of a lead above which its strings are told apart by digests.
 HOT = 200_000
@@ -135,10 +135,12 @@ class Suffixes:
 
     def take(self) -> dict[str, np.ndarray]:
         """All rows, sorted by lead, digest and place."""
-        rows = {k: np.concatenate([p[k] for p in self.parts]) for k in self.parts[0]}
+        parts, self.parts, self.rows = self.parts, [], 0
+        rows = {k: np.concatenate([p.pop(k) for p in parts]) for k in list(parts[0])}
         order = np.lexsort((rows["start"], rows["doc"], rows["digest"], rows["lead"]))
-        self.parts, self.rows = [], 0
-        return {k: v[order] for k, v in rows.items()}
+        for k in rows:  # one column at a time
+            rows[k] = rows[k][order]
+        return rows
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -275,8 +277,9 @@ def same_strings(data: np.ndarray, starts: np.ndarray, span: int, groups: np.nda
     return rows, class_
 
 
-def _contexts(texts: DataFrame, edges: DataFrame, anchors: Anchors) -> DataFrame:
-    """Edges with the bytes of their strings: (rank, lead, doc, h, start, off, count, bytes)."""
+def _contexts(texts: DataFrame, edges: DataFrame, anchors: Anchors, splitters: np.ndarray) -> DataFrame:
+    """Edges with the bytes of their strings: (bucket, lead, doc, h, start, off, count, bytes); a lead's are in one bucket."""
+    bounds = np.unique(_ordered(*splitters.view(">u8").reshape(-1, 3)[:, :2].T)) if len(splitters) else splitters
     listed = edges.groupBy("doc", "h").agg(F.collect_list(F.struct("start", "off", "count", "lead")).alias("edges"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,23 +293,17 @@ def _contexts(texts: DataFrame, edges: DataFrame, anchors: Anchors) -> DataFrame
                     part = {c: v[mine[k : k + 4096]] for c, v in rows.items()}
                     cut = [raw[a : a + n + anchors.span - 1] for a, n in zip(part["start"].tolist(), part["count"].tolist(), strict=True)]
                     rank = np.array([int.from_bytes(b[o : o + 8].ljust(8, b"\0"), "big") for b, o in zip(cut, part["off"].tolist(), strict=True)], _U) & _head(anchors.lead)
-                    n = len(cut)
-                    yield pa.RecordBatch.from_pydict({"rank": rank.view(np.int64), "lead": part["lead"], "doc": np.full(n, batch.column("doc")[t].as_py(), np.int64), "h": np.full(n, batch.column("h")[t].as_py(), np.int64), **{c: part[c] for c in ("start", "off", "count")}, "bytes": pa.array(cut, pa.binary())})
+                    n, bucket = len(cut), np.searchsorted(bounds, _ordered(rank, part["lead"].view(_U)), "right")
+                    yield pa.RecordBatch.from_pydict({"bucket": bucket.astype(np.int32), "lead": part["lead"], "doc": np.full(n, batch.column("doc")[t].as_py(), np.int64), "h": np.full(n, batch.column("h")[t].as_py(), np.int64), **{c: part[c] for c in ("start", "off", "count")}, "bytes": pa.array(cut, pa.binary())})
 
-    return texts.join(listed, ["doc", "h"]).select("doc", "h", "text", "edges").mapInArrow(run, "rank long, lead long, doc long, h long, start int, off int, count int, bytes binary")
+    return texts.join(listed, ["doc", "h"]).select("doc", "h", "text", "edges").mapInArrow(run, "bucket int, lead long, doc long, h long, start int, off int, count int, bytes binary")
 
 
 _SPANS = "doc long, h long, start int, end int"
 
 
-def _compared(contexts: DataFrame, anchors: Anchors, splitters: np.ndarray, parts: int) -> DataFrame:
+def _compared(contexts: DataFrame, anchors: Anchors, parts: int) -> DataFrame:
     """Spans of repeated strings, of contexts that meet in buckets by their leads."""
-    bounds = np.unique(_ordered(*splitters.view(">u8").reshape(-1, 3)[:, :2].T)) if len(splitters) else splitters
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = _ordered(*(batch.column(k).to_numpy().view(_U) for k in ("rank", "lead")))
-            yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(bounds, keys, "right").astype(np.int32)), *batch.columns[1:]], names=["bucket", *batch.schema.names[1:]])
 
     def told(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         column = {k: rows.column(k).to_numpy() for k in ("lead", "doc", "h", "start", "off", "count")}
@@ -344,8 +341,7 @@ def _compared(contexts: DataFrame, anchors: Anchors, splitters: np.ndarray, part
         if waiting and sum(map(len, waiting)):
             yield from told(pa.Table.from_batches(waiting))
 
-    rows = contexts.mapInArrow(place, "bucket int, lead long, doc long, h long, start int, off int, count int, bytes binary")
-    return rows.repartition(parts, "bucket").sortWithinPartitions("bucket", "lead").mapInArrow(compare, _SPANS)
+    return contexts.repartition(parts, "bucket").sortWithinPartitions("bucket", "lead").mapInArrow(compare, _SPANS)
 
 
 def _aggregated(contexts: DataFrame, anchors: Anchors) -> DataFrame:
@@ -374,9 +370,9 @@ def repeated_spans(texts: DataFrame, span: int = 100) -> DataFrame:
     splitters = _splitters(texts, anchors, 8 * parts)
     marks = materialize(_marks(texts, anchors, splitters, parts), "suffix-marks")
     repeats = marks.where(F.col("kind") == REPEAT).select("doc", "h", "start", (F.col("start") + F.col("count") + (span - 1)).cast("int").alias("end"))
-    found = repeats.unionByName(_compared(_contexts(texts, marks.where(F.col("kind") == EDGE), anchors), anchors, splitters, parts))
+    found = repeats.unionByName(_compared(_contexts(texts, marks.where(F.col("kind") == EDGE), anchors, splitters), anchors, parts))
     crowd = marks.where(F.col("kind") == CROWD)
-    return found if crowd.isEmpty() else found.unionByName(_aggregated(_contexts(texts, crowd, anchors), anchors))
+    return found if crowd.isEmpty() else found.unionByName(_aggregated(_contexts(texts, crowd, anchors, splitters), anchors))
 
 
 def remove_repeats(docs: DataFrame, span: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

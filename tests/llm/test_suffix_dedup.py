@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -98,3 +99,20 @@ def test_multikey_quicksort():
         for r, c in zip(rows.tolist(), class_.tolist(), strict=True):
             got.setdefault(c, set()).add(r)
         assert sorted(map(sorted, got.values())) == sorted(sorted(v) for v in by.values() if len(v) > 1)
+
+
+def test_finding_anchors_takes_little_memory_however_long_the_text():
+    anchors, data = S.Anchors.of(100), np.random.default_rng(3).integers(97, 123, 5 << 20, np.uint8)
+    tracemalloc.start()
+    found = sum(len(start) for start, *_ in anchors.find(data, np.array([0, len(data)])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found > 10_000
+    assert peak < (48 << 20) + 8 * len(data)  # limits of all strings, and the arrays of a block
+
+
+def test_contexts_are_cut_and_placed_in_one_pass(spark):
+    texts = S._texts(spark.createDataFrame([(1, "a" * 300)], "doc_id long, text string"), "doc_id", "text")
+    edges = spark.createDataFrame([(1, 0, 0, 5, 1, 7)], "doc long, h long, start int, off int, count int, lead long")
+    plan = S._compared(S._contexts(texts, edges, S.Anchors.of(100), np.zeros(0, S._ORDERED)), S.Anchors.of(100), 2)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 2  # a second one in the task that cuts would be a second Python worker beside the first
