@@ -111,3 +111,18 @@ def test_links_of_crowded_buckets_and_frequent_shingles(spark, monkeypatch):
     monkeypatch.setattr(P, "GROUP", 2)
     docs = spark.createDataFrame([(i, t, "", 1) for i, t in rows], SCHEMA)
     assert sorted(r.doc_id for r in N.drop_near_copies(docs).collect()) == brute_kept(rows)
+
+
+def test_scanning_takes_little_memory_however_many_texts_a_batch_has():
+    import tracemalloc
+
+    import pyarrow as pa
+    from quillmark.llm.near_copies import word_fingerprints
+
+    column = pa.array([" ".join(f"word{k * j % 9973}" for j in range(400)) for k in range(1500)], pa.string())
+    tracemalloc.start()
+    found = len(word_fingerprints(column))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == len(column)
+    assert peak < 16 << 20
