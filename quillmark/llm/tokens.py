@@ -243,7 +243,7 @@ class Encoder:
         for k in np.flatnonzero(sizes > 16).tolist():
             chunk = data[starts[k] : ends[k]].tobytes()
             if (held := self._long.get(chunk)) is None:
-                held = self._table.add([self._chunk(chunk)])[0]
+                held = tuple(self._table.add([self._chunk(chunk)])[0].tolist())
                 if len(chunk) <= 64 and len(self._long) < KEPT // 8:
                     self._long[chunk] = held
             where[k] = held

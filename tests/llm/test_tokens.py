@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -119,3 +120,18 @@ def test_a_warm_cache_encodes_nothing(spark, docs, tmp_path, monkeypatch):
     first = sorted(map(str, count_tokens(docs, JSON, cache).collect()))
     monkeypatch.setattr("quillmark.llm.token_counts.encoder", None)
     assert sorted(map(str, count_tokens(docs, JSON, cache).collect())) == first
+
+
+def test_encoding_takes_little_memory_however_many_texts_a_batch_has():
+    import pyarrow as pa
+
+    words = [f"w{k}" for k in range(2000)]
+    column, encoder = pa.array([" ".join(random.Random(k).choices(words, k=400)) for k in range(2000)], pa.string()), tokens.encoder(JSON)
+    for _ in encoder.batch(column):  # the table is made
+        pass
+    tracemalloc.start()
+    found = sum(len(own.counts) for own in encoder.batch(column))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == len(column)
+    assert peak < 24 << 20
