@@ -52,13 +52,13 @@ def mixed_hits(windows: DataFrame) -> DataFrame:
     return windows.where(same & ~pure & either("loose", "loose_a", "loose_b")).withColumn("strict_ok", either("strict", "strict_a", "strict_b"))
 
 
-def seeds(texts: DataFrame, stream: DataFrame, size: int = 4, most: int = 4000) -> DataFrame:
+def seeds(texts: DataFrame, stream: DataFrame, size: int = 4, most: int | None = 4000) -> DataFrame:
     """(text, id, i, j, strict_ok): a text's runs of ``size`` tokens and their places in the corpus; strict where the strict forms agree,
     null where either side comes without them.
 
     Runs that occur at more than ``most`` places are no evidence and start nothing (``rare`` is false); they count only on
-    the diagonals where a rarer one stands, so that a quotation isn't broken at a frequent phrase. Runs meet by 128 bits of
-    hashes, so that no string is made for a place.
+    the diagonals where a rarer one stands, so that a quotation isn't broken at a frequent phrase; without ``most`` all runs are
+    seeds alike. Runs meet by 128 bits of hashes, so that no string is made for a place.
     """
     told = "strict" in texts.columns and "strict" in stream.columns
 
@@ -67,9 +67,9 @@ def seeds(texts: DataFrame, stream: DataFrame, size: int = 4, most: int = 4000)
         return grams(df.select(F.col("id").alias(name), "loose", *["strict"] * told), size, pos, name).select(name, pos, "x", "y", strict.alias(z))
 
     corpus, asked = hashed(stream, "id", "j", "zs"), hashed(texts, "text", "i", "zt")
-    common = corpus.groupBy("x", "y").agg(F.count("*").alias("n")).where(F.col("n") > most).drop("n")
+    common = None if most is None else corpus.groupBy("x", "y").agg(F.count("*").alias("n")).where(F.col("n") > most).drop("n")
     row = lambda df, rare: df.select("text", "id", "i", "j", (F.col("zt") == F.col("zs")).alias("strict_ok"), F.lit(rare).alias("rare"))
-    if common.isEmpty():
+    if common is None or common.isEmpty():
         return row(asked.join(bounded(corpus), ["x", "y"]), True)
     met = row(asked.join(bounded(corpus.join(common, ["x", "y"], "left_anti")), ["x", "y"]), True)
     diagonals = met.select("text", "id", (F.col("i") - F.col("j")).alias("d")).distinct()
@@ -98,12 +98,12 @@ def runs(seeds_: DataFrame, size: int = 4) -> DataFrame:
     return grouped.where("rare").select("text", "id", "i", "j", "n", "strict_ok")
 
 
-def quotations(texts: DataFrame, stream: DataFrame, size: int = 4, least: int = 6) -> DataFrame:
+def quotations(texts: DataFrame, stream: DataFrame, size: int = 4, least: int = 6, most: int | None = 4000) -> DataFrame:
     """(text, id, i, j, n, strict_ok): runs of at least ``least`` tokens; strict where case and accents agree too.
 
-    Texts are read once: what the strict test needs travels with the seeds.
+    Texts are read once: what the strict test needs travels with the seeds. ``size`` and ``most`` are those of ``seeds``.
     """
-    return runs(seeds(texts, stream, size), size).where(F.col("n") >= least)
+    return runs(seeds(texts, stream, size, most), size).where(F.col("n") >= least)
 
 
 def accepted(runs_: DataFrame, stream: DataFrame, stop: list[str], chain: list[str], need: int = 6, content: int = 3, rare: int = 3, most: int = 60) -> DataFrame:

@@ -7,18 +7,21 @@ from pyspark.sql import functions as F
 
 from ..functions import orthography as O
 
-# Fixed value: tokens up to which a span is searched again.
-LONGEST = 4096
+#: Words that are compared at once; a place that fails early costs no more, however long the span is.
+BLOCK = 64
 
 #: Words by which a span meets the records; so a common first word alone brings nothing together.
 HEAD = 3
 
 
+def _line(tokens: Column) -> Column:
+    """Words between spaces; no word has one, so words stand in others without gaps where their line does in that of the others."""
+    return F.concat(F.lit(" "), O.joined(tokens), F.lit(" "))
+
+
 def _stands(needle: str, hay: str) -> Column:
-    """Whether an array stands in another one without gaps."""
-    n = F.size(needle)
-    inside = F.exists(F.sequence(F.lit(1), F.greatest(F.size(hay) - n + 1, F.lit(1))), lambda k: F.slice(F.col(hay), k, n) == F.col(needle))
-    return (n > 0) & (n <= LONGEST) & (n <= F.size(hay)) & inside
+    """Whether a line of words, of whatever length, stands in another one; that of no words stands nowhere."""
+    return (F.trim(needle) != "") & F.contains(hay, needle)
 
 
 def source_texts(matches: DataFrame, records: DataFrame) -> DataFrame:
@@ -31,8 +34,8 @@ def source_texts(matches: DataFrame, records: DataFrame) -> DataFrame:
 
 def exact_again(found: DataFrame, records: DataFrame) -> DataFrame:
     """(q, rec, ok): the strict tokens of ``found`` (q, rec, quoted) stand without a gap in those of the record."""
-    rows = found.join(records.select(F.col("id").alias("rec"), O.strict_tokens(F.col("text"), False).alias("hay")), "rec", "left")
-    rows = rows.withColumn("needle", O.strict_tokens(F.col("quoted"), False))
+    rows = found.join(records.select(F.col("id").alias("rec"), _line(O.strict_tokens(F.col("text"), False)).alias("hay")), "rec", "left")
+    rows = rows.withColumn("needle", _line(O.strict_tokens(F.col("quoted"), False)))
     return rows.select("q", "rec", F.coalesce(_stands("needle", "hay"), F.lit(False)).alias("ok"))
 
 
@@ -47,9 +50,11 @@ def stands_again(found: DataFrame, hays: DataFrame) -> DataFrame:
     """(q, rec, ok): the words of ``found`` (q, rec, needle) stand in the record or run on from it, each word in either edition."""
     rows = found.join(hays, "rec", "left")
     n = F.size("needle")
-    same = lambda k: F.forall(F.arrays_zip(F.col("needle").alias("u"), F.slice("first", k, n).alias("a"), F.slice("second", k, n).alias("b")), lambda x: (x["u"] == x["a"]) | (x["u"] == x["b"]))
+    part = lambda c, k, b: F.slice(c, k + b, F.least(n - b, F.lit(BLOCK)))
+    equal = lambda k, b: F.forall(F.arrays_zip(part("needle", F.lit(1), b).alias("u"), part("first", k, b).alias("a"), part("second", k, b).alias("b")), lambda x: (x["u"] == x["a"]) | (x["u"] == x["b"]))
+    same = lambda k: F.forall(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(BLOCK)), lambda b: equal(k, b))
     inside = F.exists(F.sequence(F.lit(1), F.greatest(F.size("first") - n + 1, F.lit(1))), lambda k: (F.get("first", k - 1).eqNullSafe(F.get("needle", F.lit(0))) | F.get("second", k - 1).eqNullSafe(F.get("needle", F.lit(0)))) & same(k))
-    return rows.select("q", "rec", F.coalesce((n > 0) & (n <= LONGEST) & (n <= F.size("first")) & inside, F.lit(False)).alias("ok"))
+    return rows.select("q", "rec", F.coalesce((n > 0) & (n <= F.size("first")) & inside, F.lit(False)).alias("ok"))
 
 
 def completed_again(found: DataFrame, records: DataFrame) -> DataFrame:
